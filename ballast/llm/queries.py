@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ballast.llm import packing, token_files
+from ballast.llm import near_dup, packing, token_files
 from ballast.llm._shared import table
 
 
@@ -18,6 +18,10 @@ def op3_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer(), capacity=4096, end_id=2)
 
 
+def op4_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(spark, table(spark, sf_dir, "documents"), percent=85)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_shards(spark, table(spark, sf_dir, "documents"), _tokenizer(), end_id=2)
     return token_files.read_shards(manifest).drop("shard")
