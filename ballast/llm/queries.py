@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ballast.llm import near_dup, packing, token_files
+from ballast.llm import near_dup, packing, repeats, token_files
 from ballast.llm._shared import table
 
 
@@ -27,6 +27,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_shards(manifest).drop("shard")
 
 
+def op7_repeated_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal_report(spark, table(spark, sf_dir, "documents"), window=50)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
