@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ballast.llm import near_dup, packing, repeats, token_files
+from ballast.llm import chat, near_dup, packing, quality, repeats, token_files
 from ballast.llm._shared import table
 
 
@@ -14,6 +15,23 @@ def _tokenizer(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.sql("SELECT CAST(-7 AS BIGINT) AS conv_id, t.* FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)").withColumn("text", F.lit(said))
+    back = chat.read_back(chat.format_conversations(given.unionByName(more)))
+    turns = F.transform("turns", lambda x: F.concat(x.role, F.lit("\n"), x.text, F.lit("\n")))
+    # windows of a conversation meet once more, as the digest is of the conversation as a whole
+    parts = back.select("conv_id", F.struct("window", F.size("turns").alias("n"), F.array_join(turns, "").alias("turns"), F.array_join("targets", "").alias("loss"), "chars").alias("w"))
+    whole = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list("w")).alias("w"))
+    joined = lambda name: F.array_join(F.col(f"w.{name}"), "")
+    total = lambda name: F.aggregate(F.col(f"w.{name}"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return whole.select(
+        "conv_id", total("n").alias("n_turns"), F.sha2(joined("turns"), 256).alias("turns_sha256"),
+        F.length(joined("loss")).cast("long").alias("loss_chars"), F.sha2(joined("loss"), 256).alias("loss_sha256"), total("chars").alias("formatted_chars"),
+    )
+
+
 def op3_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer(), capacity=4096, end_id=2)
 
@@ -31,6 +49,10 @@ def op7_repeated_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removal_report(spark, table(spark, sf_dir, "documents"), window=50)
 
 
+def op10_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
