@@ -13,13 +13,19 @@ Documents with equal sets are one node from the start, so that a group of copies
 signature in the candidate search, however large it is. Candidates in a bucket of bands
 are compared with the bucket's centre first; components are then contracted, and only
 buckets that still hold several components go on: first with the other centres, then with
-growing random samples of pivots, last with every member. Thus what is compared in a
-bucket is what cannot be ruled out by a link that was found already, no cap is set on
-buckets or partners, and no candidate pair of different components is left out.
+growing random samples of pivots, last with every member. A pair goes from there to its full
+sets only if it lies in different components, if bitmaps of its shingles leave room for the
+intersection it needs (an exact bound), and if its whole signatures, of which the bucket rows
+carry four bits a coordinate, disagree no more than five standard deviations above what a pair
+at the threshold would; it is taken up in the first band it shares. So a large group of
+near copies costs little more than its own links, no cap is set on buckets or partners, and
+the chance to lose a link stays near that of the bands themselves.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +71,50 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
+def nibbles(sig: np.ndarray) -> np.ndarray:
+    """The low four bits of each coordinate, 16 to a 64-bit integer."""
+    n = -(-sig.shape[1] // 16)
+    low = np.zeros((len(sig), n * 16), _U)
+    low[:, : sig.shape[1]] = sig & np.uint32(15)
+    return np.bitwise_or.reduce(low.reshape(len(sig), n, 16) << (_U(4) * np.arange(16, dtype=_U)), axis=2)
+
+
+_BITS = 1024
+
+
+def bitmaps(x: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """_BITS bits a document, set where a shingle falls, as 64-bit integers."""
+    flags = np.zeros(n * _BITS, bool)
+    flags[doc * _BITS + (mix(x ^ _U(0x3C6EF372FE94F82B)) & _U(_BITS - 1)).astype(np.int64)] = True
+    return np.packbits(flags.reshape(n, _BITS), axis=1, bitorder="little").view(np.int64)
+
+
+def _room(percent: int) -> str:
+    """Whether the bitmaps allow the intersection that the sizes ask for, in SQL.
+
+    A shared shingle has a shared bit, and at most spare = n - (bits set) shingles of a set fell
+    on a bit that another of it had set.
+    """
+    shared = " + ".join(f"bit_count(a.m{i} & b.m{i})" for i in range(_BITS // 64))
+    return f"({shared} + least(a.spare, b.spare)) * {100 + percent} >= {percent} * (a.n + b.n)"
+
+
+def most_differences(coordinates: int, percent: int, deviations: float = 5.0) -> float:
+    """Differing nibbles that a pair at the threshold has at most, by so many standard deviations."""
+    m = (1 - percent / 100) * 15 / 16
+    return coordinates * m + deviations * math.sqrt(coordinates * m * (1 - m))
+
+
+def _differences(n: int):
+    """Number of coordinates whose nibbles differ between two rows, in SQL."""
+    def one(i: int) -> str:
+        x = f"(a.q{i} ^ b.q{i})"
+        y = f"({x} | shiftrightunsigned({x}, 1))"
+        return f"bit_count(({y} | shiftrightunsigned({y}, 2)) & 1229782938247303441L)"
+
+    return " + ".join(map(one, range(n)))
+
+
 def document_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Each document's distinct shingle hashes, ascending, one after the other, and their numbers."""
     w = words(column, lower=True)
@@ -84,22 +134,26 @@ def document_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _features(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
+    n_q = -(-bands * rows // 16)
+
     def run(batches):
         for b in slices(batches):
             x, n = document_sets(b.column(1), width)
             some = np.flatnonzero(n)
-            h1, h2, keys = np.zeros(len(n), _U), np.zeros(len(n), _U), np.zeros((len(n), bands), _U)
+            h1, h2, keys, q = np.zeros(len(n), _U), np.zeros(len(n), _U), np.zeros((len(n), bands), _U), np.zeros((len(n), n_q), _U)
+            m = bitmaps(x, np.repeat(np.arange(len(n)), n), len(n))
             if len(some):
                 starts = np.concatenate(([0], np.cumsum(n[some])[:-1]))
                 h1[some], h2[some] = (np.add.reduceat(mix(x ^ _U(c)), starts) for c in (0x1234567, 0x89ABCDEF01))
-                keys[some] = band_keys(signatures(x, starts, bands * rows), rows)
+                sig = signatures(x, starts, bands * rows)
+                keys[some], q[some] = band_keys(sig, rows), nibbles(sig)
             off = np.concatenate(([0], np.cumsum(np.where(n > 0, bands, 0)))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.ListArray.from_arrays(pa.array(off), pa.array(keys[some].ravel().view(np.int64)))],
-                names=["doc_id", "n", "h1", "h2", "bands"],
+                [b.column(0), pa.array(n.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.ListArray.from_arrays(pa.array(off), pa.array(keys[some].ravel().view(np.int64))), *(pa.array(np.ascontiguousarray(q[:, i]).view(np.int64)) for i in range(n_q)), *(pa.array(np.ascontiguousarray(m[:, i])) for i in range(_BITS // 64))],
+                names=["doc_id", "n", "h1", "h2", "bands", *(f"q{i}" for i in range(n_q)), *(f"m{i}" for i in range(_BITS // 64))],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, bands array<long>" + "".join(f", {c} long" for c in [*(f"q{i}" for i in range(n_q)), *(f"m{i}" for i in range(_BITS // 64))]))
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -150,7 +204,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80, wid
     features = written(spark, _features(src, width, bands, rows), "features")
     named = features.where("n > 0 AND doc_id IS NOT NULL")
     reps = named.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    member = written(spark, features.join(reps, ["h1", "h2", "n"], "left").select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "member")
+    qs = [f"q{i}" for i in range(-(-bands * rows // 16))]
+    ms = [f"m{i}" for i in range(_BITS // 64)]
+    is_rep = F.col("doc_id") == F.col("rep")
+    member = written(spark, features.join(reps, ["h1", "h2", "n"], "left").select("doc_id", "n", "rep", *(F.when(is_rep, F.col(c)).alias(c) for c in ("bands", *qs, *ms))), "member")
     drop_written(spark, features)
 
     keyed = member.where("doc_id = rep").select(F.col("rep").alias("node"), F.explode("bands").alias("key"))
@@ -164,18 +221,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80, wid
     links = written(spark, _verify(tried, sets, percent), "links")
     labels = connected_components(spark, links)
     pivots_per_bucket = [0, 16, 256, None]
+    in_bands = member.where("doc_id = rep").select(F.col("rep").alias("node"), "n", "bands", *qs, *ms, F.expr("n - (" + " + ".join(f"bit_count({m})" for m in ms) + ")").alias("spare"))
+    alike = f"{_room(percent)} AND {_differences(len(qs))} <= {most_differences(bands * rows, percent)}"
+    used = 0.0
     for pivots in pivots_per_bucket:
         now = buckets.join(labels, "node", "left").select("key", "node", "centre", F.coalesce("component", "node").alias("component"))
         mixed = now.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size")).where("least <> most").select("key", "size")
-        now = written(spark, now.join(mixed, "key"), "mixed")
+        now = written(spark, now.join(mixed, "key").join(in_bands, "node").withColumn("turn", F.pmod(F.xxhash64("node"), F.lit(1 << 30)) * F.col("size") / float(1 << 30)), "mixed")
         if pivots == 0:
-            chosen = now.where("node = centre")
-        elif pivots is None:
-            chosen = now
+            chosen, once = now.where("node = centre"), "a.node <> a.centre"
         else:
-            chosen = now.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) * F.col("size") < float(pivots << 30))
-        chosen = chosen.select("key", F.col("node").alias("pivot"), F.col("component").alias("pivot_component"))
-        pairs = now.join(chosen, "key").where("component <> pivot_component").select(*pair("node", "pivot")).distinct().join(tried, ["a", "b"], "left_anti")
+            chosen = now.where(f"turn >= {used}" + (f" AND turn < {pivots}" if pivots else ""))
+            # earlier pivots have met all of their buckets, and two of these meet once
+            once = f"a.turn >= {used} AND (a.node < b.node" + (f" OR a.turn >= {pivots})" if pivots else ")")
+            used = pivots
+        # equal keys, then in this order: different components, alike signatures, the first band that both have
+        first_band = "a.key = array_min(array_intersect(a.bands, b.bands))"
+        pairs = now.alias("a").join(chosen.alias("b"), F.expr(f"a.key = b.key AND {once} AND a.component <> b.component AND {alike} AND {first_band}"))
+        pairs = pairs.select(*pair(F.col("a.node"), F.col("b.node"))).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = written(spark, pairs, "pairs")
         if pairs.limit(1).count():
             more = written(spark, _verify(pairs, sets, percent), "links")
