@@ -83,5 +83,24 @@ def open_file(uri: str):
     return store.open_input_file(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets executors import this package where they don't find it by PYTHONPATH: a zip by Spark's own file server."""
+    import zipfile
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    sc = spark.sparkContext
+    if getattr(sc, "_ballast_shipped", False) or root in map(os.path.abspath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="ballast-"), "ballast.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for top, _, names in os.walk(os.path.join(root, "ballast")):
+            for x in names:
+                if x.endswith(".py"):
+                    z.write(at := os.path.join(top, x), os.path.relpath(at, root))
+    sc.addPyFile(path)
+    sc._ballast_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -80,6 +80,18 @@ class Words:
         h += (self.end - self.start).astype(_U) * _U(0xA0761D6478BD642F)
         return mix(h)
 
+    def heads(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first ``n`` bytes of the words that have as many, and those words."""
+        at = np.flatnonzero(self.end - self.start >= n)
+        up, down = _PP(len(self.data) + 1)
+        total = np.empty(len(self.data) + 1, _U)
+        total[0] = 0
+        np.cumsum(_BYTE[self.data] * up[: len(self.data)], out=total[1:])
+        s = self.start[at]
+        h = total[s + n] - total[s]
+        h *= down[s]
+        return mix(h + _U(n)), at
+
     def word(self, k: int) -> bytes:
         return self.data[self.start[k] : self.end[k]].tobytes()
 
@@ -102,8 +114,8 @@ def window_hash(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return mix(x + _U(k))
 
 
-def words(column: pa.Array, lower: bool = False) -> Words:
-    """The words of a string column; nulls have none. lower: A-Z are lower-cased first."""
+def words(column: pa.Array, lower: bool = False, breaks: np.ndarray = _IS_SPACE) -> Words:
+    """The words of a string column; nulls have none. lower: A-Z are lower-cased first. breaks: the bytes that are in no word."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -116,7 +128,7 @@ def words(column: pa.Array, lower: bool = False) -> Words:
     if lower:
         data = _LOWER[data]
     inside = np.zeros(len(data) + 2, bool)
-    np.logical_not(_IS_SPACE[data], out=inside[1:-1])
+    np.logical_not(breaks[data], out=inside[1:-1])
     here = inside[1:-1]
     begins, ends = here & ~inside[:-2], here & ~inside[2:]
     edge = off[(off > 0) & (off < len(data))]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.llm import chat, decontaminate, near_dup, packing, quality, repeats, token_files
+from ballast.llm import chat, decontaminate, near_dup, packing, quality, repeats, token_files, toxicity
 from ballast.llm._shared import table
 
 
@@ -53,6 +53,14 @@ def op7_repeated_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removal_report(spark, table(spark, sf_dir, "documents"), window=50)
 
 
+def op8_pattern_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 5 == 0
+    model = toxicity.learn(spark, docs, table(spark, sf_dir, "labels"), ~held_out("doc_id"))
+    scored = toxicity.score_documents(spark, docs, model)
+    return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(spark, table(spark, sf_dir, "documents"))
 
