@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.llm import chat, decontaminate, near_dup, packing, quality, repeats, token_counts, token_files, toxicity
+from ballast.llm import chat, decontaminate, maxent, near_dup, packing, quality, repeats, token_counts, token_files, toxicity
 from ballast.llm._shared import table
 
 
@@ -49,6 +49,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_shards(manifest).drop("shard")
 
 
+def op6_hashed_maximum_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_documents(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_repeated_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removal_report(spark, table(spark, sf_dir, "documents"), window=50)
 
