@@ -44,7 +44,7 @@ class _Powers:
 
     def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
+            n = -(-n >> 18) << 18 if n > 1 << 18 else 1 << 18
             self.up, self.down = (np.cumprod(np.concatenate(([_U(1)], np.full(n - 1, b, _U))), dtype=_U) for b in (self.base, self.inverse))
         return self.up, self.down
 
@@ -138,7 +138,7 @@ def words(column: pa.Array, lower: bool = False, breaks: np.ndarray = _IS_SPACE)
     return Words(data, start, end, np.searchsorted(start, off), off)
 
 
-def slices(batches, column: int = 1, some: int = 2 << 20):
+def slices(batches, column: int = 1, some: int = 1 << 20):
     """The batches cut into runs of rows with about ``some`` bytes of text, one row at least."""
     for b in batches:
         size = pa.compute.fill_null(pa.compute.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -59,7 +59,7 @@ def _count(docs: DataFrame) -> DataFrame:
         around, n_docs = np.zeros((2, ENDINGS, AROUND), np.int64), 0
         kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64()]
         row = lambda *cols: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["kind", "key", "bucket", "n"])
-        for b in slices(batches, 1, 8 << 20):
+        for b in slices(batches, 1, 2 << 20):
             w = words(b.column(1), lower=True)
             h, e = w.hashes(), endings(w)
             u, first, n = np.unique(h, return_index=True, return_counts=True)

@@ -189,7 +189,7 @@ def _beginnings(rows: DataFrame, lengths=range(3, 9)) -> DataFrame:
     """(stem, pos, neg): documents with and without the label in which a word begins so; a whole word ends in "$"."""
 
     def run(batches):
-        for b in slices(batches, 0, 8 << 20):
+        for b in slices(batches, 0, 2 << 20):
             pos, neg = Counter(), Counter()
             w = words(b.column(0), lower=True, breaks=_BREAKS)
             for d, toxic in enumerate(b.column(1).to_pylist()):
