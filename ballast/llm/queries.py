@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.llm import chat, decontaminate, maxent, near_dup, packing, quality, repeats, token_counts, token_files, toxicity
+from ballast.llm import chat, decontaminate, maxent, near_dup, oracle, packing, quality, repeats, token_counts, token_files, toxicity
 from ballast.llm._shared import table
 
 
@@ -80,4 +80,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
