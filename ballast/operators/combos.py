@@ -24,13 +24,20 @@ def with_keys(df: DataFrame) -> DataFrame:
     return df.withColumn("mask", fb.mask_of(fb.cols())).withColumn("tails", fb.tail_counters())
 
 
-def pool_combinations(pool: DataFrame) -> DataFrame:
-    """(step, b1..b6, mask, tails): the 6-subsets of each step's pool (step, ball), by strictly increasing joins within the step."""
-    p = pool.select("step", F.col("ball").cast("int").alias("b1"))
-    out = p
+def pool_combinations(pool: DataFrame, parts: int | None = None) -> DataFrame:
+    """(step, b1..b6, mask, tails): the 6-subsets of each step's pool (step, ball).
+
+    A pool is one short array; generators nest over positions in it, and what the first two
+    levels give is dealt out, so that neither joins nor one step's rows pile up in a task.
+    """
+    p = pool.groupBy("step").agg(F.sort_array(F.collect_list(F.col("ball").cast("int"))).alias("balls")).where(F.size("balls") >= PICK)
+    last = lambda i: F.size("balls") - PICK + i - 1
+    out = p.select("step", "balls", F.explode(F.sequence(F.lit(0), last(1))).alias("p1"))
     for i in range(2, PICK + 1):
-        out = out.join(p.withColumnRenamed("b1", f"b{i}"), "step").where(F.col(f"b{i}") > F.col(f"b{i - 1}"))
-    return with_keys(out)
+        out = out.select("*", F.explode(F.sequence(F.col(f"p{i - 1}") + 1, last(i))).alias(f"p{i}"))
+        if i == 2:
+            out = out.repartition(parts or int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions")), "step", "p1", "p2")
+    return with_keys(out.select("step", *(F.get("balls", F.col(f"p{i}")).alias(f"b{i}") for i in range(1, PICK + 1))))
 
 
 def context(draws: DataFrame, stats: DataFrame) -> DataFrame:
