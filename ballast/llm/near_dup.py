@@ -220,7 +220,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80, wid
     tried = written(spark, buckets.where("node <> centre").groupBy("node").agg(F.min("centre").alias("centre")).select(*pair("node", "centre")).distinct(), "tried")
     links = written(spark, _verify(tried, sets, percent), "links")
     labels = connected_components(spark, links)
-    pivots_per_bucket = [0, 16, 256, None]
+    pivots_per_bucket = [0, 64, None]
     in_bands = member.where("doc_id = rep").select(F.col("rep").alias("node"), "n", "bands", *qs, *ms, F.expr("n - (" + " + ".join(f"bit_count({m})" for m in ms) + ")").alias("spare"))
     alike = f"{_room(percent)} AND {_differences(len(qs))} <= {most_differences(bands * rows, percent)}"
     used = 0.0
