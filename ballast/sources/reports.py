@@ -45,23 +45,79 @@ def parse_bets(lines: DataFrame) -> DataFrame:
     return single.unionByName(duplex.select("path", "line_no", F.lit("duplex").alias("kind"), "reds", "blues"))
 
 
-def _list(xs) -> str:
-    return f"[{', '.join(map(str, xs))}]"
+#: Wording and layout of the two reports and of their repeated lines.
+ANALYSIS = """\
+============================================================
+          双色球策略分析与推荐报告 (高级过滤版)
+============================================================
+
+--- 0. 报告元数据 ---
+Data_Basis_Issue: {basis}
+Prediction_Target_Issue: {target}
+报告生成时间: {now:%Y-%m-%d %H:%M:%S}
+
+--- 1. 策略参数与回测 ---
+模式: {mode}
+{params}
+
+该策略在历史回测 ({periods}期) 中的模拟总利润为: {profit:.2f} 元
+中奖详情如下：
+{tiers}
+
+--- 2. 推荐组合 ---
+
+【单式推荐 (10组)】
+{picks}
+
+【7+N 复式推荐 (1组)】
+{wide}
+
+============================================================
+报告结束。祝您好运！
+============================================================"""
+MODES = {True: "加载已固化的参数", False: "使用内置的默认参数"}
+PARAM_LINE, TIER_LINE, NO_TIER = "  - {0:<20}: {1}", "  - {0:<5}: {1} 次", "  - 未中任何奖项。"
+PICK_LINE, NO_PICK = "  组合 {0:>2}: 红球 {1:<24} 蓝球 [{2:02d}]", "  - 未能生成足够的单式组合。"
+WIDE_LINES, NO_WIDE = "  红球: {0}\n  蓝球: {1}", "  - 未能生成足够的复式组合。"
+SETTLEMENT = """\
+======================================================================
+          双色球推荐核对报告
+======================================================================
+
+报告生成时间: {now:%Y-%m-%d %H:%M:%S}
+核对报告文件: {name}
+核对开奖期数: {issue}
+官方开奖号码: 红球 {reds}  蓝球 [{blue}]
+
+--- 1. 单式推荐核对详情 ---
+{singles}
+
+单式推荐总奖金: {first} 元
+
+--- 2. 复式推荐核对详情 ---
+  红球: {wide_reds}
+  蓝球: {wide_blues}
+  核对结果: 总计命中 {red_hits} 个红球, {blue_hits} 个蓝球
+  奖项构成:{tiers}
+
+复式推荐总奖金: {second} 元
+
+----------------------------------------------------------------------
+总计中奖金额: {total} 元
+======================================================================"""
+SETTLED_LINE, WON_LINE, NONE_WON = "  组合 {0:>2}: {1:<24} 蓝球 [{2:02d}] -> {3}, {4}, 奖金: {5} 元", "\n    - {0}: {1} 注", " 未中任何奖项。"
 
 
 def analysis_report(basis: str, params: Params, loaded: bool, periods: int, profit: float, tiers: list[tuple[str, int]], picks: list[list[int]], top_blue: int | None, best7: list[int] | None, blues: list[int], now: datetime) -> str:
     """The analysis report's text from results that are a few dozen values."""
-    rule = "=" * 60
-    out = [rule, " " * 10 + "双色球策略分析与推荐报告 (高级过滤版)", rule, "", "--- 0. 报告元数据 ---", f"Data_Basis_Issue: {basis}", f"Prediction_Target_Issue: {next_issue_of(basis)}", f"报告生成时间: {now:%Y-%m-%d %H:%M:%S}"]
-    out += ["", "--- 1. 策略参数与回测 ---", f"模式: {'加载已固化的参数' if loaded else '使用内置的默认参数'}"]
-    out += [f"  - {k.ljust(20)}: {v}" for k, v in params.shown().items()]
-    out += ["", f"该策略在历史回测 ({periods}期) 中的模拟总利润为: {profit:.2f} 元", "中奖详情如下："]
-    out += [f"  - {t.ljust(5)}: {n} 次" for t, n in tiers if n] or ["  - 未中任何奖项。"]
-    out += ["", "--- 2. 推荐组合 ---", "", "【单式推荐 (10组)】"]
-    out += [f"  组合 {str(i).rjust(2)}: 红球 {_list(p).ljust(24)} 蓝球 [{top_blue:02d}]" for i, p in enumerate(picks, 1)] or ["  - 未能生成足够的单式组合。"]
-    out += ["", "【7+N 复式推荐 (1组)】"]
-    out += [f"  红球: {_list(best7)}", f"  蓝球: {_list(blues)}"] if best7 and blues else ["  - 未能生成足够的复式组合。"]
-    return "\n".join([*out, "", rule, "报告结束。祝您好运！", rule])
+    lines = lambda line, rows, none: "\n".join(line.format(*r) for r in rows) or none
+    return ANALYSIS.format(
+        basis=basis, target=next_issue_of(basis), now=now, mode=MODES[loaded], periods=periods, profit=profit,
+        params=lines(PARAM_LINE, params.shown().items(), ""),
+        tiers=lines(TIER_LINE, [t for t in tiers if t[1]], NO_TIER),
+        picks=lines(PICK_LINE, [(i, str([*p]), top_blue) for i, p in enumerate(picks, 1)], NO_PICK),
+        wide=WIDE_LINES.format([*best7], blues) if best7 and blues else NO_WIDE,
+    )
 
 
 def next_issue_of(basis: str) -> str:
@@ -78,18 +134,12 @@ def next_issue(column):
     return F.coalesce((c.try_cast("long") + 1).cast("string"), F.concat(c, F.lit("_Next")))
 
 
-def settlement_report(report_name: str, issue: str, reds: list[int], blue: int, singles: list, duplex: dict | None, now: datetime) -> str:
+def settlement_report(report_name: str, issue: str, reds: list[int], blue: int, singles: list, duplex: dict, now: datetime) -> str:
     """singles: (reds, blue, hit_text, tier, prize); duplex: reds, blues, red_hits, blue_hits, tiers [(rank, tier, ways)], prize."""
-    rule = "=" * 70
-    out = [rule, " " * 10 + "双色球推荐核对报告", rule, "", f"报告生成时间: {now:%Y-%m-%d %H:%M:%S}", f"核对报告文件: {report_name}", f"核对开奖期数: {issue}", f"官方开奖号码: 红球 {_list(reds)}  蓝球 [{blue}]"]
-    out += ["", "--- 1. 单式推荐核对详情 ---"]
-    out += [f"  组合 {str(i).rjust(2)}: {_list(r).ljust(24)} 蓝球 [{b:02d}] -> {hit}, {tier}, 奖金: {prize} 元" for i, (r, b, hit, tier, prize) in enumerate(singles, 1)]
     first = sum(s[4] for s in singles)
-    out += ["", f"单式推荐总奖金: {first} 元", "", "--- 2. 复式推荐核对详情 ---"]
-    out += [f"  红球: {_list(duplex['reds'])}", f"  蓝球: {_list(duplex['blues'])}", f"  核对结果: 总计命中 {duplex['red_hits']} 个红球, {duplex['blue_hits']} 个蓝球"]
-    if duplex["tiers"]:
-        out += ["  奖项构成:", *(f"    - {tier}: {ways} 注" for _, tier, ways in sorted(duplex["tiers"]))]
-    else:
-        out.append("  奖项构成: 未中任何奖项。")
-    out += ["", f"复式推荐总奖金: {duplex['prize']} 元", "", "-" * 70, f"总计中奖金额: {first + duplex['prize']} 元", rule]
-    return "\n".join(out)
+    return SETTLEMENT.format(
+        now=now, name=report_name, issue=issue, reds=reds, blue=blue, first=first, second=duplex["prize"], total=first + duplex["prize"],
+        singles="\n".join(SETTLED_LINE.format(i, str([*r]), *rest) for i, (r, *rest) in enumerate(singles, 1)),
+        wide_reds=[*duplex["reds"]], wide_blues=[*duplex["blues"]], red_hits=duplex["red_hits"], blue_hits=duplex["blue_hits"],
+        tiers="".join(WON_LINE.format(tier, ways) for _, tier, ways in sorted(duplex["tiers"])) or NONE_WON,
+    )
