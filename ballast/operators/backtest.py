@@ -15,9 +15,10 @@ def backtest(spark: SparkSession, draws: DataFrame, params: Params, n: int, peri
     if n < periods + MIN_HISTORY:
         return None
     first, last = n - periods, n - 1
-    stats = scoring.ball_stats(spark, draws, params.decay_factor, first, last)
+    # 49 rows a step each, and read by several branches of the plan
+    stats = scoring.ball_stats(spark, draws, params.decay_factor, first, last).persist()
     probs = (scorer or scoring.SqlScorer()).probabilities(spark, draws, first, last)
-    rank = scoring.ranked(scoring.scores(stats, probs, params))
+    rank = scoring.ranked(scoring.scores(stats, probs, params)).persist()
     chosen = combos.pool_combinations(scoring.red_pool(rank))
     kept = combos.passed(chosen, combos.context(draws, stats), seed, names)
     top_blue = scoring.blue_pool(rank, 1).select("step", F.col("ball").alias("blue"))
