@@ -15,9 +15,21 @@ def all_combinations(spark: SparkSession, parts: int | None = None) -> DataFrame
     df = spark.range(1, RED_MAX - PICK + 2).select(F.col("id").cast("int").alias("b1"))
     df = df.select("b1", F.explode(F.sequence(F.col("b1") + 1, F.lit(RED_MAX - PICK + 2))).alias("b2"))
     df = df.repartition(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), "b1", "b2")
+    df = _grow(_grow(_empty(df), 1), 2)
     for i in range(3, PICK + 1):
-        df = df.select("*", F.explode(F.sequence(F.col(f"b{i - 1}") + 1, F.lit(RED_MAX - PICK + i))).alias(f"b{i}")).where(F.col(f"b{i}") > F.col(f"b{i - 1}"))
-    return with_keys(df)
+        df = _grow(df.select("*", F.explode(F.sequence(F.col(f"b{i - 1}") + 1, F.lit(RED_MAX - PICK + i))).alias(f"b{i}")), i)
+    return df.select(*fb.B, "mask", "tails")
+
+
+def _empty(df: DataFrame) -> DataFrame:
+    return df.withColumns({"mask": F.lit(0).cast("long"), "tails": F.lit(0).cast("long")})
+
+
+def _grow(df: DataFrame, i: int) -> DataFrame:
+    """Mask and tail counters with ball i. Built level by level, so that what stands above the last
+    generator is one step and not the whole sum, which a filter would repeat in each of its uses."""
+    b = F.col(f"b{i}")
+    return df.withColumns({"mask": F.col("mask").bitwiseOR(fb.bit(b)), "tails": F.col("tails") + fb.bit((b % 10) * 4)})
 
 
 def with_keys(df: DataFrame) -> DataFrame:
@@ -32,12 +44,13 @@ def pool_combinations(pool: DataFrame, parts: int | None = None) -> DataFrame:
     """
     p = pool.groupBy("step").agg(F.sort_array(F.collect_list(F.col("ball").cast("int"))).alias("balls")).where(F.size("balls") >= PICK)
     last = lambda i: F.size("balls") - PICK + i - 1
-    out = p.select("step", "balls", F.explode(F.sequence(F.lit(0), last(1))).alias("p1"))
+    ball = lambda df, i: _grow(df.withColumn(f"b{i}", F.get("balls", F.col(f"p{i}"))), i)
+    out = ball(_empty(p.select("step", "balls", F.explode(F.sequence(F.lit(0), last(1))).alias("p1"))), 1)
     for i in range(2, PICK + 1):
-        out = out.select("*", F.explode(F.sequence(F.col(f"p{i - 1}") + 1, last(i))).alias(f"p{i}"))
+        out = ball(out.select("*", F.explode(F.sequence(F.col(f"p{i - 1}") + 1, last(i))).alias(f"p{i}")), i)
         if i == 2:
             out = out.repartition(parts or int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions")), "step", "p1", "p2")
-    return with_keys(out.select("step", *(F.get("balls", F.col(f"p{i}")).alias(f"b{i}") for i in range(1, PICK + 1))))
+    return out.select("step", *fb.B, "mask", "tails")
 
 
 def context(draws: DataFrame, stats: DataFrame) -> DataFrame:
