@@ -9,17 +9,22 @@ pair of their classes. The second is (c + 1) / (N + V + 1) within the class (c:
 count, N: all, V: distinct), so unseen words have a share in every class and
 probabilities sum to 1.
 
-Training goes in rounds, each on its own part of the documents, so that each document is
-used once: every task takes mini-batch gradient steps from the shared weights over its
-input split, and the tasks' updates of a row are averaged by an ordinary aggregate. Counts
-of all words stay in a table; tasks get the weights and the counts of the most frequent
-words, both of fixed size, and the other words' counts come by a join.
+Weights lie in shards, about one for every ``SHARD`` training tokens, each a table of its
+own, so that rows grow with the input. The events (a token's weight rows and class, packed in 64
+bits) travel to the shard of the word before it, once: the shard's task takes mini-batch
+gradient steps over the training events, then scores all events, and sums of a document's
+events go back. No weight is sent or averaged: a row learns from every event of its
+shard. A word with more than ``SHARD`` / 8 tokens is split over several shards by the word before it,
+and pairs of two such words by document too, so that no shard grows with a word's count.
+Counts of all words stay in a table; tasks get the counts of the most frequent words, of
+fixed size, and the other words' counts come by a join.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +39,14 @@ ENDINGS, AROUND = 1024, 128
 SINGLES, CLUSTERS = 10, 21
 CLASSES = SINGLES + 1 + CLUSTERS
 END = SINGLES  # class of the end
-#: Weight rows of each feature: last word, skip word, both, pair of classes (with one for "none").
-ROWS = (8192, 4096, 8192, (CLASSES + 1) ** 2)
+#: Weight rows of each feature in a shard: last word, skip word, both, pair of classes (with one for "none").
+ROWS = (1 << 14, 1 << 13, 1 << 16, (CLASSES + 1) ** 2)
 _BASE = np.concatenate(([0], np.cumsum(ROWS)))
+#: Training tokens a shard, about.
+SHARD = 1 << 20
+#: Where a packed event holds its four rows, its class and whether it is learnt from.
+_AT = tuple(map(_U, (0, 14, 27, 43, 54, 59)))
+_CHUNK = 1 << 18
 
 
 def endings(w: Words) -> np.ndarray:
@@ -99,7 +109,7 @@ def clusters(cells: np.ndarray, k: int = CLUSTERS, steps: int = 25) -> np.ndarra
 
 
 class Model:
-    """What every task gets: head words with counts, classes, weights."""
+    """What every task gets: head words with counts, classes; and the weights of one shard, which start at 0."""
 
     def __init__(self, head: np.ndarray, head_count: np.ndarray, singles: np.ndarray, cluster: np.ndarray, log_z: np.ndarray, bias: np.ndarray, n: int, v: int, n_end: int):
         order = np.argsort(head)
@@ -107,8 +117,39 @@ class Model:
         order = np.argsort(singles)
         self.singles, self.single_class = singles[order], order
         self.cluster, self.log_z, self.bias, self.n, self.v, self.n_end = cluster, log_z, bias, n, v, n_end
+        self.spread()
         self.w = np.zeros((int(_BASE[-1]), CLASSES), np.float32)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "w"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state
+        self.w = np.zeros((int(_BASE[-1]), CLASSES), np.float32)
+
+    def spread(self, shard: int | None = None) -> None:
+        """Sets the number of shards, and over how many each frequent word is split; 1 and 2 stand for no word before."""
+        shard = shard or SHARD
+        self.shards = max(1, -(-self.n // shard))
+        some = max(shard // 8, 1)
+        count = np.concatenate(([self.n_end, self.n_end], np.round(10.0**self.head_log) - 1))
+        hot = np.flatnonzero(count > some)
+        self.hot = np.concatenate((np.array([1, 2], _U), self.head))[hot]
+        self.parts = np.ceil(count[hot] / some).astype(np.int64)
+        order = np.argsort(self.hot)
+        self.hot, self.parts = self.hot[order], self.parts[order]
+
+    def shard(self, one: np.ndarray, two: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        """The shard of each token after ``one`` and ``two``; salt: a number of each token's document."""
+        part = np.zeros(len(one), _U)
+        if len(self.hot):
+            split = lambda x: np.where(self.hot[k := np.minimum(np.searchsorted(self.hot, x), len(self.hot) - 1)] == x, self.parts[k], 1)
+            n = split(one)
+            at = np.flatnonzero(n > 1)
+            n, both = n[at].astype(_U), np.minimum(n[at], split(two[at])).astype(_U)
+            part[at] = (mix(two[at] * _U(5)) + salt[at] % both) % n
+        return (mix(one + part * _U(0xA0761D6478BD642F)) % _U(self.shards)).astype(np.int64)
+
     def tokens(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Hash (0: the end) and class of each token, the first token of each document and of the next."""
         h = w.hashes()
@@ -123,8 +164,8 @@ class Model:
         hs[at], cs[at] = h, c
         return hs, cs, first
 
-    def rows(self, h: np.ndarray, c: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The weight rows of each token's four features."""
+    def contexts(self, h: np.ndarray, c: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The word before each token, the one before that, and their classes."""
         n = len(h)
         place = np.arange(n) - np.repeat(first[:-1], np.diff(first))
         one, two = np.zeros(n, _U), np.zeros(n, _U)
@@ -132,6 +173,14 @@ class Model:
         c1, c2 = np.full(n, CLASSES), np.full(n, CLASSES)
         c1[1:], c2[2:] = c[:-1], c[:-2]
         one[place < 1], two[place < 2], c1[place < 1], c2[place < 2] = _U(1), _U(2), CLASSES, CLASSES
+        return one, two, c1, c2
+
+    def rows(self, h: np.ndarray, c: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The weight rows of each token's four features."""
+        return self.rows_of(*self.contexts(h, c, first))
+
+    def rows_of(self, one: np.ndarray, two: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
+        n = len(one)
         out = np.empty((4, n), np.int64)
         out[0] = _BASE[0] + (mix(one) % _U(ROWS[0])).astype(np.int64)
         out[1] = _BASE[1] + (mix(two + _U(0x9E3779B97F4A7C15)) % _U(ROWS[1])).astype(np.int64)
@@ -165,8 +214,33 @@ def held_out_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2
 
 
-def train_model(spark: SparkSession, docs: DataFrame, rounds: int = 2, rate: float = 2.0, head_words: int = 1 << 17) -> tuple[Model, DataFrame]:
-    """A model of all rows of docs (doc_id, text), and the table (key, n) of all words' counts."""
+def pack(rows: np.ndarray, c: np.ndarray, learnt: np.ndarray) -> np.ndarray:
+    out = learnt.astype(_U) << _AT[5] | c.astype(_U) << _AT[4]
+    for i in range(4):
+        out |= (rows[i] - _BASE[i]).astype(_U) << _AT[i]
+    return out
+
+
+def unpack(events: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, classes, and which events are learnt from."""
+    cut = lambda i: ((events >> _AT[i]) & ((_U(1) << (_AT[i + 1] - _AT[i])) - _U(1))).astype(np.int64)
+    return np.stack([cut(i) + _BASE[i] for i in range(4)]), cut(4), (events >> _AT[5]) > 0
+
+
+def _pressed(x: np.ndarray) -> bytes:
+    """The array with the bytes of one place together, compressed."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T)
+    return struct.pack("<IB", len(x), x.itemsize) + pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
+
+
+def _restored(b: bytes) -> np.ndarray:
+    n, size = struct.unpack_from("<IB", b)
+    planes = np.frombuffer(pa.Codec("zstd", 1).decompress(memoryview(b)[5:], n * size), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(f"<u{size}").ravel()
+
+
+def train_model(spark: SparkSession, docs: DataFrame, head_words: int = 1 << 17) -> tuple[Model, DataFrame]:
+    """A model of all rows of docs (doc_id, text) as every shard starts from it, and the table (key, n) of all words' counts."""
     counts = written(spark, _count(docs), "word-counts")
     total = {r.kind: (r.n or 0, r.v) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     n_words, n_distinct = total.get(0, (0, 0))
@@ -199,66 +273,116 @@ def train_model(spark: SparkSession, docs: DataFrame, rounds: int = 2, rate: flo
     prior = (n_class + 1e-3) / (n_class + 1e-3).sum()
     as_hash = lambda rows: np.array([r.key for r in rows], np.int64).view(_U)
     model = Model(as_hash(head), np.array([r.n for r in head], float), as_hash(top), cluster, np.log10(z), np.log(prior).astype(np.float32), n_words + n_end, n_distinct + bool(n_end), n_end)
-
-    for k in range(rounds):
-        held = spark.sparkContext.broadcast(pickle.dumps(model))
-
-        def run(batches, held=held):
-            m = pickle.loads(held.value)
-            start, seen = m.w.copy(), np.zeros(len(m.w), np.int64)
-            for b in slices(batches):
-                h, c, first = m.tokens(words(b.column(1), lower=True))
-                m.train(m.rows(h, c, first), c, seen, rate)
-            some = np.flatnonzero(seen)
-            if len(some):
-                d = m.w[some] - start[some]
-                yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(np.ascontiguousarray(d[:, j])) for j in range(CLASSES))], names=["row", *(f"d{j}" for j in range(CLASSES))])
-
-        part = docs.where(F.pmod(F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 7), F.lit(rounds)) == k)
-        moved = part.mapInArrow(run, "row long" + "".join(f", d{j} float" for j in range(CLASSES))).groupBy("row").agg(*(F.avg(f"d{j}").cast("float").alias(f"d{j}") for j in range(CLASSES)))
-        t = moved.toArrow()
-        model.w[t.column(0).to_numpy()] += np.stack([t.column(1 + j).to_numpy() for j in range(CLASSES)], axis=1)
     return model, counts.where("kind = 0").select("key", "n")
 
 
-def score_documents(spark: SparkSession, docs: DataFrame, rounds: int = 2, rate: float = 2.0, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs``.
-
-    The model learns from rows that are not held out; a row with a null doc_id is neither
-    learnt from nor held out. Null texts are empty: one token, the end. Repeated rows count as
-    often as they are there. With nothing to learn from every class has its prior share. An
-    empty table gives no rows; other columns are not read.
-    """
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    model, counts = train_model(spark, src.where(~held_out_id(F.col("doc_id"))), rounds, rate)
-    held = spark.sparkContext.broadcast(pickle.dumps(model))
+def _events(docs: DataFrame, held) -> DataFrame:
+    """(shard, slice, doc, event) of docs (doc_id, text, learnt): a row a slice and shard with its events, in the
+    order of documents, and the step from each event's document to the next; and, in a shard below 0, what is known of the slice's documents."""
     made: dict = {}
 
     def run(batches):
+        from pyspark import TaskContext
+
         if "model" not in made:
             made["model"] = pickle.loads(held.value)
-        m = made["model"]
-        for b in slices(batches):
+        m, split = made["model"], TaskContext.get().partitionId()
+        for k, b in enumerate(slices(batches, 1, 2 << 20)):
+            at = split << 24 | k
             w = words(b.column(1), lower=True)
             h, c, first = m.tokens(w)
-            lp, rows = np.empty(len(h)), m.rows(h, c, first)
-            for a in range(0, len(h), 8192):
-                x = m.log_p(rows[:, a : a + 8192])
-                lp[a : a + 8192] = x[np.arange(len(x)), c[a : a + 8192]]
-            part = np.add.reduceat(lp / math.log(10) - m.log_z[c], first[:-1])
+            n = np.diff(first)
+            doc = np.repeat(np.arange(b.num_rows), n)
+            one, two, c1, c2 = m.contexts(h, c, first)
+            learnt = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            events = pack(m.rows_of(one, two, c1, c2), c, learnt[doc])
+            shard = m.shard(one, two, mix(doc.astype(_U) + mix(np.array([at], _U))))
+            order = np.argsort(shard.astype(np.uint16) if m.shards < 1 << 16 else shard, kind="stable")
+            shard, events, doc_of = shard[order], events[order], doc[order]
+            start = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
+            step = np.diff(doc_of, prepend=0)
+            step[start] = doc_of[start]
+            step = step.astype("<u2" if b.num_rows < 1 << 16 else "<u4")
+            end = [*start[1:], len(shard)]
+            yield _batch(shard[start], np.full(len(start), at), [_pressed(step[i:j]) for i, j in zip(start, end)], [_pressed(events[i:j]) for i, j in zip(start, end)])
+
             k = np.minimum(np.searchsorted(m.head, h), max(len(m.head) - 1, 0))
             known = (m.head[k] == h) & (h != 0) if len(m.head) else np.zeros(len(h), bool)
             log_c = np.where(known, m.head_log[k], 0.0) if len(m.head) else np.zeros(len(h))
             log_c[first[1:] - 1], known[first[1:] - 1] = math.log10(m.n_end + 1), m.n_end > 0
             tail = np.flatnonzero(~known & (h != 0))
-            doc = np.repeat(np.arange(b.num_rows), np.diff(first))[tail]
-            off = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=b.num_rows)))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.diff(first)), pa.array(np.add.reduceat(known.astype(np.int64), first[:-1])), pa.array(np.add.reduceat(log_c, first[:-1])), pa.array(part), pa.ListArray.from_arrays(pa.array(off), pa.array(h[tail].view(np.int64)))],
-                names=["doc_id", "n_tokens", "n_head", "log_head", "part", "tail"],
-            )
-
-    scored = src.mapInArrow(run, "doc_id long, n_tokens long, n_head long, log_head double, part double, tail array<long>")
+            sums = [np.add.reduceat(x, first[:-1]) for x in (known.astype(np.int64), log_c, -m.log_z[c])]
+            about = (b.column(0).to_pylist(), n, *sums, np.bincount(doc[tail], minlength=b.num_rows), h[tail].view(np.int64))
+            yield _batch([-1 - split], [at], [pickle.dumps(about)], [None])
+
+    return docs.mapInArrow(run, "shard long, slice long, doc binary, event binary")
+
+
+def _batch(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["shard", "slice", "doc", "event"])
+
+
+def _in_shards(events: DataFrame, held, rate: float) -> DataFrame:
+    """(slice, doc, sums): the documents of each slice and shard, and the sum of their events' logarithms; rows of shards below 0 pass."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out = lambda *x: pa.table([pa.array(c, k) for c, k in zip(x, (pa.int64(), pa.binary(), pa.binary()))], names=["slice", "doc", "sums"])
+        if t.column("shard")[0].as_py() < 0:
+            return t.select(["slice", "doc", "event"]).rename_columns(["slice", "doc", "sums"])
+        t = t.sort_by("slice")
+        m = pickle.loads(held.value)
+        blobs = [_restored(x) for x in t.column("event").to_pylist()]
+        events = np.concatenate(blobs)
+        seen = np.zeros(len(m.w), np.int64)
+        for a in range(0, len(events), _CHUNK):
+            rows, c, learnt = unpack(events[a : a + _CHUNK])
+            m.train(rows[:, learnt], c[learnt], seen, rate)
+        lp = np.empty(len(events))
+        for a in range(0, len(events), 8192):
+            rows, c, _ = unpack(events[a : a + 8192])
+            lp[a : a + 8192] = m.log_p(rows)[np.arange(len(c)), c]
+        docs, sums, at = [], [], 0
+        for blob, step in zip(blobs, t.column("doc").to_pylist()):
+            step = _restored(step)
+            doc = np.cumsum(step, dtype=np.int64)
+            start = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+            docs.append(_pressed(np.diff(doc[start], prepend=0).astype(step.dtype)))
+            sums.append(np.add.reduceat(lp[at : at + len(blob)], start).astype("<f4").tobytes())
+            at += len(blob)
+        return out(t.column("slice").to_numpy(), docs, sums)
+
+    return events.groupBy("shard").applyInArrow(run, "slice long, doc binary, sums binary")
+
+
+def _documents(parts: DataFrame) -> DataFrame:
+    """A row a document from all that _in_shards has of its slice."""
+
+    def run(t: pa.Table) -> pa.Table:
+        docs, sums = t.column("doc").to_pylist(), t.column("sums").to_pylist()
+        ids, n, known, log_head, part, n_tail, tail = pickle.loads(next(d for d, s in zip(docs, sums) if s is None))
+        total = np.zeros(len(n))
+        for d, s in sorted((d, s) for d, s in zip(docs, sums) if s is not None):
+            total[np.cumsum(_restored(d), dtype=np.int64)] += np.frombuffer(s, "<f4")
+        off = np.concatenate(([0], np.cumsum(n_tail))).astype(np.int32)
+        cols = [pa.array(ids, pa.int64()), pa.array(n), pa.array(known), pa.array(log_head), pa.array(part + total / math.log(10)), pa.ListArray.from_arrays(pa.array(off), pa.array(tail))]
+        return pa.table(cols, names=["doc_id", "n_tokens", "n_head", "log_head", "part", "tail"])
+
+    return parts.groupBy("slice").applyInArrow(run, "doc_id long, n_tokens long, n_head long, log_head double, part double, tail array<long>")
+
+
+def score_documents(spark: SparkSession, docs: DataFrame, rate: float = 2.0, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs``.
+
+    The model learns from rows that are not held out; a row with a null doc_id is neither
+    learnt from nor held out. Null texts are empty: one token, the end. Repeated rows count as
+    often as they are there. With nothing to learn from every class has its prior share. An
+    empty table gives no rows; other columns are not read.
+    """
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    model, counts = train_model(spark, src.where(~held_out_id(F.col("doc_id"))))
+    held = spark.sparkContext.broadcast(pickle.dumps(model))
+    learnt = F.coalesce(~held_out_id(F.col("doc_id")), F.lit(False)).alias("learnt")
+    scored = _documents(_in_shards(_events(src.select("*", learnt), held), held, rate))
     scored = written(spark, scored.select(F.monotonically_increasing_id().alias("row"), "*"), "scored")
     rest = scored.select("row", F.explode("tail").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times")).join(counts, "key")
     rest = rest.groupBy("row").agg(F.sum("times").alias("n_rest"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("log_rest"))

@@ -79,3 +79,51 @@ def test_nothing_to_learn_from_and_empty_table(spark):
     assert [(r.n_known, r.train_tokens, r.base_score) for r in rows] == [(0, 0, 0.0)] * 2
     assert all(math.isfinite(r.score) for r in rows)
     assert maxent.score_documents(spark, df.limit(0)).count() == 0
+
+
+def test_weight_rows_grow_with_the_input_and_no_shard_with_a_word():
+    r = np.random.default_rng(1)
+    h = np.sort(r.integers(3, 1 << 60, 1000).astype(np.uint64))
+    made = lambda n, count: maxent.Model(h, count, h[:0], np.zeros(maxent.ENDINGS, int), np.zeros(maxent.CLASSES), np.zeros(maxent.CLASSES, np.float32), n, 1000, 10)
+    assert [made(n, np.ones(1000)).shards for n in (10, maxent.SHARD, 40 * maxent.SHARD)] == [1, 1, 40]
+    count = np.full(1000, 1000.0)
+    count[7] = 5 * maxent.SHARD  # a very common word, mostly after itself
+    m = made(40 * maxent.SHARD, count)
+    one, two = h[r.integers(0, 1000, 60000)], h[r.integers(0, 1000, 60000)]
+    one[:30000] = two[:20000] = h[7]
+    salt = r.integers(0, 1 << 60, 60000).astype(np.uint64)
+    s = m.shard(one, two, salt)
+    assert np.bincount(s[:30000], minlength=40).max() < 4500
+    rare = one != h[7]
+    assert len(set(zip(one[rare], s[rare]))) == len(set(one[rare]))
+
+
+def test_shards_score_as_one_process_does(spark, monkeypatch):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    some = maxent.train_model(spark, df.where(~maxent.held_out_id(df.doc_id)))[0]
+    texts = pa.array([t for _, t in rows])
+    h, c, first = some.tokens(words(texts, lower=True))
+    one, two, c1, c2 = some.contexts(h, c, first)
+    doc = np.repeat(np.arange(len(rows)), np.diff(first))
+    learnt = np.array([not out_of_training(i) for i, _ in rows])[doc]
+    events = maxent.pack(some.rows_of(one, two, c1, c2), c, learnt)
+    for got, put in zip(maxent.unpack(events), (some.rows_of(one, two, c1, c2), c, learnt)):
+        assert (got == put).all()
+    for size in (maxent.SHARD, some.n // 5):
+        monkeypatch.setattr(maxent, "SHARD", size)
+        # words of one shard each, so that the shards do not depend on how the input is sliced
+        monkeypatch.setattr(maxent.Model, "spread", lambda m: m.__dict__.update(shards=max(1, -(-m.n // maxent.SHARD)), hot=np.zeros(0, np.uint64), parts=np.zeros(0, int)))
+        some.spread()
+        assert some.shards == (1 if size > some.n else -(-some.n // (some.n // 5)))
+        shard = some.shard(one, two, one)
+        lp = np.empty(len(h))
+        for s in set(shard):
+            at = np.flatnonzero(shard == s)
+            some.w[:] = 0
+            rows_at, c_at, _ = maxent.unpack(events[at])
+            some.train(rows_at[:, learnt[at]], c_at[learnt[at]], np.zeros(len(some.w), np.int64), 2.0)
+            lp[at] = some.log_p(rows_at)[np.arange(len(at)), c_at]
+        want = np.add.reduceat(lp / math.log(10) - some.log_z[c], first[:-1])
+        got = {r.doc_id: r.score - r.base_score - r.n_tokens * math.log10(some.n + some.v + 1) for r in maxent.score_documents(spark, df).collect()}
+        assert np.allclose([got[i] for i, _ in rows], want, rtol=1e-3)
