@@ -4,7 +4,9 @@ Everything is DataFrame and SQL expressions. Counts of a text come from higher-o
 functions over its own words, so no word leaves its row. The outlier rule is a minimum
 covariance determinant estimate: from a start at medians and median absolute deviations,
 concentration steps take the share ``h`` of a group's rows that are nearest, and estimate
-mean and covariance anew from these. A group is a row of a small table; a step is two
+mean and covariance anew from these. A row's distance is by its group's covariance and the
+row's own resolution: the variance that a coordinate has by counting so few words, characters
+or lines, 1 / 4n for the root of a share. A group is a row of a small table; a step is two
 aggregates (a histogram of distances for the h-quantile, then sums), both with partial
 aggregation, so a group that holds a third of all rows is no task's burden.
 """
@@ -20,9 +22,13 @@ from ballast.llm._shared import drop_written, written
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: Coordinates of the statistic vector, and the least standard deviation that each is taken to have:
+#: Coordinates of the statistic vector, and a least standard deviation that keeps covariances invertible:
 #: log of the mean word length, and roots of the shares of symbols, of repeated words and of repeated lines.
-COORDINATES = {"x1": 0.12, "x2": 0.10, "x3": 0.20, "x4": 0.35}
+COORDINATES = {"x1": 0.01, "x2": 0.01, "x3": 0.01, "x4": 0.01}
+#: Words that one repetition takes: a phrase of six words that is there twice.
+REPETITION = 12
+#: Variance of each coordinate by one row's counts; word lengths vary by about half their mean.
+RESOLUTION = {"x1": (0.25, "n_words"), "x2": (0.25, "word_chars"), "x3": (0.25 * REPETITION, "n_words"), "x4": (0.25, "n_lines")}
 _D = len(COORDINATES)
 #: Bins of a distance's logarithm to the base 2.
 _BINS = 64
@@ -69,24 +75,24 @@ def chi2_quantile(p: float, dof: int) -> float:
     return lo
 
 
-def _factor(stats: DataFrame, scale: float) -> DataFrame:
-    """Mean m_i and Cholesky factor l_ij of the covariance (scaled, with the coordinates' floors) from n, s_i and q_ij."""
+def _covariance(stats: DataFrame, scale: float) -> DataFrame:
+    """Mean m_i and covariance c_ij (scaled, with the coordinates' floors) from n, s_i and q_ij."""
     xs, floors = list(COORDINATES), list(COORDINATES.values())
-    out = stats.select("g", *(F.expr(f"s_{x} / n").alias(f"m_{x}") for x in xs), *(F.greatest(F.expr(f"q_{xs[i]}_{xs[j]} / n - s_{xs[i]} * s_{xs[j]} / n / n") if i != j else F.expr(f"greatest(q_{xs[i]}_{xs[i]} / n - s_{xs[i]} * s_{xs[i]} / n / n, 0)"), F.lit(-1e18)).alias(f"c_{i}{j}") for i in range(_D) for j in range(i + 1)))
-    for i in range(_D):
-        for j in range(i + 1):
-            c = F.col(f"c_{i}{j}") * scale + (floors[i] ** 2 if i == j else 0)
-            for k in range(j):
-                c = c - F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}")
-            out = out.withColumn(f"l_{i}{j}", F.sqrt(F.greatest(c, F.lit(floors[i] ** 2 / 2))) if i == j else c / F.col(f"l_{j}{j}"))
-    return out.select("g", *(f"m_{x}" for x in xs), *(f"l_{i}{j}" for i in range(_D) for j in range(i + 1)))
+    cov = lambda i, j: F.expr(f"q_{xs[i]}_{xs[j]} / n - s_{xs[i]} * s_{xs[j]} / n / n")
+    return stats.select("g", *(F.expr(f"s_{x} / n").alias(f"m_{x}") for x in xs), *((F.greatest(cov(i, i), F.lit(0)) * scale + floors[i] ** 2 if i == j else cov(i, j) * scale).alias(f"c_{i}{j}") for i in range(_D) for j in range(i + 1)))
 
 
 def _distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
-    """rows with d2, the squared Mahalanobis distance from their group's estimate."""
+    """rows with d2, the squared Mahalanobis distance from their group's estimate; columns r_, where there, are variances of the row's own."""
     out = rows.join(fit, "g", "left")
+    floors = list(COORDINATES.values())
     for i, x in enumerate(COORDINATES):
         z = F.col(x) - F.col(f"m_{x}")
+        for j in range(i + 1):
+            c = F.col(f"c_{i}{j}") + F.col(f"r_{x}") if i == j and f"r_{x}" in rows.columns else F.col(f"c_{i}{j}")
+            for k in range(j):
+                c = c - F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}")
+            out = out.withColumn(f"l_{i}{j}", F.sqrt(F.greatest(c, F.lit(floors[i] ** 2 / 2))) if i == j else c / F.col(f"l_{j}{j}"))
         for k in range(i):
             z = z - F.col(f"l_{i}{k}") * F.col(f"z_{k}")
         out = out.withColumn(f"z_{i}", z / F.col(f"l_{i}{i}"))
@@ -110,16 +116,16 @@ def _sums(rows: DataFrame) -> DataFrame:
 
 
 def mcd(spark: SparkSession, rows: DataFrame, h: float = 0.75, steps: int = 3) -> DataFrame:
-    """Estimates of each group g of rows (g, x1..): a row a group with mean m_ and Cholesky factor l_."""
+    """Estimates of each group g of rows (g, x1.., r_x1.. or none): a row a group with mean m_ and covariance c_."""
     xs = list(COORDINATES)
     middle = rows.groupBy("g").agg(*(F.percentile_approx(x, F.lit(0.5), F.lit(10000)).alias(f"c_{x}") for x in xs))
     away = rows.join(middle, "g").groupBy("g").agg(*(F.first(f"c_{x}").alias(f"m_{x}") for x in xs), *(F.percentile_approx(F.abs(F.col(x) - F.col(f"c_{x}")), F.lit(0.5), F.lit(10000)).alias(f"a_{x}") for x in xs))
-    fit = away.select("g", *(f"m_{x}" for x in xs), *((F.sqrt(F.pow(F.col(f"a_{xs[i]}") * 1.4826, 2) + COORDINATES[xs[i]] ** 2) if i == j else F.lit(0.0)).alias(f"l_{i}{j}") for i in range(_D) for j in range(i + 1)))
+    fit = away.select("g", *(f"m_{x}" for x in xs), *((F.pow(F.col(f"a_{xs[i]}") * 1.4826, 2) + COORDINATES[xs[i]] ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}{j}") for i in range(_D) for j in range(i + 1)))
     fit = written(spark, fit, "fit")
     # makes the covariance of the nearest share h of normal rows that of all
     scale = h / _chi2_cdf(chi2_quantile(h, _D), _D + 2)
     for _ in range(steps):
-        nxt = written(spark, _factor(_sums(_nearest(_distance(rows, fit), h)), scale), "fit")
+        nxt = written(spark, _covariance(_sums(_nearest(_distance(rows, fit), h)), scale), "fit")
         drop_written(spark, fit)
         fit = nxt
     return fit
@@ -147,8 +153,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, min_words: int = 50, max
     pooled = sizes.selectExpr("g", "n", "lang", f"sum(CASE WHEN n < {min_group} THEN n ELSE 0 END) OVER (PARTITION BY lang) AS pool")
     name = F.when(~small, F.col("g")).when(F.col("pool") >= min_group, F.concat(F.lit("lang "), F.col("lang")))
     names = written(spark, pooled.select("g", name.alias("group")), "groups")
-    rows = stats.join(names, "g", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *COORDINATES, F.col("group").alias("g"))
-    fit = mcd(spark, rows.where("NOT base_failed AND g IS NOT NULL").select("g", *COORDINATES), h)
+    own = [(F.lit(v) / F.greatest(F.col(n), F.lit(1))).alias(f"r_{x}") for x, (v, n) in RESOLUTION.items()]
+    rows = stats.join(names, "g", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *COORDINATES, *own, F.col("group").alias("g"))
+    fit = mcd(spark, rows.where("NOT base_failed AND g IS NOT NULL").select("g", *COORDINATES, *(f"r_{x}" for x in COORDINATES)), h)
     cutoff = chi2_quantile(confidence, _D)
     out = _distance(rows, fit)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.when(~F.col("base_failed"), F.sqrt("d2")).alias("distance"), (~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff)).alias("kept"))

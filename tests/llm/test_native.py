@@ -147,3 +147,22 @@ def test_mcd_equals_numpy_and_resists_outliers(spark):
     cut = quality.chi2_quantile(0.975, 4)
     assert (got[:120] > cut).all() and (got[120:] <= cut).mean() > 0.9
     assert abs(quality.chi2_quantile(0.975, 4) - 11.1433) < 1e-3
+
+
+def test_each_coordinate_rejects_by_itself(spark):
+    r = np.random.default_rng(7)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    word = lambda n=6: "".join(r.choice(letters, max(2, int(r.normal(n, 2)))))
+    lines = lambda n, size=9, long=6: [" ".join(word(long) for _ in range(size)) for _ in range(n)]
+    texts = ["\n".join(lines(int(r.integers(8, 25)))) for _ in range(300)]
+    twice = lines(12)
+    texts[0] = "\n".join(lines(20, long=16))
+    texts[1] = "\n".join(x + " ##" for x in lines(20))
+    texts[2] = " ".join(lines(10) + 4 * lines(1))
+    texts[3] = "\n".join(["ab", "cd", "ef", "gh", "ij"] * 2 + lines(8))
+    texts[4] = "\n".join(twice + twice[:1])
+    df = spark.createDataFrame([(i, t, "l", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {x.doc_id: x for x in quality.quality_rules(spark, df).collect()}
+    assert not any(got[i].base_failed or got[i].kept for i in range(4))
+    assert got[3].n_repeat_words < 50 and got[3].n_dup_lines == 5
+    assert got[4].kept and np.mean([got[i].kept for i in range(5, 300)]) > 0.95
