@@ -8,17 +8,21 @@ from __future__ import annotations
 
 import contextlib
 import os
+import re
 import tempfile
 import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where unset (tests on one machine) a fresh one is set."""
+    """The folder named in spark.checkpoint.dir. Where unset, a local master (as in tests) gets a fresh one; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", master := spark.sparkContext.master):
+            raise RuntimeError(f"spark.checkpoint.dir is unset: executors under {master} share no other folder")
         found = f"file://{tempfile.mkdtemp(prefix='ballast-')}"
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -29,23 +33,77 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/ballast/{name}-{uuid.uuid4().hex}"
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage, survives the loss of any executor."""
+def written(spark: SparkSession, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder: cuts lineage, survives the loss of any executor. files: at most so many, for small tables."""
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._ballast_path = path
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_written(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes tables made by written() that no later plan reads."""
     for t in tables:
-        path = getattr(t, "_ballast_path", None)
-        if path:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        if path := getattr(t, "_ballast_path", None):
+            delete(spark, path)
+
+
+class Scratch:
+    """The tables and folders of one call of an operator; keep() writes its result, and what is left goes."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def path(self, name: str) -> str:
+        self.paths.append(new_path(self.spark, name))
+        return self.paths[-1]
+
+    def written(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+        out = written(self.spark, df, name, files)
+        self.paths.append(out._ballast_path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            delete(self.spark, t._ballast_path)
+            self.paths.remove(t._ballast_path)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """The result as a table; the others are deleted."""
+        out = written(self.spark, df, name)
+        self.close()
+        return out
+
+    def close(self) -> None:
+        for p in self.paths:
+            delete(self.spark, p)
+        self.paths = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failed) -> None:
+        if failed[0]:
+            self.close()
+
+
+def small(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if its counted ``rows`` are few; else as it is, and the join shuffles."""
+    return F.broadcast(df) if rows <= most else df
+
+
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have, by Spark's own rule for equal names."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
 
 
 def _local(uri: str) -> str | None:

@@ -48,7 +48,7 @@ def corpus(window, n=150, seed=1):
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(i, t, 1, "x", 0) for i, t in rows], "doc_id long, text string, seq int, phrases string, n_words int")
+    return spark.createDataFrame([(i, t, 1, "x", 0) for i, t in rows], "doc_id long, text string, n int, phrases string, n_words int")
 
 
 def test_sliding_min():
@@ -60,7 +60,7 @@ def test_sliding_min():
 
 def test_automaton_finds_every_occurrence():
     w = "a b a b a bb a b a".split()
-    assert repeats.occurrences(repeats.automaton([" a b ", " b a "]), w, 2).tolist() == [0, 1, 2, 3, 6, 7]
+    assert repeats.occurrences(repeats.automaton(["a b", "b a"]), w, 2).tolist() == [0, 1, 2, 3, 6, 7]
     assert repeats.occurrences(repeats.automaton([]), w, 2).tolist() == []
 
 
@@ -89,5 +89,35 @@ def test_removal_keeps_columns_and_clean_texts(spark):
             assert n == gone and i not in got
 
 
+def test_the_automata_decide(spark, monkeypatch):
+    """Without its automata the operator finds nothing but whole copies."""
+    rows = corpus(12, seed=4)
+    monkeypatch.setattr(repeats, "automaton", lambda texts: [])
+    whole = {i for i, n, gone, *_ in brute(rows, 12) if n == gone}
+    got = repeats.removal_report(spark, frame(spark, rows), 12, 4).collect()
+    assert any(0 < x[2] < x[1] for x in brute(rows, 12))
+    assert all(r.n_removed in (0, r.n_words) and (not r.n_removed or r.doc_id in whole) for r in got)
+
+
+def test_many_shards_give_the_same(spark):
+    rows = corpus(12, seed=5)
+    for shard_bytes in (64, 1 << 20):
+        got = sorted((tuple(r) for r in repeats.removal_report(spark, frame(spark, rows), 12, 4, shard_bytes=shard_bytes).collect()), key=str)
+        assert got == sorted((x[:4] for x in brute(rows, 12)), key=str)
+
+
+def test_texts_of_one_doc_id_keep_their_own_remainders(spark):
+    base = " ".join(f"b{i}" for i in range(12))
+    rows = [(1, base), (2, f"head {base} tail"), (2, "clean words here"), (3, base), (3, "clean too"), (3, "clean too"), (None, base)]
+    got = repeats.remove_repeats(spark, frame(spark, rows), 12, 4).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, base), (1, base), (2, "clean words here"), (2, "head tail"), (3, "clean too"), (3, "clean too")]
+
+
+def test_clashing_columns(spark):
+    df = frame(spark, corpus(12, seed=6)).selectExpr("*", "1 AS _repeat_kept", "2 AS seq", "3 AS _REPEAT_DOC", "4 AS kept_text", "5 AS _kept")
+    got = repeats.remove_repeats(spark, df, 12, 4)
+    assert got.columns == df.columns and {r[0] for r in got.select("_repeat_kept").collect()} == {1}
+
+
 def test_empty_table(spark):
     assert repeats.removal_report(spark, frame(spark, [])).count() == 0
