@@ -16,10 +16,12 @@ buckets that still hold several components go on: first with the other centres,
 growing random samples of pivots, last with every member. A pair goes from there to its full
 sets only if it lies in different components, if bitmaps of its shingles leave room for the
 intersection it needs (an exact bound), and if its whole signatures, of which the bucket rows
-carry four bits a coordinate, disagree no more than five standard deviations above what a pair
-at the threshold would; it is taken up in the first band it shares. So a large group of
-near copies costs little more than its own links, no cap is set on buckets or partners, and
-the chance to lose a link stays near that of the bands themselves.
+carry four bits a coordinate, differ no more than most_differences(), a bound that a pair at
+the threshold exceeds with no greater chance than that of sharing no band; it is taken up in
+the first band it shares. So a large group of near copies costs little more than its own
+links, no cap is set on buckets or partners, and the chance to lose a link across components
+is at most twice that of the bands. What stays quadratic is the last comparison of bit maps
+within a bucket whose members are alike but not linked.
 """
 
 from __future__ import annotations
@@ -31,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.llm._shared import drop_written, written
+from ballast.llm._shared import Scratch
 from ballast.llm._words import mix, shingles, slices, window_hash, words
-from ballast.llm.components import connected_components
+from ballast.llm.components import labels, star_edges, stars
 
 _U = np.uint64
 
@@ -95,20 +97,24 @@ def _room(percent: int) -> str:
     A shared shingle has a shared bit, and at most spare = n - (bits set) shingles of a set fell
     on a bit that another of it had set.
     """
-    shared = " + ".join(f"bit_count(a.m{i} & b.m{i})" for i in range(_BITS // 64))
+    shared = " + ".join(f"bit_count(a.m[{i}] & b.m[{i}])" for i in range(_BITS // 64))
     return f"({shared} + least(a.spare, b.spare)) * {100 + percent} >= {percent} * (a.n + b.n)"
 
 
-def most_differences(coordinates: int, percent: int, deviations: float = 5.0) -> float:
-    """Differing nibbles that a pair at the threshold has at most, by so many standard deviations."""
-    m = (1 - percent / 100) * 15 / 16
-    return coordinates * m + deviations * math.sqrt(coordinates * m * (1 - m))
+def most_differences(bands: int, rows: int, percent: int) -> int:
+    """Differing nibbles (of bands * rows) that a pair exactly at the threshold exceeds no more likely than it shares no band."""
+    n, s = bands * rows, percent / 100
+    miss, m = (1 - s**rows) ** bands, (1 - s) * 15 / 16
+    tail, k = 0.0, n
+    while k > 0 and tail + (p := math.comb(n, k) * m**k * (1 - m) ** (n - k)) <= miss:
+        tail, k = tail + p, k - 1
+    return k
 
 
-def _differences(n: int):
+def _differences(n: int) -> str:
     """Number of coordinates whose nibbles differ between two rows, in SQL."""
     def one(i: int) -> str:
-        x = f"(a.q{i} ^ b.q{i})"
+        x = f"(a.q[{i}] ^ b.q[{i}])"
         y = f"({x} | shiftrightunsigned({x}, 1))"
         return f"bit_count(({y} | shiftrightunsigned({y}, 2)) & 1229782938247303441L)"
 
@@ -147,13 +153,13 @@ def _features(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 h1[some], h2[some] = (np.add.reduceat(mix(x ^ _U(c)), starts) for c in (0x1234567, 0x89ABCDEF01))
                 sig = signatures(x, starts, bands * rows)
                 keys[some], q[some] = band_keys(sig, rows), nibbles(sig)
-            off = np.concatenate(([0], np.cumsum(np.where(n > 0, bands, 0)))).astype(np.int32)
+            lists = lambda x, k: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(n > 0, k, 0)))).astype(np.int32)), pa.array(np.ascontiguousarray(x[some]).ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.ListArray.from_arrays(pa.array(off), pa.array(keys[some].ravel().view(np.int64))), *(pa.array(np.ascontiguousarray(q[:, i]).view(np.int64)) for i in range(n_q)), *(pa.array(np.ascontiguousarray(m[:, i])) for i in range(_BITS // 64))],
-                names=["doc_id", "n", "h1", "h2", "bands", *(f"q{i}" for i in range(n_q)), *(f"m{i}" for i in range(_BITS // 64))],
+                [b.column(0), pa.array(n.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists(keys, bands), lists(q, n_q), lists(m, _BITS // 64)],
+                names=["doc_id", "n", "h1", "h2", "bands", "q", "m"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, bands array<long>" + "".join(f", {c} long" for c in [*(f"q{i}" for i in range(n_q)), *(f"m{i}" for i in range(_BITS // 64))]))
+    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, bands array<long>, q array<long>, m array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -200,34 +206,45 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80, wid
     no document's name: such a row takes no part, has no component and is kept. An empty
     table gives no rows; other columns are not read.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    features = written(spark, _features(src, width, bands, rows), "features")
+    with Scratch(spark) as scratch:
+        src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        member, e = _linked(scratch, src, percent, width, bands, rows)
+        # a component's name is the least rep in it, and a rep is the least doc_id of its set
+        out = member.select("doc_id", "n", "rep").join(e.select(F.col("u").alias("rep"), F.col("v").alias("component")), "rep", "left")
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+        return scratch.keep(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.coalesce(component == F.col("doc_id"), F.lit(True))).alias("kept")), "components")
+
+
+def _linked(scratch: Scratch, src: DataFrame, percent: int, width: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, rep, ...) of each row, rep being the least doc_id of its set; and the stars (u, v) of linked reps."""
+    written, drop = scratch.written, scratch.drop
+    features = written(_features(src, width, bands, rows), "features")
     named = features.where("n > 0 AND doc_id IS NOT NULL")
-    reps = named.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    qs = [f"q{i}" for i in range(-(-bands * rows // 16))]
-    ms = [f"m{i}" for i in range(_BITS // 64)]
-    is_rep = F.col("doc_id") == F.col("rep")
-    member = written(spark, features.join(reps, ["h1", "h2", "n"], "left").select("doc_id", "n", "rep", *(F.when(is_rep, F.col(c)).alias(c) for c in ("bands", *qs, *ms))), "member")
-    drop_written(spark, features)
+    # groups of copies alone; written, so that their join has an exchange on either side and a large group is split
+    copies = written(named.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")).where("size > 1").drop("size"), "copies")
+    rep = F.coalesce("least", F.when(F.col("n") > 0, F.col("doc_id")))
+    member = features.join(copies, ["h1", "h2", "n"], "left").select("doc_id", "n", rep.alias("rep"), "bands", "q", "m")
+    member = written(member.select("doc_id", "n", "rep", *(F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("bands", "q", "m"))), "member")
+    drop(features, copies)
 
     keyed = member.where("doc_id = rep").select(F.col("rep").alias("node"), F.explode("bands").alias("key"))
     centres = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("other")).where("centre <> other").select("key", "centre")
-    buckets = written(spark, keyed.join(centres, "key").distinct(), "buckets")
+    buckets = written(keyed.join(centres, "key").distinct(), "buckets")
     in_buckets = buckets.select(F.col("node").alias("doc_id")).distinct()
-    sets = written(spark, _sets(src.join(in_buckets, "doc_id"), width), "sets")
+    sets = written(_sets(src.join(in_buckets, "doc_id"), width), "sets")
 
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    tried = written(spark, buckets.where("node <> centre").groupBy("node").agg(F.min("centre").alias("centre")).select(*pair("node", "centre")).distinct(), "tried")
-    links = written(spark, _verify(tried, sets, percent), "links")
-    labels = connected_components(spark, links)
-    pivots_per_bucket = [0, 64, None]
-    in_bands = member.where("doc_id = rep").select(F.col("rep").alias("node"), "n", "bands", *qs, *ms, F.expr("n - (" + " + ".join(f"bit_count({m})" for m in ms) + ")").alias("spare"))
-    alike = f"{_room(percent)} AND {_differences(len(qs))} <= {most_differences(bands * rows, percent)}"
+    # star tables: tried pairs and the stars of the links so far
+    tried = [written(buckets.where("node <> centre").groupBy("node").agg(F.min("centre").alias("centre")).select(*pair("node", "centre")).distinct(), "tried")]
+    e = stars(scratch, star_edges(_verify(tried[0], sets, percent)))
+    bits = " + ".join(f"bit_count(m[{i}])" for i in range(_BITS // 64))
+    in_bands = member.where("doc_id = rep").select(F.col("rep").alias("node"), "n", "bands", "q", "m", F.expr(f"n - ({bits})").alias("spare"))
+    alike = f"{_room(percent)} AND {_differences(-(-bands * rows // 16))} <= {most_differences(bands, rows, percent)}"
     used = 0.0
-    for pivots in pivots_per_bucket:
-        now = buckets.join(labels, "node", "left").select("key", "node", "centre", F.coalesce("component", "node").alias("component"))
+    for pivots in (0, 64, None):
+        now = buckets.join(labels(e), "node", "left").select("key", "node", "centre", F.coalesce("component", "node").alias("component"))
         mixed = now.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size")).where("least <> most").select("key", "size")
-        now = written(spark, now.join(mixed, "key").join(in_bands, "node").withColumn("turn", F.pmod(F.xxhash64("node"), F.lit(1 << 30)) * F.col("size") / float(1 << 30)), "mixed")
+        now = written(now.join(mixed, "key").join(in_bands, "node").withColumn("turn", F.pmod(F.xxhash64("node"), F.lit(1 << 30)) * F.col("size") / float(1 << 30)), "mixed")
         if pivots == 0:
             chosen, once = now.where("node = centre"), "a.node <> a.centre"
         else:
@@ -238,16 +255,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80, wid
         # equal keys, then in this order: different components, alike signatures, the first band that both have
         first_band = "a.key = array_min(array_intersect(a.bands, b.bands))"
         pairs = now.alias("a").join(chosen.alias("b"), F.expr(f"a.key = b.key AND {once} AND a.component <> b.component AND {alike} AND {first_band}"))
-        pairs = pairs.select(*pair(F.col("a.node"), F.col("b.node"))).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = written(spark, pairs, "pairs")
-        if pairs.limit(1).count():
-            more = written(spark, _verify(pairs, sets, percent), "links")
-            tried = tried.unionByName(pairs)
-            if more.limit(1).count():
-                links = links.unionByName(more)
-                labels = connected_components(spark, links)
-        drop_written(spark, now)
-    # a component's name is the least rep in it, and a rep is the least doc_id of its set
-    out = member.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.coalesce(component == F.col("doc_id"), F.lit(True))).alias("kept"))
+        pairs = pairs.select(*pair(F.col("a.node"), F.col("b.node"))).distinct()
+        for t in tried:
+            pairs = pairs.join(t, ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
+        drop(now)
+        if pairs.isEmpty():
+            continue
+        tried.append(pairs)
+        more = written(_verify(pairs, sets, percent), "links")
+        if not more.isEmpty():
+            # what is linked already is a star, so few steps are left
+            e, old = stars(scratch, star_edges(more).unionByName(e).distinct()), e
+            drop(old)
+    return member, e

@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from ballast.llm._shared import Scratch
 from ballast.llm import _words, components, near_dup
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -83,9 +84,9 @@ def test_signature_is_circulant_and_estimates_jaccard():
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 7), (200, 201), (201, 202), (300, 300), (None, 4), (201, 200)] + [(500, 501 + i) for i in range(50)]
-    got = {r.node: r.component for r in components.connected_components(spark, spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in components.connected_components(Scratch(spark), spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 61)}, 100: 1, 200: 200, 201: 200, 202: 200, **{500 + i: 500 for i in range(51)}}
-    assert components.connected_components(spark, spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components.connected_components(Scratch(spark), spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 @pytest.mark.parametrize("percent", [85, 80])
@@ -117,3 +118,12 @@ def test_outliers_of_one_bucket_still_find_each_other(spark):
 
 def test_empty_table(spark):
     assert near_dup.near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_signature_bound_loses_no_more_than_the_bands():
+    import math
+
+    for percent in (80, 85, 95):
+        m, k = (1 - percent / 100) * 15 / 16, near_dup.most_differences(32, 5, percent)
+        above = sum(math.comb(160, i) * m**i * (1 - m) ** (160 - i) for i in range(k + 1, 161))
+        assert above <= (1 - (percent / 100) ** 5) ** 32
