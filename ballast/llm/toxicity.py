@@ -1,16 +1,27 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 Words become symbols: insult I, harm H, intent W, target Y, negation N, reporting R, other
-words O. Small transducers rewrite a clause's symbols one after the other and are composed
-into one machine: intent or target before harm makes a threat T; negation shortly before
-an insult or threat marks it denied; reporting words earlier in the clause mark it quoted;
-a target close by, before or after, marks it aimed. What comes out is scored, not words:
-each kind of match (insult or threat; aimed; denied; quoted) has a weight.
+words O, and # at the end of a clause. Transducers rewrite the symbols one after the other,
+and their composition is the grammar:
+
+    threat     harm within three symbols of intent or a target is a threat T; other harm is nothing
+    negation   an insult or threat within three symbols of a negation is denied: arc n
+    reporting  one that follows a reporting word in its clause is reported speech: arc q
+    target     one within four symbols after a target, or before one, is aimed: arc a. What is
+               ahead has to be guessed: a path that guesses wrong ends nowhere
+    chain      one within six symbols after another of its clause: arc c
+    repetition one after another of the same document, denied and reported ones aside: arc r;
+               from the fourth on a match takes arc m alone
+
+Arcs have weights, a path weighs what its arcs do, and a clause scores its best path: the
+matched pattern is scored, not the word. A document's score is the logistic of the intercept
+and its clauses' scores. The intercept is below what a lone insult's arc weighs, so that an
+insult that is neither aimed, chained nor repeated never decides a document.
 
 The insult lexicon is a fixed seed and what labelled rows teach: word beginnings that stand
 in toxic documents far more often than chance, counted in a distributed pass over at most
-``max_fit_rows`` labelled rows. Weights are a logistic regression on the same rows, drawn
-towards stated priors, so a kind of match that the labels do not show keeps its prior.
+``max_fit_rows`` labelled rows. Arc weights are a logistic regression on the same rows, of
+fixed signs, drawn towards stated priors, so an arc that the labels do not show keeps its prior.
 """
 
 from __future__ import annotations
@@ -40,65 +51,136 @@ _BREAKS = np.zeros(256, bool)
 _BREAKS[[*range(0x21), *(ord(c) for c in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")]] = True  # an apostrophe is part of a word
 _CLAUSE = np.zeros(256, np.int64)
 _CLAUSE[[ord(c) for c in ".!?;:\n"]] = 1
-KINDS = [k + a + n + q for k in "IT" for a in ("", "a") for n in ("", "n") for q in ("", "q")]
+#: Arcs that weigh something: prior weight, and the least and the greatest that fitting may give it.
+ARCS = {"I": (0.6, 0.0, 1.0), "T": (2.0, 0.0, 8.0), "n": (-2.5, -8.0, 0.0), "q": (-2.0, -8.0, 0.0), "a": (1.6, 0.0, 8.0), "c": (1.6, 0.0, 8.0), "r": (2.4, 0.0, 8.0), "m": (0.3, 0.0, 2.0)}
+#: The same of the intercept: a lone insult stays at least half below zero.
+INTERCEPT = (-3.0, -6.0, -1.5)
+PRIOR, LEAST, MOST = (np.array([a[i] for a in ARCS.values()] + [INTERCEPT[i]]) for i in range(3))
+_NAME = {k: i for i, k in enumerate(ARCS)}
 
 
 class Transducer:
-    """``step(state, symbol) -> (state, output)``; compose() feeds one's output to the next."""
+    """``arcs(state, symbol)``: its (next state, output, names of weighted arcs); ``final(state)``: whether a clause may end there."""
 
-    def __init__(self, start, step):
-        self.start, self._step = start, lru_cache(None)(step)
-
-    def step(self, state, symbol):
-        return self._step(state, symbol)
+    def __init__(self, start, arcs, final=lambda state: True):
+        self.start, self.arcs, self.final = start, lru_cache(1 << 16)(arcs), final
 
     def compose(self, after: Transducer) -> Transducer:
-        def step(state, symbol):
-            a, mid = self.step(state[0], symbol)
-            b, out = after.step(state[1], mid)
-            return (a, b), out
-
-        return Transducer((self.start, after.start), step)
-
-    def run(self, symbols) -> list[str]:
-        state, out = self.start, []
-        for s in symbols:
-            state, y = self.step(state, s)
-            out.append(y)
-        return out
+        """What this one puts out is what the next one reads."""
+
+        def arcs(state, symbol):
+            return tuple(((p, q), out, x + y) for p, mid, x in self.arcs(state[0], symbol) for q, out, y in after.arcs(state[1], mid))
+
+        return Transducer((self.start, after.start), arcs, lambda state: self.final(state[0]) and after.final(state[1]))
+
+
+def _match(symbol: str) -> bool:
+    return symbol[0] in "IT"
+
+
+def within(marks: str, name: str, reach: int) -> Transducer:
+    """Arc ``name`` for a match at most ``reach`` symbols after one of ``marks`` in its clause."""
+
+    def arcs(left, s):
+        if s == "#":
+            return ((0, s, ""),)
+        if s[0] in marks:
+            return ((reach, s, ""),)
+        hit = left and _match(s)
+        return ((max(left - 1, 0), s + name if hit else s, name if hit else ""),)
+
+    return Transducer(0, arcs)
+
 
+def threat(reach: int = 3) -> Transducer:
+    def arcs(left, s):
+        if s == "#":
+            return ((0, s, ""),)
+        if s in ("W", "Y"):
+            return ((reach, s, ""),)
+        return ((max(left - 1, 0), ("T" if left else "O") if s == "H" else s, ""),)
 
-def near(mark: str, marked: str, suffix: str, reach: int) -> Transducer:
-    """Puts ``suffix`` to symbols of ``marked`` at most ``reach`` symbols after ``mark``."""
+    return Transducer(0, arcs)
 
-    def step(left, s):
-        if s[0] == mark:
-            return reach, s
-        return max(left - 1, 0), s + suffix if left and s[0] in marked else s
 
-    return Transducer(0, step)
+def target(reach: int = 4) -> Transducer:
+    """State: symbols for which a target counts as near before, and, if one ahead was guessed, those left to find it."""
 
+    def arcs(state, s):
+        left, owed = state
+        if s == "#":
+            return () if owed else (((0, 0), s, ""),)
+        if s == "Y":
+            return (((reach, 0), s, ""),)
+        after = (max(left - 1, 0), owed - 1 if owed else 0)
+        if owed == 1:
+            return ()  # the guess fails, whatever this symbol is: no target came
+        if not _match(s):
+            return ((after, s, ""),)
+        if left:
+            return ((after, s + "a", "a"),)
+        return ((after, s, ""), ((after[0], after[1] or reach), s + "a", "a"))
 
-def threats(reach: int = 3) -> Transducer:
-    """Harm within reach of intent or a target is a threat; other harm is nothing."""
+    return Transducer((0, 0), arcs, lambda state: not state[1])
 
-    def step(left, s):
-        if s[0] in "WY":
-            return reach, s
-        return max(left - 1, 0), ("T" if left else "O") + s[1:] if s[0] == "H" else s
 
-    return Transducer(0, step)
+def chain(reach: int = 6) -> Transducer:
+    def arcs(left, s):
+        if s == "#":
+            return ((0, s, ""),)
+        if not _match(s):
+            return ((max(left - 1, 0), s, ""),)
+        return ((reach, s + "c" if left else s, "c" if left else ""),)
 
+    return Transducer(0, arcs)
 
-#: Left to right: threat, denied, quoted and aimed by what comes before; a second machine reads right to left for targets after.
-FORWARD = threats().compose(near("N", "IT", "n", 3)).compose(near("R", "IT", "q", 40)).compose(near("Y", "IT", "a", 4))
-BACKWARD = near("Y", "IT", "a", 4)
 
+def repetition(most: int = 3) -> Transducer:
+    """Reads on over the clauses of a document; state: matches so far, neither denied nor reported."""
 
-def matched(symbols: list[str]) -> list[str]:
-    """Kinds (as in KINDS) of the matches in one clause."""
-    out = BACKWARD.run(FORWARD.run(symbols)[::-1])
-    return [x[0] + "".join(c for c in "anq" if c in x[1:]) for x in out if x[0] in "IT"]
+    def arcs(seen, s):
+        if not _match(s):
+            return ((seen, s, ""),)
+        if seen == most:
+            return ((seen, s + "m", "m"),)
+        counts = "n" not in s and "q" not in s
+        return ((seen + counts, s + "r" if seen else s, s[0] + ("r" if seen and counts else "")),)
+
+    return Transducer(0, arcs)
+
+
+GRAMMAR = threat().compose(within("N", "n", 3)).compose(within("R", "q", 40)).compose(target()).compose(chain()).compose(repetition())
+_REACH = 42  # after so many other words every counter but the repetitions' is at rest
+
+
+def counted(names: str) -> np.ndarray:
+    """Arcs by name; from the fourth match on (m) the others of that match weigh nothing."""
+    x = np.zeros(len(ARCS))
+    for k in "m" if "m" in names else names:
+        x[_NAME[k]] += 1
+    return x
+
+
+_COUNTED = lru_cache(4096)(counted)
+
+
+def best_path(symbols: list[str], start, weights: np.ndarray) -> tuple[float, np.ndarray, tuple]:
+    """Weight, arcs and end state of the heaviest path of one clause (its # is added here)."""
+    at, run = {start: (0.0, np.zeros(len(ARCS)))}, 0
+    for s in [*symbols, "#"]:
+        run = run + 1 if s == "O" else 0
+        if run > _REACH:
+            continue
+        nxt: dict = {}
+        for state, (w, x) in at.items():
+            for to, _, names in GRAMMAR.arcs(state, s):
+                y = _COUNTED(names) if names else None
+                v = w + float(y @ weights) if names else w
+                if to not in nxt or v > nxt[to][0]:
+                    nxt[to] = (v, x + y if names else x)
+        at = nxt
+    w, x, end = max(((w, x, state) for state, (w, x) in at.items() if GRAMMAR.final(state)), key=lambda t: t[0])
+    return w, x, end
 
 
 class Lexicon:
@@ -131,45 +213,49 @@ class Lexicon:
         return out
 
 
-def features(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
-    """Matches of each kind in each row's text."""
+def features(column: pa.Array, lexicon: Lexicon, weights: np.ndarray = PRIOR[:-1]) -> np.ndarray:
+    """Arcs of the best paths of each row's clauses, by name."""
     w = words(column, lower=True, breaks=_BREAKS)
-    out = np.zeros((len(w.first) - 1, len(KINDS)))
+    out = np.zeros((len(w.first) - 1, len(ARCS)))
     hit = lexicon.hits(w)
     if not hit.any():
         return out
-    clause = np.cumsum(_CLAUSE[w.data])
-    clause = clause[w.start] if len(w.start) else clause
+    clause = np.cumsum(_CLAUSE[w.data])[w.start]
     some, doc = np.flatnonzero(hit), w.doc
-    name, number = {k: i for i, k in enumerate(KINDS)}, (doc[some] << 40) + clause[some]
+    number = (doc[some] << 40) + clause[some]
+    d, state = -1, GRAMMAR.start
     for first in some[np.unique(number, return_index=True)[1]]:
-        d, c, lo, hi = doc[first], clause[first], first, first + 1
-        while lo > w.first[d] and clause[lo - 1] == c:
-            lo -= 1
-        while hi < w.first[d + 1] and clause[hi] == c:
-            hi += 1
+        if doc[first] != d:
+            d, state = doc[first], GRAMMAR.start
+        lo = int(np.searchsorted(clause[w.first[d] : w.first[d + 1]], clause[first])) + int(w.first[d])
+        hi = int(np.searchsorted(clause[w.first[d] : w.first[d + 1]], clause[first], side="right")) + int(w.first[d])
+        # clauses without a hit leave the machine as it was
         symbols = ["OHI"[hit[i]] if hit[i] else _CLASSES.get(w.word(i).decode("utf-8", "replace"), "O") for i in range(lo, hi)]
-        for k in matched(["O" if s in "IH" and not hit[lo + i] else s for i, s in enumerate(symbols)]):
-            out[d, name[k]] += 1
+        _, x, state = best_path(["O" if s in "IH" and not hit[lo + i] else s for i, s in enumerate(symbols)], state, weights)
+        out[d] += x
     return out
 
 
-def prior() -> np.ndarray:
-    """Weights before any label: of each kind by log(1 + matches), and the intercept."""
-    of = lambda k: (2.0 + (k[0] == "T") + ("a" in k)) * (0.25 if "n" in k or "q" in k else 1.0)
-    return np.array([of(k) for k in KINDS] + [-3.0])
+def fit_weights(x: np.ndarray, y: np.ndarray, pull: float = 0.5, steps: int = 100) -> np.ndarray:
+    """Logistic regression with a quadratic pull towards PRIOR, within the arcs' bounds: Newton steps over the weights that are free.
 
-
-def fit_weights(x: np.ndarray, y: np.ndarray, pull: float = 0.5, steps: int = 40) -> np.ndarray:
-    """Logistic regression by Newton steps with a quadratic pull towards prior()."""
-    w0 = prior()
-    w, x = w0.copy(), np.column_stack((np.log1p(x), np.ones(len(x))))
+    The bounds fix the signs, so the best paths are the same under the prior and the fitted weights.
+    """
+    w, x = PRIOR.copy(), np.column_stack((x, np.ones(len(x))))
+    loss = lambda w: float(np.logaddexp(0, -(2 * y - 1) * (x @ w)).sum() + pull / 2 * ((w - PRIOR) ** 2).sum())
     for _ in range(steps if len(y) else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (p * (1 - p) + 1e-9)) @ x + pull * np.eye(len(w)), x.T @ (y - p) - pull * (w - w0))
-        w += np.clip(step, -4, 4)
-        if abs(step).max() < 1e-8:
+        up = x.T @ (y - p) - pull * (w - PRIOR)
+        free = ~((w <= LEAST) & (up < 0) | (w >= MOST) & (up > 0))
+        curve = (x.T * (p * (1 - p))) @ x + pull * np.eye(len(w))
+        step = np.zeros(len(w))
+        step[free] = np.linalg.solve(curve[np.ix_(free, free)], up[free])
+        before, size = loss(w), 1.0
+        while loss(new := np.clip(w + size * step, LEAST, MOST)) > before and size > 1e-6:
+            size /= 2
+        if abs(new - w).max() < 1e-9:
             break
+        w = new
     return w
 
 
@@ -178,7 +264,7 @@ class Model:
         self.lexicon, self.weights = Lexicon(learned), weights
 
     def score(self, column: pa.Array) -> np.ndarray:
-        x = np.log1p(features(column, self.lexicon)) @ self.weights[:-1] + self.weights[-1]
+        x = features(column, self.lexicon, self.weights[:-1]) @ self.weights[:-1] + self.weights[-1]
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
     def __reduce__(self):
@@ -232,21 +318,20 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: Column
             x = features(b.column(0), lexicon)
             yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), b.column(1)], names=["x", "toxic"])
 
-    # at most max_fit_rows short vectors, summed by kind of vector before they leave the executors
+    # at most max_fit_rows short vectors, equal ones counted before they leave the executors
     seen = rows.mapInArrow(run, "x array<double>, toxic int").groupBy("x", "toxic").agg(F.count("*").alias("n")).collect()
     rows.unpersist()
-    x = np.array([r.x for r in seen for _ in range(r.n)]).reshape(-1, len(KINDS))
+    x = np.array([r.x for r in seen for _ in range(r.n)]).reshape(-1, len(ARCS))
     return Model(stems, fit_weights(x, np.array([r.toxic for r in seen for _ in range(r.n)], float)))
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, score): a row of ``docs`` each; null and empty texts have no match and score as such."""
-    held = spark.sparkContext.broadcast(pickle.dumps(model))
-    made: dict = {}
+    blob, made = pickle.dumps(model), {}  # at most max_stems word beginnings and a few weights
 
     def run(batches):
         if "model" not in made:
-            made["model"] = pickle.loads(held.value)
+            made["model"] = pickle.loads(blob)
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made["model"].score(b.column(1)))], names=["doc_id", "score"])
 
@@ -255,13 +340,12 @@ def score_documents(spark: SparkSession, docs: DataFrame, model: Model, text_col
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more, in one scan; rows and columns otherwise as they are."""
-    held = spark.sparkContext.broadcast(pickle.dumps(model))
-    made: dict = {}
+    blob, made = pickle.dumps(model), {}  # at most max_stems word beginnings and a few weights
     at = docs.columns.index(text_col)
 
     def run(batches):
         if "model" not in made:
-            made["model"] = pickle.loads(held.value)
+            made["model"] = pickle.loads(blob)
         for b in slices(batches, at):
             yield b.filter(pa.array(made["model"].score(b.column(at)) < threshold))
 

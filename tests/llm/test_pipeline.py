@@ -1,6 +1,8 @@
 import random
 import zlib
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -55,22 +57,98 @@ def score(text, model):
     return float(model.score(pa.array([text], pa.string()))[0])
 
 
-def test_grammar_marks_kinds():
-    assert toxicity.matched(list("OYOI")) == ["Ia"]
-    assert toxicity.matched(list("IOY")) == ["Ia"]
-    assert toxicity.matched(list("NOI")) == ["In"]
-    assert toxicity.matched(list("ROOOI")) == ["Iq"]
-    assert toxicity.matched(list("WH")) == ["T"] and toxicity.matched(list("H")) == []
-    assert toxicity.matched(list("YNWHY")) == ["Tan"]
-    assert toxicity.matched(list("OOO")) == []
+def path(symbols):
+    _, x, _ = toxicity.best_path(list(symbols), toxicity.GRAMMAR.start, toxicity.PRIOR[:-1])
+    return "".join(k * int(n) for k, n in zip(toxicity.ARCS, x))
+
+
+def test_grammar_arcs():
+    assert path("OYOI") == "Ia" and path("IOY") == "Ia" and path("IOOOY") == "Ia" and path("IOOOOY") == "I"
+    assert path("NOI") == "In" and path("NOOOI") == "I" and path("ROOOI") == "Iq"
+    assert path("WH") == "T" and path("H") == "" and path("YNWHY") == "Tna"
+    assert path("II") == "IIcr" and path("IOOOOOOOI") == "IIr"
+    assert path("OOO") == "" and path("IIIII") == "IIIccrrmm"
+
+
+def brute_arcs(clauses):
+    """Arcs of a document's matches, each rule read off positions, without machines."""
+    out, seen = Counter(), 0
+    for clause in clauses:
+        near = lambda i, marks, reach: any(clause[j] in marks for j in range(max(0, i - reach), i))  # noqa: E731, B023
+        is_match = [s == "I" or s == "H" and near(i, "WY", 3) for i, s in enumerate(clause)]
+        for i, s in enumerate(clause):
+            if not is_match[i]:
+                continue
+            if seen == 3:
+                out["m"] += 1
+                continue
+            denied, quoted = near(i, "N", 3), near(i, "R", 40)
+            out["T" if s == "H" else "I"] += 1
+            out["n"] += denied
+            out["q"] += quoted
+            out["a"] += near(i, "Y", 4) or "Y" in clause[i + 1 : i + 5]
+            out["c"] += any(is_match[j] for j in range(max(0, i - 6), i))
+            if not denied and not quoted:
+                out["r"] += seen > 0
+                seen += 1
+    return {k: n for k, n in out.items() if n}
+
+
+def test_best_paths_equal_rules_read_off_positions():
+    r = random.Random(3)
+    for _ in range(4000):
+        clauses = [r.choices("OIHWYNR", (6, 3, 2, 1, 1.5, 1, 0.7), k=r.randrange(1, 12)) for _ in range(r.randrange(1, 4))]
+        state, total = toxicity.GRAMMAR.start, Counter()
+        for c in clauses:
+            w, x, state = toxicity.best_path(c, state, toxicity.PRIOR[:-1])
+            assert abs(w - x @ toxicity.PRIOR[:-1]) < 1e-9
+            total.update({k: int(n) for k, n in zip(toxicity.ARCS, x)})
+        assert {k: n for k, n in total.items() if n} == brute_arcs(clauses), clauses
+
+
+def test_best_path_is_the_heaviest_of_all_paths():
+    r, weights = random.Random(4), toxicity.PRIOR[:-1]
+
+    def every(symbols, state):
+        if not symbols:
+            if toxicity.GRAMMAR.final(state):
+                yield 0.0
+            return
+        for to, _, names in toxicity.GRAMMAR.arcs(state, symbols[0]):
+            for w in every(symbols[1:], to):
+                yield w + float(toxicity.counted(names) @ weights)
+
+    for _ in range(300):
+        clause = r.choices("OIHWYNR", k=r.randrange(1, 8))
+        assert abs(max(every([*clause, "#"], toxicity.GRAMMAR.start)) - toxicity.best_path(clause, toxicity.GRAMMAR.start, weights)[0]) < 1e-9
 
 
 def test_clauses_not_words():
-    m = toxicity.Model([], toxicity.prior())
+    m = toxicity.Model([], toxicity.PRIOR)
     plain, denied, quoted = (score(t, m) for t in ("You are an idiot, a moron.", "You are not an idiot.", "He said that he was an idiot."))
     assert plain > 0.5 > denied and quoted < 0.5
     assert score("", m) == score(None, m) == score("all is well", m) < 0.1
     assert score("we will hurt them", m) > score("this may hurt", m)
+    assert score("an idiot wrote the manual", m) < 0.5 < score("Idiot. That moron again, this scum.", m)
+
+
+def test_lone_insult_never_decides():
+    r = random.Random(5)
+    x = np.array([[1 if k == "I" else 0 for k in toxicity.ARCS]] * 300 + [[0] * len(toxicity.ARCS)] * 300, float)
+    w = toxicity.fit_weights(x, np.array([1.0] * 300 + [0.0] * 300))
+    assert w[0] + w[-1] <= -0.5
+    y = np.array([float(r.random() < 0.5) for _ in range(600)])
+    assert (np.sign(toxicity.fit_weights(x, y)[:-1]) * np.sign(toxicity.PRIOR[:-1]) >= 0).all()
+
+
+def test_long_texts_and_ties(spark):
+    m = toxicity.Model([], toxicity.PRIOR)
+    long = "word " * 300_000
+    rows = [(1, long), (2, long + "You are an idiot, you moron."), (2, "fine"), (2, "fine"), (None, "Idiot. Moron. Scum."), (4, None)]
+    df = spark.createDataFrame([(i, t, 1.0, "x", 0) for i, t in rows], "doc_id long, text string, score double, symbols string, made int")
+    kept = toxicity.drop_toxic(spark, df, m)
+    assert kept.columns == df.columns and sorted((r.doc_id or 0, len(r.text or "")) for r in kept.collect()) == [(1, len(long)), (2, 4), (2, 4), (4, 0)]
+    assert sum(r.score >= 0.5 for r in toxicity.score_documents(spark, df, m).collect()) == 2
 
 
 def test_learned_stems_and_held_out(spark):
@@ -80,7 +158,8 @@ def test_learned_stems_and_held_out(spark):
     for i in range(1200):
         w, toxic = r.choices(vocab, k=40), i % 6 == 0
         if toxic:
-            w[r.randrange(40)] = "zorg" + "".join(r.choices("abcdefgh", k=3))
+            for at in r.sample(range(40), 3):
+                w[at] = "zorg" + "".join(r.choices("abcdefgh", k=3))
         rows.append((i, " ".join(w) if i % 100 else None, "x", int(toxic)))
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
@@ -92,5 +171,5 @@ def test_learned_stems_and_held_out(spark):
     kept = toxicity.drop_toxic(spark, df, m)
     assert kept.columns == df.columns and kept.count() == sum(s < 0.5 for s in got.values())
     none = toxicity.learn(spark, df, df.limit(0), train)
-    assert none.lexicon.stems == [] and (none.weights == toxicity.prior()).all()
+    assert none.lexicon.stems == [] and (none.weights == toxicity.PRIOR).all()
     assert toxicity.score_documents(spark, df.limit(0), none).count() == 0
