@@ -177,6 +177,7 @@ def _windows(docs: DataFrame, path: str, window: int, phrase: int) -> DataFrame:
             second, rows = mix(h ^ _U(0x6A09E667F3BCC909)), []
             for d, (s, doc_id, seq, text) in enumerate(zip(*(c.to_pylist() for c in b.columns))):
                 if s != shard:
+                    a = None  # its memory first, it is some hundred times its text
                     with open_file(f"{path}/{s}") as f:
                         a, shard = automaton(f.read().decode("utf-8", "surrogatepass").split("\n")), s
                 at = occurrences(a, _WORD.findall(text), phrase)
@@ -219,7 +220,7 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, seq long, cut long, cut_sha string, kept_text string")
 
 
-def find_repeats(scratch: Scratch, docs: DataFrame, window: int = 50, phrase: int = 8, shard_bytes: int = 1 << 20, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def find_repeats(scratch: Scratch, docs: DataFrame, window: int = 50, phrase: int = 8, shard_bytes: int = 1 << 18, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Two tables: (doc_id, seq, n_words, n_removed or null, sha) a row of ``docs``, n_removed and
     sha being those of rows that step 1 settles, and (doc_id, seq, cut, cut_sha, kept_text) of
     rows that lose some words. seq, a hash of the text, tells texts of equal doc_id apart.
@@ -243,7 +244,7 @@ def find_repeats(scratch: Scratch, docs: DataFrame, window: int = 50, phrase: in
     both = said.groupBy("phrase", "said").agg(F.min("doc_id").alias("least"), *(f(c).alias(f"{f.__name__}_{c}") for c in ("s1", "s2") for f in (F.min, F.max)))
     recurring = scratch.written(both.where("min_s1 <> max_s1 OR min_s2 <> max_s2").select("phrase", "said", "least"), "recurring")
     size = recurring.agg(F.coalesce(F.sum(F.octet_length("said")), F.lit(0))).first()[0]
-    shards = max(-(-size // shard_bytes), min(tasks, -(-size // (shard_bytes // 16))), 1)
+    shards = max(-(-size // shard_bytes), min(tasks, -(-size // (shard_bytes // 4))), 1)
     shard = F.pmod(F.xxhash64("least"), F.lit(shards)).alias("shard")
     files = scratch.path("phrase-shards")
     scratch.written(_write_shards(recurring.select(shard, "said").repartition(tasks, "shard").sortWithinPartitions("shard", "said"), files), "shards")
