@@ -1,9 +1,13 @@
 """Chat formatting in budgeted, turn-aligned windows, in DataFrame expressions alone.
 
-A conversation's turns are laid end to end on a line of tokens (prefix sums). The line is
-cut into cells of ``budget - history`` tokens, and a window's new turns are those that
-begin in its cell. A window also has the conversation's system turns from before the cell,
-always, and the turns just before it that fit ``history`` tokens, repeated as context.
+A conversation's turns are laid end to end on a line of tokens (prefix sums). What a window
+has for new turns is ``budget - history`` less the tokens of the conversation's first system
+turn: its room. Turns of more than half the room are windows of their own. The line is cut into
+cells of the room less the longest other turn, and the turns that begin in one cell, between
+two long ones, are a window's new turns; so they fit the room, whatever their lengths. A
+window after the system turn begins with it, and then repeats as context the turns just before
+the window that fit both ``history`` and what the budget has left. Only a window of one
+new turn and no history can exceed the budget: where the system turn and that turn alone do.
 Every turn is new in one window only; the loss mask covers the texts of new assistant
 turns, never those of repeated ones.
 
@@ -41,26 +45,44 @@ def format_conversations(turns: DataFrame, budget: int = 1024, history: int = 25
 
     ``turns`` has conv_id, turn, role, text. Null texts and roles are empty; a null conv_id
     is a conversation of its own, as null is a value. Turns go by number, nulls first; equal
-    ones by role and then text. A turn longer than a cell is a window's last new turn whole,
-    never cut, so such a window alone exceeds its budget. An empty table gives no rows;
-    other columns are not read.
+    ones by role and then text. Turns are never cut. System turns after the first are turns like
+    others. An empty table gives no rows; other columns are not read.
     """
     if not 0 <= history < budget:
         raise ValueError("history must be less than the budget")
-    cell = budget - history
     order = [F.col("turn").asc_nulls_first(), "role", "text"]
     t = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     t = t.withColumn("tokens", tokens(F.col("text")) + overhead)
     one = Window.partitionBy("conv_id")
+    by_place = one.orderBy("place")
+    before = by_place.rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("place", F.row_number().over(one.orderBy(*order)) - 1)
-    t = t.withColumn("upto", F.sum("tokens").over(one.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)))
-    t = t.withColumn("window", F.floor((F.col("upto") - F.col("tokens")) / cell))
-    windows = t.groupBy("conv_id", "window").agg(F.min(F.col("upto") - F.col("tokens")).alias("start"), F.count("*").alias("n_turns"))
-    ahead = windows.select("conv_id", F.col("window").alias("next_window"), F.lag("window").over(one.orderBy("window")).alias("window"), F.col("start").alias("next_start"))
-    a, b = t.alias("a"), ahead.where("window IS NOT NULL").alias("b")
-    old = a.join(b, F.expr("a.conv_id <=> b.conv_id AND a.window = b.window")).where(F.expr(f"b.next_start - (a.upto - a.tokens) <= {history} AND a.role <> 'system'")).select("a.conv_id", F.col("b.next_window").alias("window"), "a.place", "a.role", "a.text", "a.tokens", F.lit(False).alias("new"))
-    system = t.where("role = 'system'").alias("s").join(windows.alias("w"), F.expr("s.conv_id <=> w.conv_id AND w.window > s.window")).select("s.conv_id", "w.window", "s.place", "s.role", "s.text", "s.tokens", F.lit(False).alias("new"))
-    shown = t.select("conv_id", "window", "place", "role", "text", "tokens", F.lit(True).alias("new")).unionByName(old).unionByName(system)
+    t = t.withColumn("at", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    t = t.withColumn("first", F.min(F.when(F.col("role") == "system", F.struct(F.col("place").alias("place"), F.col("tokens").alias("tokens")))).over(one))
+    t = t.withColumn("room", F.greatest(F.lit(1), F.lit(budget - history) - F.coalesce("first.tokens", F.lit(0))))
+    t = t.withColumn("long", F.col("tokens") * 2 > F.col("room"))
+    t = t.withColumn("longest", F.max(F.when(~F.col("long"), F.col("tokens"))).over(one))
+    t = t.withColumn("span", F.struct(F.floor(F.col("at") / (F.col("room") - F.coalesce("longest", F.lit(0)))).alias("cell"), F.coalesce(F.sum(F.col("long").cast("long")).over(before), F.lit(0)).alias("longs"), "long"))
+    # spans ascend along the line: a window begins where they change
+    t = t.withColumn("begins", F.coalesce(F.col("span") != F.lag("span").over(by_place), F.lit(False)).cast("long"))
+    t = t.withColumn("window", F.sum("begins").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
+    t = t.select("conv_id", "window", "place", "role", "text", "tokens", "at", "first")
+
+    windows = t.groupBy("conv_id", "window").agg(F.min("at").alias("start"), F.min("place").alias("begin"), F.sum("tokens").alias("new"), F.first("first").alias("first"))
+    later = F.coalesce(F.col("first.place") < F.col("begin"), F.lit(False))
+    left = F.lit(budget) - F.col("new") - F.when(later, F.col("first.tokens")).otherwise(F.lit(0))
+    windows = windows.select("conv_id", "window", "start", later.alias("later"), F.greatest(F.lit(0), F.least(F.lit(history), left)).alias("back"))
+    row = ["place", "role", "text", "tokens"]
+    shown = t.select("conv_id", "window", *row, F.lit(True).alias("new"))
+    first = t.where("place = first.place").alias("s").join(windows.where("later").alias("w"), F.expr("s.conv_id <=> w.conv_id")).select("s.conv_id", "w.window", *(f"s.{c}" for c in row), F.lit(False).alias("new"))
+    shown = shown.unionByName(first)
+    if history:
+        # what lies at most history before a window is in two cells of that size
+        grid = lambda c: F.floor(F.expr(c) / history)
+        reach = windows.where("back > 0 AND start > 0").withColumn("grid", F.explode(F.sequence(grid("start - back"), grid("start - 1"))))
+        a, b = t.withColumn("grid", grid("at")).alias("a"), reach.alias("b")
+        old = a.join(b, F.expr("a.conv_id <=> b.conv_id AND a.grid = b.grid")).where("a.at < b.start AND b.start - a.at <= b.back AND NOT (a.place <=> a.first.place)")
+        shown = shown.unionByName(old.select("a.conv_id", "b.window", *(f"a.{c}" for c in row), F.lit(False).alias("new")))
 
     body = F.struct(
         F.col("place"), F.col("new"), F.col("tokens"), (F.col("role") == "assistant").alias("target"),

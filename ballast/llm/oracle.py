@@ -13,18 +13,27 @@ t1 AS (
   SELECT *, len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) + 4 AS tokens,
          12 + 8 + 7 + length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS piece FROM t0),
 t2 AS (
-  SELECT *, row_number() OVER w AS place, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) - tokens AS before
+  SELECT *, row_number() OVER w AS place, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) - tokens AS pos
   FROM t1 WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-t3 AS (SELECT *, before // 768 AS win FROM t2),
-wins AS (SELECT conv_id, win, lead(min(before)) OVER (PARTITION BY conv_id ORDER BY win) AS next_start FROM t3 GROUP BY conv_id, win),
+system AS (SELECT conv_id, place AS sys, tokens AS sys_tokens, piece AS sys_piece FROM t2 WHERE role = 'system' QUALIFY place = min(place) OVER (PARTITION BY conv_id)),
+t3 AS (SELECT t.*, sys, sys_tokens, greatest(1, 1024 - 256 - coalesce(sys_tokens, 0)) AS room FROM t2 t LEFT JOIN system s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+longest AS (SELECT conv_id, coalesce(max(tokens) FILTER (2 * tokens <= room), 0) AS longest FROM t3 GROUP BY conv_id),
+-- a turn's window: the turns that begin in its cell and have as many long ones before them, the long ones apart
+t4 AS (
+  SELECT t.*, dense_rank() OVER (PARTITION BY t.conv_id ORDER BY pos // (room - longest), longs, long) AS win
+  FROM (SELECT *, 2 * tokens > room AS long, count(*) FILTER (2 * tokens > room) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS longs FROM t3) t
+  JOIN longest l ON t.conv_id IS NOT DISTINCT FROM l.conv_id),
+wins AS (
+  SELECT conv_id, win, min(pos) AS start, min(place) AS begin, coalesce(min(sys) < min(place), false) AS later,
+         greatest(0, least(256, 1024 - sum(tokens) - CASE WHEN min(sys) < min(place) THEN min(sys_tokens) ELSE 0 END)) AS back FROM t4 GROUP BY conv_id, win),
 shown AS (
-  SELECT conv_id, piece FROM t3
+  SELECT conv_id, piece FROM t4
   UNION ALL SELECT conv_id, 10 FROM wins
-  UNION ALL SELECT t.conv_id, t.piece FROM t3 t JOIN wins w ON w.conv_id = t.conv_id AND w.win = t.win WHERE t.role <> 'system' AND w.next_start - t.before <= 256
-  UNION ALL SELECT t.conv_id, t.piece FROM t3 t JOIN wins w ON w.conv_id = t.conv_id AND w.win > t.win WHERE t.role = 'system'),
+  UNION ALL SELECT w.conv_id, sys_piece FROM wins w JOIN system s ON w.conv_id IS NOT DISTINCT FROM s.conv_id WHERE later
+  UNION ALL SELECT t.conv_id, t.piece FROM t4 t JOIN wins w ON w.conv_id IS NOT DISTINCT FROM t.conv_id WHERE t.place < w.begin AND w.start - t.pos <= w.back AND t.place IS DISTINCT FROM t.sys),
 chars AS (SELECT conv_id, sum(piece) AS formatted_chars FROM shown GROUP BY conv_id),
 said AS (
-  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY place) AS turns, coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS loss FROM t3 GROUP BY conv_id)
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY place) AS turns, coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS loss FROM t4 GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM said JOIN chars USING (conv_id)
 """
 
