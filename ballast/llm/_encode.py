@@ -1,7 +1,8 @@
 """Whole-text encoding with the tokenizers library, with ids remembered by word.
 
-``word_bpe_49k.json`` drops white space and never merges across it, so the ids of a
-text are those of its ASCII-white-space separated words, one after the other. Each
+``word_bpe_49k.json`` drops white space and never merges across it, and its special tokens hold
+none, so the ids of a text are those of its ASCII-white-space separated words, one after the
+other. As the library does by itself, a special token's string in a text gets that token's id. Each
 distinct word goes through the library once; two generations of a bounded dictionary
 keep the frequent ones.
 """
@@ -26,9 +27,7 @@ def load_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
+    return Tokenizer.from_file(path)
 
 
 class WordEncoder:

@@ -33,10 +33,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/ballast/{name}-{uuid.uuid4().hex}"
 
 
-def written(spark: SparkSession, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage, survives the loss of any executor. files: at most so many, for small tables."""
+def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: cuts lineage, survives the loss of any executor."""
     path = new_path(spark, name)
-    (df.coalesce(files) if files else df).write.parquet(path)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._ballast_path = path
     return out
@@ -64,8 +64,8 @@ class Scratch:
         self.paths.append(new_path(self.spark, name))
         return self.paths[-1]
 
-    def written(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
-        out = written(self.spark, df, name, files)
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        out = written(self.spark, df, name)
         self.paths.append(out._ballast_path)
         return out
 

@@ -13,6 +13,7 @@ in lower case, so case, spacing and punctuation do not hide an item.
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -62,14 +63,14 @@ def myers(item: list, text: list) -> list[int]:
 
 
 class Items:
-    """The benchmark, ready for a scan. Bounded: one row a test item, as stated by ``max_items``."""
+    """Items ready for a scan; benchmark_parts() bounds their number."""
 
     def __init__(self, rows, percent: int, min_words: int):
         self.items = []
         table: dict[int, list] = defaultdict(list)
         for item_id, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
             w = plain_words(text or "")
-            if len(w) >= min_words:
+            if len(w) >= max(min_words, 1):
                 budget = edit_budget(len(w), percent)
                 for start, n in pieces(len(w), budget):
                     table[n].append((w[start : start + n], len(self.items), start))
@@ -119,51 +120,64 @@ class Items:
         return out
 
 
-def benchmark_rows(benchmark: DataFrame, max_items: int, max_bytes: int = 64 << 20, text_col: str = "text", id_col: str = "item_id") -> list:
-    """The items, after a check of their number and size: only a bounded set of items goes to every task."""
-    n, size = benchmark.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()
-    if n > max_items or size > max_bytes:
-        raise ValueError(f"{n} items of {size} bytes; match them in parts of {max_items} items and {max_bytes} bytes")
-    return [tuple(r) for r in benchmark.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).collect()]
+def benchmark_parts(spark: SparkSession, benchmark: DataFrame, max_items: int, max_bytes: int, text_col: str = "text", id_col: str = "item_id") -> list:
+    """The items as broadcast lists of about ``max_items`` items and ``max_bytes`` bytes at most, one list at least.
+
+    A benchmark within both bounds is one list and its documents are scanned once; a larger one is dealt by a hash
+    of its rows, and each further list is matched in turn.
+    """
+    items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    parts = max(1, -(-n // max_items), -(-size // max_bytes))
+    return [spark.sparkContext.broadcast([tuple(r) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).collect()]) for k in range(parts)]
+
+
+def _ready(made: dict, held, percent: int, min_words: int) -> Items:
+    if "items" not in made:
+        made["items"] = Items(held.value, percent, min_words)
+    return made["items"]
 
 
-def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, percent: int = 15, min_words: int = 5, max_items: int = 100_000, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, percent: int = 15, min_words: int = 1, max_items: int = 100_000, max_bytes: int = 64 << 20, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, item_id, distance, first_word, n_words, item_words): a row an item that occurs in a document.
 
     The best occurrence is reported: least distance, then the first to end, then the shortest.
-    Items with fewer than ``min_words`` words match nothing, nor do null or empty texts.
-    Null doc_ids are reported as null; repeated rows and items each have their own rows. An
-    empty table on either side gives no rows; other columns are not read.
+    Items of fewer than seven words have a budget of none at 15 percent, so they match word for
+    word; those of fewer than ``min_words`` match nothing, nor do null or empty texts. Null
+    doc_ids are reported as null; repeated rows and items each have their own rows. An empty
+    table on either side gives no rows; other columns are not read.
     """
-    held = spark.sparkContext.broadcast(benchmark_rows(benchmark, max_items))
-    made: dict = {}
-
-    def run(batches):
-        if "items" not in made:
-            made["items"] = Items(held.value, percent, min_words)
-        items = made["items"]
-        for b in slices(batches):
-            rows = [(b.column(0)[d].as_py(), items.items[k][0], dist, first, n, len(items.items[k][1])) for d, k, dist, first, n in items.matches(b.column(1))]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "item_id", "distance", "first_word", "n_words", "item_words"])
-
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, item_id long, distance long, first_word long, n_words long, item_words long")
 
+    def scan(held) -> DataFrame:
+        made: dict = {}
+
+        def run(batches):
+            items = _ready(made, held, percent, min_words)
+            for b in slices(batches):
+                rows = [(b.column(0)[d].as_py(), items.items[k][0], dist, first, n, len(items.items[k][1])) for d, k, dist, first, n in items.matches(b.column(1))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "item_id", "distance", "first_word", "n_words", "item_words"])
+
+        return src.mapInArrow(run, "doc_id long, item_id long, distance long, first_word long, n_words long, item_words long")
 
-def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, percent: int = 15, min_words: int = 5, max_items: int = 100_000, text_col: str = "text") -> DataFrame:
+    return reduce(DataFrame.unionByName, map(scan, benchmark_parts(spark, benchmark, max_items, max_bytes)))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, percent: int = 15, min_words: int = 1, max_items: int = 100_000, max_bytes: int = 64 << 20, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows in which an item occurs, in one scan; rows, columns and nulls otherwise as they are."""
-    held = spark.sparkContext.broadcast(benchmark_rows(benchmark, max_items))
-    made: dict = {}
-    at = docs.columns.index(text_col)
-
-    def run(batches):
-        if "items" not in made:
-            made["items"] = Items(held.value, percent, min_words)
-        for b in slices(batches, at):
-            bad = sorted({m[0] for m in made["items"].matches(b.column(at))})
-            keep = np.ones(b.num_rows, bool)
-            keep[bad] = False
-            yield b.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+    at, schema = docs.columns.index(text_col), docs.schema
+
+    def clean(docs: DataFrame, held) -> DataFrame:
+        made: dict = {}
+
+        def run(batches):
+            items = _ready(made, held, percent, min_words)
+            for b in slices(batches, at):
+                keep = np.ones(b.num_rows, bool)
+                keep[sorted({m[0] for m in items.matches(b.column(at))})] = False
+                yield b.filter(pa.array(keep))
+
+        return docs.mapInArrow(run, schema)
+
+    return reduce(clean, benchmark_parts(spark, benchmark, max_items, max_bytes), docs)

@@ -118,9 +118,9 @@ def _starts(scratch: Scratch, rows: DataFrame, groups: int) -> DataFrame:
     """(g, start, m_, c_): three estimates a group, all at the medians and with deviations from the median absolute ones."""
     xs, floors = list(COORDINATES), list(COORDINATES.values())
     median = lambda c: F.percentile_approx(c, F.lit(0.5), F.lit(10000))
-    middle = small(scratch.written(rows.groupBy("g").agg(*(median(x).alias(f"m_{x}") for x in xs)), "medians", 1), groups)
+    middle = small(scratch.written(rows.groupBy("g").agg(*(median(x).alias(f"m_{x}") for x in xs)), "medians"), groups)
     away = rows.join(middle, "g").groupBy("g").agg(*(F.first(f"m_{x}").alias(f"m_{x}") for x in xs), *((median(F.abs(F.col(x) - F.col(f"m_{x}"))) * 1.4826 + floors[i]).alias(f"d_{x}") for i, x in enumerate(xs)))
-    away = scratch.written(away, "deviations", 1)
+    away = scratch.written(away, "deviations")
     u = rows.join(small(away, groups), "g").select("g", *(((F.col(x) - F.col(f"m_{x}")) / F.col(f"d_{x}")).alias(x) for x in xs))
     norm = F.sqrt(sum((F.col(x) * F.col(x) for x in xs[1:]), F.col(xs[0]) * F.col(xs[0])))
     kinds = {1: F.tanh, 2: lambda x: F.when(norm > 0, F.col(x) / norm).otherwise(0.0)}
@@ -148,7 +148,7 @@ def mcd(scratch: Scratch, rows: DataFrame, groups: int, h: float = 0.75, most_st
     # makes the covariance of the nearest share h of normal rows that of all
     scale = h / _chi2_cdf(chi2_quantile(h, _D), _D + 2)
     columns = ["g", "start", *(f"m_{x}" for x in xs), *(f"c_{i}{j}" for i, j, _, _ in _pairs())]
-    fit = scratch.written(_starts(scratch, rows, groups).withColumn("log_det", F.lit(1e300)).withColumn("moves", F.lit(True)), "fit", 1)
+    fit = scratch.written(_starts(scratch, rows, groups).withColumn("log_det", F.lit(1e300)).withColumn("moves", F.lit(True)), "fit")
     for _ in range(most_steps):
         d = _distance(rows, small(fit.where("moves").select(columns), _STARTS * groups)).where("start IS NOT NULL")
         limit = d.groupBy("g", "start").agg(F.percentile_approx("d2", F.lit(h), F.lit(10000)).alias("limit"))
@@ -158,13 +158,13 @@ def mcd(scratch: Scratch, rows: DataFrame, groups: int, h: float = 0.75, most_st
         old = fit.select("g", "start", F.col("log_det").alias("was"), F.struct(*columns[2:], "log_det").alias("kept"))
         falls = F.col("log_det") < F.col("was") - 1e-6
         both = small(new, _STARTS * groups).join(old, ["g", "start"], "right").select("g", "start", F.coalesce(falls, F.lit(False)).alias("moves"), F.struct(*columns[2:], "log_det").alias("new"), "kept")
-        nxt = scratch.written(both.select("g", "start", F.when(F.col("moves"), F.col("new")).otherwise(F.col("kept")).alias("f"), "moves").select("g", "start", "f.*", "moves"), "fit", 1)
+        nxt = scratch.written(both.select("g", "start", F.when(F.col("moves"), F.col("new")).otherwise(F.col("kept")).alias("f"), "moves").select("g", "start", "f.*", "moves"), "fit")
         scratch.drop(fit)
         fit = nxt
         if not fit.where("moves").count():
             break
     best = fit.groupBy("g").agg(F.min(F.struct("log_det", "start", *columns[2:])).alias("f"))
-    return scratch.written(best.select("g", "f.*"), "best", 1)
+    return scratch.written(best.select("g", "f.*"), "best")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, confidence: float = 0.975, h: float = 0.75, min_group: int = 50, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -189,7 +189,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, min_words: int = 50, max
         sizes = stats.where("NOT base_failed").groupBy("g", "lang").agg(F.count("*").alias("n"))
         pooled = sizes.selectExpr("g", "n", "lang", f"sum(CASE WHEN n < {min_group} THEN n ELSE 0 END) OVER (PARTITION BY lang) AS pool")
         name = F.when(F.col("n") >= min_group, F.col("g")).when(F.col("pool") >= min_group, F.concat(F.lit("lang "), F.col("lang")))
-        names = scratch.written(pooled.select("g", name.alias("group")), "groups", 1)
+        names = scratch.written(pooled.select("g", name.alias("group")), "groups")
         n_names, groups = names.agg(F.count("*"), F.countDistinct("group")).first()
         own = [(F.lit(v) / F.greatest(F.col(n), F.lit(1))).alias(f"r_{x}") for x, (v, n) in RESOLUTION.items()]
         named = stats.join(small(names, n_names), "g", "left")

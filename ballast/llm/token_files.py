@@ -17,6 +17,7 @@ counter each 512 bits and a search in the word.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -55,43 +56,44 @@ class EliasFano:
         low = _pack(at, (v & np.uint64((1 << low_bits) - 1), low_bits), n * low_bits) if low_bits else np.zeros(0, np.uint64)
         return cls(n, low_bits, low, high)
 
-    def select(self, k: int) -> int:
-        """The k-th value."""
-        if not 0 <= k < self.n:
-            raise IndexError(k)
+    def _word(self, k: int) -> tuple[int, int]:
+        """The word that holds the k-th set bit, and the set bits before it: the directory, then at most _STEP words."""
         block = int(np.searchsorted(self.directory, k, side="right")) - 1
         left, word = k - int(self.directory[block]), block * _STEP
         while (c := int(self.high[word]).bit_count()) <= left:
             left, word = left - c, word + 1
+        return word, k - left
+
+    def select(self, k: int) -> int:
+        """The k-th value."""
+        if not 0 <= k < self.n:
+            raise IndexError(k)
+        word, before = self._word(k)
         bits = int(self.high[word])
-        for _ in range(left):
+        for _ in range(k - before):
             bits &= bits - 1
         high = word * 64 + (bits & -bits).bit_length() - 1 - k
-        return high << self.low_bits | self._low(k)
+        return high << self.low_bits | int(self._low(np.array([k]))[0])
 
-    def _low(self, k: int) -> int:
+    def _low(self, k: np.ndarray) -> np.ndarray:
         if not self.low_bits:
-            return 0
-        word, bit = divmod(k * self.low_bits, 64)
-        x = int(self.low[word]) >> bit
-        if bit + self.low_bits > 64:
-            x |= int(self.low[word + 1]) << (64 - bit)
-        return x & ((1 << self.low_bits) - 1)
-
-    def all(self) -> np.ndarray:
-        """Every value, decoded at once."""
-        if not self.n:
+            return np.zeros(len(k), np.uint64)
+        word, bit = np.divmod(k * self.low_bits, 64)
+        bit = bit.astype(np.uint64)
+        x = self.low[word] >> bit
+        cross = bit + np.uint64(self.low_bits) > 64
+        x[cross] |= self.low[word[cross] + 1] << (np.uint64(64) - bit[cross])
+        return x & np.uint64((1 << self.low_bits) - 1)
+
+    def some(self, a: int, b: int) -> np.ndarray:
+        """Values a to b - 1: the words between the two ends that select finds."""
+        if b <= a:
             return np.zeros(0, np.uint64)
-        ones = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[: self.n]
-        out = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        if self.low_bits:
-            word, bit = np.divmod(np.arange(self.n, dtype=np.int64) * self.low_bits, 64)
-            bit = bit.astype(np.uint64)
-            x = self.low[word] >> bit
-            cross = bit + np.uint64(self.low_bits) > 64
-            x[cross] |= self.low[word[cross] + 1] << (np.uint64(64) - bit[cross])
-            out |= x & np.uint64((1 << self.low_bits) - 1)
-        return out
+        word, before = self._word(a)
+        bits = np.unpackbits(self.high[word : self._word(b - 1)[0] + 1].view(np.uint8), bitorder="little")
+        k = np.arange(a, b)
+        ones = np.flatnonzero(bits)[a - before : b - before] + 64 * word
+        return (ones - k).astype(np.uint64) << np.uint64(self.low_bits) | self._low(k)
 
     def tobytes(self) -> bytes:
         return self.low.astype("<u8").tobytes() + self.high.astype("<u8").tobytes()
@@ -157,42 +159,51 @@ class ShardReader:
         self.f.seek(start * self.width)
         return np.frombuffer(self.f.read((end - start) * self.width), f"<u{self.width}").astype("<u4")
 
-    def scan(self, some: int = 1 << 20):
-        """(doc_id, start, ids) of each document, read in pieces of about ``some`` ids."""
-        ends = self.ends.all().astype(np.int64)
-        names = [None] * self.n_null + (self.docs.all().astype(np.int64) + self.least).tolist()
-        k = 0
-        while k < self.n_docs:
-            first = int(ends[k - 1]) if k else 0
-            stop = max(k + 1, int(np.searchsorted(ends, first + some, side="right")))
-            self.f.seek(first * self.width)
-            ids = np.frombuffer(self.f.read((int(ends[stop - 1]) - first) * self.width), f"<u{self.width}").astype("<u4")
-            for i in range(k, stop):
-                start = int(ends[i - 1]) if i else 0
-                yield names[i], start, ids[start - first : int(ends[i]) - first]
-            k = stop
+    def scan(self, docs: int = 4096, some: int = 1 << 20):
+        """Lists of (doc_id, start, ids), of ``docs`` documents whose offsets select gives, read in pieces of about ``some`` ids."""
+        for a in range(0, self.n_docs, docs):
+            b = min(a + docs, self.n_docs)
+            ends = np.concatenate(([self.offset(a)], self.ends.some(a, b).astype(np.int64)))
+            nulls = max(min(b, self.n_null) - a, 0)
+            names = [None] * nulls + (self.docs.some(max(a - self.n_null, 0), b - self.n_null).astype(np.int64) + self.least).tolist()
+            k, out = 0, []
+            while k < b - a:
+                stop = max(k + 1, int(np.searchsorted(ends, ends[k] + some, side="right")) - 1)
+                self.f.seek(int(ends[k]) * self.width)
+                ids = np.frombuffer(self.f.read(int(ends[stop] - ends[k]) * self.width), f"<u{self.width}").astype("<u4")
+                out += [(names[i], int(ends[i]), ids[ends[i] - ends[k] : ends[i + 1] - ends[k]]) for i in range(k, stop)]
+                k = stop
+                if sum(len(x[2]) for x in out) >= some:
+                    yield out
+                    out = []
+            if out:
+                yield out
 
     def close(self) -> None:
         self.f.close()
 
 
-def write_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2, shards: int | None = None, path: str | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def write_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2, shards: int | None = None, shard_bytes: int = 64 << 20, path: str | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Writes ``docs`` in ascending doc_id order; returns the manifest, a table of a row a shard.
 
-    Null texts are empty (the end id alone), null doc_ids come first, equal doc_ids stand in
-    the order of their texts. An empty table gives an empty manifest. Other columns are not
-    read. A shard is written under a name of its own attempt and only the attempt that
-    succeeded is in the manifest, so a task that runs again leaves nothing wrong behind.
+    Shards hold about ``shard_bytes`` of text (less where that would leave tasks idle), so what a
+    task keeps, eight bytes a boundary, is bounded. Null texts are empty (the end id alone), null
+    doc_ids come first, equal doc_ids stand in the order of a hash of their texts, by which shards
+    also part them. An empty table gives an empty manifest. Other columns are not read. A shard is
+    written under a name of its own attempt and only the attempt that succeeded is in the manifest,
+    so a task that runs again leaves nothing wrong behind.
     """
     path = path or new_path(spark, "token-shards")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not shards:
+        size = src.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64), F.lit(0))).first()[0]
+        shards = max(1, -(-size // shard_bytes), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (1 << 20))))
 
     def run(batches):
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         width = 2 if len(enc.is_end) <= 1 << 16 and end_id < 1 << 16 else 4
         end = np.array([end_id], "<u4").tobytes()
-        ends, names, total, nulls = [], [], 0, 0
+        ends, names, total, nulls = array("q"), array("q"), 0, 0
         uri = f"{path}/shard-{part:06d}-{TaskContext.get().taskAttemptId()}.ids"
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
@@ -209,12 +220,13 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: i
                     else:
                         names.append(doc_id)
             least = names[0] if names else 0
-            e, d = EliasFano.encode(ends), EliasFano.encode(np.array(names, np.int64) - least)
+            e, d = EliasFano.encode(np.array(ends, np.int64)), EliasFano.encode(np.array(names, np.int64) - least)
             f.write(e.tobytes() + d.tobytes())
             f.write(np.array([total, len(ends), nulls, least & (1 << 64) - 1, width, e.low_bits, len(e.high), d.low_bits, len(d.high), MAGIC], "<u8").tobytes())
         yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "uri": [uri], "n_docs": pa.array([len(ends)], pa.int64()), "n_ids": pa.array([total], pa.int64()), "boundary_bits": pa.array([e.bits], pa.int64())})
 
-    ordered = src.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    ordered = src.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     return written(spark, ordered.mapInArrow(run, "shard int, uri string, n_docs long, n_ids long, boundary_bits long"), "token-manifest")
 
 
@@ -222,14 +234,14 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     """Every document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, shard."""
 
     def run(batches):
+        names, kinds = ("doc_id", "start", "n_tokens", "ids_crc32", "shard"), [pa.int64()] * 4 + [pa.int32()]
         for b in batches:
             for shard, uri, base in zip(*(b.column(i).to_pylist() for i in range(3))):
-                r, rows = ShardReader(uri), []
-                for doc_id, start, ids in r.scan():
-                    rows.append((doc_id, base + start, len(ids), zlib.crc32(ids.tobytes()), shard))
+                r = ShardReader(uri)
+                for found in r.scan():
+                    rows = [(doc_id, base + start, len(ids), zlib.crc32(ids.tobytes()), shard) for doc_id, start, ids in found]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
                 r.close()
-                names, kinds = ("doc_id", "start", "n_tokens", "ids_crc32", "shard"), [pa.int64()] * 4 + [pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     # a row a shard: the running total over the manifest is small at any size of the corpus
     before = F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))

@@ -63,7 +63,7 @@ def test_matches_equal_brute_force(spark, percent):
     df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, item_id string")
     b = spark.createDataFrame(items, "item_id long, text string")
     got = dc.contaminated(spark, df, b, percent).collect()
-    want = brute(docs, items, percent, 5)
+    want = brute(docs, items, percent, 1)
     assert {(r.doc_id, r.item_id, r.distance) for r in got} == want and len(got) == len(want)
     by, texts = dict(items), dict(docs)
     for r in got:
@@ -79,5 +79,20 @@ def test_empty_tables_and_bound(spark):
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert dc.contaminated(spark, docs, items).count() == 1
     assert dc.contaminated(spark, docs.limit(0), items).count() == 0 == dc.contaminated(spark, docs, items.limit(0)).count()
-    with pytest.raises(ValueError):
-        dc.contaminated(spark, docs, items, max_items=0)
+
+
+def test_short_items_match_exactly(spark):
+    docs = spark.createDataFrame([(1, "say Yes, sir"), (2, "say yet sir"), (3, "no")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "yes"), (2, "yes sir"), (3, "!"), (4, None)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in dc.contaminated(spark, docs, items).collect()) == [(1, 1), (1, 2)]
+    assert sorted((r.doc_id, r.item_id) for r in dc.contaminated(spark, docs, items, min_words=2).collect()) == [(1, 2)]
+
+
+def test_a_large_benchmark_is_matched_in_parts(spark):
+    docs, items = fixture()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(dc.contaminated(spark, df, b).collect(), key=str)
+    assert len(dc.benchmark_parts(spark, b, 7, 1 << 20)) > 2
+    assert whole and sorted(dc.contaminated(spark, df, b, max_items=7).collect(), key=str) == whole == sorted(dc.contaminated(spark, df, b, max_bytes=200).collect(), key=str)
+    assert sorted(dc.drop_contaminated(spark, df, b, max_items=7).collect(), key=str) == sorted(dc.drop_contaminated(spark, df, b).collect(), key=str)

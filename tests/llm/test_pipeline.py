@@ -40,7 +40,7 @@ def test_stages_equal_brute_force(spark):
             words = {i: set(plain_words(t)) for i, t in before.items()}
             # an item within its budget shares most of its words, so the table is only needed for documents that do
             near = {i: before[i] for i in before if any(len(set(plain_words(t)) & words[i]) * 2 >= len(set(plain_words(t))) for _, t in items)}
-            assert set(before) - set(after) == {d for d, _, _ in test_decontaminate.brute(near.items(), items, 15, 5)}
+            assert set(before) - set(after) == {d for d, _, _ in test_decontaminate.brute(near.items(), items, 15, 1)}
         docs = out
     assert sum(r.length for r in out.collect()) == sum(r.doc_tokens for r in out.where("start = 0").collect())
 
