@@ -1,13 +1,15 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-p(word | before) = p(class of word | before) * p(word | class). The class of a word is its
-own for the most frequent words and for the end, else the cluster of its ending; clusters
-come from what stands next to endings, counted over all training documents. The first
-factor is a softmax whose logits are sums of weight rows, found by hashing features of
-the words before: the last word, the one before it (a skip), both together, and the
-pair of their classes. The second is (c + 1) / (N + V + 1) within the class (c: the word's
-count, N: all, V: distinct), so unseen words have a share in every class and
-probabilities sum to 1.
+p(word | before) = p(class | before) * p(cell | class, before) * p(word | cell). Both first
+factors are softmaxes whose logits are sums of weight rows, found by hashing features of the
+words before: the last word, the one before it (a skip), both together, and the last word's
+cell with the class before it; the second factor's rows by these and the class. The end and the
+most frequent words are a class, whose cells have a word each; other classes are clusters of
+word endings, and their cells hold a frequent word each or a cluster within the class. Clusters
+come from what stands next to endings, counted over all training documents. So context tells
+apart the frequent words, ten to a class, and the clusters; within a cluster of rarer words the
+third factor is (c + 1) / (N + V + 1) (c: the word's count, N: the cell's, V: its distinct
+words), so unseen words have a share in every cluster and probabilities sum to 1.
 
 Weights lie in shards, about one for every ``SHARD`` training tokens, each a table of its
 own, so that rows grow with the input. The events (a token's weight rows and class, packed in 64
@@ -31,22 +33,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.llm._shared import written
+from ballast.llm._shared import Scratch
 from ballast.llm._words import Words, mix, slices, words
 
 _U = np.uint64
 ENDINGS, AROUND = 1024, 128
-SINGLES, CLUSTERS = 10, 21
-CLASSES = SINGLES + 1 + CLUSTERS
-END = SINGLES  # class of the end
-#: Weight rows of each feature in a shard: last word, skip word, both, pair of classes (with one for "none").
-ROWS = (1 << 14, 1 << 13, 1 << 16, (CLASSES + 1) ** 2)
-_BASE = np.concatenate(([0], np.cumsum(ROWS)))
+#: Classes, cells of each, and how many cells of a class hold one frequent word.
+CLASSES, CELLS, SINGLES = 16, 16, 10
+END = 0  # cell of the end, the first of class 0
+#: Weight rows of each feature in a shard: last word, skip word, both, cell and class; for the class, and for the cell within it.
+ROWS = (1 << 14, 1 << 13, 1 << 16, 1 << 12)
+CELL_ROWS = (1 << 15, 1 << 14, 1 << 16, 1 << 15)
+_BASE, _CELL_BASE = (np.concatenate(([0], np.cumsum(x))) for x in (ROWS, CELL_ROWS))
 #: Training tokens a shard, about.
-SHARD = 1 << 20
-#: Where a packed event holds its four rows, its class and whether it is learnt from.
-_AT = tuple(map(_U, (0, 14, 27, 43, 54, 59)))
-_CHUNK = 1 << 18
+SHARD = 1 << 21
+#: Where a packed event holds its four rows, its cell and whether it is learnt from.
+_AT = tuple(map(_U, (0, 14, 27, 43, 55, 63)))
+_CHUNK = 1 << 17
 
 
 def endings(w: Words) -> np.ndarray:
@@ -62,22 +65,42 @@ def _neighbour(bucket: np.ndarray) -> np.ndarray:
     return bucket % AROUND
 
 
-def _count(docs: DataFrame) -> DataFrame:
-    """(kind, key, bucket, n): kind 0 words by hash, 1 ending followed by, 2 ending preceded by, 3 documents."""
+def _merged(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, buckets and counts of several slices as one."""
+    h, e, n = (np.concatenate(x) for x in zip(*parts))
+    u, first, at = np.unique(h, return_index=True, return_inverse=True)
+    return u, e[first], np.bincount(at, weights=n).astype(np.int64)
+
+
+def _count(docs: DataFrame, most: int = 1 << 19) -> DataFrame:
+    """(kind, key, bucket, n): kind 0 words by hash, 1 ending followed by, 2 ending preceded by, 3 documents.
+
+    A task combines its slices' words up to ``most`` of them before they leave it.
+    """
 
     def run(batches):
-        around, n_docs = np.zeros((2, ENDINGS, AROUND), np.int64), 0
+        around, n_docs, held, size = np.zeros((2, ENDINGS, AROUND), np.int64), 0, [], 0
         kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64()]
         row = lambda *cols: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["kind", "key", "bucket", "n"])
+        said = lambda u, e, n: row(np.zeros(len(u), np.int32), u.view(np.int64), e.astype(np.int32), n)
         for b in slices(batches, 1, 2 << 20):
             w = words(b.column(1), lower=True)
             h, e = w.hashes(), endings(w)
             u, first, n = np.unique(h, return_index=True, return_counts=True)
-            yield row(np.zeros(len(u), np.int32), u.view(np.int64), e[first].astype(np.int32), n)
+            held.append((u, e[first], n))
+            size += len(u)
+            if size > most:
+                held = [_merged(held)]
+                size = len(held[0][0])
+                if size > most // 2:
+                    yield said(*held[0])
+                    held, size = [], 0
             same = np.flatnonzero(np.diff(w.doc) == 0) if len(h) else np.zeros(0, np.int64)
             np.add.at(around[0], (e[same], _neighbour(e[same + 1])), 1)
             np.add.at(around[1], (e[same + 1], _neighbour(e[same])), 1)
             n_docs += b.num_rows
+        if held:
+            yield said(*_merged(held))
         for k in (0, 1):
             cells = np.flatnonzero(around[k])
             yield row(np.full(len(cells), k + 1, np.int32), cells, np.zeros(len(cells), np.int32), around[k].ravel()[cells])
@@ -86,7 +109,7 @@ def _count(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "kind int, key long, bucket int, n long").groupBy("kind", "key").agg(F.min("bucket").alias("bucket"), F.sum("n").alias("n"))
 
 
-def clusters(cells: np.ndarray, k: int = CLUSTERS, steps: int = 25) -> np.ndarray:
+def clusters(cells: np.ndarray, k: int, steps: int = 25) -> np.ndarray:
     """A cluster of each ending, by k-means on the roots of the shares of what stands around it; mass-weighted."""
     mass = cells.sum(axis=1)
     x = np.sqrt(cells / np.maximum(mass, 1)[:, None])
@@ -109,23 +132,30 @@ def clusters(cells: np.ndarray, k: int = CLUSTERS, steps: int = 25) -> np.ndarra
 
 
 class Model:
-    """What every task gets: head words with counts, classes; and the weights of one shard, which start at 0."""
+    """What every task gets: head words with counts, classes and cells; and the weights of one shard, which start at 0."""
 
-    def __init__(self, head: np.ndarray, head_count: np.ndarray, singles: np.ndarray, cluster: np.ndarray, log_z: np.ndarray, bias: np.ndarray, n: int, v: int, n_end: int):
+    def __init__(self, head: np.ndarray, head_count: np.ndarray, singles: np.ndarray, single_cell: np.ndarray, ending_cell: np.ndarray, log_z: np.ndarray, n_cell: np.ndarray, n: int, v: int, n_end: int):
         order = np.argsort(head)
         self.head, self.head_log = head[order], np.log10(head_count[order] + 1.0)
         order = np.argsort(singles)
-        self.singles, self.single_class = singles[order], order
-        self.cluster, self.log_z, self.bias, self.n, self.v, self.n_end = cluster, log_z, bias, n, v, n_end
+        self.singles, self.single_cell = singles[order], single_cell[order]
+        self.ending_cell, self.log_z, self.n, self.v, self.n_end = ending_cell, log_z, n, v, n_end
+        seen = n_cell.reshape(CLASSES, CELLS) + 1e-3
+        self.bias = np.log(seen.sum(axis=1) / seen.sum()).astype(np.float32)
+        self.cell_bias = np.log(seen / seen.sum(axis=1, keepdims=True)).astype(np.float32)
         self.spread()
-        self.w = np.zeros((int(_BASE[-1]), CLASSES), np.float32)
+        self.clear()
+
+    def clear(self) -> None:
+        self.w, self.u = (np.zeros((sum(x), n), np.float32) for x, n in ((ROWS, CLASSES), (CELL_ROWS, CELLS)))
+        self.seen, self.cell_seen = (np.zeros(sum(x), np.int64) for x in (ROWS, CELL_ROWS))
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "w"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("w", "u", "seen", "cell_seen")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ = state
-        self.w = np.zeros((int(_BASE[-1]), CLASSES), np.float32)
+        self.clear()
 
     def spread(self, shard: int | None = None) -> None:
         """Sets the number of shards, and over how many each frequent word is split; 1 and 2 stand for no word before."""
@@ -151,12 +181,12 @@ class Model:
         return (mix(one + part * _U(0xA0761D6478BD642F)) % _U(self.shards)).astype(np.int64)
 
     def tokens(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hash (0: the end) and class of each token, the first token of each document and of the next."""
+        """Hash (0: the end) and cell of each token, the first token of each document and of the next."""
         h = w.hashes()
-        c = self.cluster[endings(w)] + SINGLES + 1
+        c = self.ending_cell[endings(w)]
         if len(self.singles):
             k = np.minimum(np.searchsorted(self.singles, h), len(self.singles) - 1)
-            c = np.where(self.singles[k] == h, self.single_class[k], c)
+            c = np.where(self.singles[k] == h, self.single_cell[k], c)
         first = w.first + np.arange(len(w.first))
         at = np.ones(first[-1], bool)
         at[first[1:] - 1] = False
@@ -164,67 +194,84 @@ class Model:
         hs[at], cs[at] = h, c
         return hs, cs, first
 
-    def contexts(self, h: np.ndarray, c: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The word before each token, the one before that, and their classes."""
+    def contexts(self, h: np.ndarray, c: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The word before each token, the one before that, and a number of the first's cell and the second's class."""
         n = len(h)
         place = np.arange(n) - np.repeat(first[:-1], np.diff(first))
         one, two = np.zeros(n, _U), np.zeros(n, _U)
         one[1:], two[2:] = h[:-1], h[:-2]
-        c1, c2 = np.full(n, CLASSES), np.full(n, CLASSES)
-        c1[1:], c2[2:] = c[:-1], c[:-2]
-        one[place < 1], two[place < 2], c1[place < 1], c2[place < 2] = _U(1), _U(2), CLASSES, CLASSES
-        return one, two, c1, c2
-
-    def rows(self, h: np.ndarray, c: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The weight rows of each token's four features."""
-        return self.rows_of(*self.contexts(h, c, first))
-
-    def rows_of(self, one: np.ndarray, two: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
-        n = len(one)
-        out = np.empty((4, n), np.int64)
-        out[0] = _BASE[0] + (mix(one) % _U(ROWS[0])).astype(np.int64)
-        out[1] = _BASE[1] + (mix(two + _U(0x9E3779B97F4A7C15)) % _U(ROWS[1])).astype(np.int64)
-        out[2] = _BASE[2] + (mix(one * _U(3) ^ mix(two)) % _U(ROWS[2])).astype(np.int64)
-        out[3] = _BASE[3] + c1 * (CLASSES + 1) + c2
-        return out
+        c1, c2 = np.full(n, CLASSES * CELLS), np.full(n, CLASSES)
+        c1[1:], c2[2:] = c[:-1], c[:-2] // CELLS
+        one[place < 1], two[place < 2], c1[place < 1], c2[place < 2] = _U(1), _U(2), CLASSES * CELLS, CLASSES
+        return one, two, c1 * (CLASSES + 1) + c2
 
-    def log_p(self, rows: np.ndarray) -> np.ndarray:
+    def rows_of(self, one: np.ndarray, two: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """The four features' rows of each token, each counted from its feature's first."""
+        keys = (one, two + _U(0x9E3779B97F4A7C15), one * _U(3) ^ mix(two), cells.astype(_U) * _U(0xD6E8FEB86659FD93))
+        return np.stack([(mix(k) & _U(n - 1)).astype(np.uint16) for k, n in zip(keys, ROWS)])
+
+    def cell_rows(self, rows: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The rows that the cell within class c has by the same features."""
+        return np.stack([(mix(r.astype(_U) * _U(CLASSES) + c.astype(_U) + _U(i << 40)) & _U(n - 1)).astype(np.uint16) for i, (r, n) in enumerate(zip(rows, CELL_ROWS))])
+
+    def log_classes(self, rows: np.ndarray) -> np.ndarray:
         """Natural logarithms of class probabilities, a row a token."""
-        x = self.w[rows[0]] + self.bias
-        for r in rows[1:]:
-            x += self.w[r]
-        x -= x.max(axis=1, keepdims=True)
-        return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+        return _log_softmax(self.bias, self.w, _BASE, rows)
+
+    def log_cells(self, rows: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The same of the cells within class c of each token."""
+        return _log_softmax(self.cell_bias[c], self.u, _CELL_BASE, self.cell_rows(rows, c))
 
-    def train(self, rows: np.ndarray, c: np.ndarray, seen: np.ndarray, rate: float, batch: int = 4096) -> None:
+    def log_p(self, rows: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """Natural logarithm of each token's cell: both factors."""
+        at, c = np.arange(len(cell)), cell // CELLS
+        return self.log_classes(rows)[at, c] + self.log_cells(rows, c)[at, cell % CELLS]
+
+    def train(self, rows: np.ndarray, cell: np.ndarray, rate: float, batch: int = 4096) -> None:
         for a in range(0, rows.shape[1], batch):
-            r, y = rows[:, a : a + batch], c[a : a + batch]
-            g = np.exp(self.log_p(r))
-            g[np.arange(len(y)), y] -= 1
-            for f in r:
-                order = np.argsort(f, kind="stable")
-                s = f[order]
-                start = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-                u, k = s[start], np.diff(np.concatenate((start, [len(s)])))
-                seen[u] += k
-                self.w[u] -= np.add.reduceat(g[order], start, axis=0) * (rate / (20 + seen[u]) ** 0.75)[:, None].astype(np.float32)
+            r, y = rows[:, a : a + batch], cell[a : a + batch]
+            at, c = np.arange(len(y)), y // CELLS
+            within = self.cell_rows(r, c)
+            for w, seen, base, f, g, k in ((self.w, self.seen, _BASE, r, self.log_classes(r), c), (self.u, self.cell_seen, _CELL_BASE, within, _log_softmax(self.cell_bias[c], self.u, _CELL_BASE, within), y % CELLS)):
+                g = np.exp(g)
+                g[at, k] -= 1
+                for i in range(4):
+                    _descend(w, seen, base[i], f[i], g, rate)
+
+
+def _log_softmax(bias: np.ndarray, w: np.ndarray, base: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    x = w[rows[0] + base[0]] + bias
+    for i in range(1, len(rows)):
+        x += w[rows[i] + base[i]]
+    x -= x.max(axis=1, keepdims=True)
+    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+
+
+def _descend(w: np.ndarray, seen: np.ndarray, base: int, rows: np.ndarray, g: np.ndarray, rate: float) -> None:
+    """A gradient step of the rows: events' gradients summed by row, with a rate that falls by what the row has seen."""
+    order = np.argsort(rows, kind="stable")
+    s = rows[order]
+    start = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+    u = s[start] + base
+    seen[u] += np.diff(np.concatenate((start, [len(s)])))
+    w[u] -= np.add.reduceat(g[order], start, axis=0) * (rate / (20 + seen[u]) ** 0.75)[:, None].astype(np.float32)
 
 
 def held_out_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2
 
 
-def pack(rows: np.ndarray, c: np.ndarray, learnt: np.ndarray) -> np.ndarray:
-    out = learnt.astype(_U) << _AT[5] | c.astype(_U) << _AT[4]
+def pack(rows: np.ndarray, cell: np.ndarray, learnt: np.ndarray) -> np.ndarray:
+    out = learnt.astype(_U) << _AT[5] | cell.astype(_U) << _AT[4]
     for i in range(4):
-        out |= (rows[i] - _BASE[i]).astype(_U) << _AT[i]
+        out |= rows[i].astype(_U) << _AT[i]
     return out
 
 
 def unpack(events: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, classes, and which events are learnt from."""
-    cut = lambda i: ((events >> _AT[i]) & ((_U(1) << (_AT[i + 1] - _AT[i])) - _U(1))).astype(np.int64)
-    return np.stack([cut(i) + _BASE[i] for i in range(4)]), cut(4), (events >> _AT[5]) > 0
+    """Rows, cells, and which events are learnt from."""
+    cut = lambda i: (events >> _AT[i]) & ((_U(1) << (_AT[i + 1] - _AT[i])) - _U(1))
+    return np.stack([cut(i).astype(np.uint16) for i in range(4)]), cut(4).astype(np.int64), (events >> _AT[5]) > 0
 
 
 def _pressed(x: np.ndarray) -> bytes:
@@ -239,9 +286,9 @@ def _restored(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, n).T).view(f"<u{size}").ravel()
 
 
-def train_model(spark: SparkSession, docs: DataFrame, head_words: int = 1 << 17) -> tuple[Model, DataFrame]:
+def train_model(scratch: Scratch, docs: DataFrame, head_words: int = 1 << 17) -> tuple[Model, DataFrame]:
     """A model of all rows of docs (doc_id, text) as every shard starts from it, and the table (key, n) of all words' counts."""
-    counts = written(spark, _count(docs), "word-counts")
+    counts = scratch.written(_count(docs), "word-counts")
     total = {r.kind: (r.n or 0, r.v) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     n_words, n_distinct = total.get(0, (0, 0))
     n_end = total.get(3, (0, 0))[0]
@@ -257,22 +304,34 @@ def train_model(spark: SparkSession, docs: DataFrame, head_words: int = 1 << 17)
     cells = np.zeros((2, ENDINGS * AROUND))
     for r in counts.where("kind IN (1, 2)").collect():
         cells[r.kind - 1, r.key] = r.n
-    cluster = clusters(np.concatenate([c.reshape(ENDINGS, AROUND) for c in cells], axis=1))
-    top = sorted(head, key=lambda r: (-r.n, r.key))[:SINGLES]
-    n_class, v_class = np.zeros(CLASSES), np.zeros(CLASSES)
+    around = np.concatenate([c.reshape(ENDINGS, AROUND) for c in cells], axis=1)
+    of_class = 1 + clusters(around, CLASSES - 1)
+    ending_cell = np.zeros(ENDINGS, np.int64)
+    for c in range(1, CLASSES):
+        own = of_class == c
+        ending_cell[own] = c * CELLS + SINGLES + clusters(around * own[:, None], CELLS - SINGLES)[own]
+    # a cell each: the most frequent words in class 0 after the end, then those of each class
+    singles, used = [], np.zeros(CLASSES, np.int64)
+    used[0] = 1
+    for r in sorted(head, key=lambda r: (-r.n, r.key)):
+        c = 0 if used[0] < CELLS else of_class[r.bucket]
+        if used[c] < (CELLS if c == 0 else SINGLES):
+            singles.append((r, c * CELLS + used[c]))
+            used[c] += 1
+    n_cell, v_cell = np.zeros((2, CLASSES * CELLS))
     for r in counts.where("kind = 0").groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        n_class[SINGLES + 1 + cluster[r.bucket]] += r.n
-        v_class[SINGLES + 1 + cluster[r.bucket]] += r.v
-    z = np.ones(CLASSES)
-    for i, r in enumerate(top):
-        n_class[SINGLES + 1 + cluster[r.bucket]] -= r.n
-        v_class[SINGLES + 1 + cluster[r.bucket]] -= 1
-        n_class[i], z[i] = r.n, r.n + 1.0
-    n_class[END], z[END] = n_end, n_end + 1.0
-    z[END + 1 :] = n_class[END + 1 :] + v_class[END + 1 :] + 1
-    prior = (n_class + 1e-3) / (n_class + 1e-3).sum()
+        n_cell[ending_cell[r.bucket]] += r.n
+        v_cell[ending_cell[r.bucket]] += r.v
+    z = np.ones(CLASSES * CELLS)
+    n_cell[END], z[END] = n_end, n_end + 1.0
+    for r, c in singles:
+        n_cell[ending_cell[r.bucket]] -= r.n
+        v_cell[ending_cell[r.bucket]] -= 1
+        n_cell[c], z[c] = r.n, r.n + 1.0
+    rest = np.unique(ending_cell)
+    z[rest] = n_cell[rest] + v_cell[rest] + 1
     as_hash = lambda rows: np.array([r.key for r in rows], np.int64).view(_U)
-    model = Model(as_hash(head), np.array([r.n for r in head], float), as_hash(top), cluster, np.log10(z), np.log(prior).astype(np.float32), n_words + n_end, n_distinct + bool(n_end), n_end)
+    model = Model(as_hash(head), np.array([r.n for r in head], float), as_hash([r for r, _ in singles]), np.array([c for _, c in singles], np.int64), ending_cell, np.log10(z), n_cell, n_words + n_end, n_distinct + bool(n_end), n_end)
     return model, counts.where("kind = 0").select("key", "n")
 
 
@@ -293,9 +352,9 @@ def _events(docs: DataFrame, held) -> DataFrame:
             h, c, first = m.tokens(w)
             n = np.diff(first)
             doc = np.repeat(np.arange(b.num_rows), n)
-            one, two, c1, c2 = m.contexts(h, c, first)
+            one, two, pair = m.contexts(h, c, first)
             learnt = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            events = pack(m.rows_of(one, two, c1, c2), c, learnt[doc])
+            events = pack(m.rows_of(one, two, pair), c, learnt[doc])
             shard = m.shard(one, two, mix(doc.astype(_U) + mix(np.array([at], _U))))
             order = np.argsort(shard.astype(np.uint16) if m.shards < 1 << 16 else shard, kind="stable")
             shard, events, doc_of = shard[order], events[order], doc[order]
@@ -333,21 +392,20 @@ def _in_shards(events: DataFrame, held, rate: float) -> DataFrame:
         m = pickle.loads(held.value)
         blobs = [_restored(x) for x in t.column("event").to_pylist()]
         events = np.concatenate(blobs)
-        seen = np.zeros(len(m.w), np.int64)
         for a in range(0, len(events), _CHUNK):
             rows, c, learnt = unpack(events[a : a + _CHUNK])
-            m.train(rows[:, learnt], c[learnt], seen, rate)
-        lp = np.empty(len(events))
+            m.train(rows[:, learnt], c[learnt], rate)
+        lp = np.empty(len(events), np.float32)
         for a in range(0, len(events), 8192):
             rows, c, _ = unpack(events[a : a + 8192])
-            lp[a : a + 8192] = m.log_p(rows)[np.arange(len(c)), c]
+            lp[a : a + 8192] = m.log_p(rows, c)
         docs, sums, at = [], [], 0
         for blob, step in zip(blobs, t.column("doc").to_pylist()):
             step = _restored(step)
             doc = np.cumsum(step, dtype=np.int64)
             start = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
             docs.append(_pressed(np.diff(doc[start], prepend=0).astype(step.dtype)))
-            sums.append(np.add.reduceat(lp[at : at + len(blob)], start).astype("<f4").tobytes())
+            sums.append(np.add.reduceat(lp[at : at + len(blob)].astype(float), start).astype("<f4").tobytes())
             at += len(blob)
         return out(t.column("slice").to_numpy(), docs, sums)
 
@@ -378,17 +436,21 @@ def score_documents(spark: SparkSession, docs: DataFrame, rate: float = 2.0, tex
     often as they are there. With nothing to learn from every class has its prior share. An
     empty table gives no rows; other columns are not read.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    model, counts = train_model(spark, src.where(~held_out_id(F.col("doc_id"))))
-    held = spark.sparkContext.broadcast(pickle.dumps(model))
-    learnt = F.coalesce(~held_out_id(F.col("doc_id")), F.lit(False)).alias("learnt")
-    scored = _documents(_in_shards(_events(src.select("*", learnt), held), held, rate))
-    scored = written(spark, scored.select(F.monotonically_increasing_id().alias("row"), "*"), "scored")
-    rest = scored.select("row", F.explode("tail").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times")).join(counts, "key")
-    rest = rest.groupBy("row").agg(F.sum("times").alias("n_rest"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("log_rest"))
-    out = scored.drop("tail").join(rest, "row", "left")
-    logs = F.col("log_head") + F.coalesce("log_rest", F.lit(0.0))
-    return out.select(
-        "doc_id", F.coalesce(held_out_id(F.col("doc_id")), F.lit(False)).alias("held_out"), "n_tokens", (F.col("n_head") + F.coalesce("n_rest", F.lit(0))).alias("n_known"),
-        F.lit(model.n).cast("long").alias("train_tokens"), (logs - F.col("n_tokens") * math.log10(model.n + model.v + 1)).alias("base_score"), (logs + F.col("part")).alias("score"),
-    )
+    with Scratch(spark) as scratch:
+        src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        model, counts = train_model(scratch, src.where(~held_out_id(F.col("doc_id"))))
+        held = spark.sparkContext.broadcast(pickle.dumps(model))
+        learnt = F.coalesce(~held_out_id(F.col("doc_id")), F.lit(False)).alias("learnt")
+        scored = _documents(_in_shards(_events(src.select("*", learnt), held), held, rate))
+        scored = scratch.written(scored.select(F.monotonically_increasing_id().alias("row"), "*"), "scored")
+        rest = scored.select("row", F.explode("tail").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times")).join(counts, "key")
+        rest = rest.groupBy("row").agg(F.sum("times").alias("n_rest"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("log_rest"))
+        out = scored.drop("tail").join(rest, "row", "left")
+        logs = F.col("log_head") + F.coalesce("log_rest", F.lit(0.0))
+        out = out.select(
+            "doc_id", F.coalesce(held_out_id(F.col("doc_id")), F.lit(False)).alias("held_out"), "n_tokens", (F.col("n_head") + F.coalesce("n_rest", F.lit(0))).alias("n_known"),
+            F.lit(model.n).cast("long").alias("train_tokens"), (logs - F.col("n_tokens") * math.log10(model.n + model.v + 1)).alias("base_score"), (logs + F.col("part")).alias("score"),
+        )
+        out = scratch.keep(out, "scores")
+        held.destroy()
+        return out
