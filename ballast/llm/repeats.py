@@ -247,7 +247,7 @@ def find_repeats(scratch: Scratch, docs: DataFrame, window: int = 50, phrase: in
     shards = max(-(-size // shard_bytes), min(tasks, -(-size // (shard_bytes // 4))), 1)
     shard = F.pmod(F.xxhash64("least"), F.lit(shards)).alias("shard")
     files = scratch.path("phrase-shards")
-    scratch.written(_write_shards(recurring.select(shard, "said").repartition(tasks, "shard").sortWithinPartitions("shard", "said"), files), "shards")
+    _write_shards(recurring.select(shard, "said").repartition(tasks, "shard").sortWithinPartitions("shard", "said"), files).write.format("noop").mode("overwrite").save()
 
     own = long.select("doc_id", "seq", F.explode("phrases").alias("phrase"))
     by_doc = own.join(recurring.select("phrase", shard), "phrase").groupBy("doc_id", "seq").agg(F.collect_set("shard").alias("shards"))
