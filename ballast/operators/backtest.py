@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ballast.functions import rules
 from ballast.operators import combos, scoring, settle
 from ballast.schema import BACKTEST_STEPS, MIN_HISTORY, Params
+from ballast.sources.files import materialised
 
 
 def backtest(spark: SparkSession, draws: DataFrame, params: Params, n: int, periods: int = BACKTEST_STEPS, scorer=None, seed: int | None = 42, names=rules.FAST) -> DataFrame | None:
@@ -16,9 +17,9 @@ def backtest(spark: SparkSession, draws: DataFrame, params: Params, n: int, peri
         return None
     first, last = n - periods, n - 1
     # 49 rows a step each, and read by several branches of the plan
-    stats = scoring.ball_stats(spark, draws, params.decay_factor, first, last).persist()
+    stats = materialised(spark, scoring.ball_stats(spark, draws, params.decay_factor, first, last), "stats")
     probs = (scorer or scoring.SqlScorer()).probabilities(spark, draws, first, last)
-    rank = scoring.ranked(scoring.scores(stats, probs, params)).persist()
+    rank = materialised(spark, scoring.ranked(scoring.scores(stats, probs, params)), "rank")
     chosen = combos.pool_combinations(scoring.red_pool(rank))
     kept = combos.passed(chosen, combos.context(draws, stats), seed, names)
     top_blue = scoring.blue_pool(rank, 1).select("step", F.col("ball").alias("blue"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ballast.functions import balls as fb
 from ballast.functions import rules
-from ballast.schema import NUM_PICKS, PICK, RED_MAX, REJECTED_DRAWS
+from ballast.schema import LISTED, NUM_PICKS, PICK, RED_MAX, REJECTED_DRAWS
 
 
 def all_combinations(spark: SparkSession, parts: int | None = None) -> DataFrame:
@@ -85,6 +85,19 @@ def not_in_library(combos: DataFrame, library: DataFrame) -> DataFrame:
     return combos.join(library, "mask", "left_anti")
 
 
+def candidate_lines(kept: DataFrame, threshold: int = LISTED, all_of_them: bool = False) -> DataFrame:
+    """(line_no, line): the passed combinations in ascending order, one a line, where they are fewer than ``threshold``; more only if asked for.
+
+    kept are those of one step, at most some thousands.
+    """
+    w = Window.orderBy(*fb.B)
+    n = kept.agg(F.count("*").alias("n"))
+    rows = kept.select(*fb.B, F.row_number().over(w).alias("line_no")).crossJoin(F.broadcast(n))
+    width = F.when(F.col("n") < threshold, F.format_string("%2d", "line_no")).otherwise(F.format_string("%3d", "line_no"))
+    line = F.concat(F.lit("  组合 "), width, F.lit(": "), F.format_string(" ".join(["%02d"] * PICK), *fb.B))
+    return rows.where(F.lit(all_of_them) | (F.col("n") < threshold)).select(F.col("line_no").cast("long").alias("line_no"), line.alias("line"))
+
+
 def in_passed(combos: DataFrame, kept: DataFrame) -> DataFrame:
     return combos.join(kept.select("mask"), "mask", "left_semi")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ballast.functions import balls as fb
-from ballast.schema import PICK, RED_MAX, WINDOW
+from ballast.schema import BLUE_MAX, PICK, RED_MAX, WINDOW
 
 CHUNK = 1 << 16
 
@@ -53,8 +53,7 @@ def lag1(column: str):
 
 def wide(df: DataFrame) -> DataFrame:
     """issue, reds (array), blue and more -> b1..b6 ascending, and their mask; other columns stay."""
-    reds = F.array_sort("reds")
-    out = df.withColumn("reds", reds)
+    out = df.withColumn("reds", F.sort_array("reds"))
     out = out.select("*", *(F.get("reds", F.lit(i)).cast("int").alias(fb.B[i]) for i in range(PICK)))
     return out.withColumn("mask", fb.mask_of(fb.cols()))
 
@@ -64,14 +63,15 @@ def draws_from_orders(orders: DataFrame) -> DataFrame:
 
     The six balls with the least of a mixing value, found inside the row.
     """
-    key = lambda b: ((F.col("o_orderkey") + 1) * 7919 + b * 104729 + (F.col("o_custkey") % 97) * b * b * 31) % 10007
-    ranked = F.sort_array(F.transform(F.sequence(F.lit(1).cast("long"), F.lit(RED_MAX).cast("long")), lambda b: F.struct(key(b).alias("k"), b.alias("b"))))
-    reds = F.transform(F.slice(ranked, 1, PICK), lambda s: s.b.cast("int"))
-    out = orders.select(F.col("o_orderkey").alias("issue"), F.to_date("o_orderdate").alias("draw_date"), reds.alias("reds"), ((F.col("o_orderkey") * 31 + F.col("o_custkey") * 17) % BLUE + 1).cast("int").alias("blue"))
-    return wide(out)
+    base = orders.select("o_orderkey", "o_custkey", "o_orderdate", ((F.col("o_orderkey") + 1) * 7919).alias("_a"), (F.col("o_custkey") % 97 * 31).alias("_c"))
+    # value and ball in one integer: an array of plain integers is sorted in generated code
+    keys = F.sort_array(F.array(*(((F.col("_a") + b * 104729 + F.col("_c") * (b * b)) % 10007) * 64 + b for b in range(1, RED_MAX + 1))))
+    ranked = base.select("*", keys.alias("_keys"))
+    reds = F.sort_array(F.array(*((F.get("_keys", F.lit(i)) % 64).cast("int") for i in range(PICK))))
+    blue = (F.col("o_orderkey") * 31 + F.col("o_custkey") * 17) % BLUE_MAX + 1
+    return wide(ranked.select(F.col("o_orderkey").alias("issue"), F.to_date("o_orderdate").alias("draw_date"), reds.alias("reds"), blue.cast("int").alias("blue")))
 
 
-BLUE = 16
 
 STATIC_FEATURES = {
     "red_sum": lambda: fb.total(fb.cols()),
@@ -113,8 +113,12 @@ def next_labels(draws: DataFrame) -> DataFrame:
     return draws.join(ahead, "idx", "left").select("idx", "issue", "next_mask", "next_blue")
 
 
+def mean_filled(rows: DataFrame, feats: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (issue, columns), null features replaced by their means over ``feats``, which are one row."""
+    means = feats.agg(*(F.avg(c).alias(f"_{c}") for c in columns))
+    return rows.crossJoin(F.broadcast(means)).select("issue", *(F.coalesce(F.col(c).cast("double"), F.col(f"_{c}")).alias(c) for c in columns))
+
+
 def last_row_filled(feats: DataFrame, columns: list[str]) -> DataFrame:
     """The last row, its null features replaced by the history's means."""
-    means = feats.agg(*(F.avg(c).alias(f"_{c}") for c in columns))
-    last = feats.orderBy(F.desc("idx")).limit(1)
-    return last.crossJoin(F.broadcast(means)).select("issue", *(F.coalesce(F.col(c).cast("double"), F.col(f"_{c}")).alias(c) for c in columns))
+    return mean_filled(feats.orderBy(F.desc("idx")).limit(1), feats, columns)

@@ -21,8 +21,8 @@ def domain(spark: SparkSession) -> DataFrame:
 
 def drawn(draws: DataFrame) -> DataFrame:
     """(idx, color, ball): a row a ball drawn."""
-    red = draws.select("idx", F.lit("red").alias("color"), F.explode(F.array(*fb.B)).alias("ball"))
-    return red.unionByName(draws.select("idx", F.lit("blue").alias("color"), F.col("blue").cast("int").alias("ball")))
+    ball = lambda color, c: F.struct(F.lit(color).alias("color"), F.col(c).cast("int").alias("ball"))
+    return draws.select("idx", F.inline(F.array(*(ball("red", b) for b in fb.B), ball("blue", "blue"))))
 
 
 def ball_stats(spark: SparkSession, draws: DataFrame, decay: float, first_step: int, last_step: int) -> DataFrame:
@@ -73,27 +73,47 @@ class SqlScorer:
 
 
 class GbtScorer:
-    """Gradient-boosted trees of pyspark.ml, one classifier a ball, for the last step only: a slow, optional choice."""
+    """Gradient-boosted trees of pyspark.ml: a classifier a ball and step, on the draws that the step can see.
 
-    def __init__(self, features: list[str], max_iter: int = 10, seed: int = 42):
-        self.features, self.max_iter, self.seed = features, max_iter, seed
+    A slow, optional choice in place of SqlScorer: a backtest fits 49 models a step. Each learns
+    from the rows whose next draw the step knows, warm-up aside, and predicts from the last
+    one, whose null features take the means of what the step has seen. A ball that always or
+    never came has no model and no row; scores() reads that as 0. ``balls`` names the (color, ball)
+    to model, all where None; others have no row either.
+    """
+
+    def __init__(self, features: list[str] | None = None, max_iter: int = 10, max_depth: int = 5, seed: int = 42, balls: list[tuple[str, int]] | None = None):
+        from ballast.operators import draws
 
-    def probabilities(self, spark: SparkSession, feats: DataFrame, step: int) -> DataFrame:
-        """feats: positions, features, mask, blue, next_mask, next_blue."""
+        self.features, self.max_iter, self.max_depth, self.seed = features or draws.FEATURES, max_iter, max_depth, seed
+        self.balls = balls or [(color, b) for color, top in (("red", RED_MAX), ("blue", BLUE_MAX)) for b in range(1, top + 1)]
+
+    def probabilities(self, spark: SparkSession, draws: DataFrame, first_step: int, last_step: int) -> DataFrame:
+        """(step, color, ball, prob), as SqlScorer gives; draws have positions."""
         from pyspark.ml.classification import GBTClassifier
         from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.functions import vector_to_array
 
-        data = VectorAssembler(inputCols=self.features, outputCol="x").transform(feats.dropna(subset=self.features)).cache()
-        rows, last = [], data.where(F.col("idx") == step - 1)
-        for color, top in (("red", RED_MAX), ("blue", BLUE_MAX)):
-            for ball in range(1, top + 1):
-                label = fb.hits(F.col("next_mask"), F.lit(1 << ball)) if color == "red" else (F.col("next_blue") == ball)
-                train = data.where(f"next_mask IS NOT NULL AND idx >= {WARM_UP}").withColumn("y", label.cast("double"))
-                if train.select("y").distinct().count() < 2:
-                    continue
-                model = GBTClassifier(featuresCol="x", labelCol="y", maxIter=self.max_iter, seed=self.seed).fit(train)
-                rows.append((step, color, ball, model.transform(last).select(vector_to_array("probability")[1]).first()[0]))
+        from ballast.operators.draws import features, mean_filled, next_labels
+
+        feats = features(draws)
+        labels = next_labels(draws).select("idx", "next_mask", "next_blue")
+        data = feats.select("idx", "issue", *self.features).join(labels, "idx").persist()
+        assemble = VectorAssembler(inputCols=self.features, outputCol="x")
+        rows = []
+        for step in range(first_step, last_step + 1):
+            known = data.where((F.col("idx") >= WARM_UP) & (F.col("idx") <= step - 2) & F.col("next_mask").isNotNull()).dropna(subset=self.features)
+            train = assemble.transform(known).select("x", "next_mask", "next_blue").persist()
+            last = assemble.transform(mean_filled(data.where(F.col("idx") == step - 1), data.where(F.col("idx") < step), self.features)).select("x").persist()
+            hit = lambda color, ball: F.col("next_mask").bitwiseAND(F.lit(1 << ball)) != 0 if color == "red" else F.col("next_blue") == ball
+            came = train.agg(F.count("*"), *(F.count(F.when(hit(c, b), 1)) for c, b in self.balls)).first()
+            for (color, ball), n in zip(self.balls, came[1:]):
+                if 0 < n < came[0]:
+                    model = GBTClassifier(featuresCol="x", labelCol="y", maxIter=self.max_iter, maxDepth=self.max_depth, seed=self.seed).fit(train.withColumn("y", hit(color, ball).cast("double")))
+                    rows += [(step, color, ball, r[0]) for r in model.transform(last).select(vector_to_array("probability")[1]).collect()]
+            train.unpersist()
+            last.unpersist()
+        data.unpersist()
         return spark.createDataFrame(rows, "step long, color string, ball int, prob double")
 
 

@@ -9,12 +9,33 @@ from ballast.functions import balls as fb
 from ballast.schema import COST, NO_PRIZE, PICK, combinations_dim, prize_rules
 
 
-def settle_single(bets: DataFrame, draws: DataFrame, on=None) -> DataFrame:
-    """bets (mask, blue and more) x draws (mask, blue): hits, prize, tier and a text. ``on`` pairs them; without, every bet meets every draw given."""
+#: Most rows that are broadcast where every bet meets every draw.
+FEW = 100_000
+
+
+def _met(bets: DataFrame, draws: DataFrame, on: str | None) -> DataFrame:
+    """bets with the draws' win_mask and win_blue, paired by ``on``; without, every bet with every draw given.
+
+    Draws grow with the history, so then the bets are broadcast, after their number is
+    known to be few; more bets meet the draws partition by partition.
+    """
     d = draws.select(F.col("mask").alias("win_mask"), F.col("blue").alias("win_blue"), *([F.col(on)] if on else []))
-    both = bets.join(d, on) if on else bets.crossJoin(F.broadcast(d))
+    if on:
+        return bets.join(d, on)
+    few = bets.limit(FEW + 1).count() <= FEW
+    return d.crossJoin(F.broadcast(bets) if few else bets).select(*bets.columns, "win_mask", "win_blue")
+
+
+def settle_single(bets: DataFrame, draws: DataFrame, on: str | None = None) -> DataFrame:
+    """bets (mask, blue and more) x draws (mask, blue): hits, prize, tier and a text. ``on`` pairs them; without, every bet meets every draw given."""
+    both = _met(bets, draws, on)
     both = both.withColumn("red_hits", fb.hits(F.col("mask"), F.col("win_mask")).cast("int")).withColumn("blue_hit", (F.col("blue") == F.col("win_blue")).cast("int"))
-    out = both.join(F.broadcast(prize_rules(bets.sparkSession)), ["red_hits", "blue_hit"], "left")
+    return priced(both)
+
+
+def priced(hits: DataFrame) -> DataFrame:
+    """Rows with red_hits and blue_hit, and their prize, tier, tier_rank and text."""
+    out = hits.join(F.broadcast(prize_rules(hits.sparkSession)), ["red_hits", "blue_hit"], "left")
     return out.withColumn("prize", F.coalesce("prize", F.lit(0).cast("long"))).withColumn("tier", F.coalesce("tier", F.lit(NO_PRIZE))).withColumn("hit_text", F.format_string("命中%d+%d", "red_hits", "blue_hit"))
 
 
@@ -25,8 +46,7 @@ def settle_duplex(bets: DataFrame, draws: DataFrame, on: str | None = None, only
     7 reds in the last tier). Counted are combinations with the winning blue if it was
     selected, else those without; ``only_hit_blue=False`` also counts each losing blue.
     """
-    d = draws.select(F.col("mask").alias("win_mask"), F.col("blue").alias("win_blue"), *([F.col(on)] if on else []))
-    both = bets.join(d, on) if on else bets.crossJoin(F.broadcast(d))
+    both = _met(bets, draws, on)
     hits = fb.hits(F.col("mask"), F.col("win_mask")).cast("int")
     both = both.withColumn("red_hits", hits).withColumn("misses", (F.bit_count("mask") - hits).cast("int")).withColumn("blue_hits", F.array_contains("blues", F.col("win_blue")).cast("int"))
     rules = F.broadcast(prize_rules(bets.sparkSession).withColumnsRenamed({"red_hits": "r", "blue_hit": "b", "prize": "amount"}))

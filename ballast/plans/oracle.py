@@ -49,6 +49,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY step, color ORDER BY score
 _ONE_STEP = ",\nsteps AS (SELECT count(*) AS step FROM draws)"
 _LAST_50 = ",\nsteps AS (SELECT idx AS step FROM draws WHERE idx >= (SELECT count(*) FROM draws) - 50)"
 
+_BEFORE_LAST = ",\nsteps AS (SELECT count(*) - 1 AS step FROM draws)"
+
 _BITS = "bit_count(CAST({} AS BIGINT))"
 _RULES = {
     "r1_not_regular": "len(list_distinct([b2-b1, b3-b2, b4-b3, b5-b4, b6-b5])) > 1",
@@ -126,7 +128,23 @@ def oracle_sql() -> dict[str, str]:
         "contrarian_pool": f"{_W}{_NOW} SELECT ball, rn FROM ranked WHERE color = 'red' AND rn > 16",
         "top_blue": f"{_W}{_NOW} SELECT ball, rn FROM ranked WHERE color = 'blue' AND rn <= 7",
         "next_draw_labels": f"{_W}{_DRAWS} SELECT issue, lead(mask) OVER (ORDER BY idx) AS next_mask, lead(blue) OVER (ORDER BY idx) AS next_blue FROM draws",
-        "feature_mean_fill": f"{_W}{_DRAWS}{_FEAT}{_WINDOWED} SELECT issue, {', '.join(f'round({c}, 6) AS {c}' for c in _LAGS + _MAS)} FROM (SELECT issue, idx, {', '.join(f'coalesce({c}, avg({c}) OVER ()) AS {c}' for c in _LAGS + _MAS)} FROM windowed) WHERE idx = 0",
+        "feature_mean_fill": f"{_W}{_DRAWS}{_FEAT}{_WINDOWED} SELECT issue, {', '.join(f'round({c}, 6) AS {c}' for c in _LAGS + _MAS)} FROM (SELECT issue, idx, {', '.join(f'coalesce({c}, avg({c}) OVER ()) AS {c}' for c in _LAGS + _MAS)} FROM windowed)",
+        "csv_history": f"{_W}{_DRAWS} SELECT issue, strftime(draw_date, '%Y-%m-%d') AS draw_date, array_to_string(reds, ',') AS reds, blue FROM draws",
+        "candidate_list": f"""{_W}{_NOW}{_CTX}{_POOL}{_KEPT}, numbered AS (SELECT *, row_number() OVER (ORDER BY b1, b2, b3, b4, b5, b6) AS line_no, count(*) OVER () AS n FROM kept)
+            SELECT line_no, '  组合 ' || CASE WHEN n < 100 THEN printf('%2d', line_no) ELSE printf('%3d', line_no) END || ': ' || printf('%02d %02d %02d %02d %02d %02d', b1, b2, b3, b4, b5, b6) AS line FROM numbered""",
+        "settle_from_files": f"""{_W}{_DRAWS}{_BEFORE_LAST}{_SCORE}{_CTX}{_POOL}{_KEPT}, {_RULE_TABLE}, {_COMB},
+            won AS (SELECT mask, blue FROM draws WHERE idx = (SELECT step FROM steps)),
+            picked AS (SELECT mask, row_number() OVER (ORDER BY (mask * 31 + 42 * 1009) % 1000033, mask) AS bet FROM kept QUALIFY bet <= 10),
+            blues AS (SELECT ball, rn FROM ranked WHERE color = 'blue' AND rn <= 7),
+            hit AS (SELECT bet, p.mask, bit_count(p.mask & w.mask) AS red_hits, (SELECT (b.ball = w.blue)::INT FROM blues b WHERE rn = 1) AS blue_hit FROM picked p CROSS JOIN won w),
+            sevens AS (SELECT k.mask | (1::BIGINT << p.b) AS m FROM kept k JOIN pool p ON k.mask & (1::BIGINT << p.b) = 0),
+            best AS (SELECT m, list_filter(range(1, 34), lambda b: m & (1::BIGINT << CAST(b AS INT)) <> 0) AS balls FROM (SELECT m, count(*) AS c FROM sevens GROUP BY m) ORDER BY c DESC, balls LIMIT 1),
+            wide AS (SELECT balls, bit_count(m & w.mask) AS red_hits, (w.blue IN (SELECT ball FROM blues))::INT AS blue_hits FROM best CROSS JOIN won w),
+            ways AS (SELECT balls, h.red_hits, h.blue_hits, r.tier, sum(a.ways * b.ways) AS ways, sum(a.ways * b.ways * r.prize) AS prize FROM wide h JOIN prize_rules r ON r.red_hits <= h.red_hits AND r.blue_hit = h.blue_hits
+              JOIN comb a ON a.n = h.red_hits AND a.k = r.red_hits JOIN comb b ON b.n = 7 - h.red_hits AND b.k = 6 - r.red_hits GROUP BY ALL)
+            SELECT 'single' AS kind, bet, array_to_string(list_filter(range(1, 34), lambda b: mask & (1::BIGINT << CAST(b AS INT)) <> 0), ',') AS reds, red_hits::BIGINT AS red_hits, blue_hit::BIGINT AS blue_hits, coalesce(tier, '未中奖') AS tier, 1::BIGINT AS ways, coalesce(prize, 0)::BIGINT AS prize
+            FROM hit LEFT JOIN prize_rules USING (red_hits, blue_hit)
+            UNION ALL SELECT 'duplex', 1, array_to_string(balls, ','), red_hits::BIGINT, blue_hits::BIGINT, tier, ways::BIGINT, prize::BIGINT FROM ways""",
         "combo_rule_counts": f"{_W} {_ALL} " + " UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) FILTER ({v}) AS kept FROM combos" for k, v in _RULES.items()),
         "combo_rules_joint": f"{_W} {_ALL} SELECT count(*) FILTER ({_APPLIED}) AS fast, count(*) FILTER ({_APPLIED}) AS applied, count(*) FILTER ({_APPLIED} AND {_RULES['r7_primes']}) AS with_primes FROM combos",
         "rejection_anti": f"{_W}{_NOW}{_POOL} SELECT mask FROM chosen WHERE {_NOT_REJECTED}",
@@ -147,7 +165,7 @@ def oracle_sql() -> dict[str, str]:
         "backtest_prize_counts": f"{_W}{_BACK} SELECT red_hits::BIGINT AS red_hits, blue_hit::BIGINT AS blue_hit, count(*) AS n FROM paid WHERE prize > 0 GROUP BY ALL",
         "backtest_by_step": f"{_W}{_BACK} SELECT step, count(*) AS bets, CAST(sum(prize) AS BIGINT) AS prize FROM paid GROUP BY step",
         "upsert_keep_last": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1",
-        "precedence_union": "SELECT o_orderkey::VARCHAR AS issue, CASE WHEN o_orderkey % 5 = 0 THEN 'text' WHEN o_orderkey % 3 = 0 THEN 'html' ELSE o_orderstatus END AS val, CASE WHEN o_orderkey % 5 = 0 THEN '2021-01-01' WHEN o_orderkey % 3 = 0 THEN NULL ELSE '2020-01-01' END AS draw_date FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 3 = 0 OR o_orderkey % 2 = 0",
+        "precedence_union": "SELECT o_orderkey::VARCHAR AS issue, CASE WHEN o_orderpriority = '1-URGENT' THEN 'text' WHEN o_orderstatus = 'F' THEN 'html' ELSE o_orderstatus END AS val, CASE WHEN o_orderpriority = '1-URGENT' THEN '2021-01-01' WHEN o_orderstatus = 'F' THEN NULL ELSE '2020-01-01' END AS draw_date FROM orders",
         "text_line_parse": f"""{_W}{_DRAWS}, good AS (SELECT issue::VARCHAR AS issue, strftime(draw_date, '%Y-%m-%d') AS draw_date, array_to_string(reds, ',') AS reds, blue::VARCHAR AS blue FROM draws WHERE issue % 7 <> 0 AND issue % 11 <> 0 AND issue % 13 <> 0),
             prose AS (SELECT regexp_split_to_array(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), '\\s+') AS f FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents))
             SELECT * FROM good UNION ALL SELECT f[1], f[2], array_to_string(f[3:8], ','), f[9] FROM prose WHERE len(f) >= 9 AND regexp_full_match(f[1], '[0-9]+') AND len(string_split(f[2], '-')) = 3""",

@@ -14,8 +14,8 @@ WARM_UP, WINDOW = 5, 5
 BACKTEST_STEPS, MIN_HISTORY = 50, 50
 COST = 2
 REJECTED_DRAWS = 500_000
-#: Share of all combinations that so many draws with replacement reject.
-REJECTED_SHARE = 0.3633
+#: Fewer passed combinations than this are listed without being asked for.
+LISTED = 100
 
 #: Fixed values: (red hits, blue hit, amount, tier, rank of the tier).
 PRIZES = [

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballast.schema import CSV_HEADER, DRAW_CSV
+from ballast.sources.files import landed_lines
 
 _TRIM = "^\\s+|\\s+$"
 
@@ -16,14 +17,17 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     White-space separated, nine fields at least, an all-digit issue, a date of three parts;
     numbers are not checked further, and further fields are ignored.
     """
+    # most lines of prose end here, before any pattern is tried
+    begins = F.substring(F.ltrim(column, F.lit(" \t\n\x0b\f\r")), 1, 1).between("0", "9")
     f = F.split(F.regexp_replace(F.col(column), _TRIM, ""), "\\s+")
-    rows = lines.select("*", f.alias("_f")).where((F.size("_f") >= 9) & F.get("_f", F.lit(0)).rlike("^[0-9]+$") & (F.size(F.split(F.get("_f", F.lit(1)), "-")) == 3))
+    rows = lines.where(begins).select("*", f.alias("_f")).where((F.size("_f") >= 9) & F.get("_f", F.lit(0)).rlike("^[0-9]+$") & (F.size(F.split(F.get("_f", F.lit(1)), "-")) == 3))
     g = lambda i: F.get("_f", F.lit(i))
     return rows.select(*lines.columns, g(0).alias("issue"), g(1).alias("draw_date"), F.array_join(F.slice("_f", 3, 6), ",").alias("reds"), g(8).alias("blue")).drop(column)
 
 
 def read_text_history(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path)
+    """Records of landed text files; none where the download left nothing."""
+    lines = landed_lines(spark, path)
     return parse_lines(lines.where(F.length(F.trim("value")) > 0))
 
 
@@ -51,17 +55,19 @@ def read_html(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_draw_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Raw strings by position, whatever the header says; GBK needs the engine session's charset flag."""
+    """Raw strings by position, whatever the header says."""
     return spark.read.csv(path, schema=DRAW_CSV, header=True, encoding=encoding, enforceSchema=True)
 
 
 def read_draw_csv_any(spark: SparkSession, path: str) -> DataFrame:
-    """UTF-8, else GBK where the bytes are not UTF-8; an empty file is an empty frame."""
-    blob = spark.read.format("binaryFile").load(path).select("content")
-    bad = blob.where(F.expr("NOT is_valid_utf8(cast(content AS string))")).limit(1).count()
-    if bad:
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    return read_draw_csv(spark, path, "GBK" if bad else "UTF-8")
+    """UTF-8, else as bytes where they are not UTF-8, as GBK's are not; an empty file is an empty frame.
+
+    GBK's second bytes are none of the signs that CSV is made of, and the cells that
+    typed_draws() reads are ASCII, so one character a byte (ISO-8859-1) loses nothing of them
+    and needs no setting of the session. The test reads lines as text, where bad bytes show as U+FFFD.
+    """
+    bad = not spark.read.text(path).where(F.contains("value", F.lit("\ufffd"))).isEmpty()
+    return read_draw_csv(spark, path, "ISO-8859-1" if bad else "UTF-8")
 
 
 def typed_draws(raw: DataFrame) -> DataFrame:
