@@ -51,9 +51,14 @@ def lag1(column: str):
     return lambda w: F.lag(column).over(w)
 
 
+def _once(c: Column) -> Column:
+    """c as a generator's only row: computed once, where a plain column is repeated in each expression that uses it."""
+    return F.explode(F.array(c))
+
+
 def wide(df: DataFrame) -> DataFrame:
     """issue, reds (array), blue and more -> b1..b6 ascending, and their mask; other columns stay."""
-    out = df.withColumn("reds", F.sort_array("reds"))
+    out = df.select(*(c for c in df.columns if c != "reds"), _once(F.sort_array("reds")).alias("reds"))
     out = out.select("*", *(F.get("reds", F.lit(i)).cast("int").alias(fb.B[i]) for i in range(PICK)))
     return out.withColumn("mask", fb.mask_of(fb.cols()))
 
@@ -61,13 +66,17 @@ def wide(df: DataFrame) -> DataFrame:
 def draws_from_orders(orders: DataFrame) -> DataFrame:
     """A draw an order, by arithmetic on its keys: the engine's test history at any scale.
 
-    The six balls with the least of a mixing value, found inside the row.
+    The six balls with the least of a mixing value, found inside the row; keys are not negative.
     """
-    base = orders.select("o_orderkey", "o_custkey", "o_orderdate", ((F.col("o_orderkey") + 1) * 7919).alias("_a"), (F.col("o_custkey") % 97 * 31).alias("_c"))
-    # value and ball in one integer: an array of plain integers is sorted in generated code
-    keys = F.sort_array(F.array(*(((F.col("_a") + b * 104729 + F.col("_c") * (b * b)) % 10007) * 64 + b for b in range(1, RED_MAX + 1))))
-    ranked = base.select("*", keys.alias("_keys"))
-    reds = F.sort_array(F.array(*((F.get("_keys", F.lit(i)) % 64).cast("int") for i in range(PICK))))
+    base = orders.select("o_orderkey", "o_custkey", "o_orderdate", ((F.col("o_orderkey") + 1) * 7919 % 10007).cast("int").alias("_a"), (F.col("o_custkey") % 97 * 31).cast("int").alias("_c"))
+    # value and ball in one integer, so that plain integers are sorted; few to a step, as the
+    # virtual machine compiles only methods that are not too long
+    key = lambda b: F.coalesce((F.col("_a") + b * 104729 % 10007 + F.col("_c") * (b * b)) % 10007 * 64 + b, F.lit(0))
+    parts = {f"_k{i}": F.array(*(key(b) for b in range(i, min(i + PICK, RED_MAX + 1)))) for i in range(1, RED_MAX + 1, PICK)}
+    for name, part in parts.items():
+        base = base.select("*", _once(part).alias(name))
+    ranked = base.select("*", _once(F.sort_array(F.concat(*parts))).alias("_keys"))
+    reds = F.sort_array(F.array(*((F.get("_keys", F.lit(i)) % 64) for i in range(PICK))))
     blue = (F.col("o_orderkey") * 31 + F.col("o_custkey") * 17) % BLUE_MAX + 1
     return wide(ranked.select(F.col("o_orderkey").alias("issue"), F.to_date("o_orderdate").alias("draw_date"), reds.alias("reds"), blue.cast("int").alias("blue")))
 

@@ -26,16 +26,20 @@ def _met(bets: DataFrame, draws: DataFrame, on: str | None) -> DataFrame:
     return d.crossJoin(F.broadcast(bets) if few else bets).select(*bets.columns, "win_mask", "win_blue")
 
 
-def settle_single(bets: DataFrame, draws: DataFrame, on: str | None = None) -> DataFrame:
-    """bets (mask, blue and more) x draws (mask, blue): hits, prize, tier and a text. ``on`` pairs them; without, every bet meets every draw given."""
+def hits(bets: DataFrame, draws: DataFrame, on: str | None = None) -> DataFrame:
+    """bets (mask, blue and more) x draws (mask, blue) with red_hits and blue_hit. ``on`` pairs them; without, every bet meets every draw given."""
     both = _met(bets, draws, on)
-    both = both.withColumn("red_hits", fb.hits(F.col("mask"), F.col("win_mask")).cast("int")).withColumn("blue_hit", (F.col("blue") == F.col("win_blue")).cast("int"))
-    return priced(both)
+    return both.withColumn("red_hits", fb.hits(F.col("mask"), F.col("win_mask")).cast("int")).withColumn("blue_hit", (F.col("blue") == F.col("win_blue")).cast("int"))
+
+
+def settle_single(bets: DataFrame, draws: DataFrame, on: str | None = None) -> DataFrame:
+    """hits() with prize, tier and a text."""
+    return priced(hits(bets, draws, on))
 
 
-def priced(hits: DataFrame) -> DataFrame:
+def priced(rows: DataFrame) -> DataFrame:
     """Rows with red_hits and blue_hit, and their prize, tier, tier_rank and text."""
-    out = hits.join(F.broadcast(prize_rules(hits.sparkSession)), ["red_hits", "blue_hit"], "left")
+    out = rows.join(F.broadcast(prize_rules(rows.sparkSession)), ["red_hits", "blue_hit"], "left")
     return out.withColumn("prize", F.coalesce("prize", F.lit(0).cast("long"))).withColumn("tier", F.coalesce("tier", F.lit(NO_PRIZE))).withColumn("hit_text", F.format_string("命中%d+%d", "red_hits", "blue_hit"))
 
 
@@ -47,8 +51,8 @@ def settle_duplex(bets: DataFrame, draws: DataFrame, on: str | None = None, only
     selected, else those without; ``only_hit_blue=False`` also counts each losing blue.
     """
     both = _met(bets, draws, on)
-    hits = fb.hits(F.col("mask"), F.col("win_mask")).cast("int")
-    both = both.withColumn("red_hits", hits).withColumn("misses", (F.bit_count("mask") - hits).cast("int")).withColumn("blue_hits", F.array_contains("blues", F.col("win_blue")).cast("int"))
+    red = fb.hits(F.col("mask"), F.col("win_mask")).cast("int")
+    both = both.withColumn("red_hits", red).withColumn("misses", (F.bit_count("mask") - red).cast("int")).withColumn("blue_hits", F.array_contains("blues", F.col("win_blue")).cast("int"))
     rules = F.broadcast(prize_rules(bets.sparkSession).withColumnsRenamed({"red_hits": "r", "blue_hit": "b", "prize": "amount"}))
     same_blue = F.col("b") == F.col("blue_hits")
     pairs = both.join(rules, (F.col("r") <= F.col("red_hits")) & (same_blue if only_hit_blue else same_blue | (F.col("b") == 0)))

@@ -174,8 +174,9 @@ def _bets(spark):
 
 def settle_single(spark, sf_dir):
     bets, wins = _bets(spark)[0], history(spark, sf_dir).select("mask", "blue")
-    s = settle.settle_single(bets, wins)
-    return s.groupBy("hit_text", "tier").agg(F.count("*").alias("n"), F.sum("prize").alias("prize"))
+    # counted by hits first: what is priced is a few rows
+    s = settle.priced(settle.hits(bets, wins).groupBy("red_hits", "blue_hit").agg(F.count("*").alias("n")))
+    return s.groupBy("hit_text", "tier").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("prize")).alias("prize"))
 
 
 def settle_duplex(spark, sf_dir):
@@ -186,8 +187,8 @@ def settle_duplex(spark, sf_dir):
 
 
 def tier_rollup(spark, sf_dir):
-    s = settle.settle_single(_bets(spark)[0], history(spark, sf_dir).select("mask", "blue"))
-    return settle.tier_rollup(settle.prize_counts(s)).select("tier", F.col("tier_rank").cast("long").alias("tier_rank"), "n")
+    s = settle.priced(settle.hits(_bets(spark)[0], history(spark, sf_dir).select("mask", "blue")).groupBy("red_hits", "blue_hit").agg(F.count("*").alias("n")))
+    return settle.tier_rollup(s.where("prize > 0").select("red_hits", "blue_hit", "n")).select("tier", F.col("tier_rank").cast("long").alias("tier_rank"), "n")
 
 
 def _backtest(spark, sf_dir):

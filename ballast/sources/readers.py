@@ -20,7 +20,8 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     # most lines of prose end here, before any pattern is tried
     begins = F.substring(F.ltrim(column, F.lit(" \t\n\x0b\f\r")), 1, 1).between("0", "9")
     f = F.split(F.regexp_replace(F.col(column), _TRIM, ""), "\\s+")
-    rows = lines.where(begins).select("*", f.alias("_f")).where((F.size("_f") >= 9) & F.get("_f", F.lit(0)).rlike("^[0-9]+$") & (F.size(F.split(F.get("_f", F.lit(1)), "-")) == 3))
+    # one element: a generator's output is computed once a line, where a filter would repeat the split for each test
+    rows = lines.where(begins).select("*", F.explode(F.array(f)).alias("_f")).where((F.size("_f") >= 9) & F.get("_f", F.lit(0)).rlike("^[0-9]+$") & (F.size(F.split(F.get("_f", F.lit(1)), "-")) == 3))
     g = lambda i: F.get("_f", F.lit(i))
     return rows.select(*lines.columns, g(0).alias("issue"), g(1).alias("draw_date"), F.array_join(F.slice("_f", 3, 6), ",").alias("reds"), g(8).alias("blue")).drop(column)
 
