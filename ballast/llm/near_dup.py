@@ -12,16 +12,17 @@ probability 7e-9 and one at 0.8 with 3e-6.
 Documents with equal sets are one node from the start, so that a group of copies costs one
 signature in the candidate search, however large it is. Candidates in a bucket of bands
 are compared with the bucket's centre first; components are then contracted, and only
-buckets that still hold several components go on: first with the other centres, then with
-growing random samples of pivots, last with every member. A pair goes from there to its full
-sets only if it lies in different components, if bitmaps of its shingles leave room for the
-intersection it needs (an exact bound), and if its whole signatures, of which the bucket rows
-carry four bits a coordinate, differ no more than most_differences(), a bound that a pair at
-the threshold exceeds with no greater chance than that of sharing no band; it is taken up in
-the first band it shares. So a large group of near copies costs little more than its own
-links, no cap is set on buckets or partners, and the chance to lose a link across components
-is at most twice that of the bands. What stays quadratic is the last comparison of bit maps
-within a bucket whose members are alike but not linked.
+buckets that still hold several components go on: first with the other centres, then with a
+random sample of 64 pivots. A pair goes from there to its full sets only if it lies in
+different components, if bitmaps of its shingles leave room for the intersection it needs (an
+exact bound), and if its whole signatures, of which the bucket rows carry four bits a
+coordinate, differ no more than most_differences(), a bound that a pair at the threshold
+exceeds with no greater chance than that of sharing no band; it is taken up in the first band
+it shares. Members of buckets that are still mixed meet by prefixes of their sets, the
+rarest shingles first: sets that are similar enough share one of them, so this step loses
+nothing, and documents that share only what is frequent, as those of one template do, don't meet.
+So a large group of near copies costs little more than its own links, no cap is set on buckets
+or partners, and no pair is looked at for being in a bucket alone.
 """
 
 from __future__ import annotations
@@ -240,18 +241,15 @@ def _linked(scratch: Scratch, src: DataFrame, percent: int, width: int, bands: i
     bits = " + ".join(f"bit_count(m[{i}])" for i in range(_BITS // 64))
     in_bands = member.where("doc_id = rep").select(F.col("rep").alias("node"), "n", "bands", "q", "m", F.expr(f"n - ({bits})").alias("spare"))
     alike = f"{_room(percent)} AND {_differences(-(-bands * rows // 16))} <= {most_differences(bands, rows, percent)}"
-    used = 0.0
-    for pivots in (0, 64, None):
+    for pivots in (0, 64):
         now = buckets.join(labels(e), "node", "left").select("key", "node", "centre", F.coalesce("component", "node").alias("component"))
         mixed = now.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size")).where("least <> most").select("key", "size")
         now = written(now.join(mixed, "key").join(in_bands, "node").withColumn("turn", F.pmod(F.xxhash64("node"), F.lit(1 << 30)) * F.col("size") / float(1 << 30)), "mixed")
         if pivots == 0:
             chosen, once = now.where("node = centre"), "a.node <> a.centre"
         else:
-            chosen = now.where(f"turn >= {used}" + (f" AND turn < {pivots}" if pivots else ""))
-            # earlier pivots have met all of their buckets, and two of these meet once
-            once = f"a.turn >= {used} AND (a.node < b.node" + (f" OR a.turn >= {pivots})" if pivots else ")")
-            used = pivots
+            # two pivots meet once
+            chosen, once = now.where(f"turn < {pivots}"), f"(a.node < b.node OR a.turn >= {pivots})"
         # equal keys, then in this order: different components, alike signatures, the first band that both have
         first_band = "a.key = array_min(array_intersect(a.bands, b.bands))"
         pairs = now.alias("a").join(chosen.alias("b"), F.expr(f"a.key = b.key AND {once} AND a.component <> b.component AND {alike} AND {first_band}"))
@@ -260,12 +258,46 @@ def _linked(scratch: Scratch, src: DataFrame, percent: int, width: int, bands: i
             pairs = pairs.join(t, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         drop(now)
-        if pairs.isEmpty():
-            continue
+        e = _joined(scratch, e, pairs, sets, percent)
         tried.append(pairs)
-        more = written(_verify(pairs, sets, percent), "links")
-        if not more.isEmpty():
-            # what is linked already is a star, so few steps are left
-            e, old = stars(scratch, star_edges(more).unionByName(e).distinct()), e
-            drop(old)
+    now = buckets.join(labels(e), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    mixed = now.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
+    left = written(now.join(mixed, "key").select("node", "component").distinct(), "left")
+    if not left.isEmpty():
+        e = _joined(scratch, e, written(_prefix_pairs(left.join(sets, "node"), percent), "pairs"), sets, percent)
     return member, e
+
+
+def _joined(scratch: Scratch, e: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The stars e with the links among pairs; what is linked already is a star, so few steps are left."""
+    if pairs.isEmpty():
+        return e
+    more = scratch.written(_verify(pairs, sets, percent), "links")
+    if more.isEmpty():
+        return e
+    out = stars(scratch, star_edges(more).unionByName(e).distinct())
+    scratch.drop(e)
+    return out
+
+
+def _prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of rows (node, component, set) in different components that may have the similarity asked for.
+
+    Two such sets share a shingle among the first n - ceil(n * percent / 100) + 1 of either, in any one order
+    of all shingles; here those that fewest rows have come first.
+    """
+
+    def run(batches):
+        for b in batches:
+            found = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(2)]
+            n = np.array([len(x) for x in found])
+            at = np.repeat(np.arange(len(n)), n)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(n[at]), pa.array(np.concatenate(found))], names=["node", "component", "n", "shingle"])
+
+    said = rows.select("node", "component", "set").mapInArrow(run, "node long, component long, n long, shingle long")
+    often = said.groupBy("shingle").agg(F.count("*").alias("rows")).where("rows > 1")
+    whole = said.join(often, "shingle", "left").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("rows", F.lit(1)).alias("rows"), "shingle"))).alias("s"))
+    prefix = whole.select("node", "component", "n", F.explode(F.expr(f"slice(s, 1, int(n - ceil(n * {percent} / 100) + 1))")).alias("s")).where("s.rows > 1").select("node", "component", "n", "s.shingle")
+    a, b = prefix.alias("a"), prefix.alias("b")
+    pairs = a.join(b, F.expr(f"a.shingle = b.shingle AND a.node < b.node AND a.component <> b.component AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * {percent}"))
+    return pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()

@@ -127,3 +127,22 @@ def test_signature_bound_loses_no_more_than_the_bands():
         m, k = (1 - percent / 100) * 15 / 16, near_dup.most_differences(32, 5, percent)
         above = sum(math.comb(160, i) * m**i * (1 - m) ** (160 - i) for i in range(k + 1, 161))
         assert above <= (1 - (percent / 100) ** 5) ** 32
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_prefix_pairs_miss_no_similar_pair(spark, percent):
+    """Members of one bucket: a shared template with few or many words of their own, and components that some already have."""
+    r = random.Random(percent)
+    template = r.sample(range(1 << 40), 120)
+    sets = []
+    for _ in range(120):
+        own = r.sample(range(1 << 40, 1 << 41), r.choice((0, 3, 9, 15, 40)))
+        sets.append(sorted({*r.sample(template, r.choice((60, 100, 118, 120))), *own}))
+        if r.random() < 0.4:
+            sets.append(sorted({*r.sample(sets[-1], len(sets[-1]) - 2), *r.sample(range(1 << 42, 1 << 43), 2)}))
+    component = [r.choice((i, i, i - i % 10)) for i in range(len(sets))]
+    rows = spark.createDataFrame([(i, component[i], bytearray(np.array(x, np.uint64).tobytes())) for i, x in enumerate(sets)], "node long, component long, set binary")
+    got = {(x.a, x.b) for x in near_dup._prefix_pairs(rows, percent).collect()}
+    every = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if component[i] != component[j]]
+    alike = {(i, j) for i, j in every if near_dup.similar(np.array(sets[i], np.uint64), np.array(sets[j], np.uint64), percent)}
+    assert alike and alike <= got and len(got) < len(every)
