@@ -54,6 +54,19 @@ def drop_written(spark: SparkSession, *tables: DataFrame) -> None:
             delete(spark, path)
 
 
+#: Paths of results that operators have kept in this process.
+_KEPT: list[str] = []
+
+
+@contextlib.contextmanager
+def results_dropped(spark: SparkSession):
+    """Deletes, at its end, the results that operators kept meanwhile: for a step that writes what it makes of them."""
+    n = len(_KEPT)
+    yield
+    while len(_KEPT) > n:
+        delete(spark, _KEPT.pop())
+
+
 class Scratch:
     """The tables and folders of one call of an operator; keep() writes its result, and what is left goes."""
 
@@ -75,8 +88,9 @@ class Scratch:
             self.paths.remove(t._ballast_path)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """The result as a table; the others are deleted."""
+        """The result as a table, which kept() knows; the others are deleted."""
         out = written(self.spark, df, name)
+        _KEPT.append(out._ballast_path)
         self.close()
         return out
 

@@ -1,14 +1,17 @@
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from ballast.llm import toxicity
 from ballast.llm.decontaminate import plain_words
+from ballast.llm.queries import _tokenizer
 from tests.llm import test_decontaminate, test_near_dup, test_repeats
 
 SF = "/root/testdata/sf0.001"
@@ -17,6 +20,7 @@ SF = "/root/testdata/sf0.001"
 def test_stages_equal_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
+    model = toxicity.learn(spark, docs, spark.read.parquet(f"{SF}/labels.parquet"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     for name, stage in corpus_pipeline.STAGES:
         before = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
         out = stage(spark, docs, SF)
@@ -26,6 +30,8 @@ def test_stages_equal_brute_force(spark):
         out = out.persist()
         after = {r.doc_id: r for r in out.collect()}
         assert set(after) <= set(before)
+        if name == "toxicity":
+            assert set(after) == {i for i, t in before.items() if brute_score(t, model) < 0.5} and len(after) < len(before)
         if name == "near_dup":
             want = {i for i, _, _, kept in test_near_dup.brute(sorted(before.items()), 80) if kept}
             assert set(after) == want
@@ -42,7 +48,20 @@ def test_stages_equal_brute_force(spark):
             near = {i: before[i] for i in before if any(len(set(plain_words(t)) & words[i]) * 2 >= len(set(plain_words(t))) for _, t in items)}
             assert set(before) - set(after) == {d for d, _, _ in test_decontaminate.brute(near.items(), items, 15, 1)}
         docs = out
-    assert sum(r.length for r in out.collect()) == sum(r.doc_tokens for r in out.where("start = 0").collect())
+    library, pieces, sequences = Tokenizer.from_file(_tokenizer()), {}, {}
+    for r in out.collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+        sequences.setdefault(r.sequence_id, []).append(r)
+    assert set(pieces) == set(before)
+    for i, rows in pieces.items():
+        ids = [*library.encode(before[i] or "", add_special_tokens=False).ids, 2]
+        rows.sort(key=lambda r: r.start)
+        assert [r.start for r in rows] == [sum(x.length for x in rows[:k]) for k in range(len(rows))] and sum(r.length for r in rows) == len(ids)
+        assert all(r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) for r in rows)
+    for rows in sequences.values():
+        rows.sort(key=lambda r: r.offset)
+        size = rows[-1].offset + rows[-1].length
+        assert [r.offset for r in rows] == [sum(x.length for x in rows[:k]) for k in range(len(rows))] and (size == 4096 or size & (size - 1) == 0 and size < 4096)
 
 
 def test_query_runs_whole(spark):
@@ -50,6 +69,35 @@ def test_query_runs_whole(spark):
     assert out.count() > 100
 
 
+def test_stages_on_odd_tables(spark):
+    """Repeated rows, several texts of one doc_id, nulls in every column, clashing and extra columns, no rows at all."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base, "en", "s", 1), (1, base, "en", "s", 1), (2, f"head {base} tail", None, None, None), (2, "clean words", None, None, None), (None, base, None, None, None), (None, None, None, None, None), (5, None, "en", "s", 0), (6, "", "en", "s", 0), (7, "long " * 50_000, "en", "s", 9)]
+    df = spark.createDataFrame([(*r, 1, "k", 2.0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _kept int, seq string, score double")
+    want = {"toxicity": 9, "near_dup": 7, "repeats": 9, "benchmark": 9}
+    for docs, counts in ((df, want), (df.limit(0), dict.fromkeys(want, 0))):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, SF)
+            assert out.columns == df.columns and out.count() == counts[name], name
+        texts = {r.text for r in corpus_pipeline.STAGES[2][1](spark, docs, SF).where("doc_id = 2").collect()}
+        assert texts == ({"head tail", "clean words"} if counts["toxicity"] else set())
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).select("doc_id").distinct().count() == (6 if counts["toxicity"] else 0)
+
+
+def brute_score(text, model):
+    """A text's score by splitting, dictionaries and positions, without byte buffers or machines."""
+    kinds = {w: k for k, ws in (("R", toxicity.REPORTING), ("N", toxicity.NEGATIONS), ("Y", toxicity.TARGETS), ("W", toxicity.INTENT), ("H", toxicity.HARM), ("I", toxicity.INSULTS)) for w in ws}
+    whole, begins = {s[:-1] for s in model.lexicon.stems if s.endswith("$")}, tuple(s for s in model.lexicon.stems if not s.endswith("$"))
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    clauses = []
+    for clause in re.split("[.!?;:\n]", low):
+        found = [w for w in re.split("[\x00-\x20!\"#$%&()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~]+", clause) if w]
+        clauses.append(["I" if w in whole or begins and w.startswith(begins) else kinds.get(w, "O") for w in found])
+    arcs = brute_arcs(clauses)
+    x = model.weights[-1] + sum(w * arcs.get(k, 0) for k, w in zip(toxicity.ARCS, model.weights))
+    return 1 / (1 + np.exp(-x))
+
+
 # --- toxicity ----------------------------------------------------------------
 
 
