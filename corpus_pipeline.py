@@ -6,8 +6,11 @@ with nulls, empty texts, ties and repeated rows is its operator's rule:
 
 toxicity      drops documents that score 0.5 or more; null and empty texts score as clean.
 near_dup      keeps the least doc_id of each group linked at a Jaccard similarity of 0.8 on five-word
-              shingles; empty texts and null doc_ids are linked to nothing and stay.
-repeats       cuts words that lie in a 50-word window of a document with a smaller doc_id; a
+              shingles; empty texts and null doc_ids are linked to nothing and stay. Rows that share
+              a doc_id are one document, linked to whatever any of their texts is, and stay or go
+              together; so a row that is there twice under one doc_id is still there twice.
+repeats       cuts words that lie in a 50-word window of a document with a smaller doc_id, from each
+              text of a doc_id by itself; a
               document left empty goes, one that loses nothing keeps its text unchanged.
               n_chars follows the text.
 benchmark     drops documents that hold a benchmark item within its edit budget.
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballast.llm import decontaminate, near_dup, packing, repeats, toxicity
-from ballast.llm._shared import table, written
+from ballast.llm._shared import drop_written, results_dropped, table, written
 from ballast.llm.queries import _tokenizer
 
 
@@ -56,5 +59,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = docs
+        with results_dropped(spark):
+            docs = written(spark, stage(spark, before, sf_dir), f"pipeline-{name}")
+        drop_written(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
