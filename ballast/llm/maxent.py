@@ -216,35 +216,42 @@ class Model:
 
     def log_classes(self, rows: np.ndarray) -> np.ndarray:
         """Natural logarithms of class probabilities, a row a token."""
-        return _log_softmax(self.bias, self.w, _BASE, rows)
+        x, _, total = _exponents(self.bias, self.w, _BASE, rows)
+        return x - np.log(total)[:, None]
 
     def log_cells(self, rows: np.ndarray, c: np.ndarray) -> np.ndarray:
         """The same of the cells within class c of each token."""
-        return _log_softmax(self.cell_bias[c], self.u, _CELL_BASE, self.cell_rows(rows, c))
+        x, _, total = _exponents(self.cell_bias[c], self.u, _CELL_BASE, self.cell_rows(rows, c))
+        return x - np.log(total)[:, None]
 
     def log_p(self, rows: np.ndarray, cell: np.ndarray) -> np.ndarray:
         """Natural logarithm of each token's cell: both factors."""
-        at, c = np.arange(len(cell)), cell // CELLS
-        return self.log_classes(rows)[at, c] + self.log_cells(rows, c)[at, cell % CELLS]
+        at, c, out = np.arange(len(cell)), cell // CELLS, 0
+        for bias, w, base, r, k in ((self.bias, self.w, _BASE, rows, c), (self.cell_bias[c], self.u, _CELL_BASE, self.cell_rows(rows, c), cell % CELLS)):
+            x, _, total = _exponents(bias, w, base, r)
+            out = out + x[at, k] - np.log(total)
+        return out
 
-    def train(self, rows: np.ndarray, cell: np.ndarray, rate: float, batch: int = 4096) -> None:
+    def train(self, rows: np.ndarray, cell: np.ndarray, rate: float, batch: int = 16384) -> None:
         for a in range(0, rows.shape[1], batch):
             r, y = rows[:, a : a + batch], cell[a : a + batch]
             at, c = np.arange(len(y)), y // CELLS
-            within = self.cell_rows(r, c)
-            for w, seen, base, f, g, k in ((self.w, self.seen, _BASE, r, self.log_classes(r), c), (self.u, self.cell_seen, _CELL_BASE, within, _log_softmax(self.cell_bias[c], self.u, _CELL_BASE, within), y % CELLS)):
-                g = np.exp(g)
+            for bias, w, seen, base, f, k in ((self.bias, self.w, self.seen, _BASE, r, c), (self.cell_bias[c], self.u, self.cell_seen, _CELL_BASE, self.cell_rows(r, c), y % CELLS)):
+                _, g, total = _exponents(bias, w, base, f)
+                g /= total[:, None]
                 g[at, k] -= 1
                 for i in range(4):
                     _descend(w, seen, base[i], f[i], g, rate)
 
 
-def _log_softmax(bias: np.ndarray, w: np.ndarray, base: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def _exponents(bias: np.ndarray, w: np.ndarray, base: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits (within what 32-bit floats can raise), their exponentials and these' sums, a row a token."""
     x = w[rows[0] + base[0]] + bias
     for i in range(1, len(rows)):
         x += w[rows[i] + base[i]]
-    x -= x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    np.clip(x, -60, 60, out=x)
+    e = np.exp(x)
+    return x, e, e @ np.ones(e.shape[1], e.dtype)
 
 
 def _descend(w: np.ndarray, seen: np.ndarray, base: int, rows: np.ndarray, g: np.ndarray, rate: float) -> None:
@@ -396,9 +403,9 @@ def _in_shards(events: DataFrame, held, rate: float) -> DataFrame:
             rows, c, learnt = unpack(events[a : a + _CHUNK])
             m.train(rows[:, learnt], c[learnt], rate)
         lp = np.empty(len(events), np.float32)
-        for a in range(0, len(events), 8192):
-            rows, c, _ = unpack(events[a : a + 8192])
-            lp[a : a + 8192] = m.log_p(rows, c)
+        for a in range(0, len(events), 16384):
+            rows, c, _ = unpack(events[a : a + 16384])
+            lp[a : a + 16384] = m.log_p(rows, c)
         docs, sums, at = [], [], 0
         for blob, step in zip(blobs, t.column("doc").to_pylist()):
             step = _restored(step)
