@@ -13,18 +13,26 @@ from pyspark.sql import functions as F
 from ballast.functions import balls as fb
 from ballast.schema import BLUE_MAX, PICK, RED_MAX, WINDOW
 
-CHUNK = 1 << 16
+CHUNK, CELLS = 1 << 16, 1 << 20
 
 
-def with_positions(df: DataFrame, key: str, name: str = "idx", chunk: int = CHUNK) -> DataFrame:
-    """0-based position of each row by a long ``key`` without duplicates or nulls."""
-    df = df.withColumn("_chunk", F.floor(F.col(key) / chunk))
-    sizes = df.groupBy("_chunk").agg(F.count("*").alias("_n"))
-    # a row a chunk: some thousandths of the history
-    before = F.sum("_n").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
-    first = sizes.select("_chunk", F.coalesce(before, F.lit(0)).alias("_first"))
+def with_positions(df: DataFrame, key: str, name: str = "idx", chunk: int = CHUNK, cells: int = CELLS) -> DataFrame:
+    """0-based position of each row by a long ``key`` without duplicates or nulls.
+
+    The keys' range is cut into ``cells`` cells of one width, and neighbouring cells are joined to
+    chunks of about ``chunk`` rows: sparse keys make no small chunks, and only a cell that
+    is dense for itself makes a large one. The table of cells, at most that many rows whatever the
+    history, is the only thing that one task sees whole.
+    """
+    ends = df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))  # one row
+    width = F.ceil((F.col("_hi") - F.col("_lo") + 1) / cells)
+    df = df.crossJoin(F.broadcast(ends)).withColumn("_cell", F.floor((F.col(key) - F.col("_lo")) / width)).drop("_lo", "_hi")
+    before = F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = df.groupBy("_cell").agg(F.count("*").alias("_n")).select("_cell", F.coalesce(before, F.lit(0)).alias("_before"))
+    sizes = sizes.withColumn("_chunk", F.floor(F.col("_before") / chunk))
+    sizes = sizes.select("_cell", "_chunk", F.min("_before").over(Window.partitionBy("_chunk")).alias("_first"))
     rn = F.row_number().over(Window.partitionBy("_chunk").orderBy(key)) - 1
-    return df.withColumn("_rn", rn).join(first, "_chunk").withColumn(name, (F.col("_first") + F.col("_rn")).cast("long")).drop("_chunk", "_rn", "_first")
+    return df.join(sizes, "_cell").withColumn("_rn", rn).withColumn(name, (F.col("_first") + F.col("_rn")).cast("long")).drop("_cell", "_chunk", "_rn", "_first")
 
 
 def with_lags(df: DataFrame, columns: dict[str, Column], reach: int, idx: str = "idx", chunk: int = CHUNK) -> DataFrame:
@@ -63,12 +71,12 @@ def wide(df: DataFrame) -> DataFrame:
     return out.withColumn("mask", fb.mask_of(fb.cols()))
 
 
-def draws_from_orders(orders: DataFrame) -> DataFrame:
-    """A draw an order, by arithmetic on its keys: the engine's test history at any scale.
+def draws_from_orders(orders: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A draw an order, by arithmetic on its keys: the engine's test history at any scale. keep: further columns that stay.
 
     The six balls with the least of a mixing value, found inside the row; keys are not negative.
     """
-    base = orders.select("o_orderkey", "o_custkey", "o_orderdate", ((F.col("o_orderkey") + 1) * 7919 % 10007).cast("int").alias("_a"), (F.col("o_custkey") % 97 * 31).cast("int").alias("_c"))
+    base = orders.select("o_orderkey", "o_custkey", "o_orderdate", *keep, ((F.col("o_orderkey") + 1) * 7919 % 10007).cast("int").alias("_a"), (F.col("o_custkey") % 97 * 31).cast("int").alias("_c"))
     # value and ball in one integer, so that plain integers are sorted; few to a step, as the
     # virtual machine compiles only methods that are not too long
     key = lambda b: F.coalesce((F.col("_a") + b * 104729 % 10007 + F.col("_c") * (b * b)) % 10007 * 64 + b, F.lit(0))
@@ -78,7 +86,7 @@ def draws_from_orders(orders: DataFrame) -> DataFrame:
     ranked = base.select("*", _once(F.sort_array(F.concat(*parts))).alias("_keys"))
     reds = F.sort_array(F.array(*((F.get("_keys", F.lit(i)) % 64) for i in range(PICK))))
     blue = (F.col("o_orderkey") * 31 + F.col("o_custkey") * 17) % BLUE_MAX + 1
-    return wide(ranked.select(F.col("o_orderkey").alias("issue"), F.to_date("o_orderdate").alias("draw_date"), reds.alias("reds"), blue.cast("int").alias("blue")))
+    return wide(ranked.select(*keep, F.col("o_orderkey").alias("issue"), F.to_date("o_orderdate").alias("draw_date"), reds.alias("reds"), blue.cast("int").alias("blue")))
 
 
 

@@ -87,6 +87,15 @@ def test_positions_and_lags_cross_chunks(spark):
     assert last.issue == 1290 and last.red_sum_ma5 == got[129].red_sum_ma5
 
 
+@pytest.mark.parametrize("cells, chunk", [(1, 10), (16, 10), (1 << 20, 10), (1 << 20, 1 << 16)])
+def test_positions_of_sparse_and_dense_keys(spark, cells, chunk):
+    keys = sorted({*range(-50, 150), *(10**15 + 10**12 * i for i in range(40)), 7 * 10**16})
+    df = spark.createDataFrame([(k, "x") for k in keys[::-1]], "k long, _n string")
+    got = draws.with_positions(df, "k", chunk=chunk, cells=cells).orderBy("k").collect()
+    assert [(r.k, r.idx) for r in got] == list(zip(keys, range(len(keys)))) and set(got[0].asDict()) == {"k", "_n", "idx"}
+    assert draws.with_positions(df.limit(0), "k").count() == 0
+
+
 def test_statistics_by_step_equal_plain_loops(spark):
     rows, d = history(spark)
     got = {(r.step, r.color, r.ball): r for r in scoring.ball_stats(spark, d, 0.99, 120, 130).collect()}
