@@ -264,7 +264,7 @@ def _linked(scratch: Scratch, src: DataFrame, percent: int, width: int, bands: i
     mixed = now.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
     left = written(now.join(mixed, "key").select("node", "component").distinct(), "left")
     if not left.isEmpty():
-        e = _joined(scratch, e, written(_prefix_pairs(left.join(sets, "node"), percent), "pairs"), sets, percent)
+        e = _joined(scratch, e, written(_prefix_pairs(left.join(sets, "node"), in_bands.drop("bands"), percent, alike), "pairs"), sets, percent)
     return member, e
 
 
@@ -280,9 +280,11 @@ def _joined(scratch: Scratch, e: DataFrame, pairs: DataFrame, sets: DataFrame, p
     return out
 
 
-def _prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
+def _prefix_pairs(rows: DataFrame, traits: DataFrame, percent: int, alike: str) -> DataFrame:
     """(a, b): pairs of rows (node, component, set) in different components that may have the similarity asked for.
 
+    traits: (node, n and what the test ``alike`` of two rows needs).
+
     Two such sets share a shingle among the first n - ceil(n * percent / 100) + 1 of either, in any one order
     of all shingles; here those that fewest rows have come first.
     """
@@ -292,12 +294,12 @@ def _prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
             found = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(2)]
             n = np.array([len(x) for x in found])
             at = np.repeat(np.arange(len(n)), n)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(n[at]), pa.array(np.concatenate(found))], names=["node", "component", "n", "shingle"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.concatenate(found))], names=["node", "component", "shingle"])
 
-    said = rows.select("node", "component", "set").mapInArrow(run, "node long, component long, n long, shingle long")
+    said = rows.select("node", "component", "set").mapInArrow(run, "node long, component long, shingle long")
     often = said.groupBy("shingle").agg(F.count("*").alias("rows")).where("rows > 1")
-    whole = said.join(often, "shingle", "left").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("rows", F.lit(1)).alias("rows"), "shingle"))).alias("s"))
-    prefix = whole.select("node", "component", "n", F.explode(F.expr(f"slice(s, 1, int(n - ceil(n * {percent} / 100) + 1))")).alias("s")).where("s.rows > 1").select("node", "component", "n", "s.shingle")
+    whole = said.join(often, "shingle", "left").groupBy("node", "component").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("rows", F.lit(1)).alias("rows"), "shingle"))).alias("s"))
+    prefix = whole.join(traits, "node").withColumn("s", F.explode(F.expr(f"slice(s, 1, int(n - ceil(n * {percent} / 100) + 1))"))).where("s.rows > 1").select("component", *traits.columns, "s.shingle")
     a, b = prefix.alias("a"), prefix.alias("b")
-    pairs = a.join(b, F.expr(f"a.shingle = b.shingle AND a.node < b.node AND a.component <> b.component AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * {percent}"))
+    pairs = a.join(b, F.expr(f"a.shingle = b.shingle AND a.node < b.node AND a.component <> b.component AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * {percent} AND {alike}"))
     return pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()

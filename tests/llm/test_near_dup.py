@@ -142,7 +142,8 @@ def test_prefix_pairs_miss_no_similar_pair(spark, percent):
             sets.append(sorted({*r.sample(sets[-1], len(sets[-1]) - 2), *r.sample(range(1 << 42, 1 << 43), 2)}))
     component = [r.choice((i, i, i - i % 10)) for i in range(len(sets))]
     rows = spark.createDataFrame([(i, component[i], bytearray(np.array(x, np.uint64).tobytes())) for i, x in enumerate(sets)], "node long, component long, set binary")
-    got = {(x.a, x.b) for x in near_dup._prefix_pairs(rows, percent).collect()}
+    sizes = spark.createDataFrame([(i, len(x)) for i, x in enumerate(sets)], "node long, n long")
+    got = {(x.a, x.b) for x in near_dup._prefix_pairs(rows, sizes, percent, "true").collect()}
     every = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if component[i] != component[j]]
     alike = {(i, j) for i, j in every if near_dup.similar(np.array(sets[i], np.uint64), np.array(sets[j], np.uint64), percent)}
     assert alike and alike <= got and len(got) < len(every)
