@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from ballast.schema import PRIZES, TUNED
+from datetime import datetime
+
+from ballast.schema import BACKTEST_STEPS, NO_PRIZE, PRIZES, TUNED
+from ballast.sources import reports
 
 P = TUNED
+#: The reports' clock.
+CLOCK = datetime(2026, 1, 1)
 _LISTS = ", ".join(f"({r}, {b}, {a}, '{t}', {k})" for r, b, a, t, k in PRIZES)
 _DRAWS = """
 nums AS (SELECT range AS ball FROM range(1, 34)),
@@ -116,8 +121,63 @@ WITH raw AS (SELECT o_orderkey AS k FROM orders),
 rep AS (SELECT 'r' || lpad(k::VARCHAR, 9, '0') AS path, k FROM raw)"""
 
 
+
+def _text_rows(text: str, pieces: dict[str, str]) -> str:
+    """(line_no, line) of a text whose marks, @name@, are values that SQL finds."""
+    e = "'" + text.replace("'", "''") + "'"
+    for name, sql in pieces.items():
+        e = f"replace({e}, '@{name}@', ({sql})::VARCHAR)"
+    return f"SELECT unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT string_split({e}, chr(10)) AS l)"
+
+
+_list = lambda balls: f"'[' || array_to_string({balls}, ', ') || ']'"
+_balls = lambda mask: f"list_filter(range(1, 34), lambda b: {mask} & (1::BIGINT << CAST(b AS INT)) <> 0)"
+
+
+def _analysis() -> str:
+    """The analysis report from values of the statements above."""
+    text = reports.ANALYSIS.replace("{profit:.2f}", "@profit@").format(
+        basis="@basis@", target="@target@", now=CLOCK, mode=reports.MODES[True], periods=BACKTEST_STEPS, tiers="@tiers@", picks="@picks@",
+        params="\n".join(reports.PARAM_LINE.format(*x) for x in P.shown().items()), wide=reports.WIDE_LINES.format("@best@", "@blues@"),
+    )
+    now = f"{_W}{_NOW}{_CTX}{_POOL}{_KEPT}"
+    return _text_rows(text, {
+        "basis": f"{_W}{_DRAWS} SELECT max(issue) FROM draws",
+        "target": f"{_W}{_DRAWS} SELECT max(issue) + 1 FROM draws",
+        "profit": f"{_W}{_BACK} SELECT printf('%.2f', CAST(sum(prize) - count(*) * 2 AS DOUBLE)) FROM paid",
+        "tiers": f"{_W}{_BACK}, won AS (SELECT tier, tier_rank, count(*) AS n FROM paid WHERE prize > 0 GROUP BY ALL) SELECT coalesce(string_agg('  - ' || rpad(tier, 5, ' ') || ': ' || n || ' 次', chr(10) ORDER BY tier_rank), '{reports.NO_TIER}') FROM won",
+        "picks": f"""{now}, picked AS (SELECT mask, row_number() OVER (ORDER BY (mask * 31 + 42 * 1009) % 1000033, mask) AS n FROM kept QUALIFY n <= 10)
+            SELECT coalesce(string_agg('  组合 ' || printf('%2d', n) || ': 红球 ' || rpad({_list(_balls('mask'))}, 24, ' ') || ' 蓝球 [' || printf('%02d', (SELECT ball FROM ranked WHERE color = 'blue' AND rn = 1)) || ']', chr(10) ORDER BY n), '{reports.NO_PICK}') FROM picked""",
+        "best": f"""{now}, sevens AS (SELECT k.mask | (1::BIGINT << p.b) AS m FROM kept k JOIN pool p ON k.mask & (1::BIGINT << p.b) = 0)
+            SELECT {_list('balls')} FROM (SELECT {_balls('m')} AS balls, c FROM (SELECT m, count(*) AS c FROM sevens GROUP BY m)) ORDER BY c DESC, balls LIMIT 1""",
+        "blues": f"{_W}{_NOW} SELECT '[' || string_agg(ball, ', ' ORDER BY rn) || ']' FROM ranked WHERE color = 'blue' AND rn <= 7",
+    })
+
+
+def _settlement() -> str:
+    """The settlement report of the first draw and the fixed bets."""
+    names = "now name issue reds blue singles first wide_reds wide_blues red_hits blue_hits tiers second total".split()
+    text = reports.SETTLEMENT.format(**{n: f"@{n}@" for n in names} | {"now": CLOCK, "name": "report.txt"})
+    drawn = f"{_W}{_DRAWS}{_BETS}, {_RULE_TABLE}, {_COMB}, won AS (SELECT * FROM draws WHERE idx = 0)"
+    one = f"""{drawn}, hit AS (SELECT bet_id, s.reds, s.blue, len(list_intersect(s.reds, w.reds)) AS red_hits, (s.blue = w.blue)::INT AS blue_hit FROM singles s CROSS JOIN won w),
+        paid AS (SELECT h.*, coalesce(prize, 0) AS prize, coalesce(tier, '{NO_PRIZE}') AS tier FROM hit h LEFT JOIN prize_rules USING (red_hits, blue_hit))"""
+    many = f"""{drawn}, hit AS (SELECT x.reds, x.blues, len(list_intersect(x.reds, w.reds)) AS red_hits, list_contains(x.blues, w.blue)::INT AS blue_hits FROM duplex x CROSS JOIN won w WHERE bet_id = 1),
+        ways AS (SELECT r.tier, r.tier_rank, sum(a.ways * b.ways)::BIGINT AS ways, sum(a.ways * b.ways * r.prize)::BIGINT AS prize FROM hit h JOIN prize_rules r ON r.red_hits <= h.red_hits AND r.blue_hit = h.blue_hits
+          JOIN comb a ON a.n = h.red_hits AND a.k = r.red_hits JOIN comb b ON b.n = len(h.reds) - h.red_hits AND b.k = 6 - r.red_hits GROUP BY ALL)"""
+    first, second = f"{one} SELECT sum(prize)::BIGINT FROM paid", f"{many} SELECT coalesce(sum(prize), 0)::BIGINT FROM ways"
+    return _text_rows(text, {
+        "issue": f"{drawn} SELECT issue FROM won", "reds": f"{drawn} SELECT {_list('reds')} FROM won", "blue": f"{drawn} SELECT blue FROM won",
+        "singles": f"""{one} SELECT string_agg('  组合 ' || printf('%2d', bet_id + 1) || ': ' || rpad({_list('list_sort(reds)')}, 24, ' ') || ' 蓝球 [' || printf('%02d', blue) || '] -> 命中' || red_hits || '+' || blue_hit || ', ' || tier || ', 奖金: ' || prize || ' 元', chr(10) ORDER BY bet_id) FROM paid""",
+        "first": first, "second": second, "total": f"SELECT ({first}) + ({second})",
+        "wide_reds": f"{many} SELECT {_list('reds')} FROM hit", "wide_blues": f"{many} SELECT {_list('blues')} FROM hit", "red_hits": f"{many} SELECT red_hits FROM hit", "blue_hits": f"{many} SELECT blue_hits FROM hit",
+        "tiers": f"{many} SELECT coalesce(string_agg(chr(10) || '    - ' || tier || ': ' || ways || ' 注', '' ORDER BY tier_rank), '{reports.NONE_WON}') FROM ways",
+    })
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
+        "analysis_report_lines": _analysis(),
+        "settlement_report_lines": _settlement(),
         "draws_wide": f"{_W}{_DRAWS} SELECT issue, idx, reds[1] AS b1, reds[2] AS b2, reds[3] AS b3, reds[4] AS b4, reds[5] AS b5, reds[6] AS b6, blue, mask FROM draws",
         "draw_features_static": f"{_W}{_DRAWS}{_FEAT} SELECT issue, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _STATIC)} FROM feats",
         "draw_features_window": f"{_W}{_DRAWS}{_FEAT}{_WINDOWED} SELECT issue, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _LAGS)}, {', '.join(map(_round, _MAS))} FROM windowed",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from ballast.functions import balls as fb
 from ballast.functions import rules
 from ballast.operators import backtest, combos, draws, ingest, scoring, settle
 from ballast.plans import runs
+from ballast.plans.oracle import CLOCK
 from ballast.schema import TUNED, prize_rules
 from ballast.sources import files, readers, reports
 
@@ -327,10 +326,6 @@ def tiered_lookup_join(spark, sf_dir):
     return out.groupBy(F.coalesce("tier", F.lit("未中奖")).alias("tier")).agg(F.count("*").alias("n"), F.sum(F.coalesce("prize", F.lit(0))).cast("long").alias("prize"))
 
 
-#: The reports' clock.
-CLOCK = datetime(2026, 1, 1)
-
-
 def _as_lines(spark, text: str):
     return spark.createDataFrame(list(enumerate(text.split("\n"))), "line_no long, line string")
 
