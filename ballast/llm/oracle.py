@@ -61,5 +61,39 @@ SELECT w.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256
 """
 
 
+_OP11 = f"""
+WITH urls AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{_UPPER}', '{_UPPER.lower()}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+rules(host, path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow'))
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN list_has_any(string_split_regex(host, '[.-]'), ['adult','ads','bets','betting','casino','gambling','pills','poker','porn','spam','viagra','xxx']) THEN 'block' ELSE 'allow' END) AS verdict
+FROM (SELECT u.*, (SELECT arg_max(r.host || r.path, length(r.host || r.path)) FROM rules r WHERE (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)) AS rule,
+             (SELECT arg_max(r.verdict, length(r.host || r.path)) FROM rules r WHERE (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)) AS said FROM urls u)
+"""
+
+_OP13 = f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+said AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+flags AS (
+  SELECT part, (len(w) < 50)::INT AS a, (100 * len(list_distinct(w)) < 65 * len(w))::INT AS b, (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text))::INT AS c,
+         regexp_matches(text, '[#$%&*|]')::INT AS d, coalesce(doc_id > least, false)::INT AS e, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM docs LEFT JOIN said USING (doc_id)),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders120 AS (
+  SELECT l1.x || l2.x || l3.x || l4.x || l5.x AS filter_order FROM letters l1 JOIN letters l2 ON l2.x <> l1.x JOIN letters l3 ON l3.x NOT IN (l1.x, l2.x) JOIN letters l4 ON l4.x NOT IN (l1.x, l2.x, l3.x)
+  JOIN letters l5 ON l5.x NOT IN (l1.x, l2.x, l3.x, l4.x)),
+counted AS (SELECT part, a, b, c, d, e, good, toxic, a + b + c + d + e AS fails, count(*) AS n FROM flags GROUP BY ALL),
+-- how many of the filters up to a step, and at it, a document fails
+met AS (
+  SELECT *, CASE substr(filter_order, k, 1) WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END AS bad FROM counted CROSS JOIN orders120 CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS k)),
+before AS (SELECT *, coalesce(sum(bad) OVER (PARTITION BY part, a, b, c, d, e, good, toxic, filter_order ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sofar FROM met),
+steps AS (
+  SELECT part, filter_order, k, coalesce(sum(n) FILTER (sofar + bad = 0), 0) AS kept, coalesce(sum(n) FILTER (sofar = 0 AND bad = 1), 0) AS removed, coalesce(sum(n) FILTER (sofar > 0 AND bad = 1), 0) AS redundant,
+         coalesce(sum(n) FILTER (bad = 1 AND fails = 1), 0) AS unique_fails, coalesce(sum(n) FILTER (sofar = 0 AND bad = 1 AND good = 1), 0) AS good_lost, coalesce(sum(n) FILTER (sofar = 0 AND bad = 1 AND toxic = 1), 0) AS toxic_lost
+  FROM before GROUP BY ALL)
+SELECT part, filter_order, k::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, substr(filter_order, k, 1)))::BIGINT AS shapley FROM steps
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_budgeted_windows": _OP2, "op4_circulant_minhash": _OP4, "op7_repeated_phrase_automata": _OP7}
+    return {"op11_sorted_digest_array": _OP11, "op13_filter_interaction_audit": _OP13, "op2_budgeted_windows": _OP2, "op4_circulant_minhash": _OP4, "op7_repeated_phrase_automata": _OP7}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.llm import chat, decontaminate, maxent, near_dup, oracle, packing, quality, repeats, token_counts, token_files, toxicity
+from ballast.llm import align, chat, decontaminate, filter_audit, maxent, near_dup, oracle, packing, quality, repeats, token_counts, token_files, toxicity, url_filter
 from ballast.llm._shared import table
 
 
@@ -75,6 +75,24 @@ def op10_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(spark, table(spark, sf_dir, "documents"))
 
 
+#: The rules of the query.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op11_sorted_digest_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.url_verdicts(spark, pages, rules, url_filter.listed_hosts(pages)).drop("listed")
+
+
+def op12_both_end_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_documents(spark, table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 

@@ -13,4 +13,4 @@ def test_query_equals_sql(spark, name):
 
 
 def test_one_query_an_operator():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 14))
