@@ -56,8 +56,9 @@ def pool_combinations(pool: DataFrame, parts: int | None = None) -> DataFrame:
 def context(draws: DataFrame, stats: DataFrame) -> DataFrame:
     """A row a step: m1..m10, masks of the last ten draws newest first, and cold, the balls missing for more than 15."""
     steps = stats.select("step").distinct()
-    near = F.broadcast(steps).join(draws.select("idx", "mask"), (F.col("idx") < F.col("step")) & (F.col("idx") >= F.col("step") - 10))
-    last = near.groupBy("step").agg(*(F.max(F.when(F.col("step") - F.col("idx") == k, F.col("mask"))).alias(f"m{k}") for k in range(1, 11)))
+    # each draw is one of the last ten of ten steps: an equi-join, whatever the number of steps
+    seen = draws.select("mask", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("k"), "idx").select("mask", "k", (F.col("idx") + F.col("k")).alias("step"))
+    last = seen.join(steps, "step").groupBy("step").agg(*(F.max(F.when(F.col("k") == k, F.col("mask"))).alias(f"m{k}") for k in range(1, 11)))
     cold = stats.where("color = 'red'").groupBy("step").agg(F.sum(F.when(F.col("omission") > 15, fb.bit(F.col("ball"))).otherwise(F.lit(0).cast("long"))).alias("cold"))
     return last.join(cold, "step")
 

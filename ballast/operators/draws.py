@@ -1,8 +1,8 @@
 """Draw records: typing, positions on the whole history, features and lags.
 
-Positions and lags don't need the history in one task: rows are cut into chunks by key,
-a small table of chunk sizes gives each chunk's first position, and a lag's reach is had by
-copying the last rows of a chunk to the next one.
+Positions and lags don't need the history in one task: rows are dealt out by ranges of the key,
+a small table of range sizes gives each range's first position, and a lag's reach is had by
+copying the last rows of a chunk of positions to the next one.
 """
 
 from __future__ import annotations
@@ -12,27 +12,33 @@ from pyspark.sql import functions as F
 
 from ballast.functions import balls as fb
 from ballast.schema import BLUE_MAX, PICK, RED_MAX, WINDOW
+from ballast.sources.files import materialised
 
-CHUNK, CELLS = 1 << 16, 1 << 20
+CHUNK = 1 << 16
 
 
-def with_positions(df: DataFrame, key: str, name: str = "idx", chunk: int = CHUNK, cells: int = CELLS) -> DataFrame:
-    """0-based position of each row by a long ``key`` without duplicates or nulls.
+def with_positions(df: DataFrame, key: str, name: str = "idx", ties: tuple[str, ...] = ()) -> DataFrame:
+    """0-based position of each row by ``key``, equal keys by ``ties``; null keys come first. The result is a table in the shared folder.
 
-    The keys' range is cut into ``cells`` cells of one width, and neighbouring cells are joined to
-    chunks of about ``chunk`` rows: sparse keys make no small chunks, and only a cell that
-    is dense for itself makes a large one. The table of cells, at most that many rows whatever the
-    history, is the only thing that one task sees whole.
+    Rows are dealt out in ranges that Spark cuts at sampled quantiles of the keys, so partitions are of about one
+    size however the keys lie: a stray key or a dense stretch moves the cuts and no more. Rows that
+    agree in key and ties are parted by where they were read. A row's position is the number of rows in
+    the partitions before its own, a table of one row a partition, and its place in there.
     """
-    ends = df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))  # one row
-    width = F.ceil((F.col("_hi") - F.col("_lo") + 1) / cells)
-    df = df.crossJoin(F.broadcast(ends)).withColumn("_cell", F.floor((F.col(key) - F.col("_lo")) / width)).drop("_lo", "_hi")
-    before = F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = df.groupBy("_cell").agg(F.count("*").alias("_n")).select("_cell", F.coalesce(before, F.lit(0)).alias("_before"))
-    sizes = sizes.withColumn("_chunk", F.floor(F.col("_before") / chunk))
-    sizes = sizes.select("_cell", "_chunk", F.min("_before").over(Window.partitionBy("_chunk")).alias("_first"))
-    rn = F.row_number().over(Window.partitionBy("_chunk").orderBy(key)) - 1
-    return df.join(sizes, "_cell").withColumn("_rn", rn).withColumn(name, (F.col("_first") + F.col("_rn")).cast("long")).drop("_cell", "_chunk", "_rn", "_first")
+    dealt = df.withColumn("_read", F.monotonically_increasing_id())
+    order = [key, *ties, "_read"]
+    dealt = dealt.repartitionByRange(*order).sortWithinPartitions(*order).drop("_read")
+    # written, as a second run could draw another sample
+    placed = materialised(df.sparkSession, dealt.withColumn("_place", F.monotonically_increasing_id()), "positions")
+    placed = placed.select(*df.columns, *partition_and_place("_place"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(sizes), "_part").select(*df.columns, (F.col("_before") + F.col("_row")).alias(name))
+
+
+def partition_and_place(column: str) -> tuple[Column, Column]:
+    """The parts of a monotonically increasing id: the partition, _part, and the row in it, _row."""
+    return F.shiftright(column, 33).alias("_part"), F.col(column).bitwiseAND(F.lit((1 << 33) - 1)).alias("_row")
 
 
 def with_lags(df: DataFrame, columns: dict[str, Column], reach: int, idx: str = "idx", chunk: int = CHUNK) -> DataFrame:

@@ -1,8 +1,7 @@
 """Decayed frequency, omission, probabilities, scores and pools, for any number of steps at once.
 
-A step s sees the draws with idx < s. For a backtest's steps from s0 on, one aggregate over the
-long history gives the state at s0; what later steps add comes from the few draws since. So
-the history is read once, not once a step.
+A step s sees the draws with idx < s. Frequencies, gaps and counts are running totals (functions.scan), so
+what all steps need comes from one pass over the history, not from one a step.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ballast.functions import balls as fb
+from ballast.functions.scan import running_totals
 from ballast.schema import BLUE_MAX, DROPPED_REDS, NUM_BLUES, RED_MAX, WARM_UP, Params
 
 
@@ -25,20 +25,17 @@ def drawn(draws: DataFrame) -> DataFrame:
     return draws.select("idx", F.inline(F.array(*(ball("red", b) for b in fb.B), ball("blue", "blue"))))
 
 
+def grid(spark: SparkSession, first_step: int, last_step: int) -> DataFrame:
+    """(step, color, ball): every ball at every step."""
+    return spark.range(first_step, last_step + 1).select(F.col("id").alias("step")).crossJoin(F.broadcast(domain(spark)))
+
+
 def ball_stats(spark: SparkSession, draws: DataFrame, decay: float, first_step: int, last_step: int) -> DataFrame:
     """(step, color, ball, freq, omission) for steps first_step..last_step; a ball not drawn yet has 0 and step."""
-    d = drawn(draws)
-    s0 = F.lit(first_step).cast("long")
-    base = d.where(F.col("idx") < s0).groupBy("color", "ball").agg(F.sum(F.pow(F.lit(decay), s0 - 1 - F.col("idx"))).alias("f"), F.max("idx").alias("last"))
-    recent = d.where((F.col("idx") >= s0) & (F.col("idx") < last_step))
-    steps = spark.range(first_step, last_step + 1).withColumnRenamed("id", "step")
-    # both sides are as long as the steps asked for
-    since = F.broadcast(steps).join(recent, F.col("idx") < F.col("step")).groupBy("step", "color", "ball").agg(F.sum(F.pow(F.lit(decay), F.col("step") - 1 - F.col("idx"))).alias("g"), F.max("idx").alias("last2"))
-    grid = domain(spark).crossJoin(F.broadcast(steps))
-    out = grid.join(base, ["color", "ball"], "left").join(since, ["step", "color", "ball"], "left")
-    freq = F.coalesce(F.col("f") * F.pow(F.lit(decay), F.col("step") - s0), F.lit(0.0)) + F.coalesce("g", F.lit(0.0))
-    omission = F.col("step") - F.coalesce(F.greatest("last", "last2"), F.lit(-1)) - 1
-    return out.select("step", "color", F.col("ball").cast("int").alias("ball"), freq.alias("freq"), omission.cast("long").alias("omission"))
+    events = drawn(draws).withColumn("weight", F.lit(1.0))
+    out = running_totals(events, grid(spark, first_step, last_step), ["color", "ball"], decay)
+    omission = F.col("step") - F.coalesce("last", F.lit(-1)) - 1
+    return out.select("step", "color", F.col("ball").cast("int").alias("ball"), F.col("total").alias("freq"), omission.cast("long").alias("omission"))
 
 
 class SqlScorer:
@@ -51,70 +48,15 @@ class SqlScorer:
     def probabilities(self, spark: SparkSession, draws: DataFrame, first_step: int, last_step: int) -> DataFrame:
         """(step, color, ball, prob)."""
         state = draws.select("idx", fb.odd_count().alias("odd"))
-        pairs = state.where(F.col("idx") >= WARM_UP).select((F.col("idx") + 1).alias("idx"), "odd")
         # what followed, at the position where it became known
+        pairs = state.where(F.col("idx") >= WARM_UP).select((F.col("idx") + 1).alias("idx"), "odd")
         followed = drawn(draws).join(pairs, "idx")
-        steps = spark.range(first_step, last_step + 1).withColumnRenamed("id", "step")
-        last = state.select((F.col("idx") + 1).alias("step"), "odd").join(F.broadcast(steps), "step")
-
-        def running(rows: DataFrame, keys: list[str]) -> DataFrame:
-            """(step, keys, n) of rows with idx < step, from one aggregate and the rows since."""
-            base = rows.where(F.col("idx") < first_step).groupBy(*keys).agg(F.count("*").alias("n0"))
-            late = rows.where((F.col("idx") >= first_step) & (F.col("idx") < last_step))
-            late = F.broadcast(steps).join(late, F.col("idx") < F.col("step")).groupBy("step", *keys).agg(F.count("*").alias("n1"))
-            return base.crossJoin(F.broadcast(steps)).join(late, ["step", *keys], "full").select("step", *keys, (F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0))).alias("n"))
-
-        n = running(pairs, ["odd"]).withColumnRenamed("n", "n_all")
-        hits = running(followed, ["odd", "color", "ball"])
-        grid = domain(spark).crossJoin(last)
-        out = grid.join(n, ["step", "odd"], "left").join(hits, ["step", "odd", "color", "ball"], "left")
-        p = (F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("n_all", F.lit(0)) + 2)
-        return out.select("step", "color", F.col("ball").cast("int").alias("ball"), p.alias("prob"))
-
-
-class GbtScorer:
-    """Gradient-boosted trees of pyspark.ml: a classifier a ball and step, on the draws that the step can see.
-
-    A slow, optional choice in place of SqlScorer: a backtest fits 49 models a step. Each learns
-    from the rows whose next draw the step knows, warm-up aside, and predicts from the last
-    one, whose null features take the means of what the step has seen. A ball that always or
-    never came has no model and no row; scores() reads that as 0. ``balls`` names the (color, ball)
-    to model, all where None; others have no row either.
-    """
-
-    def __init__(self, features: list[str] | None = None, max_iter: int = 10, max_depth: int = 5, seed: int = 42, balls: list[tuple[str, int]] | None = None):
-        from ballast.operators import draws
-
-        self.features, self.max_iter, self.max_depth, self.seed = features or draws.FEATURES, max_iter, max_depth, seed
-        self.balls = balls or [(color, b) for color, top in (("red", RED_MAX), ("blue", BLUE_MAX)) for b in range(1, top + 1)]
-
-    def probabilities(self, spark: SparkSession, draws: DataFrame, first_step: int, last_step: int) -> DataFrame:
-        """(step, color, ball, prob), as SqlScorer gives; draws have positions."""
-        from pyspark.ml.classification import GBTClassifier
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.functions import vector_to_array
-
-        from ballast.operators.draws import features, mean_filled, next_labels
-
-        feats = features(draws)
-        labels = next_labels(draws).select("idx", "next_mask", "next_blue")
-        data = feats.select("idx", "issue", *self.features).join(labels, "idx").persist()
-        assemble = VectorAssembler(inputCols=self.features, outputCol="x")
-        rows = []
-        for step in range(first_step, last_step + 1):
-            known = data.where((F.col("idx") >= WARM_UP) & (F.col("idx") <= step - 2) & F.col("next_mask").isNotNull()).dropna(subset=self.features)
-            train = assemble.transform(known).select("x", "next_mask", "next_blue").persist()
-            last = assemble.transform(mean_filled(data.where(F.col("idx") == step - 1), data.where(F.col("idx") < step), self.features)).select("x").persist()
-            hit = lambda color, ball: F.col("next_mask").bitwiseAND(F.lit(1 << ball)) != 0 if color == "red" else F.col("next_blue") == ball
-            came = train.agg(F.count("*"), *(F.count(F.when(hit(c, b), 1)) for c, b in self.balls)).first()
-            for (color, ball), n in zip(self.balls, came[1:]):
-                if 0 < n < came[0]:
-                    model = GBTClassifier(featuresCol="x", labelCol="y", maxIter=self.max_iter, maxDepth=self.max_depth, seed=self.seed).fit(train.withColumn("y", hit(color, ball).cast("double")))
-                    rows += [(step, color, ball, r[0]) for r in model.transform(last).select(vector_to_array("probability")[1]).collect()]
-            train.unpersist()
-            last.unpersist()
-        data.unpersist()
-        return spark.createDataFrame(rows, "step long, color string, ball int, prob double")
+        last = state.select((F.col("idx") + 1).alias("step"), "odd").where(F.col("step").between(first_step, last_step))
+        one = F.lit(1.0).alias("weight")
+        n = running_totals(pairs.select("idx", "odd", one), last, ["odd"]).select("step", F.col("total").alias("n"))
+        asked = last.crossJoin(F.broadcast(domain(spark)))
+        hits = running_totals(followed.select("idx", "odd", "color", "ball", one), asked, ["odd", "color", "ball"])
+        return hits.join(n, "step").select("step", "color", F.col("ball").cast("int").alias("ball"), ((F.col("total") + 1) / (F.col("n") + 2)).alias("prob"))
 
 
 def scores(stats: DataFrame, probs: DataFrame, params: Params) -> DataFrame:

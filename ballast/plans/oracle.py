@@ -184,6 +184,21 @@ def oracle_sql() -> dict[str, str]:
         "ball_decayed_freq": f"{_W}{_NOW} SELECT ball, round(freq, 6) AS freq FROM stats WHERE color = 'red'",
         "blue_decayed_freq": f"{_W}{_NOW} SELECT ball, round(freq, 6) AS freq FROM stats WHERE color = 'blue'",
         "ball_omission": f"{_W}{_NOW} SELECT color, ball, omission FROM stats",
+        "ball_stats_every_step": f"""{_W}{_DRAWS}, drawn AS (SELECT idx, 'red' AS color, unnest(reds) AS ball FROM draws UNION ALL SELECT idx, 'blue', blue FROM draws),
+            every AS (SELECT step, color, ball FROM (SELECT unnest(range(0, (SELECT count(*) + 1 FROM draws))) AS step) CROSS JOIN (SELECT 'red' AS color, range AS ball FROM range(1, 34) UNION ALL SELECT 'blue', range FROM range(1, 17)))
+            SELECT step, color, ball, round(coalesce(sum(pow({P.decay_factor}, -idx)) OVER w, 0) * pow({P.decay_factor}, step - 1), 6) AS freq, step - coalesce(max(idx) OVER w, -1) - 1 AS omission
+            FROM every LEFT JOIN (SELECT idx + 1 AS step, color, ball, idx FROM drawn) USING (step, color, ball) WINDOW w AS (PARTITION BY color, ball ORDER BY step)""",
+        "ball_split_gains": f"""{_W}{_DRAWS}{_FEAT}{_WINDOWED},
+            known AS (SELECT f.idx, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _STATIC + _LAGS + _MAS)} FROM feats f JOIN windowed w USING (idx) WHERE f.idx >= 5 AND f.idx < (SELECT count(*) - 1 FROM draws)),
+            long AS (UNPIVOT known ON COLUMNS(* EXCLUDE idx) INTO NAME feature VALUE x),
+            cuts AS (SELECT DISTINCT feature, unnest(c) AS cut FROM (SELECT feature, quantile_disc(x, [{', '.join(f'{i}/16' for i in range(1, 16))}]) AS c FROM long GROUP BY feature)),
+            n_left AS (SELECT feature, cut, count(*) AS n_left FROM long JOIN cuts USING (feature) WHERE x <= cut GROUP BY ALL),
+            ahead AS (SELECT idx - 1 AS idx, 'red' AS color, unnest(reds) AS ball FROM draws UNION ALL SELECT idx - 1, 'blue', blue FROM draws),
+            total AS (SELECT count(*) AS n FROM known),
+            base AS (SELECT color, ball, count(*) AS hits, count(*) / (SELECT n FROM total) AS p FROM ahead JOIN known USING (idx) GROUP BY ALL),
+            hit_left AS (SELECT feature, cut, color, ball, count(*) AS hits_left FROM long JOIN ahead USING (idx) JOIN cuts USING (feature) WHERE x <= cut GROUP BY ALL),
+            sides AS (SELECT feature, cut, n_left, n, p * (1 - p) AS h, n_left * p - coalesce(hits_left, 0) AS g FROM n_left CROSS JOIN base CROSS JOIN total LEFT JOIN hit_left USING (feature, cut, color, ball))
+            SELECT feature, round(cut, 6) AS cut, n_left, round(sum(g * g / (n_left * h + 1) + g * g / ((n - n_left) * h + 1)) / 2, 6) AS gain FROM sides WHERE n_left >= 20 AND n - n_left >= 20 GROUP BY feature, cut, n_left""",
         "ball_score_rank": f"{_W}{_NOW} SELECT color, ball, round(score, 6) AS score, rn FROM ranked",
         "contrarian_pool": f"{_W}{_NOW} SELECT ball, rn FROM ranked WHERE color = 'red' AND rn > 16",
         "top_blue": f"{_W}{_NOW} SELECT ball, rn FROM ranked WHERE color = 'blue' AND rn <= 7",

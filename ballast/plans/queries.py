@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ballast.functions import balls as fb
 from ballast.functions import rules
-from ballast.operators import backtest, combos, draws, ingest, scoring, settle
+from ballast.operators import backtest, boosting, combos, draws, ingest, scoring, settle
 from ballast.plans import runs
 from ballast.plans.oracle import CLOCK
 from ballast.schema import TUNED, prize_rules
@@ -72,10 +72,30 @@ def _ranked(spark, sf_dir):
     return d, n, stats, files.materialised(spark, scoring.ranked(scoring.scores(stats, probs, TUNED)), "rank")
 
 
+def ball_stats_every_step(spark, sf_dir):
+    """Decayed frequency and gap of each ball as every draw of the history, and the one to come, would have seen them."""
+    d, n = kept_history(spark, sf_dir)
+    return _rounded(scoring.ball_stats(spark, d, TUNED.decay_factor, 0, n))
+
+
 def ball_score_rank(spark, sf_dir):
     return _rounded(_ranked(spark, sf_dir)[3].select("color", "ball", "score", "rn"))
 
 
+def ball_split_gains(spark, sf_dir):
+    """What every first split of a tree over all 49 balls would gain, after the whole history."""
+    d, n = kept_history(spark, sf_dir)
+    scorer = boosting.BoostScorer()
+    _, rows, cuts = scorer.prepared(spark, d, n)
+    return _rounded(boosting.first_gains(spark, rows, scorer.start(spark, d, n, n), cuts, scorer.settings).select("feature", "cut", "n_left", "gain"))
+
+
+def ball_boosted_probs(spark, sf_dir):
+    """The 49 balls' probabilities after the whole history, from trees that all balls share."""
+    d, n = kept_history(spark, sf_dir)
+    return boosting.BoostScorer(settings=boosting.Settings(trees=10)).probabilities(spark, d, n, n).select("color", F.col("ball").cast("long").alias("ball"), "prob")
+
+
 def contrarian_pool(spark, sf_dir):
     return _rounded(scoring.red_pool(_ranked(spark, sf_dir)[3]).select("ball", "rn"))
 
@@ -223,7 +243,7 @@ def precedence_union(spark, sf_dir):
 
 
 def _landed_csv(spark, d) -> str:
-    path = files.shared_path(spark, "draws-csv")
+    path = files.made_path(spark, "draws-csv")
     readers.write_draw_csv(d.select(F.col("issue").cast("string").alias("issue"), F.date_format("draw_date", "yyyy-MM-dd").alias("draw_date"), F.concat_ws(",", *(F.lpad(F.col(b).cast("string"), 2, "0") for b in fb.B)).alias("reds"), F.lpad(F.col("blue").cast("string"), 2, "0").alias("blue")), path)
     return path
 
@@ -238,7 +258,7 @@ def settle_from_files(spark, sf_dir):
     """The last draw, as CSV, against the report written from the draws before it: analysed, landed, found, parsed and settled."""
     d, n = kept_history(spark, sf_dir)
     last = d.where(F.col("idx") == n - 1).first()
-    folder = files.shared_path(spark, "reports")
+    folder = files.made_path(spark, "reports")
     # the report names the next issue; the test history's issues have gaps
     runs.analyse_to_file(spark, runs.analyse(spark, d, n - 1, TUNED, periods=0), str(last.issue - 1), TUNED, True, folder, CLOCK)
     settled, _ = runs.settle_files(spark, _landed_csv(spark, d), f"{folder}/analysis_output_*.txt")
@@ -350,7 +370,7 @@ def settlement_report_lines(spark, sf_dir):
     return _as_lines(spark, reports.settlement_report("report.txt", str(w.issue), list(w.reds), w.blue, [(r.reds, r.blue, r.hit_text, r.tier, r.prize) for r in rows], both, CLOCK))
 
 
-_NAMES = """draws_wide draw_features_static draw_features_window ball_decayed_freq blue_decayed_freq ball_omission ball_score_rank contrarian_pool top_blue
+_NAMES = """draws_wide draw_features_static draw_features_window ball_decayed_freq blue_decayed_freq ball_omission ball_stats_every_step ball_score_rank ball_split_gains ball_boosted_probs contrarian_pool top_blue
 next_draw_labels csv_history settle_from_files candidate_list feature_mean_fill combo_rule_counts combo_rules_joint combo_recent_overlap combo_all_cold combo_related combo_diagonal rejection_anti coverage_semi
 coverage7_top seeded_pick settle_single settle_duplex tier_rollup backtest_pnl backtest_prize_counts backtest_by_step upsert_keep_last precedence_union text_line_parse
 html_table_extract report_parse_bets report_match next_issue events_lag_ma5 event_type_decayed_freq user_omission part_score_skip_topk tiered_lookup_join

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -25,13 +27,49 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/ballast/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths that this process has made for its plans, and not deleted yet.
+_MADE: list[str] = []
+
+
+def made_path(spark: SparkSession, name: str) -> str:
+    """A fresh shared path that goes with cleared() or with the process."""
+    if not _MADE:
+        atexit.register(_forget, spark)
+    _MADE.append(shared_path(spark, name))
+    return _MADE[-1]
+
+
 def materialised(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table, for plans that read it in several branches."""
-    path = shared_path(spark, name)
+    """``df`` as a Parquet table, for plans that read it in several branches; it goes with cleared() or with the process."""
+    path = made_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p, fs = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
+@contextlib.contextmanager
+def cleared(spark: SparkSession):
+    """Deletes, at its end, the tables that plans made meanwhile: around what reads their results."""
+    n = len(_MADE)
+    try:
+        yield
+    finally:
+        while len(_MADE) > n:
+            delete(spark, _MADE.pop())
+
+
+def _forget(spark: SparkSession) -> None:
+    """At the end of the process, if the session is still up."""
+    with contextlib.suppress(Exception):
+        if spark.sparkContext._jsc is not None:
+            while _MADE:
+                delete(spark, _MADE.pop())
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there; one with wildcards, whether it matches anything."""
     p, fs = _hadoop(spark, path)

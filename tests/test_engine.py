@@ -69,7 +69,7 @@ def history(spark, n=130, seed=3):
 
     r = random.Random(seed)
     rows = [(10 * i, sorted(r.sample(range(1, 33), 6)), r.randrange(1, 16)) for i in range(n)]
-    df = draws.with_positions(draws.wide(spark.createDataFrame(rows, "issue long, reds array<int>, blue int")), "issue", chunk=200)
+    df = draws.with_positions(draws.wide(spark.createDataFrame(rows, "issue long, reds array<int>, blue int")), "issue")
     return rows, df.persist()
 
 
@@ -87,13 +87,29 @@ def test_positions_and_lags_cross_chunks(spark):
     assert last.issue == 1290 and last.red_sum_ma5 == got[129].red_sum_ma5
 
 
-@pytest.mark.parametrize("cells, chunk", [(1, 10), (16, 10), (1 << 20, 10), (1 << 20, 1 << 16)])
-def test_positions_of_sparse_and_dense_keys(spark, cells, chunk):
-    keys = sorted({*range(-50, 150), *(10**15 + 10**12 * i for i in range(40)), 7 * 10**16})
-    df = spark.createDataFrame([(k, "x") for k in keys[::-1]], "k long, _n string")
-    got = draws.with_positions(df, "k", chunk=chunk, cells=cells).orderBy("k").collect()
-    assert [(r.k, r.idx) for r in got] == list(zip(keys, range(len(keys)))) and set(got[0].asDict()) == {"k", "_n", "idx"}
-    assert draws.with_positions(df.limit(0), "k").count() == 0
+@pytest.mark.parametrize("keys", [[3, 1, 2], [5] * 50 + [None] * 3 + [7], [*range(400), 1 << 45], [-(1 << 60), *range(50), 1 << 60], []])
+def test_positions_of_uneven_keys(spark, keys):
+    df = spark.createDataFrame([(k, f"v{i}") for i, k in enumerate(keys)], "k long, v string").repartition(3)
+    rows = draws.with_positions(df, "k", ties=("v",)).collect()
+    assert [(r.k, r.v) for r in sorted(rows, key=lambda r: r.idx)] == sorted(((k, f"v{i}") for i, k in enumerate(keys)), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    assert sorted(r.idx for r in rows) == list(range(len(keys)))
+
+
+def test_one_stray_key_or_one_value_makes_no_large_partition(spark):
+    from ballast.sources import files
+
+    at = len(files._MADE)
+    many = spark.range(300_000).unionByName(spark.createDataFrame([(1 << 45,)], "id long"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for df in (many.withColumn("k", F.col("id")), many.withColumn("k", F.lit(1))):
+            with files.cleared(spark):
+                draws.with_positions(df, "k").count()
+                sizes = [r.n for r in spark.read.parquet(files._MADE[-1]).groupBy(draws.partition_and_place("_place")[0]).agg(F.count("*").alias("n")).collect()]
+            assert len(sizes) == 4 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(files._MADE) == at
 
 
 def test_statistics_by_step_equal_plain_loops(spark):
@@ -107,6 +123,31 @@ def test_statistics_by_step_equal_plain_loops(spark):
     assert got[130, "red", 33].freq == 0 and got[130, "blue", 16].omission == 130
 
 
+@pytest.mark.parametrize("decay,chunk", [(0.9, 7), (0.9, 4096), (0.5, 64), (1.0, 5), (0.001, 10), (0.999999, 3)])
+def test_running_totals_equal_plain_sums(spark, decay, chunk):
+    import random
+
+    from ballast.functions import scan
+
+    r = random.Random(chunk)
+    events = [(r.choice("abc"), r.randrange(300), float(r.randrange(1, 4))) for _ in range(200)] + [("a", 5, 1.0)] * 3
+    queries = [(k, s) for k in "abcd" for s in (*range(0, 320, 3), 5, 5)]
+    out = scan.running_totals(spark.createDataFrame(events, "k string, idx long, weight double"), spark.createDataFrame([(k, s, "x") for k, s in queries], "k string, step long, note string"), ["k"], decay, chunk)
+    got = sorted((x.k, x.step, x.total, -1 if x.last is None else x.last, x.note) for x in out.collect())
+    want = sorted((k, s, sum(w * decay ** (s - 1 - i) for e, i, w in events if e == k and i < s), max((i for e, i, _ in events if e == k and i < s), default=-1), "x") for k, s in queries)
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert a[:2] == b[:2] and a[3:] == b[3:] and a[2] == pytest.approx(b[2], rel=1e-9, abs=1e-15)
+
+
+def test_running_totals_of_nothing(spark):
+    from ballast.functions import scan
+
+    none, one = spark.createDataFrame([], "k string, idx long, weight double"), spark.createDataFrame([("a", 3)], "k string, step long")
+    assert [tuple(r) for r in scan.running_totals(none, one, ["k"], 0.9).collect()] == [("a", 3, 0.0, None)]
+    assert scan.running_totals(none, one.limit(0), ["k"], 0.9).count() == 0
+
+
 def test_scores_do_not_see_the_future(spark):
     rows, d = history(spark)
     changed = d.where("idx < 125").unionByName(d.where("idx >= 125").withColumn("blue", F.lit(1)).withColumn("mask", F.lit(126).cast("long")).withColumns({f"b{i}": F.lit(i) for i in range(1, 7)}))
@@ -261,26 +302,6 @@ def test_backtest_needs_history(spark):
 # --- runs from files -----------------------------------------------------------
 
 
-def test_boosted_trees_in_the_backtest(spark):
-    """A learned scorer takes the place of the SQL one, step by step, and does not see what comes after its step."""
-    _, d = history(spark, 110)
-    d = d.persist()
-    scorer = scoring.GbtScorer(["red_sum", "odd_count_lag1"], max_iter=1, max_depth=1, balls=[("red", 7), ("blue", 3)])
-    probs = scorer.probabilities(spark, d, 108, 109).collect()
-    assert {(r.step, r.color, r.ball) for r in probs} == {(s, c, b) for s in (108, 109) for c, b in (("red", 7), ("blue", 3))}
-    assert all(0 < r.prob < 1 for r in probs)
-    cut = scorer.probabilities(spark, d.where("idx < 108"), 108, 108).collect()
-    assert sorted(cut) == sorted(r for r in probs if r.step == 108)
-    bets = backtest.backtest(spark, d, TUNED, 110, periods=2, scorer=scorer)
-    assert sorted(r.step for r in bets.select("step").distinct().collect()) == [108, 109]
-    d.unpersist()
-
-
-def test_all_balls_are_modelled_by_default():
-    s = scoring.GbtScorer()
-    assert len(s.balls) == 49 and s.features == draws.FEATURES
-
-
 def test_analyse_then_settle_through_files(spark, tmp_path):
     from ballast.plans import runs
 
