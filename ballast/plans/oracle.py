@@ -240,6 +240,9 @@ def oracle_sql() -> dict[str, str]:
         "backtest_prize_counts": f"{_W}{_BACK} SELECT red_hits::BIGINT AS red_hits, blue_hit::BIGINT AS blue_hit, count(*) AS n FROM paid WHERE prize > 0 GROUP BY ALL",
         "backtest_by_step": f"{_W}{_BACK} SELECT step, count(*) AS bets, CAST(sum(prize) AS BIGINT) AS prize FROM paid GROUP BY step",
         "upsert_keep_last": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1",
+        "ingest_store": f"""{_W}{_DRAWS}, kinds AS (SELECT d.*, o_orderpriority IN ('1-URGENT', '2-HIGH') AS line, o_orderstatus = 'F' AS page FROM draws d JOIN orders ON o_orderkey = issue)
+            SELECT issue::VARCHAR AS issue, CASE WHEN line THEN strftime(draw_date, '%Y-%m-%d') WHEN page THEN NULL ELSE '2000-01-01' END AS draw_date, array_to_string(list_transform(reds, lambda b: lpad(b::VARCHAR, 2, '0')), ',') AS reds,
+                   CASE WHEN line OR page THEN lpad(blue::VARCHAR, 2, '0') ELSE '00' END AS blue, 2::BIGINT AS version FROM kinds""",
         "precedence_union": "SELECT o_orderkey::VARCHAR AS issue, CASE WHEN o_orderpriority = '1-URGENT' THEN 'text' WHEN o_orderstatus = 'F' THEN 'html' ELSE o_orderstatus END AS val, CASE WHEN o_orderpriority = '1-URGENT' THEN '2021-01-01' WHEN o_orderstatus = 'F' THEN NULL ELSE '2020-01-01' END AS draw_date FROM orders",
         "text_line_parse": f"""{_W}{_DRAWS}, good AS (SELECT issue::VARCHAR AS issue, strftime(draw_date, '%Y-%m-%d') AS draw_date, array_to_string(reds, ',') AS reds, blue::VARCHAR AS blue FROM draws WHERE issue % 7 <> 0 AND issue % 11 <> 0 AND issue % 13 <> 0),
             prose AS (SELECT regexp_split_to_array(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), '\\s+') AS f FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents))

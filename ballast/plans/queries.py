@@ -11,7 +11,7 @@ from ballast.operators import backtest, boosting, combos, draws, ingest, scoring
 from ballast.plans import runs
 from ballast.plans.oracle import CLOCK
 from ballast.schema import TUNED, prize_rules
-from ballast.sources import files, readers, reports
+from ballast.sources import files, readers, reports, store
 
 
 def _table(spark, sf_dir, name):
@@ -242,6 +242,25 @@ def precedence_union(spark, sf_dir):
     return ingest.upsert(existing, html, text).select("issue", "val", "draw_date")
 
 
+def ingest_store(spark, sf_dir):
+    """Two landed kinds of files merged into a store of draws, twice: all orders but the urgent ones are stored, the
+    finished ones come as web pages of 500 rows, the urgent and the high ones as text lines. The second run finds nothing new."""
+    kinds = ("o_orderstatus", "o_orderpriority")
+    d = draws.draws_from_orders(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", *kinds), kinds)
+    two = lambda c: F.lpad(F.col(c).cast("string"), 2, "0")
+    d = files.materialised(spark, d.select(F.col("issue").cast("string").alias("issue"), F.date_format("draw_date", "yyyy-MM-dd").alias("draw_date"), F.array(*map(two, fb.B)).alias("balls"), two("blue").alias("blue"), *kinds), "to-ingest")
+    folder = files.made_path(spark, "ingest")
+    stored = d.where("o_orderpriority <> '1-URGENT'").select("issue", F.lit("2000-01-01").alias("draw_date"), F.array_join("balls", ",").alias("reds"), F.lit("00").alias("blue"), F.lit(0).alias("at"))
+    store.merge(spark, f"{folder}/store", stored, "issue", ["at"], range_rows=4000)
+    row = F.concat(F.lit("<tr><td>"), "issue", F.lit("期</td><td>"), F.array_join("balls", " "), F.lit("</td><td>"), "blue", F.lit("</td></tr>"))
+    pages = d.where("o_orderstatus = 'F'").groupBy(F.floor(F.col("issue").cast("long") / 500).alias("page")).agg(F.concat(F.lit("<html><table><tr><th>期号</th></tr>"), F.array_join(F.collect_list(row), "\n"), F.lit("</table></html>")).alias("value"))
+    pages.repartition("page").write.partitionBy("page").text(f"{folder}/pages")
+    line = F.concat_ws(" ", "issue", "draw_date", F.array_join("balls", " "), "blue", F.lit("0"), F.lit("0"))
+    d.where("o_orderpriority IN ('1-URGENT', '2-HIGH')").select(line.alias("value")).write.text(f"{folder}/lines")
+    first, again = (runs.ingest_files(spark, f"{folder}/store", f"{folder}/lines", f"{folder}/pages/*", range_rows=4000) for _ in range(2))
+    return again.read(spark).withColumn("version", F.lit(again.number if again == first else -1).cast("long"))
+
+
 def _landed_csv(spark, d) -> str:
     path = files.made_path(spark, "draws-csv")
     readers.write_draw_csv(d.select(F.col("issue").cast("string").alias("issue"), F.date_format("draw_date", "yyyy-MM-dd").alias("draw_date"), F.concat_ws(",", *(F.lpad(F.col(b).cast("string"), 2, "0") for b in fb.B)).alias("reds"), F.lpad(F.col("blue").cast("string"), 2, "0").alias("blue")), path)
@@ -372,7 +391,7 @@ def settlement_report_lines(spark, sf_dir):
 
 _NAMES = """draws_wide draw_features_static draw_features_window ball_decayed_freq blue_decayed_freq ball_omission ball_stats_every_step ball_score_rank ball_split_gains ball_boosted_probs contrarian_pool top_blue
 next_draw_labels csv_history settle_from_files candidate_list feature_mean_fill combo_rule_counts combo_rules_joint combo_recent_overlap combo_all_cold combo_related combo_diagonal rejection_anti coverage_semi
-coverage7_top seeded_pick settle_single settle_duplex tier_rollup backtest_pnl backtest_prize_counts backtest_by_step upsert_keep_last precedence_union text_line_parse
+coverage7_top seeded_pick settle_single settle_duplex tier_rollup backtest_pnl backtest_prize_counts backtest_by_step upsert_keep_last ingest_store precedence_union text_line_parse
 html_table_extract report_parse_bets report_match next_issue events_lag_ma5 event_type_decayed_freq user_omission part_score_skip_topk tiered_lookup_join
 analysis_report_lines settlement_report_lines""".split()
 

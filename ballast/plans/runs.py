@@ -11,7 +11,25 @@ from pyspark.sql import functions as F
 from ballast.functions import balls as fb
 from ballast.operators import backtest, combos, scoring, settle
 from ballast.schema import BACKTEST_STEPS, Params
-from ballast.sources import files, readers, reports
+from ballast.sources import files, readers, reports, store
+
+
+def ingest_files(spark: SparkSession, root: str, text_path: str, html_path: str, range_rows: int = store.RANGE_ROWS) -> store.Version | None:
+    """Merges landed text histories and web pages into the store of draws at ``root``: text over pages over what is stored, whole rows.
+
+    Later lines and rows win within a kind, files by name. Either kind may be missing; with nothing new the store stays as it is.
+    """
+    found = []
+    if files.exists(spark, html_path):
+        pages = readers.in_file_order(spark.read.text(html_path, wholetext=True)).withColumnRenamed("value", "html").select("html", "file", F.lit(0).cast("long").alias("seq"))
+        found.append(readers.parse_html(pages, numbered="seq").withColumn("draw_date", F.lit(None).cast("string")).withColumn("priority", F.lit(1)))
+    if files.exists(spark, text_path):
+        found.append(readers.parse_lines(readers.in_file_order(spark.read.text(text_path))).withColumn("priority", F.lit(2)))
+    if not found:
+        return store.version(spark, root)
+    columns = ["issue", "draw_date", "reds", "blue", "priority", "file", "seq"]
+    new = found[0].select(columns) if len(found) == 1 else found[0].select(columns).unionByName(found[1].select(columns))
+    return store.merge(spark, root, new, "issue", ["priority", "file", "seq"], range_rows)
 
 
 @dataclass

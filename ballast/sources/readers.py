@@ -26,6 +26,11 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     return rows.select(*lines.columns, g(0).alias("issue"), g(1).alias("draw_date"), F.array_join(F.slice("_f", 3, 6), ",").alias("reds"), g(8).alias("blue")).drop(column)
 
 
+def in_file_order(lines: DataFrame) -> DataFrame:
+    """Rows of a text reader with file and seq, by which later ones of a file are greater."""
+    return lines.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq"))
+
+
 def read_text_history(spark: SparkSession, path: str) -> DataFrame:
     """Records of landed text files; none where the download left nothing."""
     lines = landed_lines(spark, path)
@@ -41,9 +46,13 @@ def table_cells(html: Column) -> Column:
     return F.slice(cells, F.lit(2), F.size(rows))
 
 
-def parse_html(pages: DataFrame, column: str = "html") -> DataFrame:
-    """First tables -> issue, reds, blue (strings, no date): three cells, a digit issue, six numbers, a blue of 1 to 16."""
-    rows = pages.select(*(c for c in pages.columns if c != column), F.explode(table_cells(F.col(column))).alias("c")).where(F.size("c") >= 3)
+def parse_html(pages: DataFrame, column: str = "html", numbered: str | None = None) -> DataFrame:
+    """First tables -> issue, reds, blue (strings, no date): three cells, a digit issue, six numbers, a blue of 1 to 16.
+
+    numbered: a column of ``pages`` that takes the number of the row in its table.
+    """
+    rest = [c for c in pages.columns if c not in (column, numbered)]
+    rows = pages.select(*rest, F.posexplode(table_cells(F.col(column))).alias(numbered or "_row", "c")).where(F.size("c") >= 3)
     issue, blue = F.replace(F.get("c", F.lit(0)), F.lit("期"), F.lit("")), F.get("c", F.lit(2))
     balls = F.transform(F.split(F.get("c", F.lit(1)), " "), lambda x: x.try_cast("int"))
     out = rows.select("*", issue.alias("issue"), balls.alias("_balls"), blue.try_cast("int").alias("_blue"))
