@@ -122,6 +122,19 @@ rep AS (SELECT 'r' || lpad(k::VARCHAR, 9, '0') AS path, k FROM raw)"""
 
 
 
+_RANK = "(b1-1) + (b2-1)*(b2-2)//2 + (b3-1)*(b3-2)*(b3-3)//6 + (b4-1)*(b4-2)*(b4-3)*(b4-4)//24 + (b5-1)*(b5-2)*(b5-3)*(b5-4)*(b5-5)//120 + (b6-1)*(b6-2)*(b6-3)*(b6-4)*(b6-5)*(b6-6)//720"
+
+
+def _places(table: str) -> str:
+    """CTEs p8..p0 from a table with rank: the permutation of seed 42 taken back, half-round by half-round; p0 has place."""
+    move = lambda x, r, m: f"(({x} + {(42 * 1009 + r * 7919 + 17) % 1000003}) * ({x} * 7919 + 104729 + {(42 * 1009 + r * 7919 + 17) % 1000003}) % 1000003 % {m})"
+    out = [f"p8 AS (SELECT *, rank // 1232 AS l, rank % 1232 AS r FROM {table})"]
+    for r in range(7, -1, -1):
+        own, other, m = ("r", "l", 1232) if r % 2 else ("l", "r", 899)
+        out.append(f"p{r} AS (SELECT * REPLACE (({own} + {m} - {move(other, r, m)}) % {m} AS {own}) FROM p{r + 1})")
+    return ", ".join(out) + ", placed AS (SELECT *, l * 1232 + r AS place FROM p0)"
+
+
 def _text_rows(text: str, pieces: dict[str, str]) -> str:
     """(line_no, line) of a text whose marks, @name@, are values that SQL finds."""
     e = "'" + text.replace("'", "''") + "'"
@@ -222,6 +235,11 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'duplex', 1, array_to_string(balls, ','), red_hits::BIGINT, blue_hits::BIGINT, tier, ways::BIGINT, prize::BIGINT FROM ways""",
         "combo_rule_counts": f"{_W} {_ALL} " + " UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) FILTER ({v}) AS kept FROM combos" for k, v in _RULES.items()),
         "combo_rules_joint": f"{_W} {_ALL} SELECT count(*) FILTER ({_APPLIED}) AS fast, count(*) FILTER ({_APPLIED}) AS applied, count(*) FILTER ({_APPLIED} AND {_RULES['r7_primes']}) AS with_primes FROM combos",
+        "draw_overlaps": f"""{_W}{_DRAWS} SELECT a.issue, count(b.idx) AS n_earlier, max(b.idx) AS last_idx FROM draws a LEFT JOIN draws b ON b.idx < a.idx AND bit_count(a.mask & b.mask) >= 4 GROUP BY a.issue""",
+        "unseen_pairs_of_four": f"{_W}{_NOW}{_POOL} SELECT c.mask FROM chosen c WHERE NOT EXISTS (SELECT 1 FROM draws d WHERE idx >= (SELECT count(*) - 200 FROM draws) AND bit_count(c.mask & d.mask) >= 4)",
+        "draw_ranks": f"""{_W}{_DRAWS}, b AS (SELECT issue, mask, reds[1]::BIGINT AS b1, reds[2]::BIGINT AS b2, reds[3]::BIGINT AS b3, reds[4]::BIGINT AS b4, reds[5]::BIGINT AS b5, reds[6]::BIGINT AS b6 FROM draws),
+            ranks AS (SELECT issue, mask, {_RANK} AS rank FROM b), {_places("ranks")} SELECT issue, rank, place, rank AS rank_back, mask, place < round(1107568 * (1 - pow(1 - 1 / 1107568, 500000))) AS rejected FROM placed""",
+        "sampled_combinations": f"""{_W} {_ALL}, ranks AS (SELECT mask, row_number() OVER (ORDER BY b6, b5, b4, b3, b2, b1) - 1 AS rank FROM combos), {_places("ranks")} SELECT place, mask FROM placed WHERE place < (SELECT count(*) FROM orders)""",
         "rejection_anti": f"{_W}{_NOW}{_POOL} SELECT mask FROM chosen WHERE {_NOT_REJECTED}",
         "coverage_semi": f"{_W}{_NOW}{_CTX}{_POOL}{_KEPT} SELECT mask FROM chosen WHERE mask IN (SELECT mask FROM kept)",
         "coverage7_top": f"""{_W}{_NOW}{_CTX}{_POOL}{_KEPT}, sevens AS (SELECT k.mask | (1::BIGINT << p.b) AS m FROM kept k JOIN pool p ON k.mask & (1::BIGINT << p.b) = 0),

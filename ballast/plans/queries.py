@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ballast.functions import balls as fb
-from ballast.functions import rules
-from ballast.operators import backtest, boosting, combos, draws, ingest, scoring, settle
+from ballast.functions import combinadic, rules
+from ballast.operators import backtest, boosting, combos, draws, ingest, overlap, scoring, settle
 from ballast.plans import runs
 from ballast.plans.oracle import CLOCK
-from ballast.schema import TUNED, prize_rules
+from ballast.schema import REJECTED_DRAWS, TUNED, prize_rules
 from ballast.sources import files, readers, reports, store
 
 
@@ -172,6 +172,31 @@ def coverage_semi(spark, sf_dir):
     return combos.in_passed(combos.pool_combinations(scoring.red_pool(rank)), passing).select("mask")
 
 
+def draw_overlaps(spark, sf_dir):
+    """Every draw against all before it: how many share four balls or more, and the latest of them."""
+    d, _ = kept_history(spark, sf_dir)
+    return d.select("idx", "issue").join(overlap.earlier_overlaps(d), "idx").select("issue", F.col("n").alias("n_earlier"), F.col("last").alias("last_idx"))
+
+
+def unseen_pairs_of_four(spark, sf_dir):
+    """Combinations of the pool that share fewer than four balls with every one of the last 200 draws."""
+    d, n, _, rank = _ranked(spark, sf_dir)
+    return overlap.without_overlap(combos.pool_combinations(scoring.red_pool(rank)), d.where(F.col("idx") >= n - 200)).select("mask")
+
+
+def draw_ranks(spark, sf_dir):
+    """Each draw as an integer and back, its place in a permutation of all combinations, and whether the exact rejection sample holds it."""
+    d = history(spark, sf_dir).select("issue", combinadic.rank().alias("rank"))
+    d = combinadic.unranked(d.withColumn("place", combinadic.permuted(F.col("rank"), 42, inverse=True)), "rank")
+    return d.select("issue", "rank", "place", combinadic.permuted(F.col("place"), 42).alias("rank_back"), "mask", (F.col("place") < combinadic.distinct_of(REJECTED_DRAWS)).alias("rejected"))
+
+
+def sampled_combinations(spark, sf_dir):
+    """As many combinations as there are orders, drawn without replacement."""
+    n = _table(spark, sf_dir, "orders").count()
+    return combinadic.sampled(spark, n, 42).select("place", "mask")
+
+
 def candidate_list(spark, sf_dir):
     return combos.candidate_lines(_kept(spark, sf_dir)[1], all_of_them=True)
 
@@ -390,7 +415,7 @@ def settlement_report_lines(spark, sf_dir):
 
 
 _NAMES = """draws_wide draw_features_static draw_features_window ball_decayed_freq blue_decayed_freq ball_omission ball_stats_every_step ball_score_rank ball_split_gains ball_boosted_probs contrarian_pool top_blue
-next_draw_labels csv_history settle_from_files candidate_list feature_mean_fill combo_rule_counts combo_rules_joint combo_recent_overlap combo_all_cold combo_related combo_diagonal rejection_anti coverage_semi
+next_draw_labels csv_history settle_from_files candidate_list draw_overlaps unseen_pairs_of_four draw_ranks sampled_combinations feature_mean_fill combo_rule_counts combo_rules_joint combo_recent_overlap combo_all_cold combo_related combo_diagonal rejection_anti coverage_semi
 coverage7_top seeded_pick settle_single settle_duplex tier_rollup backtest_pnl backtest_prize_counts backtest_by_step upsert_keep_last ingest_store precedence_union text_line_parse
 html_table_extract report_parse_bets report_match next_issue events_lag_ma5 event_type_decayed_freq user_omission part_score_skip_topk tiered_lookup_join
 analysis_report_lines settlement_report_lines""".split()
