@@ -20,8 +20,7 @@ def backtest(spark: SparkSession, draws: DataFrame, params: Params, n: int, peri
     stats = materialised(spark, scoring.ball_stats(spark, draws, params.decay_factor, first, last), "stats")
     probs = (scorer or scoring.SqlScorer()).probabilities(spark, draws, first, last)
     rank = materialised(spark, scoring.ranked(scoring.scores(stats, probs, params)), "rank")
-    chosen = combos.pool_combinations(scoring.red_pool(rank))
-    kept = combos.passed(chosen, combos.context(draws, stats), seed, names)
+    kept = combos.passed_of_pool(scoring.red_pool(rank), combos.context(draws, stats), seed, names)
     top_blue = scoring.blue_pool(rank, 1).select("step", F.col("ball").alias("blue"))
     bets = kept.join(F.broadcast(top_blue), "step")  # a row a step
     results = draws.where((F.col("idx") >= first) & (F.col("idx") <= last)).select(F.col("idx").alias("step"), "mask", "blue")

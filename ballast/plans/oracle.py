@@ -235,6 +235,7 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'duplex', 1, array_to_string(balls, ','), red_hits::BIGINT, blue_hits::BIGINT, tier, ways::BIGINT, prize::BIGINT FROM ways""",
         "combo_rule_counts": f"{_W} {_ALL} " + " UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) FILTER ({v}) AS kept FROM combos" for k, v in _RULES.items()),
         "combo_rules_joint": f"{_W} {_ALL} SELECT count(*) FILTER ({_APPLIED}) AS fast, count(*) FILTER ({_APPLIED}) AS applied, count(*) FILTER ({_APPLIED} AND {_RULES['r7_primes']}) AS with_primes FROM combos",
+        "pool_combinations_kept": f"{_W}{_NOW}{_POOL} SELECT mask FROM chosen WHERE {_APPLIED}",
         "draw_overlaps": f"""{_W}{_DRAWS} SELECT a.issue, count(b.idx) AS n_earlier, max(b.idx) AS last_idx FROM draws a LEFT JOIN draws b ON b.idx < a.idx AND bit_count(a.mask & b.mask) >= 4 GROUP BY a.issue""",
         "unseen_pairs_of_four": f"{_W}{_NOW}{_POOL} SELECT c.mask FROM chosen c WHERE NOT EXISTS (SELECT 1 FROM draws d WHERE idx >= (SELECT count(*) - 200 FROM draws) AND bit_count(c.mask & d.mask) >= 4)",
         "draw_ranks": f"""{_W}{_DRAWS}, b AS (SELECT issue, mask, reds[1]::BIGINT AS b1, reds[2]::BIGINT AS b2, reds[3]::BIGINT AS b3, reds[4]::BIGINT AS b4, reds[5]::BIGINT AS b5, reds[6]::BIGINT AS b6 FROM draws),

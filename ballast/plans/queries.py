@@ -117,6 +117,11 @@ def feature_mean_fill(spark, sf_dir):
     return _rounded(draws.mean_filled(feats.where(F.col("idx") < n - 1), feats, columns).unionByName(draws.last_row_filled(feats, columns)))
 
 
+def pool_combinations_kept(spark, sf_dir):
+    """The combinations of the pool that the static rules keep, by enumeration that leaves out what they reject."""
+    return combos.pruned_combinations(scoring.red_pool(_ranked(spark, sf_dir)[3])).select("mask")
+
+
 def combo_rule_counts(spark, sf_dir):
     c = combos.all_combinations(spark)
     one = c.agg(*(F.sum(F.when(f(), 1).otherwise(0)).alias(n) for n, f in rules.STATIC.items()))
@@ -155,7 +160,7 @@ def combo_diagonal(spark, sf_dir):
 def _kept(spark, sf_dir):
     d, _, stats, rank = _ranked(spark, sf_dir)
     pool = scoring.red_pool(rank)
-    return pool, combos.passed(combos.pool_combinations(pool), combos.context(d, stats))
+    return pool, combos.passed_of_pool(pool, combos.context(d, stats))
 
 
 def rejection_anti(spark, sf_dir):
@@ -415,7 +420,7 @@ def settlement_report_lines(spark, sf_dir):
 
 
 _NAMES = """draws_wide draw_features_static draw_features_window ball_decayed_freq blue_decayed_freq ball_omission ball_stats_every_step ball_score_rank ball_split_gains ball_boosted_probs contrarian_pool top_blue
-next_draw_labels csv_history settle_from_files candidate_list draw_overlaps unseen_pairs_of_four draw_ranks sampled_combinations feature_mean_fill combo_rule_counts combo_rules_joint combo_recent_overlap combo_all_cold combo_related combo_diagonal rejection_anti coverage_semi
+next_draw_labels csv_history settle_from_files candidate_list pool_combinations_kept draw_overlaps unseen_pairs_of_four draw_ranks sampled_combinations feature_mean_fill combo_rule_counts combo_rules_joint combo_recent_overlap combo_all_cold combo_related combo_diagonal rejection_anti coverage_semi
 coverage7_top seeded_pick settle_single settle_duplex tier_rollup backtest_pnl backtest_prize_counts backtest_by_step upsert_keep_last ingest_store precedence_union text_line_parse
 html_table_extract report_parse_bets report_match next_issue events_lag_ma5 event_type_decayed_freq user_omission part_score_skip_topk tiered_lookup_join
 analysis_report_lines settlement_report_lines""".split()

@@ -53,7 +53,7 @@ def analyse(spark: SparkSession, draws: DataFrame, step: int, params: Params, pe
     probs = (scorer or scoring.SqlScorer()).probabilities(spark, draws, step, step)
     rank = files.materialised(spark, scoring.ranked(scoring.scores(stats, probs, params)), "rank")
     pool = scoring.red_pool(rank)
-    kept = files.materialised(spark, combos.passed(combos.pool_combinations(pool), combos.context(draws, stats)), "kept")
+    kept = files.materialised(spark, combos.passed_of_pool(pool, combos.context(draws, stats)), "kept")
     picks = [[r[b] for b in fb.B] for r in combos.seeded_pick(kept).collect()]
     best = combos.best7(combos.coverage7(kept, pool)).collect()
     blues = [r.ball for r in scoring.blue_pool(rank).orderBy("rn").collect()]
