@@ -267,6 +267,10 @@ def oracle_sql() -> dict[str, str]:
             prose AS (SELECT regexp_split_to_array(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), '\\s+') AS f FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents))
             SELECT * FROM good UNION ALL SELECT f[1], f[2], array_to_string(f[3:8], ','), f[9] FROM prose WHERE len(f) >= 9 AND regexp_full_match(f[1], '[0-9]+') AND len(string_split(f[2], '-')) = 3""",
         "html_table_extract": """SELECT page_id, page_id::VARCHAR AS issue, array_to_string(list_transform([0,1,2,3,4,5], lambda i: lpad(((page_id * (i + 3)) % 30 + 1)::VARCHAR, 2, '0')), ',') AS reds, lpad((page_id % 18)::VARCHAR, 2, '0') AS blue FROM pages WHERE page_id % 18 BETWEEN 1 AND 16""",
+        "page_blocks": r"""WITH shown AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g') AS h FROM pages),
+            cut AS (SELECT page_id, string_split(regexp_replace(regexp_replace(h, '(?i)</?(html|head|title|body|nav|ul|li|div|article|h1|p|br|footer)(\s[^>]*)?>', chr(1), 'g'), '<[^>]*>', '', 'g'), chr(1)) AS l FROM shown),
+            said AS (SELECT page_id, list_filter(list_transform(l, lambda x: trim(regexp_replace(replace(replace(replace(replace(x, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS b FROM cut)
+            SELECT page_id, len(b) AS n_blocks, length(array_to_string(b, '')) AS n_chars, list_max(list_transform(b, lambda x: length(x))) AS longest, sha256(array_to_string(b, chr(10))) AS blocks_sha256 FROM said""",
         "report_parse_bets": f"""{_REPORT} SELECT path, 'single' AS kind, array_to_string(list_transform([1,2,3,4,5,6], lambda i: (k + i * 5) % 33 + 1), ',') AS reds, (k % 9 + 1)::VARCHAR AS blues FROM rep
             UNION ALL SELECT path, 'duplex', array_to_string(list_transform([1,2,3,4,5,6,7], lambda i: (k + i * 4) % 33 + 1), ','), array_to_string(list_transform([1,2,3], lambda i: (k + i * 2) % 33 + 1), ',') FROM rep""",
         "report_match": f"{_REPORT} SELECT path, '42' AS target FROM rep WHERE k % 100 = 42 ORDER BY path DESC LIMIT 1",

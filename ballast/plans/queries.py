@@ -11,7 +11,7 @@ from ballast.operators import backtest, boosting, combos, draws, ingest, overlap
 from ballast.plans import runs
 from ballast.plans.oracle import CLOCK
 from ballast.schema import REJECTED_DRAWS, TUNED, prize_rules
-from ballast.sources import files, readers, reports, store
+from ballast.sources import files, markup, readers, reports, store
 
 
 def _table(spark, sf_dir, name):
@@ -337,6 +337,13 @@ def html_table_extract(spark, sf_dir):
     return readers.parse_html(p.select("page_id", html.alias("html"))).select("page_id", "issue", "reds", "blue")
 
 
+def page_blocks(spark, sf_dir):
+    """Every page's text blocks from its own markup: their number and length, the longest, and a digest of all."""
+    p = _table(spark, sf_dir, "pages").select("page_id", F.explode(F.array(markup.text_blocks(F.col("html")))).alias("b"))
+    long = lambda c: c.cast("long")
+    return p.select("page_id", long(F.size("b")).alias("n_blocks"), long(F.length(F.array_join("b", ""))).alias("n_chars"), long(F.array_max(F.transform("b", F.length))).alias("longest"), F.sha2(F.array_join("b", "\n"), 256).alias("blocks_sha256"))
+
+
 def _report_lines(spark, sf_dir):
     """A small report an order, of lines with good, malformed and foreign bets."""
     o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
@@ -422,7 +429,7 @@ def settlement_report_lines(spark, sf_dir):
 _NAMES = """draws_wide draw_features_static draw_features_window ball_decayed_freq blue_decayed_freq ball_omission ball_stats_every_step ball_score_rank ball_split_gains ball_boosted_probs contrarian_pool top_blue
 next_draw_labels csv_history settle_from_files candidate_list pool_combinations_kept draw_overlaps unseen_pairs_of_four draw_ranks sampled_combinations feature_mean_fill combo_rule_counts combo_rules_joint combo_recent_overlap combo_all_cold combo_related combo_diagonal rejection_anti coverage_semi
 coverage7_top seeded_pick settle_single settle_duplex tier_rollup backtest_pnl backtest_prize_counts backtest_by_step upsert_keep_last ingest_store precedence_union text_line_parse
-html_table_extract report_parse_bets report_match next_issue events_lag_ma5 event_type_decayed_freq user_omission part_score_skip_topk tiered_lookup_join
+html_table_extract page_blocks report_parse_bets report_match next_issue events_lag_ma5 event_type_decayed_freq user_omission part_score_skip_topk tiered_lookup_join
 analysis_report_lines settlement_report_lines""".split()
 
 

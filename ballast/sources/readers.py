@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ballast.schema import CSV_HEADER, DRAW_CSV
 from ballast.sources.files import landed_lines
+from ballast.sources.markup import first_table
 
 _TRIM = "^\\s+|\\s+$"
 
@@ -39,11 +40,7 @@ def read_text_history(spark: SparkSession, path: str) -> DataFrame:
 
 def table_cells(html: Column) -> Column:
     """Rows of the first table after its header, each an array of cell texts."""
-    table = F.regexp_extract(html, "(?is)<table\\b[^>]*>(.*?)</table>", 1)
-    rows = F.regexp_extract_all(table, F.lit("(?is)<tr\\b[^>]*>(.*?)</tr>"), F.lit(1))
-    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "(?s)<[^>]*>", ""), "&nbsp;", " "))
-    cells = F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit("(?is)<td\\b[^>]*>(.*?)</td>"), F.lit(1)), plain))
-    return F.slice(cells, F.lit(2), F.size(rows))
+    return F.slice(first_table(html), 2, 1 << 30)
 
 
 def parse_html(pages: DataFrame, column: str = "html", numbered: str | None = None) -> DataFrame:
