@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 TAG, END, CELL, ROW = "\x01", "\x02", "\x03", "\x04"
 _ATTRIBUTES = "(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+"
 #: Raw text runs to its end tag, or to the end of the page where there is none; so do comments.
-_HIDDEN = "<!--(?s:.*?)(?:--!?>|\\z)|<(script|style|template|noscript|textarea)\\b" + _ATTRIBUTES + ">(?s:.*?)(?:</\\1\\s*>|\\z)"
-_OTHER = "</?[a-z]" + _ATTRIBUTES + ">|<[!?/][^>]*+>"
+_HIDDEN = "!--(?s:.*?)(?:--!?>|\\z)|(script|style|template|noscript|textarea)\\b" + _ATTRIBUTES + ">(?s:.*?)(?:</\\1\\s*>|\\z)"
+_OTHER = "/?[a-z]" + _ATTRIBUTES + ">|[!?/][^>]*+>"
 #: Elements that begin and end a block of text.
 BLOCKS = "address|article|aside|blockquote|body|br|caption|center|dd|details|dialog|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|legend|li|main|menu|nav|ol|option|p|pre|section|select|summary|table|tbody|td|tfoot|th|thead|title|tr|ul"
 #: Entities by name.
@@ -24,10 +24,10 @@ ENTITIES = {"&nbsp;": "\xa0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;":
 
 
 def _tokens(html: Column, kept: str) -> Column:
-    """The text cut at tags named in ``kept``: an array whose first element is text, and each other one a tag, END and the text after it."""
+    """The text cut at tags named in ``kept``: an array whose first element is text, and each other one a tag's name, with / if it ends, END and the text after it."""
     clean = F.translate(html, TAG + END + CELL + ROW, "")
-    # a kept tag is group 2; of what hides text and of other tags nothing stays
-    marked = F.regexp_replace(clean, f"(?i){_HIDDEN}|(</?(?:{kept})(?=[\\s/>]){_ATTRIBUTES}>)|{_OTHER}", f"{TAG}$2{END}")
+    # a kept tag's name is group 2; of what hides text and of other tags nothing stays
+    marked = F.regexp_replace(clean, f"(?i)<(?:{_HIDDEN}|(/?(?:{kept})(?=[\\s/>])){_ATTRIBUTES}>|{_OTHER})", f"{TAG}$2{END}")
     return F.split(F.replace(marked, F.lit(TAG + END), F.lit("")), TAG)
 
 
@@ -63,7 +63,7 @@ def first_table(html: Column) -> Column:
     start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("done"), F.lit(False).alias("open"), F.lit("").alias("out"))
 
     def step(s: Column, token: Column) -> Column:
-        tag = F.lower(F.regexp_extract(token, "^<(/?[a-zA-Z]+)", 1))
+        tag = F.lower(F.substring_index(token, END, 1))
         text = F.substring_index(token, END, -1)
         depth = F.greatest(s["depth"] + F.when(tag == "table", 1).when(tag == "/table", -1).otherwise(0), F.lit(0))
         here = (depth == 1) & ~s["done"]
