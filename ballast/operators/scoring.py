@@ -59,6 +59,42 @@ class SqlScorer:
         return hits.join(n, "step").select("step", "color", F.col("ball").cast("int").alias("ball"), ((F.col("total") + 1) / (F.col("n") + 2)).alias("prob"))
 
 
+class BayesScorer:
+    """Naive Bayes of each ball by the last draw's features, learned anew for every step from one pass over the history.
+
+    What a step's model is made of are counts of the draws before it: how often the ball came next, and how often each feature
+    value stood before it did and before it did not. All are running totals, so models for all steps come from
+    the same scan; none is fitted. Counts are smoothed by one, and a feature has as many values as ``values`` says.
+    """
+
+    #: How many values each feature can take.
+    VALUES = {"odd_count": 7, "red_zone_small": 7, "red_zone_medium": 7, "red_big_count": 7, "red_prime_count": 7, "red_sum_tail": 10, "red_consecutive_groups": 4, "red_tail_uniques": 6}
+
+    def __init__(self, values: dict[str, int] | None = None):
+        self.values = values or self.VALUES
+
+    def probabilities(self, spark: SparkSession, draws: DataFrame, first_step: int, last_step: int) -> DataFrame:
+        """(step, color, ball, prob)."""
+        from ballast.operators.draws import STATIC_FEATURES
+
+        each = F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), STATIC_FEATURES[f]().cast("long").alias("value"), F.lit(n).alias("values")) for f, n in self.values.items())))
+        state = draws.select("idx", each)
+        # what stood before, at the position where what followed became known
+        before = state.where(F.col("idx") >= WARM_UP).select((F.col("idx") + 1).alias("idx"), "feature", "value")
+        one = F.lit(1.0).alias("weight")
+        asked = state.select((F.col("idx") + 1).alias("step"), "feature", "value", "values").where(F.col("step").between(first_step, last_step))
+        seen = running_totals(before.select("idx", "feature", "value", one), asked, ["feature", "value"]).select("step", "feature", F.col("total").alias("n_value"))
+        came = running_totals(drawn(draws).where(F.col("idx") > WARM_UP).select("idx", "color", "ball", one), grid(spark, first_step, last_step), ["color", "ball"])
+        joint = drawn(draws).join(before, "idx").select("idx", "feature", "value", "color", "ball", one)
+        both = running_totals(joint, asked.crossJoin(F.broadcast(domain(spark))), ["feature", "value", "color", "ball"]).withColumnRenamed("total", "n_both").drop("last")
+        rows = both.join(seen, ["step", "feature"]).join(came.withColumnRenamed("total", "n_came").drop("last"), ["step", "color", "ball"])
+        n = F.greatest(F.col("step") - WARM_UP - 1, F.lit(0))
+        side = F.log((F.col("n_both") + 1) / (F.col("n_came") + F.col("values"))) - F.log((F.col("n_value") - F.col("n_both") + 1) / (n - F.col("n_came") + F.col("values")))
+        prior = F.log((F.col("n_came") + 1) / (n - F.col("n_came") + 1))
+        odds = rows.groupBy("step", "color", "ball").agg((F.first(prior) + F.sum(side)).alias("odds"))
+        return odds.select("step", "color", F.col("ball").cast("int").alias("ball"), (1 / (1 + F.exp(-F.col("odds")))).alias("prob"))
+
+
 def scores(stats: DataFrame, probs: DataFrame, params: Params) -> DataFrame:
     """(step, color, ball, freq, omission, prob, score); a maximum of zero normalises as 1, a missing probability is 0."""
     w = Window.partitionBy("step", "color")  # at most 33 rows

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from ballast.operators.scoring import BayesScorer
 from ballast.schema import BACKTEST_STEPS, NO_PRIZE, PRIZES, TUNED
 from ballast.sources import reports
 
@@ -51,6 +52,28 @@ probs AS (SELECT g.step, g.color, g.ball, (coalesce(n_hit, 0) + 1) / (coalesce(n
 normed AS (SELECT *, freq / coalesce(nullif(max(freq) OVER w, 0), 1) AS nf, omission / coalesce(nullif(max(omission) OVER w, 0), 1) AS no FROM stats JOIN probs USING (step, color, ball) WINDOW w AS (PARTITION BY step, color)),
 scored AS (SELECT *, round(CASE WHEN color = 'red' THEN {P.weight_freq} * nf + {P.weight_omission} * no + {P.weight_ml} * prob ELSE {P.weight_blue_freq} * nf + {P.weight_blue_ml} * prob END, 9) AS score FROM normed),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY step, color ORDER BY score DESC, ball) AS rn FROM scored)"""
+#: Naive Bayes instead of the counts by odd reds.
+_VALUES = BayesScorer.VALUES
+_BAYES = f""",
+state AS (UNPIVOT (SELECT idx, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _VALUES)} FROM feats) ON COLUMNS(* EXCLUDE idx) INTO NAME feature VALUE value),
+n_values AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {v})" for k, v in _VALUES.items())}) t(feature, n_values)),
+learned AS (SELECT idx + 1 AS idx, feature, value FROM state WHERE idx >= 5),
+given AS (SELECT step, feature, value FROM steps JOIN state ON idx = step - 1),
+by_value AS (SELECT step, feature, count(l.idx) AS n_value FROM given g LEFT JOIN learned l USING (feature, value) WHERE l.idx < step GROUP BY ALL),
+by_ball AS (SELECT step, color, ball, count(*) AS n_came FROM steps JOIN balls ON idx > 5 AND idx < step GROUP BY ALL),
+by_both AS (SELECT g.step, g.feature, b.color, b.ball, count(*) AS n_both FROM given g JOIN learned l USING (feature, value) JOIN balls b ON b.idx = l.idx WHERE l.idx < g.step GROUP BY ALL),
+every AS (SELECT g.step, g.color, g.ball, v.feature, v.n_values, coalesce(n_value, 0) AS n_value, coalesce(n_came, 0) AS n_came, coalesce(n_both, 0) AS n_both, g.step - 6 AS n
+  FROM grid g CROSS JOIN n_values v LEFT JOIN by_value x ON x.step = g.step AND x.feature = v.feature LEFT JOIN by_ball y ON y.step = g.step AND y.color = g.color AND y.ball = g.ball
+  LEFT JOIN by_both z ON z.step = g.step AND z.feature = v.feature AND z.color = g.color AND z.ball = g.ball),
+bayes AS (SELECT step, color, ball, 1 / (1 + exp(-(any_value(ln((n_came + 1) / (n - n_came + 1))) + sum(ln((n_both + 1) / (n_came + n_values)) - ln((n_value - n_both + 1) / (n - n_came + n_values)))))) AS prob FROM every GROUP BY step, color, ball)"""
+
+
+def _with_bayes(statement: str) -> str:
+    """A statement whose probabilities are naive Bayes's."""
+    head, tail = statement.split(",\nnormed AS", 1)
+    return head.replace(_DRAWS, _DRAWS + _FEAT) + _BAYES + ",\nnormed AS" + tail.replace("stats JOIN probs USING", "stats JOIN bayes USING", 1)
+
+
 _ONE_STEP = ",\nsteps AS (SELECT count(*) AS step FROM draws)"
 _LAST_50 = ",\nsteps AS (SELECT idx AS step FROM draws WHERE idx >= (SELECT count(*) FROM draws) - 50)"
 
@@ -168,10 +191,10 @@ def _analysis() -> str:
 
 
 def _settlement() -> str:
-    """The settlement report of the first draw and the fixed bets."""
+    """The settlement report of the latest draw and the fixed bets."""
     names = "now name issue reds blue singles first wide_reds wide_blues red_hits blue_hits tiers second total".split()
     text = reports.SETTLEMENT.format(**{n: f"@{n}@" for n in names} | {"now": CLOCK, "name": "report.txt"})
-    drawn = f"{_W}{_DRAWS}{_BETS}, {_RULE_TABLE}, {_COMB}, won AS (SELECT * FROM draws WHERE idx = 0)"
+    drawn = f"{_W}{_DRAWS}{_BETS}, {_RULE_TABLE}, {_COMB}, won AS (SELECT * FROM draws ORDER BY issue DESC LIMIT 1)"
     one = f"""{drawn}, hit AS (SELECT bet_id, s.reds, s.blue, len(list_intersect(s.reds, w.reds)) AS red_hits, (s.blue = w.blue)::INT AS blue_hit FROM singles s CROSS JOIN won w),
         paid AS (SELECT h.*, coalesce(prize, 0) AS prize, coalesce(tier, '{NO_PRIZE}') AS tier FROM hit h LEFT JOIN prize_rules USING (red_hits, blue_hit))"""
     many = f"""{drawn}, hit AS (SELECT x.reds, x.blues, len(list_intersect(x.reds, w.reds)) AS red_hits, list_contains(x.blues, w.blue)::INT AS blue_hits FROM duplex x CROSS JOIN won w WHERE bet_id = 1),
@@ -187,6 +210,20 @@ def _settlement() -> str:
     })
 
 
+def _rule_verdicts() -> str:
+    tests = _RULES | {
+        "r9_recent_overlap": "len(list_filter(ms, lambda m: bit_count(mask & m) >= 4)) = 0", "r10_all_cold": "bit_count(mask & cold) < 6",
+        "r16_related": "mask & (m1 | (m1 << 1) | (m1 >> 1)) <> 0", "r17_diagonal": "mask & (m1 << 1) & (m2 << 2) = 0",
+    }
+    return f"""{_W}{_DRAWS}, gone AS (
+          SELECT d.idx, b.ball, d.idx - coalesce(max(CASE WHEN list_contains(d.reds, b.ball) THEN d.idx END) OVER (PARTITION BY b.ball ORDER BY d.idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) - 1 AS omission FROM draws d CROSS JOIN nums b),
+        cold AS (SELECT idx, CAST(coalesce(sum(1::BIGINT << CAST(ball AS INT)) FILTER (omission > 15), 0) AS BIGINT) AS cold FROM gone GROUP BY idx),
+        seen AS (SELECT idx, mask, reds[1]::INT AS b1, reds[2]::INT AS b2, reds[3]::INT AS b3, reds[4]::INT AS b4, reds[5]::INT AS b5, reds[6]::INT AS b6, lag(mask) OVER (ORDER BY idx) AS m1, lag(mask, 2) OVER (ORDER BY idx) AS m2,
+          list(mask) OVER (ORDER BY idx ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS ms FROM draws),
+        said AS (SELECT unnest([{', '.join(f"'{k}'" for k in tests)}]) AS rule, unnest([{', '.join(f'({v})::INT' for v in tests.values())}]) AS kept, {' + '.join(f'(1 - ({v})::INT)' for v in tests.values())} AS n_bad FROM seen JOIN cold USING (idx) WHERE idx >= 10)
+        SELECT rule, count(*) AS draws, CAST(sum(1 - kept) AS BIGINT) AS broken, count(*) FILTER (kept = 0 AND n_bad = 1) AS alone FROM said GROUP BY rule"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "analysis_report_lines": _analysis(),
@@ -217,6 +254,16 @@ def oracle_sql() -> dict[str, str]:
         "top_blue": f"{_W}{_NOW} SELECT ball, rn FROM ranked WHERE color = 'blue' AND rn <= 7",
         "next_draw_labels": f"{_W}{_DRAWS} SELECT issue, lead(mask) OVER (ORDER BY idx) AS next_mask, lead(blue) OVER (ORDER BY idx) AS next_blue FROM draws",
         "feature_mean_fill": f"{_W}{_DRAWS}{_FEAT}{_WINDOWED} SELECT issue, {', '.join(f'round({c}, 6) AS {c}' for c in _LAGS + _MAS)} FROM (SELECT issue, idx, {', '.join(f'coalesce({c}, avg({c}) OVER ()) AS {c}' for c in _LAGS + _MAS)} FROM windowed)",
+        "csv_history_gbk": f"{_W}{_DRAWS} SELECT issue, strftime(draw_date, '%Y-%m-%d') AS draw_date, array_to_string(reds, ',') AS reds, blue FROM draws",
+        "events_json": "SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total, min(k) AS least, max(k) AS most FROM (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type",
+        "pool_from_params_file": f"{_W}{_NOW} SELECT ball, rn FROM ranked WHERE color = 'red' AND rn > 16",
+        "ball_bayes_probs": _with_bayes(f"{_W}{_DRAWS}{_LAST_50}{_SCORE} SELECT step, color, ball, round(prob, 6) AS prob FROM normed"),
+        "backtest_bayes": _with_bayes(f"{_W}{_BACK} SELECT step, count(*) AS bets, CAST(sum(prize) AS BIGINT) AS prize FROM paid GROUP BY step"),
+        "settle_duplex_all_blues": f"""{_W}{_DRAWS}{_BETS}, {_RULE_TABLE}, {_COMB},
+            hit AS (SELECT d.issue, x.bet_id, len(list_intersect(x.reds, d.reds)) AS red_hits, len(x.reds) AS n, list_contains(x.blues, d.blue)::INT AS blue_hits, len(x.blues) AS n_blues FROM draws d CROSS JOIN duplex x),
+            ways AS (SELECT h.bet_id, r.tier, a.ways * b.ways * CASE WHEN r.blue_hit = 1 THEN blue_hits ELSE n_blues - blue_hits END AS ways, r.prize FROM hit h JOIN prize_rules r ON r.red_hits <= h.red_hits AND (r.blue_hit = h.blue_hits OR r.blue_hit = 0)
+              JOIN comb a ON a.n = h.red_hits AND a.k = r.red_hits JOIN comb b ON b.n = h.n - h.red_hits AND b.k = 6 - r.red_hits)
+            SELECT bet_id::BIGINT AS bet_id, tier, CAST(sum(ways) AS BIGINT) AS ways, CAST(sum(ways * prize) AS BIGINT) AS prize FROM ways GROUP BY bet_id, tier""",
         "csv_history": f"{_W}{_DRAWS} SELECT issue, strftime(draw_date, '%Y-%m-%d') AS draw_date, array_to_string(reds, ',') AS reds, blue FROM draws",
         "candidate_list": f"""{_W}{_NOW}{_CTX}{_POOL}{_KEPT}, numbered AS (SELECT *, row_number() OVER (ORDER BY b1, b2, b3, b4, b5, b6) AS line_no, count(*) OVER () AS n FROM kept)
             SELECT line_no, '  组合 ' || CASE WHEN n < 100 THEN printf('%2d', line_no) ELSE printf('%3d', line_no) END || ': ' || printf('%02d %02d %02d %02d %02d %02d', b1, b2, b3, b4, b5, b6) AS line FROM numbered""",
@@ -234,6 +281,7 @@ def oracle_sql() -> dict[str, str]:
             FROM hit LEFT JOIN prize_rules USING (red_hits, blue_hit)
             UNION ALL SELECT 'duplex', 1, array_to_string(balls, ','), red_hits::BIGINT, blue_hits::BIGINT, tier, ways::BIGINT, prize::BIGINT FROM ways""",
         "combo_rule_counts": f"{_W} {_ALL} " + " UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) FILTER ({v}) AS kept FROM combos" for k, v in _RULES.items()),
+        "draw_rule_verdicts": _rule_verdicts(),
         "combo_rules_joint": f"{_W} {_ALL} SELECT count(*) FILTER ({_APPLIED}) AS fast, count(*) FILTER ({_APPLIED}) AS applied, count(*) FILTER ({_APPLIED} AND {_RULES['r7_primes']}) AS with_primes FROM combos",
         "pool_combinations_kept": f"{_W}{_NOW}{_POOL} SELECT mask FROM chosen WHERE {_APPLIED}",
         "draw_overlaps": f"""{_W}{_DRAWS} SELECT a.issue, count(b.idx) AS n_earlier, max(b.idx) AS last_idx FROM draws a LEFT JOIN draws b ON b.idx < a.idx AND bit_count(a.mask & b.mask) >= 4 GROUP BY a.issue""",

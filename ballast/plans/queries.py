@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ from ballast.functions import combinadic, rules
 from ballast.operators import backtest, boosting, combos, draws, ingest, overlap, scoring, settle
 from ballast.plans import runs
 from ballast.plans.oracle import CLOCK
-from ballast.schema import REJECTED_DRAWS, TUNED, prize_rules
+from ballast.schema import BACKTEST_STEPS, CSV_HEADER, REJECTED_DRAWS, TUNED, Params, prize_rules
 from ballast.sources import files, markup, readers, reports, store
 
 
@@ -128,6 +131,29 @@ def combo_rule_counts(spark, sf_dir):
     return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(n).alias("kept")) for n in rules.STATIC))).alias("r")).select("r.rule", "r.kept")
 
 
+def _dynamic_by_draw(d):
+    """Each draw from the eleventh on, with what the rules see of the draws before it; a row a draw."""
+    near = d.select("mask", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("k"), "idx").select((F.col("idx") + F.col("k")).alias("idx"), "k", F.col("mask").alias("m"))
+    last = near.groupBy("idx").agg(*(F.max(F.when(F.col("k") == k, F.col("m"))).alias(f"m{k}") for k in range(1, 11)))
+    return d.join(last, "idx").where("idx >= 10")
+
+
+def draw_rule_verdicts(spark, sf_dir):
+    """All seventeen rules on every draw that has ten before it: how often it breaks each, and how often that one alone."""
+    d, n = kept_history(spark, sf_dir)
+    stats = scoring.ball_stats(spark, d, 1.0, 0, n - 1).where("color = 'red'")
+    cold = stats.groupBy(F.col("step").alias("idx")).agg(F.sum(F.when(F.col("omission") > 15, fb.bit(F.col("ball"))).otherwise(F.lit(0).cast("long"))).alias("cold"))
+    rows = combos.with_keys(_dynamic_by_draw(d)).join(cold, "idx")
+    tests = {n: f() for n, f in rules.STATIC.items()} | {
+        "r9_recent_overlap": rules.recent_overlap([F.col(f"m{k}") for k in range(1, 11)]), "r10_all_cold": rules.not_all_cold(F.col("cold")),
+        "r16_related": rules.related(F.col("m1")), "r17_diagonal": rules.no_diagonal(F.col("m1"), F.col("m2")),
+    }
+    rows = rows.select("idx", F.explode(F.array(F.array(*(F.when(t, 0).otherwise(1) for t in tests.values())))).alias("bad"))
+    rows = rows.select(F.aggregate("bad", F.lit(0), lambda a, x: a + x).alias("n_bad"), F.posexplode("bad").alias("at", "broken"))
+    by = rows.groupBy("at").agg(F.count("*").alias("draws"), F.sum("broken").alias("broken"), F.sum(F.when(F.col("n_bad") == 1, F.col("broken")).otherwise(0)).alias("alone"))
+    return by.select(F.get(F.array(*map(F.lit, tests)), F.col("at")).alias("rule"), "draws", "broken", "alone")
+
+
 def combo_rules_joint(spark, sf_dir):
     c = combos.all_combinations(spark)
     applied = [n for n in rules.STATIC if n not in rules.OFF]
@@ -236,6 +262,14 @@ def settle_duplex(spark, sf_dir):
     return out.groupBy("bet_id", "red_hits", "blue_hits", "tier").agg(F.count("*").alias("draws"), F.sum("ways").alias("ways"), F.sum("prize").alias("prize")).select(F.col("bet_id").cast("long").alias("bet_id"), F.col("red_hits").cast("long").alias("red_hits"), F.col("blue_hits").cast("long").alias("blue_hits"), "tier", "draws", "ways", "prize")
 
 
+def settle_duplex_all_blues(spark, sf_dir):
+    """settle_duplex with each losing blue of a bet counted too."""
+    d = history(spark, sf_dir)
+    bets = F.broadcast(_bets(spark)[1])  # two rows
+    out = settle.settle_duplex(d.select("issue").crossJoin(bets), d.select("issue", "mask", "blue"), on="issue", only_hit_blue=False)
+    return _rounded(out.groupBy("bet_id", "tier").agg(F.sum("ways").alias("ways"), F.sum("prize").alias("prize")))
+
+
 def tier_rollup(spark, sf_dir):
     s = settle.priced(settle.hits(_bets(spark)[0], history(spark, sf_dir).select("mask", "blue")).groupBy("red_hits", "blue_hit").agg(F.count("*").alias("n")))
     return settle.tier_rollup(s.where("prize > 0").select("red_hits", "blue_hit", "n")).select("tier", F.col("tier_rank").cast("long").alias("tier_rank"), "n")
@@ -258,6 +292,19 @@ def backtest_by_step(spark, sf_dir):
     return _backtest(spark, sf_dir).groupBy("step").agg(F.count("*").alias("bets"), F.sum("prize").alias("prize"))
 
 
+def ball_bayes_probs(spark, sf_dir):
+    """Naive Bayes probabilities of every ball at each of the last 50 steps, from one pass over the history."""
+    d, n = kept_history(spark, sf_dir)
+    return _rounded(scoring.BayesScorer().probabilities(spark, d, n - BACKTEST_STEPS, n - 1))
+
+
+def backtest_bayes(spark, sf_dir):
+    """The backtest by step with a scorer that learns."""
+    d, n = kept_history(spark, sf_dir)
+    bets = backtest.backtest(spark, d, TUNED, n, scorer=scoring.BayesScorer())
+    return bets.groupBy("step").agg(F.count("*").alias("bets"), F.sum("prize").alias("prize"))
+
+
 def upsert_keep_last(spark, sf_dir):
     e = _table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
     return ingest.keep_last(e, ["user_id", "event_type"], ["event_id"])
@@ -303,6 +350,34 @@ def csv_history(spark, sf_dir):
     return typed.select("issue", F.date_format("draw_date", "yyyy-MM-dd").alias("draw_date"), F.array_join("reds", ",").alias("reds"), F.col("blue").cast("long").alias("blue"))
 
 
+def csv_history_gbk(spark, sf_dir):
+    """The history landed as CSV files in GBK, a file for each thousand issues, read back without being told so."""
+    d = draws.draws_from_orders(_table(spark, sf_dir, "orders"))
+    line = F.concat("issue", F.lit(","), F.date_format("draw_date", "yyyy-MM-dd"), F.lit(',"'), F.concat_ws(",", *(F.lpad(F.col(b).cast("string"), 2, "0") for b in fb.B)), F.lit('",'), F.lpad(F.col("blue").cast("string"), 2, "0"))
+    # the header's bytes are no UTF-8; Spark's text writer writes a string's bytes as they are
+    header = F.unhex(F.lit(",".join(CSV_HEADER).encode("gbk").hex()))
+    rows = d.groupBy(F.floor(F.col("issue") / 1000).alias("part")).agg(F.array_join(F.collect_list(line), "\n").cast("binary").alias("lines"))
+    path = files.made_path(spark, "draws-gbk")
+    rows.select("part", F.concat(header, F.lit(b"\n"), "lines").cast("string").alias("value")).repartition("part").write.partitionBy("part").text(path)
+    typed = readers.typed_draws(readers.read_draw_csv_any(spark, f"{path}/*"))
+    return typed.select("issue", F.date_format("draw_date", "yyyy-MM-dd").alias("draw_date"), F.array_join("reds", ",").alias("reds"), F.col("blue").cast("long").alias("blue"))
+
+
+def events_json(spark, sf_dir):
+    """The numbers within the events' JSON, by type; malformed JSON has none."""
+    k = F.get_json_object("props", "$.k").try_cast("long")
+    return _table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(k).alias("n"), F.sum(k).alias("total"), F.min(k).alias("least"), F.max(k).alias("most"))
+
+
+def pool_from_params_file(spark, sf_dir):
+    """The pool under parameters that are read from a JSON file."""
+    path = files.write_text(spark, json.dumps(asdict(TUNED)), f"{files.made_path(spark, 'params')}/best.json")
+    params, there = Params.load(spark, path)
+    d, n, stats = _last(spark, sf_dir)
+    rank = scoring.ranked(scoring.scores(stats, scoring.SqlScorer().probabilities(spark, d, n, n), params))
+    return _rounded(scoring.red_pool(rank).where(F.lit(there)).select("ball", "rn"))
+
+
 def settle_from_files(spark, sf_dir):
     """The last draw, as CSV, against the report written from the draws before it: analysed, landed, found, parsed and settled."""
     d, n = kept_history(spark, sf_dir)
@@ -414,8 +489,8 @@ def analysis_report_lines(spark, sf_dir):
 
 
 def settlement_report_lines(spark, sf_dir):
-    """The first draw's settlement of the fixed bets, as a report."""
-    win = history(spark, sf_dir).where("idx = 0").select("issue", "reds", "mask", "blue")
+    """The latest draw's settlement of the fixed bets, as a report."""
+    win = history(spark, sf_dir).orderBy(F.desc("issue")).limit(1).select("issue", "reds", "mask", "blue")
     w = win.first()
     singles, duplex = _bets(spark)
     rows = settle.settle_single(singles, win).withColumn("reds", combos.mask_to_array(F.col("mask"))).orderBy("bet_id").collect()
@@ -427,8 +502,8 @@ def settlement_report_lines(spark, sf_dir):
 
 
 _NAMES = """draws_wide draw_features_static draw_features_window ball_decayed_freq blue_decayed_freq ball_omission ball_stats_every_step ball_score_rank ball_split_gains ball_boosted_probs contrarian_pool top_blue
-next_draw_labels csv_history settle_from_files candidate_list pool_combinations_kept draw_overlaps unseen_pairs_of_four draw_ranks sampled_combinations feature_mean_fill combo_rule_counts combo_rules_joint combo_recent_overlap combo_all_cold combo_related combo_diagonal rejection_anti coverage_semi
-coverage7_top seeded_pick settle_single settle_duplex tier_rollup backtest_pnl backtest_prize_counts backtest_by_step upsert_keep_last ingest_store precedence_union text_line_parse
+next_draw_labels csv_history csv_history_gbk events_json pool_from_params_file settle_from_files candidate_list pool_combinations_kept draw_overlaps unseen_pairs_of_four draw_ranks sampled_combinations feature_mean_fill combo_rule_counts draw_rule_verdicts combo_rules_joint combo_recent_overlap combo_all_cold combo_related combo_diagonal rejection_anti coverage_semi
+coverage7_top seeded_pick settle_single settle_duplex settle_duplex_all_blues tier_rollup backtest_pnl backtest_prize_counts backtest_by_step ball_bayes_probs backtest_bayes upsert_keep_last ingest_store precedence_union text_line_parse
 html_table_extract page_blocks report_parse_bets report_match next_issue events_lag_ma5 event_type_decayed_freq user_omission part_score_skip_topk tiered_lookup_join
 analysis_report_lines settlement_report_lines""".split()
 
