@@ -223,6 +223,12 @@ def best7(coverage: DataFrame) -> DataFrame:
     return coverage.select("step", mask_to_array(F.col("mask7")).alias("reds"), "coverage").orderBy(F.desc("coverage"), "reds").limit(1)
 
 
+def seeded_picks(kept: DataFrame, seed: int = 42, n: int = NUM_PICKS) -> DataFrame:
+    """seeded_pick() of each step: kept with pick from 1."""
+    key = (F.col("mask") * 31 + F.lit(seed).cast("long") * 1009) % 1000033
+    return kept.withColumn("pick", F.row_number().over(Window.partitionBy("step").orderBy(key, "mask"))).where(F.col("pick") <= n)
+
+
 def seeded_pick(kept: DataFrame, seed: int = 42, n: int = NUM_PICKS) -> DataFrame:
     """n combinations in an order that an arithmetic key sets, not the partitioning."""
     key = (F.col("mask") * 31 + F.lit(seed).cast("long") * 1009) % 1000033

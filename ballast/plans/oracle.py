@@ -100,6 +100,8 @@ _MASK = "(1::BIGINT << b1) | (1::BIGINT << b2) | (1::BIGINT << b3) | (1::BIGINT
 _ALL = f"""balls33 AS (SELECT CAST(range AS INT) AS b FROM range(1, 34)),
 combos AS (SELECT *, {_MASK} AS mask FROM (SELECT t1.b AS b1, t2.b AS b2, t3.b AS b3, t4.b AS b4, t5.b AS b5, t6.b AS b6
   FROM balls33 t1 JOIN balls33 t2 ON t2.b > t1.b JOIN balls33 t3 ON t3.b > t2.b JOIN balls33 t4 ON t4.b > t3.b JOIN balls33 t5 ON t5.b > t4.b JOIN balls33 t6 ON t6.b > t5.b))"""
+_DRAWN6 = ", drawn6 AS (SELECT reds[1]::INT AS b1, reds[2]::INT AS b2, reds[3]::INT AS b3, reds[4]::INT AS b4, reds[5]::INT AS b5, reds[6]::INT AS b6 FROM draws)"
+_joint = lambda table, prefix: f"SELECT count(*) FILTER ({_APPLIED}) AS {prefix}fast, count(*) FILTER ({_APPLIED}) AS {prefix}applied, count(*) FILTER ({_APPLIED} AND {_RULES['r7_primes']}) AS {prefix}with_primes FROM {table}"
 _CTX = """,
 near AS (SELECT step, step - idx AS k, mask AS m FROM steps JOIN draws ON idx < step AND idx >= step - 10),
 ctx AS (SELECT step, list(m ORDER BY k) AS ms, max(m) FILTER (k = 1) AS m1, max(m) FILTER (k = 2) AS m2 FROM near GROUP BY step),
@@ -190,6 +192,46 @@ def _analysis() -> str:
     })
 
 
+#: Of each of the last 50 steps, from those and the 50 before them: picks, blues, the set of seven, and the backtest of the 50 steps before it.
+_STEPS_100 = ",\nsteps AS (SELECT idx AS step FROM draws WHERE idx >= (SELECT count(*) FROM draws) - 100)"
+_REPORTS = f"""{_W}{_DRAWS}{_STEPS_100}{_SCORE}{_CTX}{_POOL}{_KEPT}{_SETTLED}, {_COMB},
+shown AS (SELECT step FROM steps WHERE step >= (SELECT count(*) FROM draws) - 50),
+back AS (SELECT s.step, sum(p.prize) - 2 * count(*) AS profit FROM shown s JOIN paid p ON p.step BETWEEN s.step - 50 AND s.step - 1 GROUP BY s.step),
+won AS (SELECT s.step, tier, tier_rank, count(*) AS n FROM shown s JOIN paid p ON p.step BETWEEN s.step - 50 AND s.step - 1 WHERE prize > 0 GROUP BY ALL),
+tier_lines AS (SELECT step, string_agg('  - ' || rpad(tier, 5, ' ') || ': ' || n || ' 次', chr(10) ORDER BY tier_rank) AS tiers FROM won GROUP BY step),
+numbered AS (SELECT step, mask, row_number() OVER (PARTITION BY step ORDER BY (mask * 31 + 42 * 1009) % 1000033, mask) AS n FROM kept JOIN shown USING (step) QUALIFY n <= 10),
+first_blue AS (SELECT step, ball FROM ranked WHERE color = 'blue' AND rn = 1),
+pick_lines AS (SELECT step, string_agg('  组合 ' || printf('%2d', n) || ': 红球 ' || rpad({_list(_balls('mask'))}, 24, ' ') || ' 蓝球 [' || printf('%02d', ball) || ']', chr(10) ORDER BY n) AS picks FROM numbered JOIN first_blue USING (step) GROUP BY step),
+blues AS (SELECT step, list(ball ORDER BY rn) AS blues FROM ranked WHERE color = 'blue' AND rn <= 7 GROUP BY step),
+sevens AS (SELECT k.step, k.mask | (1::BIGINT << p.b) AS m FROM kept k JOIN shown USING (step) JOIN pool p ON p.step = k.step AND k.mask & (1::BIGINT << p.b) = 0),
+best AS (SELECT step, m, balls FROM (SELECT step, m, c, {_balls('m')} AS balls FROM (SELECT step, m, count(*) AS c FROM sevens GROUP BY ALL)) QUALIFY row_number() OVER (PARTITION BY step ORDER BY c DESC, balls) = 1)"""
+
+
+def _report_files() -> str:
+    text = reports.ANALYSIS.replace("{profit:.2f}", "@profit@").format(
+        basis="@basis@", target="@target@", now=CLOCK, mode=reports.MODES[True], periods=BACKTEST_STEPS, tiers="@tiers@", picks="@picks@",
+        params="\n".join(reports.PARAM_LINE.format(*x) for x in P.shown().items()), wide="@wide@",
+    )
+    e = "'" + text.replace("'", "''") + "'"
+    for name, sql in {
+        "basis": "basis", "target": "basis + 1", "profit": "printf('%.2f', profit::DOUBLE)", "tiers": f"coalesce(tiers, '{reports.NO_TIER}')", "picks": f"coalesce(picks, '{reports.NO_PICK}')",
+        "wide": f"coalesce('  红球: ' || {_list('balls')} || chr(10) || '  蓝球: ' || {_list('blues')}, '{reports.NO_WIDE}')",
+    }.items():
+        e = f"replace({e}, '@{name}@', ({sql})::VARCHAR)"
+    return f"""{_REPORTS}, texts AS (SELECT basis::VARCHAR AS basis, string_split({e}, chr(10)) AS l FROM (SELECT step, (SELECT issue FROM draws WHERE idx = step - 1) AS basis FROM shown)
+        LEFT JOIN back USING (step) LEFT JOIN tier_lines USING (step) LEFT JOIN pick_lines USING (step) LEFT JOIN blues USING (step) LEFT JOIN best USING (step))
+        SELECT basis, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM texts"""
+
+
+_REPORTS_SETTLED = f"""{_REPORTS},
+singles AS (SELECT d.issue::VARCHAR AS issue, 'single' AS kind, coalesce(tier, '{NO_PRIZE}') AS tier, 1 AS ways, coalesce(prize, 0) AS prize
+  FROM (SELECT n.step, bit_count(n.mask & d.mask) AS red_hits, (b.ball = d.blue)::INT AS blue_hit FROM numbered n JOIN first_blue b USING (step) JOIN draws d ON d.idx = n.step) x JOIN draws d ON d.idx = x.step LEFT JOIN prize_rules USING (red_hits, blue_hit)),
+wide AS (SELECT d.issue::VARCHAR AS issue, bit_count(m & d.mask) AS red_hits, list_contains(blues, d.blue)::INT AS blue_hits FROM best JOIN blues USING (step) JOIN draws d ON d.idx = step),
+ways AS (SELECT issue, 'duplex' AS kind, r.tier, a.ways * b.ways AS ways, a.ways * b.ways * r.prize AS prize FROM wide h JOIN prize_rules r ON r.red_hits <= h.red_hits AND r.blue_hit = h.blue_hits
+  JOIN comb a ON a.n = h.red_hits AND a.k = r.red_hits JOIN comb b ON b.n = 7 - h.red_hits AND b.k = 6 - r.red_hits)
+SELECT issue, kind, tier, CAST(sum(ways) AS BIGINT) AS ways, CAST(sum(prize) AS BIGINT) AS prize FROM (SELECT * FROM singles UNION ALL SELECT * FROM ways) GROUP BY ALL"""
+
+
 def _settlement() -> str:
     """The settlement report of the latest draw and the fixed bets."""
     names = "now name issue reds blue singles first wide_reds wide_blues red_hits blue_hits tiers second total".split()
@@ -228,6 +270,8 @@ def oracle_sql() -> dict[str, str]:
     out = {
         "analysis_report_lines": _analysis(),
         "settlement_report_lines": _settlement(),
+        "report_files_lines": _report_files(),
+        "report_files_settled": _REPORTS_SETTLED,
         "draws_wide": f"{_W}{_DRAWS} SELECT issue, idx, reds[1] AS b1, reds[2] AS b2, reds[3] AS b3, reds[4] AS b4, reds[5] AS b5, reds[6] AS b6, blue, mask FROM draws",
         "draw_features_static": f"{_W}{_DRAWS}{_FEAT} SELECT issue, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _STATIC)} FROM feats",
         "draw_features_window": f"{_W}{_DRAWS}{_FEAT}{_WINDOWED} SELECT issue, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _LAGS)}, {', '.join(map(_round, _MAS))} FROM windowed",
@@ -280,9 +324,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT 'single' AS kind, bet, array_to_string(list_filter(range(1, 34), lambda b: mask & (1::BIGINT << CAST(b AS INT)) <> 0), ',') AS reds, red_hits::BIGINT AS red_hits, blue_hit::BIGINT AS blue_hits, coalesce(tier, '未中奖') AS tier, 1::BIGINT AS ways, coalesce(prize, 0)::BIGINT AS prize
             FROM hit LEFT JOIN prize_rules USING (red_hits, blue_hit)
             UNION ALL SELECT 'duplex', 1, array_to_string(balls, ','), red_hits::BIGINT, blue_hits::BIGINT, tier, ways::BIGINT, prize::BIGINT FROM ways""",
-        "combo_rule_counts": f"{_W} {_ALL} " + " UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) FILTER ({v}) AS kept FROM combos" for k, v in _RULES.items()),
+        "combo_rule_counts": f"{_W}{_DRAWS}{_DRAWN6}, {_ALL}, " + "every AS (" + " UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) FILTER ({v}) AS kept FROM combos" for k, v in _RULES.items()) + "), of_draws AS (" + " UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) FILTER ({v}) AS draws_kept FROM drawn6" for k, v in _RULES.items()) + ") SELECT * FROM every JOIN of_draws USING (rule)",
         "draw_rule_verdicts": _rule_verdicts(),
-        "combo_rules_joint": f"{_W} {_ALL} SELECT count(*) FILTER ({_APPLIED}) AS fast, count(*) FILTER ({_APPLIED}) AS applied, count(*) FILTER ({_APPLIED} AND {_RULES['r7_primes']}) AS with_primes FROM combos",
+        "combo_rules_joint": f"{_W}{_DRAWS}{_DRAWN6}, {_ALL} SELECT * FROM (" + _joint("combos", "") + ") CROSS JOIN (" + _joint("drawn6", "draws_") + ")",
         "pool_combinations_kept": f"{_W}{_NOW}{_POOL} SELECT mask FROM chosen WHERE {_APPLIED}",
         "draw_overlaps": f"""{_W}{_DRAWS} SELECT a.issue, count(b.idx) AS n_earlier, max(b.idx) AS last_idx FROM draws a LEFT JOIN draws b ON b.idx < a.idx AND bit_count(a.mask & b.mask) >= 4 GROUP BY a.issue""",
         "unseen_pairs_of_four": f"{_W}{_NOW}{_POOL} SELECT c.mask FROM chosen c WHERE NOT EXISTS (SELECT 1 FROM draws d WHERE idx >= (SELECT count(*) - 200 FROM draws) AND bit_count(c.mask & d.mask) >= 4)",

@@ -126,9 +126,9 @@ def pool_combinations_kept(spark, sf_dir):
 
 
 def combo_rule_counts(spark, sf_dir):
-    c = combos.all_combinations(spark)
-    one = c.agg(*(F.sum(F.when(f(), 1).otherwise(0)).alias(n) for n, f in rules.STATIC.items()))
-    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(n).alias("kept")) for n in rules.STATIC))).alias("r")).select("r.rule", "r.kept")
+    """How many of all combinations, and of the draws, each rule keeps."""
+    kept = lambda df, name: df.agg(*(F.sum(F.when(f(), 1).otherwise(0)).alias(n) for n, f in rules.STATIC.items())).select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(n).alias(name)) for n in rules.STATIC))).alias("r")).select("r.*")
+    return kept(combos.all_combinations(spark), "kept").join(kept(combos.with_keys(history(spark, sf_dir)), "draws_kept"), "rule")
 
 
 def _dynamic_by_draw(d):
@@ -155,10 +155,11 @@ def draw_rule_verdicts(spark, sf_dir):
 
 
 def combo_rules_joint(spark, sf_dir):
-    c = combos.all_combinations(spark)
+    """How many of all combinations, and of the draws, the fast rules keep, all applied ones, and those with the one that is off."""
     applied = [n for n in rules.STATIC if n not in rules.OFF]
-    count = lambda names: F.sum(F.when(rules.static_keep(names), 1).otherwise(0))
-    return c.agg(count(rules.FAST).alias("fast"), count(applied).alias("applied"), count(list(rules.STATIC)).alias("with_primes"))
+    chains = {"fast": rules.FAST, "applied": applied, "with_primes": list(rules.STATIC)}
+    counts = lambda df, prefix: df.agg(*(F.sum(F.when(rules.static_keep(names), 1).otherwise(0)).alias(prefix + k) for k, names in chains.items()))
+    return counts(combos.all_combinations(spark), "").crossJoin(counts(combos.with_keys(history(spark, sf_dir)), "draws_"))
 
 
 def _dynamic(spark, sf_dir, keep):
@@ -488,6 +489,26 @@ def analysis_report_lines(spark, sf_dir):
     return _as_lines(spark, runs.analyse(spark, d, n, TUNED).text(basis, TUNED, True, CLOCK))
 
 
+def _landed_reports(spark, sf_dir):
+    """A report for each of the last 50 draws, each with its own backtest, written by tasks and read back."""
+    d, n = kept_history(spark, sf_dir)
+    found = runs.analyse_steps(spark, d, n - BACKTEST_STEPS, n - 1, TUNED)
+    folder = files.made_path(spark, "reports")
+    reports.write_texts(reports.analysis_texts(found, TUNED, True, BACKTEST_STEPS, CLOCK), folder)
+    return d, reports.read_report_lines(spark, f"{folder}/*/*.txt")
+
+
+def report_files_lines(spark, sf_dir):
+    lines = _landed_reports(spark, sf_dir)[1]
+    return lines.where("line <> '' OR line_no < 50").select(F.regexp_extract("path", "basis=([^/]*)/", 1).alias("basis"), F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+def report_files_settled(spark, sf_dir):
+    d, lines = _landed_reports(spark, sf_dir)
+    out = runs.settle_reports(lines, d)
+    return out.groupBy("issue", "kind", "tier").agg(F.sum("ways").alias("ways"), F.sum("prize").alias("prize"))
+
+
 def settlement_report_lines(spark, sf_dir):
     """The latest draw's settlement of the fixed bets, as a report."""
     win = history(spark, sf_dir).orderBy(F.desc("issue")).limit(1).select("issue", "reds", "mask", "blue")
@@ -505,7 +526,7 @@ _NAMES = """draws_wide draw_features_static draw_features_window ball_decayed_fr
 next_draw_labels csv_history csv_history_gbk events_json pool_from_params_file settle_from_files candidate_list pool_combinations_kept draw_overlaps unseen_pairs_of_four draw_ranks sampled_combinations feature_mean_fill combo_rule_counts draw_rule_verdicts combo_rules_joint combo_recent_overlap combo_all_cold combo_related combo_diagonal rejection_anti coverage_semi
 coverage7_top seeded_pick settle_single settle_duplex settle_duplex_all_blues tier_rollup backtest_pnl backtest_prize_counts backtest_by_step ball_bayes_probs backtest_bayes upsert_keep_last ingest_store precedence_union text_line_parse
 html_table_extract page_blocks report_parse_bets report_match next_issue events_lag_ma5 event_type_decayed_freq user_omission part_score_skip_topk tiered_lookup_join
-analysis_report_lines settlement_report_lines""".split()
+analysis_report_lines report_files_lines report_files_settled settlement_report_lines""".split()
 
 
 def queries() -> dict:

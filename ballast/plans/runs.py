@@ -65,6 +65,52 @@ def analyse(spark: SparkSession, draws: DataFrame, step: int, params: Params, pe
     return Analysis(picks, best[0].reds if best else None, blues, tiers, settle.profit(bets).first().profit, periods)
 
 
+def analyse_steps(spark: SparkSession, draws: DataFrame, first: int, last: int, params: Params, periods: int = BACKTEST_STEPS, scorer=None, seed: int = 42) -> DataFrame:
+    """What analyse() finds, a row a step first..last: (step, basis, profit, tiers, picks, blues, best7), in one plan.
+
+    A step's backtest is made of the bets of the ``periods`` steps before it. Each step's bets are the same in whichever backtest they
+    count, so they are settled once and summed over a window of steps.
+    """
+    stats = files.materialised(spark, scoring.ball_stats(spark, draws, params.decay_factor, first - periods, last), "stats")
+    probs = (scorer or scoring.SqlScorer()).probabilities(spark, draws, first - periods, last)
+    rank = files.materialised(spark, scoring.ranked(scoring.scores(stats, probs, params)), "rank")
+    pool = scoring.red_pool(rank)
+    kept = files.materialised(spark, combos.passed_of_pool(pool, combos.context(draws, stats), seed), "kept")
+    shown = kept.where(F.col("step") >= first)
+    picks = combos.seeded_picks(shown, seed).groupBy("step").agg(F.sort_array(F.collect_list(F.struct("pick", F.array(*fb.B).alias("reds")))).alias("p"))
+    best = combos.coverage7(shown, pool).groupBy("step").agg(F.min(F.struct((-F.col("coverage")).alias("c"), combos.mask_to_array(F.col("mask7")).alias("reds"))).alias("b"))
+    blues = scoring.blue_pool(rank).groupBy("step").agg(F.sort_array(F.collect_list(F.struct("rn", "ball"))).alias("u"))
+    top = rank.where("color = 'blue' AND rn = 1").select("step", F.col("ball").alias("blue"))
+    results = draws.where(F.col("idx").between(first - periods, last - 1)).select(F.col("idx").alias("step"), "mask", "blue")
+    settled = settle.settle_single(kept.where(F.col("step") < last).join(F.broadcast(top), "step"), results, on="step")  # a row a step
+    won = settled.groupBy("step", "tier", "tier_rank").agg(F.count("*").alias("n"), (F.sum("prize") - settle.COST * F.count("*")).alias("profit"))
+    # each step counts for the periods that follow it
+    later = won.select("tier", "tier_rank", "n", "profit", F.explode(F.sequence(F.col("step") + 1, F.col("step") + periods)).alias("step")).where(F.col("step").between(first, last))
+    sums = later.groupBy("step", "tier", "tier_rank").agg(F.sum("n").alias("n"), F.sum("profit").alias("profit"))
+    tiers = F.filter(F.sort_array(F.collect_list(F.struct("tier_rank", "tier", "n"))), lambda x: x["tier_rank"].isNotNull())
+    back = sums.groupBy("step").agg(F.sum("profit").alias("profit"), tiers.alias("tiers"))
+    basis = draws.select((F.col("idx") + 1).alias("step"), F.col("issue").cast("string").alias("basis")).where(F.col("step").between(first, last))
+    out = basis
+    for part in (back, picks, blues, best):
+        out = out.join(part, "step", "left")
+    empty = F.array().cast("array<int>")
+    return out.select(
+        "step", "basis", F.coalesce("profit", F.lit(0)).alias("profit"), F.coalesce("tiers", F.array().cast("array<struct<tier_rank:int,tier:string,n:bigint>>")).alias("tiers"),
+        F.coalesce(F.col("p.reds"), F.array().cast("array<array<int>>")).alias("picks"), F.coalesce(F.col("u.ball"), empty).alias("blues"), F.coalesce(F.col("b.reds"), empty).alias("best7"),
+    )
+
+
+def settle_reports(lines: DataFrame, draws: DataFrame) -> DataFrame:
+    """The bets of every report (path, line_no, line) against the draw that it targets: (path, issue, kind, line_no, red_hits, blue_hits, tier, ways, prize)."""
+    target = lines.select("path", "line_no", F.regexp_extract("line", reports.TARGET, 1).alias("issue")).where("issue <> ''").groupBy("path").agg(F.min_by("issue", "line_no").alias("issue"))
+    bets = reports.parse_bets(lines).join(target, "path").withColumn("mask", fb.mask_from_array(F.col("reds")))
+    won = draws.select(F.col("issue").cast("string").alias("issue"), "mask", "blue")
+    shown = ["path", "issue", "kind", "line_no", "red_hits", "blue_hits", "tier", "ways", "prize"]
+    one = settle.settle_single(bets.where("kind = 'single'").withColumn("blue", F.get("blues", F.lit(0))), won, on="issue").withColumn("blue_hits", F.col("blue_hit")).withColumn("ways", F.lit(1).cast("long"))
+    many = settle.settle_duplex(bets.where("kind = 'duplex'").select("path", "issue", "kind", "line_no", "mask", "blues"), won, on="issue")
+    return one.select(shown).unionByName(many.select(shown))
+
+
 def settle_files(spark: SparkSession, draw_csv: str, report_glob: str) -> tuple[DataFrame, dict]:
     """The bets of the newest report for the latest draw, settled: (kind, bet, reds, blues, red_hits, blue_hits, tier, tier_rank, ways, prize), and what was settled.
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from datetime import datetime
+from string import Formatter
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ballast.schema import Params
@@ -122,6 +123,39 @@ def analysis_report(basis: str, params: Params, loaded: bool, periods: int, prof
     )
 
 
+def list_text(numbers: Column) -> Column:
+    """Numbers as the reports write lists."""
+    return F.concat(F.lit("["), F.array_join(F.transform(numbers, lambda x: x.cast("string")), ", "), F.lit("]"))
+
+
+def _laid_out(template: str, values: dict[str, Column]) -> Column:
+    """A template's text with columns in place of its fields."""
+    return F.concat(*(x for text, name, _, _ in Formatter().parse(template) for x in (F.lit(text), *([values[name]] if name else []))))
+
+
+def analysis_texts(results: DataFrame, params: Params, loaded: bool, periods: int, now: datetime) -> DataFrame:
+    """results with ``text``, the analysis report of each row: the layout of analysis_report() as expressions, for any number of reports.
+
+    results: basis (string), profit, tiers (array of tier, n in order), picks (array of arrays), blues, best7 (arrays).
+    """
+    lines = lambda rows, line, none: F.coalesce(F.nullif(F.array_join(F.transform(rows, line), "\n"), F.lit("")), F.lit(none))
+    blue = F.lpad(F.get("blues", F.lit(0)).cast("string"), 2, "0")
+    tier = lambda t: F.concat(F.lit("  - "), F.rpad(t["tier"], 5, " "), F.lit(": "), t["n"].cast("string"), F.lit(" 次"))
+    pick = lambda p, i: F.concat(F.lit("  组合 "), F.lpad((i + 1).cast("string"), 2, " "), F.lit(": 红球 "), F.rpad(list_text(p), 24, " "), F.lit(" 蓝球 ["), blue, F.lit("]"))
+    wide = F.when((F.size("best7") > 0) & (F.size("blues") > 0), F.concat(F.lit("  红球: "), list_text(F.col("best7")), F.lit("\n  蓝球: "), list_text(F.col("blues")))).otherwise(F.lit(NO_WIDE))
+    fixed = {"now": f"{now:%Y-%m-%d %H:%M:%S}", "mode": MODES[loaded], "params": "\n".join(PARAM_LINE.format(*x) for x in params.shown().items()), "periods": str(periods)}
+    values = {k: F.lit(v) for k, v in fixed.items()} | {
+        "basis": F.col("basis"), "target": next_issue("basis"), "profit": F.format_string("%.2f", F.col("profit").cast("double")),
+        "tiers": lines(F.col("tiers"), tier, NO_TIER), "picks": lines(F.col("picks"), pick, NO_PICK), "wide": wide,
+    }
+    return results.withColumn("text", _laid_out(ANALYSIS, values))
+
+
+def write_texts(texts: DataFrame, folder: str) -> None:
+    """``text`` of each row as a file of its own below ``folder``, named by ``basis``; tasks write them."""
+    texts.select("basis", F.col("text").alias("value")).repartition("basis").write.mode("overwrite").partitionBy("basis").text(folder)
+
+
 def next_issue_of(basis: str) -> str:
     """One more, with no roll-over of the year; text that is no number gets a suffix."""
     try:
