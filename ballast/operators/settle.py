@@ -32,6 +32,19 @@ def hits(bets: DataFrame, draws: DataFrame, on: str | None = None) -> DataFrame:
     return both.withColumn("red_hits", fb.hits(F.col("mask"), F.col("win_mask")).cast("int")).withColumn("blue_hit", (F.col("blue") == F.col("win_blue")).cast("int"))
 
 
+def hit_counts(bets: DataFrame, draws: DataFrame) -> DataFrame:
+    """(red_hits, blue_hit, n): how often every bet meeting every draw gives so many hits.
+
+    Equal bets and equal draws (mask, blue) are counted before they meet, so the pairs are those of different ones, however long the
+    history is: there are C(33, 6) x 16 different draws.
+    """
+    own = bets.groupBy("mask", "blue").agg(F.count("*").alias("n_bets"))
+    won = draws.groupBy("mask", "blue").agg(F.count("*").alias("n_draws")).select(F.col("mask").alias("win_mask"), F.col("blue").alias("win_blue"), "n_draws")
+    few = own.limit(FEW + 1).count() <= FEW
+    both = won.crossJoin(F.broadcast(own) if few else own)
+    return both.groupBy(fb.hits(F.col("mask"), F.col("win_mask")).cast("int").alias("red_hits"), (F.col("blue") == F.col("win_blue")).cast("int").alias("blue_hit")).agg(F.sum(F.col("n_bets") * F.col("n_draws")).alias("n"))
+
+
 def settle_single(bets: DataFrame, draws: DataFrame, on: str | None = None) -> DataFrame:
     """hits() with prize, tier and a text."""
     return priced(hits(bets, draws, on))

@@ -252,7 +252,7 @@ def _bets(spark):
 def settle_single(spark, sf_dir):
     bets, wins = _bets(spark)[0], history(spark, sf_dir).select("mask", "blue")
     # counted by hits first: what is priced is a few rows
-    s = settle.priced(settle.hits(bets, wins).groupBy("red_hits", "blue_hit").agg(F.count("*").alias("n")))
+    s = settle.priced(settle.hit_counts(bets, wins))
     return s.groupBy("hit_text", "tier").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("prize")).alias("prize"))
 
 
@@ -272,7 +272,7 @@ def settle_duplex_all_blues(spark, sf_dir):
 
 
 def tier_rollup(spark, sf_dir):
-    s = settle.priced(settle.hits(_bets(spark)[0], history(spark, sf_dir).select("mask", "blue")).groupBy("red_hits", "blue_hit").agg(F.count("*").alias("n")))
+    s = settle.priced(settle.hit_counts(_bets(spark)[0], history(spark, sf_dir).select("mask", "blue")))
     return settle.tier_rollup(s.where("prize > 0").select("red_hits", "blue_hit", "n")).select("tier", F.col("tier_rank").cast("long").alias("tier_rank"), "n")
 
 
@@ -347,7 +347,7 @@ def _landed_csv(spark, d) -> str:
 
 def csv_history(spark, sf_dir):
     """The history written as CSV files, read back and typed."""
-    typed = readers.typed_draws(readers.read_draw_csv_any(spark, _landed_csv(spark, draws.draws_from_orders(_table(spark, sf_dir, "orders")))))
+    typed = readers.read_draws(spark, _landed_csv(spark, draws.draws_from_orders(_table(spark, sf_dir, "orders"))))
     return typed.select("issue", F.date_format("draw_date", "yyyy-MM-dd").alias("draw_date"), F.array_join("reds", ",").alias("reds"), F.col("blue").cast("long").alias("blue"))
 
 
@@ -360,7 +360,7 @@ def csv_history_gbk(spark, sf_dir):
     rows = d.groupBy(F.floor(F.col("issue") / 1000).alias("part")).agg(F.array_join(F.collect_list(line), "\n").cast("binary").alias("lines"))
     path = files.made_path(spark, "draws-gbk")
     rows.select("part", F.concat(header, F.lit(b"\n"), "lines").cast("string").alias("value")).repartition("part").write.partitionBy("part").text(path)
-    typed = readers.typed_draws(readers.read_draw_csv_any(spark, f"{path}/*"))
+    typed = readers.read_draws(spark, f"{path}/*")
     return typed.select("issue", F.date_format("draw_date", "yyyy-MM-dd").alias("draw_date"), F.array_join("reds", ",").alias("reds"), F.col("blue").cast("long").alias("blue"))
 
 

@@ -117,7 +117,7 @@ def settle_files(spark: SparkSession, draw_csv: str, report_glob: str) -> tuple[
     The latest draw is the one with the greatest issue. Raises ValueError where the draws are
     none, no report targets the issue, or the report lacks either kind of bet.
     """
-    drawn = readers.typed_draws(readers.read_draw_csv_any(spark, draw_csv)).where("issue IS NOT NULL AND blue IS NOT NULL")
+    drawn = readers.read_draws(spark, draw_csv).where("issue IS NOT NULL AND blue IS NOT NULL")
     last = drawn.orderBy(F.desc("issue")).limit(1).collect()
     if not last:
         raise ValueError(f"no draws in {draw_csv}")
