@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ballast.functions import balls as fb
 from ballast.functions.scan import running_totals
-from ballast.schema import BLUE_MAX, DROPPED_REDS, NUM_BLUES, RED_MAX, WARM_UP, Params
+from ballast.schema import BLUE_MAX, DROPPED_REDS, NUM_BLUES, PICK, RED_MAX, WARM_UP, Params
 
 
 def domain(spark: SparkSession) -> DataFrame:
@@ -52,11 +52,11 @@ class SqlScorer:
         pairs = state.where(F.col("idx") >= WARM_UP).select((F.col("idx") + 1).alias("idx"), "odd")
         followed = drawn(draws).join(pairs, "idx")
         last = state.select((F.col("idx") + 1).alias("step"), "odd").where(F.col("step").between(first_step, last_step))
-        one = F.lit(1.0).alias("weight")
-        n = running_totals(pairs.select("idx", "odd", one), last, ["odd"]).select("step", F.col("total").alias("n"))
         asked = last.crossJoin(F.broadcast(domain(spark)))
-        hits = running_totals(followed.select("idx", "odd", "color", "ball", one), asked, ["odd", "color", "ball"])
-        return hits.join(n, "step").select("step", "color", F.col("ball").cast("int").alias("ball"), ((F.col("total") + 1) / (F.col("n") + 2)).alias("prob"))
+        hits = running_totals(followed.select("idx", "odd", "color", "ball", F.lit(1.0).alias("weight")), asked, ["odd", "color", "ball"])
+        # each draw that followed has six reds, so their hits are six times the draws; 49 rows to a window
+        n = F.sum(F.when(F.col("color") == "red", F.col("total"))).over(Window.partitionBy("step")) / PICK
+        return hits.select("step", "color", F.col("ball").cast("int").alias("ball"), ((F.col("total") + 1) / (n + 2)).alias("prob"))
 
 
 class BayesScorer:
