@@ -46,7 +46,8 @@ def format_conversations(turns: DataFrame, budget: int = 1024, history: int = 25
     ``turns`` has conv_id, turn, role, text. Null texts and roles are empty; a null conv_id
     is a conversation of its own, as null is a value. Turns go by number, nulls first; equal
     ones by role and then text. Turns are never cut. System turns after the first are turns like
-    others. An empty table gives no rows; other columns are not read.
+    others. A turn of any length stays whole, in a window of its own if it must; rows that are there twice are two turns.
+    An empty table gives no rows; other columns are not read.
     """
     if not 0 <= history < budget:
         raise ValueError("history must be less than the budget")

@@ -17,9 +17,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ballast.llm._shared import _KEPT, new_path, open_file
 from ballast.llm._words import slices, window_hash, words
 
 _U = np.uint64
@@ -120,16 +122,39 @@ class Items:
         return out
 
 
+class PartFiles:
+    """Items of one part of a large benchmark, in files of the shared folder; a task reads them when it needs them."""
+
+    def __init__(self, uris: list[str]):
+        self.uris = uris
+
+    @property
+    def value(self) -> list[tuple]:
+        out = []
+        for uri in self.uris:
+            with open_file(uri) as f:
+                t = pq.read_table(f)
+            out += zip(t.column("i").to_pylist(), t.column("t").to_pylist())
+        return out
+
+
 def benchmark_parts(spark: SparkSession, benchmark: DataFrame, max_items: int, max_bytes: int, text_col: str = "text", id_col: str = "item_id") -> list:
-    """The items as broadcast lists of about ``max_items`` items and ``max_bytes`` bytes at most, one list at least.
+    """The items as lists of about ``max_items`` items and ``max_bytes`` bytes at most, one list at least.
 
-    A benchmark within both bounds is one list and its documents are scanned once; a larger one is dealt by a hash
-    of its rows, and each further list is matched in turn.
+    A benchmark within both bounds is one list, broadcast, and its documents are scanned once. A larger one is dealt by a hash
+    of its rows into files of the shared folder, which Spark writes and tasks read, a part a scan: no list goes through the
+    driver, and a task holds one part. The files stay as a result does.
     """
     items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
     parts = max(1, -(-n // max_items), -(-size // max_bytes))
-    return [spark.sparkContext.broadcast([tuple(r) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).collect()]) for k in range(parts)]
+    if parts == 1:
+        return [spark.sparkContext.broadcast([tuple(r) for r in items.collect()])]
+    path = new_path(spark, "benchmark")
+    items.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(parts))).repartition("part").write.partitionBy("part").parquet(path)
+    _KEPT.append(path)
+    files = spark.read.parquet(path).inputFiles()
+    return [PartFiles(sorted(f for f in files if f"/part={k}/" in f)) for k in range(parts)]
 
 
 def _ready(made: dict, held, percent: int, min_words: int) -> Items:
@@ -144,7 +169,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, per
     The best occurrence is reported: least distance, then the first to end, then the shortest.
     Items of fewer than seven words have a budget of none at 15 percent, so they match word for
     word; those of fewer than ``min_words`` match nothing, nor do null or empty texts. Null
-    doc_ids are reported as null; repeated rows and items each have their own rows. An empty
+    doc_ids are reported as null; repeated rows and items each have their own rows. A text of any length is
+    one row's work, its words and piece hashes in memory. An empty
     table on either side gives no rows; other columns are not read.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -440,7 +440,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, rate: float = 2.0, tex
 
     The model learns from rows that are not held out; a row with a null doc_id is neither
     learnt from nor held out. Null texts are empty: one token, the end. Repeated rows count as
-    often as they are there. With nothing to learn from every class has its prior share. An
+    often as they are there; a text of any length goes token by token. With nothing to learn from every class has its prior share. An
     empty table gives no rows; other columns are not read.
     """
     with Scratch(spark) as scratch:

@@ -204,7 +204,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80, wid
     component_id is the least doc_id that links lead to; kept says whether it is the row's
     own. Null and empty texts have no shingles and no links. Rows that share a doc_id are
     one document in the graph, linked to what any of their texts links to. A null doc_id is
-    no document's name: such a row takes no part, has no component and is kept. An empty
+    no document's name: such a row takes no part, has no component and is kept. A text of any
+    length is one row's work, its shingles one array of hashes. An empty
     table gives no rows; other columns are not read.
     """
     with Scratch(spark) as scratch:

@@ -97,7 +97,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
     """One row a piece (SCHEMA): where it starts in its document's ids, and where it lies in its sequence.
 
     ``capacity`` is a power of two. Null texts are empty: such a document is its end id
-    alone. Null and repeated doc_ids are packed like any others, row by row; an empty
+    alone. Null and repeated doc_ids are packed like any others, row by row; a text of any
+    length is encoded whole and cut into as many pieces as it needs; an empty
     table gives no rows. Columns other than the two named are not read. sequence_id is
     unique in the result: the task's number, then the sequence's in the task.
     """

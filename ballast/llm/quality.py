@@ -174,7 +174,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, min_words: int = 50, max
     Sources with fewer than ``min_group`` such rows are pooled by language; where even that
     gives fewer, nothing is an outlier. Null languages and sources are groups like others.
     Null texts are empty and fail the base rules; null and repeated doc_ids are rows like
-    any others. An empty table gives no rows; other columns are not read.
+    any others. A text of any length is one row's work: its words are an array within the row. An empty table gives no rows; other columns are not read.
     """
     with Scratch(spark) as scratch:
         null = F.lit("\x00")

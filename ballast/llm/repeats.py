@@ -227,7 +227,7 @@ def find_repeats(scratch: Scratch, docs: DataFrame, window: int = 50, phrase: in
 
     Null and empty texts have no words. "Earlier" is a smaller doc_id, so rows of equal doc_id
     remove nothing from one another; a row with a null doc_id is neither cut nor a reason to
-    cut. An empty table gives empty tables; other columns are not read.
+    cut. A text of any length is one row's work. An empty table gives empty tables; other columns are not read.
     """
     spark = scratch.spark
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))

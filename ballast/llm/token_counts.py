@@ -77,7 +77,7 @@ def section_token_counts(docs: DataFrame, path: str, pattern: str, rule: str = "
     section and end in or after it. With ``fields`` they are these columns instead, laid end
     to end by name order as given (null: empty) and encoded as one text. A null or empty
     text is one empty section with no tokens. Null and repeated doc_ids are rows like any
-    others; an empty table gives no rows; other columns are not read.
+    others, and a text of any length is encoded at once; an empty table gives no rows; other columns are not read.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")

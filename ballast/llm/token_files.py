@@ -189,7 +189,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: i
     Shards hold about ``shard_bytes`` of text (less where that would leave tasks idle), so what a
     task keeps, eight bytes a boundary, is bounded. Null texts are empty (the end id alone), null
     doc_ids come first, equal doc_ids stand in the order of a hash of their texts, by which shards
-    also part them. An empty table gives an empty manifest. Other columns are not read. A shard is
+    also part them. A text of any length is one row's work. An empty table gives an empty manifest. Other columns are not read. A shard is
     written under a name of its own attempt and only the attempt that succeeded is in the manifest,
     so a task that runs again leaves nothing wrong behind.
     """

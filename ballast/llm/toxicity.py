@@ -326,7 +326,10 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: Column
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, score): a row of ``docs`` each; null and empty texts have no match and score as such."""
+    """(doc_id, score): a row of ``docs`` each, repeated rows and null doc_ids included; null and empty texts have no match and score as such.
+
+    A text of any length is one row's work, clause by clause. Other columns are not read; an empty table gives no rows.
+    """
     blob, made = pickle.dumps(model), {}  # at most max_stems word beginnings and a few weights
 
     def run(batches):
@@ -339,7 +342,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, model: Model, text_col
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more, in one scan; rows and columns otherwise as they are."""
+    """``docs`` without the rows that score ``threshold`` or more, in one scan; rows, repeated ones too, and columns otherwise as they are."""
     blob, made = pickle.dumps(model), {}  # at most max_stems word beginnings and a few weights
     at = docs.columns.index(text_col)
 

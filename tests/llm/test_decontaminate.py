@@ -93,6 +93,19 @@ def test_a_large_benchmark_is_matched_in_parts(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame(items, "item_id long, text string")
     whole = sorted(dc.contaminated(spark, df, b).collect(), key=str)
-    assert len(dc.benchmark_parts(spark, b, 7, 1 << 20)) > 2
+    parts = dc.benchmark_parts(spark, b, 7, 1 << 20)
+    assert len(parts) > 2 and sorted(map(str, (x for p in parts for x in p.value))) == sorted(map(str, items)) and max(len(p.value) for p in parts) < len(items)
     assert whole and sorted(dc.contaminated(spark, df, b, max_items=7).collect(), key=str) == whole == sorted(dc.contaminated(spark, df, b, max_bytes=200).collect(), key=str)
     assert sorted(dc.drop_contaminated(spark, df, b, max_items=7).collect(), key=str) == sorted(dc.drop_contaminated(spark, df, b).collect(), key=str)
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    r = random.Random(3)
+    item = " ".join(f"item{i}" for i in range(20))
+    noise = " ".join(f"w{r.randrange(50)}" for _ in range(300_000))
+    near = item.replace("item4 ", "").replace("item9", "other")
+    docs = [(1, f"{noise} {near} {noise[:999]}"), (2, noise), (3, "x" * 3_000_000 + " " + item)]
+    df = spark.createDataFrame([(d, t, "a", 1, 2) for d, t in docs], "doc_id long, text string, item_id string, distance int, first_word long")
+    b = spark.createDataFrame([(7, item, "b")], "item_id long, text string, doc_id string")
+    assert sorted((x.doc_id, x.item_id, x.distance, x.first_word) for x in dc.contaminated(spark, df, b).collect()) == [(1, 7, 2, 300_000), (3, 7, 0, 1)]
+    assert [x.doc_id for x in dc.drop_contaminated(spark, df, b).select(df.columns).collect()] == [2]

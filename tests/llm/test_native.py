@@ -159,6 +159,18 @@ def test_counts_equal_brute_force(spark):
     assert quality.quality_rules(spark, df.limit(0)).count() == 0
 
 
+def test_repeated_and_null_ids_are_rows_of_their_own(spark):
+    r = np.random.default_rng(4)
+    text = lambda: " ".join("abcdefg"[: r.integers(1, 8)] + str(r.integers(1000)) for _ in range(80))
+    texts = [text() for _ in range(60)]
+    rows = [(i % 20 if i % 7 else None, t) for i, t in enumerate(texts)] + [(3, texts[3]), (3, texts[3]), (None, None), (3, "word " * 400_000)]
+    df = spark.createDataFrame([(d, t, "l", "s", "x", True) for d, t in rows], "doc_id long, text string, lang string, source string, g string, kept boolean")
+    out = quality.quality_rules(spark, df, min_group=20).collect()
+    assert sorted(((r.doc_id, r.n_words) for r in out), key=str) == sorted(((d, counts(t)[0]) for d, t in rows), key=str)
+    same = [r for r in out if r.doc_id == 3 and r.n_words == 80]
+    assert len(same) == 5 and len({r.distance for r in same}) == 3  # three texts, one there three times
+
+
 def numpy_mcd(x, h=0.75, starts=200, seed=0):
     """Least determinant over concentration from random subsets: another search than that of the operator."""
     r, n, best = np.random.default_rng(seed), int(np.ceil(len(x) * h)), (np.inf,)
