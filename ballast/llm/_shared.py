@@ -33,10 +33,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/ballast/{name}-{uuid.uuid4().hex}"
 
 
+#: A table has at most so many files for each core, or one for so many shuffle partitions where that is more.
+FILES_A_CORE, PARTITIONS_A_FILE = 4, 8
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage, survives the loss of any executor."""
+    """``df`` as a table in the shared folder: cuts lineage, survives the loss of any executor.
+
+    Each file costs the store some calls, and a local one a process that sets its permissions, so partitions go to fewer
+    files, by tasks that take them one after the other. There is work for all cores several times over, and tasks
+    grow in number with the shuffle partitions that the session has for its data.
+    """
     path = new_path(spark, name)
-    df.write.parquet(path)
+    files = max(FILES_A_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTITIONS_A_FILE)
+    df.coalesce(files).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._ballast_path = path
     return out
