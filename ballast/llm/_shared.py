@@ -33,20 +33,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/ballast/{name}-{uuid.uuid4().hex}"
 
 
-#: A table has at most so many files for each core, or one for so many shuffle partitions where that is more.
-FILES_A_CORE, PARTITIONS_A_FILE = 4, 8
+#: An operator's table has at most so many files, or so many for each core, or one for so many shuffle partitions, whichever is most.
+FILES, FILES_A_CORE, PARTITIONS_A_FILE = 64, 4, 8
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def written(spark: SparkSession, df: DataFrame, name: str, merged: bool = False) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage, survives the loss of any executor.
 
-    Each file costs the store some calls, and a local one a process that sets its permissions, so partitions go to fewer
-    files, by tasks that take them one after the other. There is work for all cores several times over, and tasks
-    grow in number with the shuffle partitions that the session has for its data.
+    merged: small partitions go to fewer files, by tasks that take them one after the other, as each file costs the
+    store some calls, and a local one a process that sets its permissions. There is work for all cores several times over, and tasks
+    grow in number with the shuffle partitions that the session has for its data. Not for plans whose last stage asks for its
+    partition's number, which merging changes.
     """
     path = new_path(spark, name)
-    files = max(FILES_A_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTITIONS_A_FILE)
-    df.coalesce(files).write.parquet(path)
+    if merged:
+        df = df.coalesce(max(FILES, FILES_A_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTITIONS_A_FILE))
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._ballast_path = path
     return out
@@ -88,7 +90,7 @@ class Scratch:
         return self.paths[-1]
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
-        out = written(self.spark, df, name)
+        out = written(self.spark, df, name, merged=True)
         self.paths.append(out._ballast_path)
         return out
 
@@ -99,7 +101,7 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """The result as a table, which kept() knows; the others are deleted."""
-        out = written(self.spark, df, name)
+        out = written(self.spark, df, name, merged=True)
         _KEPT.append(out._ballast_path)
         self.close()
         return out
