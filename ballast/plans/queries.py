@@ -224,9 +224,9 @@ def draw_ranks(spark, sf_dir):
 
 
 def sampled_combinations(spark, sf_dir):
-    """As many combinations as there are orders, drawn without replacement."""
+    """As many combinations as there are orders, drawn without replacement; every one where there are more orders."""
     n = _table(spark, sf_dir, "orders").count()
-    return combinadic.sampled(spark, n, 42).select("place", "mask")
+    return combinadic.sampled(spark, min(n, combinadic.ALL), 42).select("place", "mask")
 
 
 def candidate_list(spark, sf_dir):
