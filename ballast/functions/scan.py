@@ -4,7 +4,8 @@ The total at step s is the sum of weight * decay^(s - 1 - idx) over the events b
 combine: an earlier one of weight w, followed by ``length`` positions of weight v, is w * decay^length + v,
 whichever way a longer stretch is cut. So positions are cut into chunks; an aggregate gives each
 chunk's state, a window over the chunks folds the states before each, and a window inside
-the chunk adds what it has itself. No step meets the events of another chunk.
+the chunk adds what it has itself. No step meets the events of another chunk. Where the first and last step
+are known, chunks begin there, and all that lies before is one state a key, added up by the tasks that read it.
 """
 
 from __future__ import annotations
@@ -24,22 +25,29 @@ def chunk_of(decay: float, chunk: int = CHUNK) -> int:
     return max(1, min(chunk, int(_SPAN / -log(decay)))) if decay < 1 else chunk
 
 
-def running_totals(events: DataFrame, queries: DataFrame, keys: list[str], decay: float = 1.0, chunk: int = CHUNK) -> DataFrame:
+def running_totals(events: DataFrame, queries: DataFrame, keys: list[str], decay: float = 1.0, chunk: int = CHUNK, steps: tuple[int, int] | None = None) -> DataFrame:
     """queries with total (0 without events) and last (the greatest idx before the step, null without events).
 
     events: keys, idx, weight. queries: keys, step and more. Both by any number of rows of a key; an event
     counts for steps after its idx. Work and shuffles are a row an event and a query; a window holds one chunk of a key,
-    or a key's chunk states, a row for ``chunk`` positions.
+    or a key's chunk states, a row for ``chunk`` positions. steps: the least and greatest step of queries; then events before it are a row
+    a key and task, and those after it are left out. ``events`` is read twice, the second time from the first step on.
     """
     if not 0 < decay <= 1:
         raise ValueError("decay must be in (0, 1]")
     size = chunk_of(decay, chunk)
-    at = lambda c: F.floor(F.col(c) / size).cast("long")
+    # the first position of chunk 0
+    origin = steps[0] - 1 if steps else 0
+    at = lambda c: F.floor((F.col(c) - origin) / size).cast("long")
     power = lambda e: F.pow(F.lit(float(decay)), e)
-    events = events.select(*keys, F.col("idx").cast("long").alias("_at"), F.col("weight").cast("double").alias("_w"), at("idx").alias("_chunk"))
+    within = at("idx")
+    if steps:
+        # nothing is asked before chunk 0
+        events, within = events.where(F.col("idx") < steps[1]), F.greatest(within, F.lit(-1).cast("long"))
+    events = events.select(*keys, F.col("idx").cast("long").alias("_at"), F.col("weight").cast("double").alias("_w"), within.alias("_chunk"))
     # a step sees the chunk of the position before it, and carries what earlier chunks leave
     asked = queries.withColumn("_at", F.col("step").cast("long") - 1).withColumn("_chunk", at("_at"))
-    own = events.groupBy(*keys, "_chunk").agg(F.sum(F.col("_w") * power((F.col("_chunk") + 1) * size - 1 - F.col("_at"))).alias("_w"), F.max("_at").alias("_last"))
+    own = events.groupBy(*keys, "_chunk").agg(F.sum(F.col("_w") * power(origin + (F.col("_chunk") + 1) * size - 1 - F.col("_at"))).alias("_w"), F.max("_at").alias("_last"))
     none = asked.select(*keys, "_chunk", F.lit(0.0).alias("_w"), F.lit(None).cast("long").alias("_last")).distinct()
     states = own.unionByName(none).groupBy(*keys, "_chunk").agg(F.sum("_w").alias("_w"), F.max("_last").alias("_last"))
     before = Window.partitionBy(*keys).orderBy("_chunk")
@@ -52,14 +60,18 @@ def running_totals(events: DataFrame, queries: DataFrame, keys: list[str], decay
     last = F.max("_last").over(before.rowsBetween(Window.unboundedPreceding, -1))
     carry = states.select(*keys, "_chunk", carried.alias("_w"), last.alias("_last"))
     # events of chunks that no step asks for end here
-    wanted = asked.select("_chunk").distinct()
+    if steps:
+        carry, near = carry.where("_chunk >= 0"), events.where(F.col("_at") >= origin)
+    else:
+        wanted = asked.select("_chunk").distinct()
+        carry, near = carry.join(wanted, "_chunk", "left_semi"), events.join(wanted, "_chunk", "left_semi")
     rest = [c for c in asked.columns if c not in (*keys, "_at", "_chunk")]
     blank = [F.lit(None).cast(t).alias(c) for c, t in asked.select(*rest).dtypes]
     line = lambda df, order, w, l, extra: df.select(*keys, "_chunk", "_at", F.lit(order).alias("_order"), w.alias("_w"), l.cast("long").alias("_last"), *extra)  # noqa: E731, E741
-    rows = line(carry.join(wanted, "_chunk", "left_semi").withColumn("_at", F.col("_chunk") * size - 1), 0, F.coalesce("_w", F.lit(0.0)), F.col("_last"), blank)
-    rows = rows.unionByName(line(events.join(wanted, "_chunk", "left_semi"), 1, F.col("_w"), F.col("_at"), blank))
+    rows = line(carry.withColumn("_at", origin + F.col("_chunk") * size - 1), 0, F.coalesce("_w", F.lit(0.0)), F.col("_last"), blank)
+    rows = rows.unionByName(line(near, 1, F.col("_w"), F.col("_at"), blank))
     rows = rows.unionByName(line(asked, 2, F.lit(0.0), F.lit(None), rest))
     upto = Window.partitionBy(*keys, "_chunk").orderBy("_at", "_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    scaled = F.sum(F.col("_w") * power(F.col("_chunk") * size - F.col("_at"))).over(upto) * power(F.col("_at") - F.col("_chunk") * size)
+    scaled = F.sum(F.col("_w") * power(origin + F.col("_chunk") * size - F.col("_at"))).over(upto) * power(F.col("_at") - origin - F.col("_chunk") * size)
     out = rows.select(*keys, *rest, "_order", scaled.alias("total"), F.max("_last").over(upto).alias("last"))
     return out.where("_order = 2").drop("_order")

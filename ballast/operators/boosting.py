@@ -195,7 +195,7 @@ class BoostScorer:
     def start(self, spark: SparkSession, draws: DataFrame, first_step: int, last_step: int) -> dict[int, Forest]:
         """Forests without trees: the log odds of each ball in what a step has seen, -inf and inf for never and always."""
         events = drawn(draws.where(F.col("idx") > WARM_UP)).withColumn("weight", F.lit(1.0))
-        came = running_totals(events, grid(spark, first_step, last_step), ["color", "ball"])
+        came = running_totals(events, grid(spark, first_step, last_step), ["color", "ball"], steps=(first_step, last_step))
         out, place = {s: Forest(np.zeros(len(BALLS))) for s in range(first_step, last_step + 1)}, {b: i for i, b in enumerate(BALLS)}
         for r in came.collect():  # 49 rows a step
             n = r.step - WARM_UP - 1

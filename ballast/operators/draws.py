@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ballast.functions import balls as fb
-from ballast.schema import BLUE_MAX, PICK, RED_MAX, WINDOW
+from ballast.schema import BLUE_MAX, PICK, RED_MAX, WARM_UP, WINDOW
 from ballast.sources.files import materialised
 
 CHUNK = 1 << 16
@@ -51,6 +51,19 @@ def with_lags(df: DataFrame, columns: dict[str, Column], reach: int, idx: str =
     return out.where("NOT _halo").drop("_chunk", "_halo")
 
 
+def with_previous(df: DataFrame, features: dict[str, Column]) -> DataFrame:
+    """(idx, b1..b6, blue) and ``features`` of the draw before, as a table in the shared folder; draws before WARM_UP precede none.
+
+    A draw is one integer while neighbours meet, and meets them inside a chunk of positions: one narrow shuffle, no join.
+    """
+    fields, bits = [*fb.B, "blue"], 6
+    unpacked = lambda c: [F.shiftright(c, i * bits).bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias(b) for i, b in enumerate(fields)]
+    packed = fb.either(F.shiftleft(F.col(b).cast("long"), i * bits) for i, b in enumerate(fields))
+    near = with_lags(df.select("idx", packed.alias("_draw")), {"_before": lag1("_draw")}, 1).where(F.col("idx") > WARM_UP)
+    near = near.select("idx", "_draw", *unpacked("_before")).select("idx", "_draw", *(c.alias(n) for n, c in features.items()))
+    return materialised(df.sparkSession, near.select("idx", *unpacked("_draw"), *features), "followed")
+
+
 def moving_mean(column: str, size: int = WINDOW):
     """Mean of the previous ``size`` rows, null until there are as many."""
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ballast.functions import balls as fb
 from ballast.functions.scan import running_totals
+from ballast.operators.draws import STATIC_FEATURES, with_previous
 from ballast.schema import BLUE_MAX, DROPPED_REDS, NUM_BLUES, PICK, RED_MAX, WARM_UP, Params
 
 
@@ -19,10 +20,10 @@ def domain(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT 'red' AS color, explode(sequence(1, {RED_MAX})) AS ball UNION ALL SELECT 'blue', explode(sequence(1, {BLUE_MAX}))")
 
 
-def drawn(draws: DataFrame) -> DataFrame:
-    """(idx, color, ball): a row a ball drawn."""
+def drawn(draws: DataFrame, *keep: str) -> DataFrame:
+    """(idx, keep, color, ball): a row a ball drawn."""
     ball = lambda color, c: F.struct(F.lit(color).alias("color"), F.col(c).cast("int").alias("ball"))
-    return draws.select("idx", F.inline(F.array(*(ball("red", b) for b in fb.B), ball("blue", "blue"))))
+    return draws.select("idx", *keep, F.inline(F.array(*(ball("red", b) for b in fb.B), ball("blue", "blue"))))
 
 
 def grid(spark: SparkSession, first_step: int, last_step: int) -> DataFrame:
@@ -33,7 +34,7 @@ def grid(spark: SparkSession, first_step: int, last_step: int) -> DataFrame:
 def ball_stats(spark: SparkSession, draws: DataFrame, decay: float, first_step: int, last_step: int) -> DataFrame:
     """(step, color, ball, freq, omission) for steps first_step..last_step; a ball not drawn yet has 0 and step."""
     events = drawn(draws).withColumn("weight", F.lit(1.0))
-    out = running_totals(events, grid(spark, first_step, last_step), ["color", "ball"], decay)
+    out = running_totals(events, grid(spark, first_step, last_step), ["color", "ball"], decay, steps=(first_step, last_step))
     omission = F.col("step") - F.coalesce("last", F.lit(-1)) - 1
     return out.select("step", "color", F.col("ball").cast("int").alias("ball"), F.col("total").alias("freq"), omission.cast("long").alias("omission"))
 
@@ -47,13 +48,12 @@ class SqlScorer:
 
     def probabilities(self, spark: SparkSession, draws: DataFrame, first_step: int, last_step: int) -> DataFrame:
         """(step, color, ball, prob)."""
-        state = draws.select("idx", fb.odd_count().alias("odd"))
+        odd = fb.odd_count().cast("int").alias("odd")
         # what followed, at the position where it became known
-        pairs = state.where(F.col("idx") >= WARM_UP).select((F.col("idx") + 1).alias("idx"), "odd")
-        followed = drawn(draws).join(pairs, "idx")
-        last = state.select((F.col("idx") + 1).alias("step"), "odd").where(F.col("step").between(first_step, last_step))
+        followed = drawn(with_previous(draws, {"odd": odd}), "odd")
+        last = draws.where(F.col("idx").between(first_step - 1, last_step - 1)).select((F.col("idx") + 1).alias("step"), odd)
         asked = last.crossJoin(F.broadcast(domain(spark)))
-        hits = running_totals(followed.select("idx", "odd", "color", "ball", F.lit(1.0).alias("weight")), asked, ["odd", "color", "ball"])
+        hits = running_totals(followed.select("idx", "odd", "color", "ball", F.lit(1.0).alias("weight")), asked, ["odd", "color", "ball"], steps=(first_step, last_step))
         # each draw that followed has six reds, so their hits are six times the draws; 49 rows to a window
         n = F.sum(F.when(F.col("color") == "red", F.col("total"))).over(Window.partitionBy("step")) / PICK
         return hits.select("step", "color", F.col("ball").cast("int").alias("ball"), ((F.col("total") + 1) / (n + 2)).alias("prob"))
@@ -75,18 +75,17 @@ class BayesScorer:
 
     def probabilities(self, spark: SparkSession, draws: DataFrame, first_step: int, last_step: int) -> DataFrame:
         """(step, color, ball, prob)."""
-        from ballast.operators.draws import STATIC_FEATURES
-
-        each = F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), STATIC_FEATURES[f]().cast("long").alias("value"), F.lit(n).alias("values")) for f, n in self.values.items())))
-        state = draws.select("idx", each)
+        statics = {f: STATIC_FEATURES[f]().cast("long") for f in self.values}
+        row = lambda f, value: F.struct(F.lit(f).alias("feature"), value.alias("value"), F.lit(self.values[f]).alias("values"))
+        one, steps = F.lit(1.0).alias("weight"), (first_step, last_step)
+        asked = draws.where(F.col("idx").between(first_step - 1, last_step - 1)).select((F.col("idx") + 1).alias("step"), F.inline(F.array(*(row(f, c) for f, c in statics.items()))))
         # what stood before, at the position where what followed became known
-        before = state.where(F.col("idx") >= WARM_UP).select((F.col("idx") + 1).alias("idx"), "feature", "value")
-        one = F.lit(1.0).alias("weight")
-        asked = state.select((F.col("idx") + 1).alias("step"), "feature", "value", "values").where(F.col("step").between(first_step, last_step))
-        seen = running_totals(before.select("idx", "feature", "value", one), asked, ["feature", "value"]).select("step", "feature", F.col("total").alias("n_value"))
-        came = running_totals(drawn(draws).where(F.col("idx") > WARM_UP).select("idx", "color", "ball", one), grid(spark, first_step, last_step), ["color", "ball"])
-        joint = drawn(draws).join(before, "idx").select("idx", "feature", "value", "color", "ball", one)
-        both = running_totals(joint, asked.crossJoin(F.broadcast(domain(spark))), ["feature", "value", "color", "ball"]).withColumnRenamed("total", "n_both").drop("last")
+        followed = with_previous(draws, statics)
+        each = F.inline(F.array(*(row(f, F.col(f)) for f in statics)))
+        seen = running_totals(followed.select("idx", each).select("idx", "feature", "value", one), asked, ["feature", "value"], steps=steps).select("step", "feature", F.col("total").alias("n_value"))
+        came = running_totals(drawn(draws).where(F.col("idx") > WARM_UP).select("idx", "color", "ball", one), grid(spark, first_step, last_step), ["color", "ball"], steps=steps)
+        joint = drawn(followed, *statics).select("idx", "color", "ball", each).select("idx", "feature", "value", "color", "ball", one)
+        both = running_totals(joint, asked.crossJoin(F.broadcast(domain(spark))), ["feature", "value", "color", "ball"], steps=steps).withColumnRenamed("total", "n_both").drop("last")
         rows = both.join(seen, ["step", "feature"]).join(came.withColumnRenamed("total", "n_came").drop("last"), ["step", "color", "ball"])
         n = F.greatest(F.col("step") - WARM_UP - 1, F.lit(0))
         side = F.log((F.col("n_both") + 1) / (F.col("n_came") + F.col("values"))) - F.log((F.col("n_value") - F.col("n_both") + 1) / (n - F.col("n_came") + F.col("values")))
