@@ -77,15 +77,14 @@ def _publish(spark: SparkSession, root: str, ranges: list[Range], schema: str, n
 
 
 def _range_of(key: Column, lows: list[str | None]) -> Column:
-    """The index of the range that a key belongs to: how many ranges begin at or before it, in a tree of comparisons."""
-
-    def pick(a: int, b: int) -> Column:
-        if b - a == 1:
-            return F.lit(a)
-        mid = (a + b) // 2
-        return F.when(key < F.lit(lows[mid]), pick(a, mid)).otherwise(pick(mid, b))
-
-    return pick(0, len(lows)) if lows else F.lit(0)
+    """The index of the range that a key belongs to: how many ranges after the first begin at or before it, by binary search in one array."""
+    n = len(lows)
+    if n < 2:
+        return F.lit(0)
+    # range 0 takes what is before all others; halving steps, each taken where it does not overshoot
+    begins, halves = F.array(*(F.lit(x) for x in lows[1:])), F.array(*(F.lit(1 << i) for i in reversed(range((n - 1).bit_length()))))
+    # past the end there is null, which is not reached
+    return F.aggregate(halves, F.lit(0), lambda at, by: F.when(F.get(begins, at + by - 1) <= key, at + by).otherwise(at))
 
 
 def merge(spark: SparkSession, root: str, new: DataFrame, key: str, order: list[str], range_rows: int = RANGE_ROWS) -> Version | None:
@@ -140,10 +139,8 @@ def _rewritten(spark: SparkSession, root: str, rows: DataFrame, key: str, column
         if sizes.get(i, 0) >= 2 * range_rows:
             cuts[i] += _cut_keys(rows.where(F.col("_range") == i), key, -(-sizes[i] // range_rows))
     starts = [(i, low) for i in sorted(cuts) for low in cuts[i]]
-    place = F.lit(None).cast("int")
-    for i in cuts:
-        first = starts.index((i, cuts[i][0]))
-        place = F.when(F.col("_range") == i, F.lit(first) + _range_of(F.col(key), cuts[i])).otherwise(place)
+    # ranges lie in key order and rows only in those of ``lows``, so what begins last at or before a key is its own
+    place = _range_of(F.col(key), [low for _, low in starts])
     folder = f"{root}/parts/{uuid.uuid4().hex}"
     dealt = rows.withColumn("part", place).repartition(max(1, len(starts)), "part").sortWithinPartitions("part", key)
     dealt.select(*columns, "part").write.partitionBy("part").parquet(folder)
