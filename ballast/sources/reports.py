@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 from string import Formatter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,11 +37,17 @@ def parse_bets(lines: DataFrame) -> DataFrame:
     A line that does not parse is skipped.
     """
     w = Window.partitionBy("path").orderBy("line_no")  # the lines of one report
-    section = F.when(F.startswith("line", F.lit(SINGLE_HEADER)), "single").when(F.col("line").rlike(DUPLEX_HEADER), "duplex").when(F.col("line").rlike("^(---|===)"), "none")
-    s = lines.withColumn("section", F.last(section, ignorenulls=True).over(w))
-    numbers = lambda text: F.transform(F.split(text, ",\\s*"), lambda x: F.trim(x).try_cast("int"))
-    red_text, blue_text = F.regexp_extract("line", "红球:?\\s*\\[(.*?)\\]", 1), F.regexp_extract("line", "蓝球:?\\s*\\[(.*?)\\]", 1)
-    s = s.select("path", "line_no", "section", F.when(red_text != "", numbers(red_text)).alias("reds"), F.when(blue_text != "", numbers(blue_text)).alias("blues"))
+    begins = lambda *marks: reduce(lambda a, b: a | b, (F.startswith("line", F.lit(m)) for m in marks))
+    # a cheap test first: patterns meet only lines that can match
+    section = F.when(begins(SINGLE_HEADER), "single").when(begins("【7+") & F.col("line").rlike(DUPLEX_HEADER), "duplex").when(begins("---", "==="), "none")
+    named = lambda ball: F.contains("line", F.lit(ball))
+    text = lambda ball: F.when(named(ball), F.nullif(F.regexp_extract("line", f"{ball}:?\\s*\\[(.*?)\\]", 1), F.lit("")))
+    # all other lines say nothing, and what meets its section is a line's numbers
+    telling = lines.where(begins(SINGLE_HEADER, "【7+", "---", "===") | named("红球") | named("蓝球"))
+    s = telling.select("path", "line_no", section.alias("section"), text("红球").alias("reds"), text("蓝球").alias("blues"))
+    s = s.withColumn("section", F.last("section", ignorenulls=True).over(w)).where("section IN ('single', 'duplex') AND (reds IS NOT NULL OR blues IS NOT NULL)")
+    numbers = lambda c: F.transform(F.split(c, ",\\s*"), lambda x: F.trim(x).try_cast("int")).alias(c)
+    s = s.select("path", "line_no", "section", numbers("reds"), numbers("blues"))
     clean = lambda c: F.forall(c, lambda x: x.isNotNull())
     s = s.where((F.col("reds").isNull() | clean("reds")) & (F.col("blues").isNull() | clean("blues")))
     single = s.where("section = 'single' AND reds IS NOT NULL AND blues IS NOT NULL").select("path", "line_no", F.lit("single").alias("kind"), "reds", "blues")
