@@ -26,6 +26,8 @@ from ballast.operators.scoring import drawn, grid
 from ballast.schema import BLUE_MAX, RED_MAX, WARM_UP
 from ballast.sources.files import materialised
 
+#: Rows that a task takes at once; rows and cells that are multiplied at once.
+_BLOCK, _PART = 1 << 16, 2048
 BALLS = [("red", b) for b in range(1, RED_MAX + 1)] + [("blue", b) for b in range(1, BLUE_MAX + 1)]
 
 
@@ -56,12 +58,14 @@ class Forest:
 
 def descend(splits: np.ndarray, bins: np.ndarray) -> np.ndarray:
     """The node of the last level that each row reaches, from 0."""
-    node, first = np.zeros(len(bins), np.int64), 0
+    node, first = np.zeros(len(bins), np.uint8 if len(splits) < 256 else np.int64), 0
     while first < len(splits):
-        feature, upto = splits[first + node].T
-        node = 2 * node + (bins[np.arange(len(bins)), feature] > upto)
+        right = np.zeros(len(bins), bool)
+        for i, (feature, upto) in enumerate(splits[first : 2 * first + 1]):
+            right |= (node == i) & (bins[:, feature] > upto)
+        node = 2 * node + right
         first = 2 * first + 1
-    return node
+    return node.astype(np.int64)
 
 
 def sigmoid(x):
@@ -71,8 +75,8 @@ def sigmoid(x):
 
 def labels(next_mask: np.ndarray, next_blue: np.ndarray) -> np.ndarray:
     """(rows, 49): whether each ball came."""
-    red = next_mask[:, None] >> np.arange(1, RED_MAX + 1) & 1
-    return np.concatenate((red, next_blue[:, None] == np.arange(1, BLUE_MAX + 1)), 1).astype(float)
+    red = np.unpackbits(next_mask.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, 1 : RED_MAX + 1]
+    return np.concatenate((red, next_blue[:, None] == np.arange(1, BLUE_MAX + 1)), 1).astype(bool)
 
 
 def cut_points(rows: DataFrame, features: list[str], bins: int) -> dict[str, list[float]]:
@@ -97,10 +101,68 @@ def binned(rows: DataFrame, cuts: dict[str, list[float]], keep: list[str]) -> Da
     return src.mapInArrow(run, f"{kinds}, bins binary")
 
 
-def _unpack(column: pa.Array, n: int) -> np.ndarray:
+def _unpack(column: pa.ChunkedArray, n: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, n)
 
 
+def _blocks(batches):
+    """The batches as tables of about _BLOCK rows."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= _BLOCK:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def cells(forest: Forest, partial: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that reach the same node of the growing tree and the same leaf of each tree before it have the same scores: they are a cell.
+
+    The node and the first row of each cell, by node, and the cell of each row.
+    """
+    node = descend(partial, bins)
+    code, bound = node, len(partial) + 1
+    for splits in forest.splits:
+        if bound * (len(splits) + 1) >= 1 << 62:
+            code = np.unique(code, return_inverse=True)[1]
+            bound = len(code)
+        code, bound = code * (len(splits) + 1) + descend(splits, bins), bound * (len(splits) + 1)
+    _, first, cell = np.unique(code, return_index=True, return_inverse=True)
+    return node[first], first, cell
+
+
+def _add(total: np.ndarray, forest: Forest, partial: np.ndarray, own: np.ndarray, y: np.ndarray) -> None:
+    """Adds the rows (their bins and labels) to total (nodes, features x bins, sums).
+
+    Scores are a cell's, so they are weighted by how many of its rows have a bin. Labels are 0 and 1, and their sums over _PART rows exact in 32 bits.
+    """
+    nodes, wide, _ = total.shape
+    n, k = len(BALLS), own.shape[1]
+    top = own.max(0).astype(np.int64) + 1  # bins that occur
+    begins, feature = np.cumsum(top) - top, np.repeat(np.arange(k), top)
+    value = np.arange(len(feature)) - begins[feature]
+    at, value = feature * (wide // k) + value, value.astype(np.uint8)[:, None]
+    of, first, cell = cells(forest, partial, own)
+    order = np.argsort(cell, kind="stable")
+    shown, cell, own, y = own[first], cell[order], own[order], y[order]
+    for i in range(nodes):
+        lo, hi = np.searchsorted(of, (i, i + 1))
+        for c0 in range(lo, hi, _PART):
+            c1 = min(c0 + _PART, hi)
+            r0, r1 = np.searchsorted(cell, (c0, c1))
+            counts = np.bincount(((cell[r0:r1, None] - c0) * len(at) + (own[r0:r1] + begins)).ravel(), minlength=(c1 - c0) * len(at))
+            p = sigmoid(forest.scores(shown[c0:c1]))
+            total[i][at] += counts.reshape(-1, len(at)).T.astype(float) @ np.concatenate((p, p * (1 - p), np.ones((len(p), 1))), 1)
+        r0, r1 = np.searchsorted(cell, (lo, hi))
+        for r in range(r0, r1, _PART):
+            rows = slice(r, min(r + _PART, r1))
+            hot = np.ascontiguousarray(own[rows].T)[feature] == value
+            total[i][at, :n] -= hot.astype(np.float32) @ y[rows].astype(np.float32)
+
+
 def histograms(data: DataFrame, forests: dict[int, Forest], partial: dict[int, np.ndarray], level: int, n_features: int, bins: int) -> DataFrame:
     """(step, node, feature, bin, sums): of the rows that a step may learn from and that reach the node, first and second
     derivatives of the loss by ball, and last their number.
@@ -112,20 +174,13 @@ def histograms(data: DataFrame, forests: dict[int, Forest], partial: dict[int, n
 
     def run(batches):
         total = {s: np.zeros((nodes, n_features * bins, width)) for s in forests}
-        for b in batches:
+        for b in _blocks(batches):
             idx, own = b.column(0).to_numpy(), _unpack(b.column(3), n_features)
             y = labels(b.column(1).to_numpy(), b.column(2).to_numpy().astype(np.int64))
-            hot = (own[:, :, None] == np.arange(bins)).reshape(len(own), -1).astype(float)
             for s, forest in forests.items():
-                seen = np.flatnonzero(idx <= s - 2)
-                if not len(seen):
-                    continue
-                p = sigmoid(forest.scores(own[seen]))
-                values = np.concatenate((p - y[seen], p * (1 - p), np.ones((len(seen), 1))), 1)
-                node = descend(partial[s], own[seen])
-                for k in range(nodes):
-                    here = node == k
-                    total[s][k] += hot[seen[here]].T @ values[here]
+                seen = idx <= s - 2
+                if seen.any():
+                    _add(total[s], forest, partial[s], *((own, y) if seen.all() else (own[seen], y[seen])))
         rows = [(s, k, i // bins, i % bins, sums[k, i].tolist()) for s, sums in total.items() for k in range(nodes) for i in np.flatnonzero(sums[k, :, -1])]
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64())]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["step", "node", "feature", "bin", "sums"])
