@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ballast.functions.scan import running_totals
@@ -80,10 +80,24 @@ def labels(next_mask: np.ndarray, next_blue: np.ndarray) -> np.ndarray:
 
 
 def cut_points(rows: DataFrame, features: list[str], bins: int) -> dict[str, list[float]]:
-    """At most bins - 1 distinct values of each feature, at its quantiles: one aggregate, one row."""
-    at = [i / bins for i in range(1, bins)]
-    found = rows.agg(*(F.percentile_approx(F.col(c).cast("double"), at, 100_000).alias(c) for c in features)).first()
-    return {c: sorted(set(found[c] or [])) for c in features}
+    """At most bins - 1 distinct values of each feature, at its quantiles.
+
+    Tasks count the values, so a window holds a row a distinct value of one feature, of which draws' features have some hundreds.
+    """
+
+    def run(batches):
+        for t in _blocks(batches):
+            for c in features:
+                value, n = np.unique(t.column(c).drop_null().to_numpy(), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([c] * len(n), pa.string()), pa.array(value, pa.float64()), pa.array(n, pa.int64())], names=["feature", "value", "n"])
+
+    counted = rows.select(*(F.col(c).cast("double").alias(c) for c in features)).mapInArrow(run, "feature string, value double, n long").groupBy("feature", "value").agg(F.sum("n").alias("n"))
+    own = Window.partitionBy("feature")
+    upto, whole = F.sum("n").over(own.orderBy("value")), F.sum("n").over(own)
+    at = counted.select("feature", "value", "n", upto.alias("upto"), whole.alias("whole"))
+    # a value is a cut where the place of some quantile is one of its own
+    found = at.where(f"least(upto * {bins} div whole, {bins - 1}) > (upto - n) * {bins} div whole").select("feature", "value").collect()
+    return {c: sorted(r.value for r in found if r.feature == c) for c in features}
 
 
 def binned(rows: DataFrame, cuts: dict[str, list[float]], keep: list[str]) -> DataFrame:
