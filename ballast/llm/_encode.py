@@ -53,7 +53,8 @@ class WordEncoder:
             ids = np.array(self.t.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.is_end[ids]) + 1
             if len(ends) == len(part) and ends[-1] == len(ids):
-                out += [x.tobytes() for x in np.split(ids, ends[:-1])]
+                raw, at = ids.tobytes(), (ends * 4).tolist()
+                out += [raw[a:b] for a, b in zip([0, *at], at)]
             else:
                 out += self._whole(part)
         return out
