@@ -19,7 +19,8 @@ exact bound), and if its whole signatures, of which the bucket rows carry four b
 coordinate, differ no more than most_differences(), a bound that a pair at the threshold
 exceeds with no greater chance than that of sharing no band; it is taken up in the first band
 it shares. Members of buckets that are still mixed meet by prefixes of their sets, the
-rarest shingles first: sets that are similar enough share one of them, so this step loses
+rarest shingles first: sets that are similar enough share one of them, early enough that what follows
+reaches the intersection they need, so this step loses
 nothing, and documents that share only what is frequent, as those of one template do, don't meet.
 So a large group of near copies costs little more than its own links, no cap is set on buckets
 or partners, and no pair is looked at for being in a bucket alone.
@@ -284,23 +285,28 @@ def _joined(scratch: Scratch, e: DataFrame, pairs: DataFrame, sets: DataFrame, p
 def _prefix_pairs(rows: DataFrame, traits: DataFrame, percent: int, alike: str) -> DataFrame:
     """(a, b): pairs of rows (node, component, set) in different components that may have the similarity asked for.
 
-    traits: (node, n and what the test ``alike`` of two rows needs).
+    traits: (node, n and what the test ``alike`` of two rows needs). A node may have several sets, each with its own row.
 
     Two such sets share a shingle among the first n - ceil(n * percent / 100) + 1 of either, in any one order
-    of all shingles; here those that fewest rows have come first.
+    of all shingles; here those that fewest rows have come first. Where they share their first one, at positions i and j, neither has more
+    left than n - i and n - j, so these must reach the intersection that the sizes ask for; the smaller set's prefix is shorter by that.
     """
 
     def run(batches):
         for b in batches:
-            found = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(2)]
+            found = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(3)]
             n = np.array([len(x) for x in found])
-            at = np.repeat(np.arange(len(n)), n)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.concatenate(found))], names=["node", "component", "shingle"])
+            at = pa.array(np.repeat(np.arange(len(n)), n))
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(3)), pa.array(np.concatenate(found))], names=["node", "component", "of", "shingle"])
 
-    said = rows.select("node", "component", "set").mapInArrow(run, "node long, component long, shingle long")
+    said = rows.select("node", "component", F.xxhash64("set").alias("of"), "set").mapInArrow(run, "node long, component long, of long, shingle long")
     often = said.groupBy("shingle").agg(F.count("*").alias("rows")).where("rows > 1")
-    whole = said.join(often, "shingle", "left").groupBy("node", "component").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("rows", F.lit(1)).alias("rows"), "shingle"))).alias("s"))
-    prefix = whole.join(traits, "node").withColumn("s", F.explode(F.expr(f"slice(s, 1, int(n - ceil(n * {percent} / 100) + 1))"))).where("s.rows > 1").select("component", *traits.columns, "s.shingle")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    pairs = a.join(b, F.expr(f"a.shingle = b.shingle AND a.node < b.node AND a.component <> b.component AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * {percent} AND {alike}"))
-    return pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    whole = said.join(often, "shingle", "left").groupBy("node", "component", "of").agg(F.sort_array(F.collect_set(F.struct(F.coalesce("rows", F.lit(1)).alias("rows"), "shingle"))).alias("s"))
+    whole = whole.withColumn("n", F.size("s").cast("long")).join(traits, ["node", "n"])
+    prefix = whole.select("component", *traits.columns, F.posexplode(F.expr(f"slice(s, 1, int(n - ceil(n * {percent} / 100) + 1))")).alias("at", "s")).where("s.rows > 1").select("component", *traits.columns, "at", "s.shingle")
+    need = f"(n - at) * {100 + percent} >= {2 * percent} * n"
+    a, b = prefix.where(need).alias("a"), prefix.alias("b")
+    meet = f"a.component <> b.component AND (a.n < b.n OR (a.n = b.n AND a.node < b.node)) AND a.n * 100 >= b.n * {percent}"
+    reach = f"least(a.n - a.at, b.n - b.at) * {100 + percent} >= {percent} * (a.n + b.n)"
+    pairs = a.join(b, F.expr(f"a.shingle = b.shingle AND {meet} AND {reach} AND {alike}"))
+    return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()

@@ -147,3 +147,27 @@ def test_prefix_pairs_miss_no_similar_pair(spark, percent):
     every = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if component[i] != component[j]]
     alike = {(i, j) for i, j in every if near_dup.similar(np.array(sets[i], np.uint64), np.array(sets[j], np.uint64), percent)}
     assert alike and alike <= got and len(got) < len(every)
+
+
+def _sets_and_sizes(spark, found):
+    rows = [(i, i, bytearray(np.array(sorted(x), np.uint64).tobytes())) for i, x in found]
+    sizes = spark.createDataFrame([(i, len(x)) for i, x in found], "node long, n long").distinct()
+    return spark.createDataFrame(rows, "node long, component long, set binary"), sizes
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_prefix_pairs_of_one_template_do_not_grow_with_its_square(spark, percent):
+    """Every document has 340 of a template's 400 shingles and 60 of its own: any two share prefix shingles, but none are similar enough."""
+    r = random.Random(7)
+    template = range(400)
+    found = [(i, {*r.sample(template, 340), *range(1000 * i + 1000, 1000 * i + 1060)}) for i in range(80)]
+    rows, sizes = _sets_and_sizes(spark, found)
+    assert not any(near_dup.similar(np.array(sorted(x), np.uint64), np.array(sorted(y), np.uint64), percent) for i, x in found for j, y in found if i < j)
+    assert near_dup._prefix_pairs(rows, sizes, percent, "true").count() <= 80
+
+
+def test_prefix_pairs_take_each_text_of_a_doc_id_by_itself(spark):
+    """Document 1 has one text like document 2's, another with shingles of its own, and the first one twice."""
+    a, other = set(range(100)), set(range(1000, 1100))
+    rows, sizes = _sets_and_sizes(spark, [(1, a), (1, other), (1, a), (2, {*range(5, 100), 500})])
+    assert [tuple(x) for x in near_dup._prefix_pairs(rows, sizes, 80, "true").collect()] == [(1, 2)]
