@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ballast.functions import balls as fb
-from ballast.functions.scan import running_totals
+from ballast.functions.scan import running_totals, slot_totals
 from ballast.operators.draws import STATIC_FEATURES, with_previous
 from ballast.schema import BLUE_MAX, DROPPED_REDS, NUM_BLUES, PICK, RED_MAX, WARM_UP, Params
 
@@ -26,6 +26,15 @@ def drawn(draws: DataFrame, *keep: str) -> DataFrame:
     return draws.select("idx", *keep, F.inline(F.array(*(ball("red", b) for b in fb.B), ball("blue", "blue"))))
 
 
+def _drawn_bits(draws: DataFrame) -> DataFrame:
+    """(idx, bits): a bit a ball drawn, reds first; a red that a draw has again is in a further row. Other numbers are no balls."""
+    bit = lambda c, top, after=0: F.when(F.col(c).between(1, top), fb.bit(F.col(c) + (after - 1))).otherwise(F.lit(0).cast("long"))
+    first = fb.either([*(bit(b, RED_MAX) for b in fb.B), bit("blue", BLUE_MAX, RED_MAX)])
+    # reds ascend
+    again = [fb.either(F.when(F.col(b) == F.col(a), bit(b, RED_MAX)).otherwise(F.lit(0).cast("long")) for a, b in zip(fb.B, fb.B[k:])) for k in range(1, PICK)]
+    return draws.select("idx", F.explode(F.array(first, *again)).alias("bits")).where("bits != 0")
+
+
 def grid(spark: SparkSession, first_step: int, last_step: int) -> DataFrame:
     """(step, color, ball): every ball at every step."""
     return spark.range(first_step, last_step + 1).select(F.col("id").alias("step")).crossJoin(F.broadcast(domain(spark)))
@@ -33,8 +42,8 @@ def grid(spark: SparkSession, first_step: int, last_step: int) -> DataFrame:
 
 def ball_stats(spark: SparkSession, draws: DataFrame, decay: float, first_step: int, last_step: int) -> DataFrame:
     """(step, color, ball, freq, omission) for steps first_step..last_step; a ball not drawn yet has 0 and step."""
-    events = drawn(draws).withColumn("weight", F.lit(1.0))
-    out = running_totals(events, grid(spark, first_step, last_step), ["color", "ball"], decay, steps=(first_step, last_step))
+    slots = [F.struct(F.lit(c).alias("color"), F.lit(b).alias("ball")) for c, top in (("red", RED_MAX), ("blue", BLUE_MAX)) for b in range(1, top + 1)]
+    out = slot_totals(_drawn_bits(draws), slots, (first_step, last_step), decay)
     omission = F.col("step") - F.coalesce("last", F.lit(-1)) - 1
     return out.select("step", "color", F.col("ball").cast("int").alias("ball"), F.col("total").alias("freq"), omission.cast("long").alias("omission"))
 
