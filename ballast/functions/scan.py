@@ -110,8 +110,9 @@ def slot_totals(events: DataFrame, slots: list[Column], steps: tuple[int, int],
     carry = carry.groupBy("_chunk").agg(F.sort_array(F.collect_list(F.struct("_slot", "_w", "_last"))).alias("_s"))
     carry = carry.select("_chunk", (start - 1).alias("_at"), F.lit(0).cast("long").alias("_bits"), F.col("_s._w").alias("_sums"), F.col("_s._last").alias("_lasts"))
     near = events.where(F.col("_at") >= origin).select("_chunk", "_at", "_bits", F.lit(None).cast("array<double>").alias("_sums"), F.lit(None).cast("array<bigint>").alias("_lasts"))
-    # sorted before the window's arguments, two columns a slot, are made
-    rows = carry.unionByName(near).repartition("_chunk").sortWithinPartitions("_chunk", "_at").withColumn("_scale", power(start - F.col("_at")))
+    # sorted before the window's arguments, two columns a slot, are made; by number, as a small shuffle joined to one task still makes many rows
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = carry.unionByName(near).repartition(parts, "_chunk").sortWithinPartitions("_chunk", "_at").withColumn("_scale", power(start - F.col("_at")))
     inside = Window.partitionBy("_chunk").orderBy("_at")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bit = lambda i: F.col("_bits").bitwiseAND(F.lit(1 << i)) != 0
